@@ -1,0 +1 @@
+"""Incremental (micro-batch) use of the batch operators."""
