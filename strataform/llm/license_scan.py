@@ -72,7 +72,7 @@ def _template_grams(docs: DataFrame, phrases: list, templates: list) -> tuple[Da
     t = t.withColumn("t_hashed", F.transform("t_words", lambda w: F.xxhash64(w)))
     grams = F.when(F.col("t_k") == PHRASE_K, _grams(F.col("t_words"), F.col("t_hashed"), PHRASE_K)).otherwise(_grams(F.col("t_words"), F.col("t_hashed"), TEMPLATE_K))
     t = t.withColumn("t_grams", grams).withColumn("t_n", F.size("t_grams"))
-    t = t.select("t_id", "t_label", "t_k", "t_exact", "t_n", "t_words", F.posexplode("t_grams").alias("t_pos", "t_hash"))
+    t = t.select("t_id", "t_label", "t_k", "t_exact", "t_n", "t_words", F.posexplode_outer("t_grams").alias("t_pos", "t_hash"))
     t = t.withColumn("t_gram", F.slice("t_words", F.col("t_pos") + 1, F.col("t_k"))).drop("t_words")
     return t, sum(max(1, len(text.split()) - k + 1) for _, _, text, k, _ in rows)
 
@@ -84,7 +84,8 @@ def _diagonals(docs: DataFrame, id_col: str, text_col: str, phrases: list, templ
     own = own.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n_words", F.size("words"))
     short, long = (_grams(F.col("words"), F.col("hashed"), k) for k in (PHRASE_K, TEMPLATE_K))
     own = own.select("d_id", "d_fp", "words", "n_words", F.concat(F.array(F.lit(0).cast("bigint")), short, long).alias("grams"))
-    rolled = own.select("d_id", "d_fp", "n_words", "words", F.posexplode("grams").alias("p", "h"))
+    # the outer form: a plain explode of a column makes Spark compute the grams once more, to filter empty arrays
+    rolled = own.select("d_id", "d_fp", "n_words", "words", F.posexplode_outer("grams").alias("p", "h"))
 
     t, n_grams = _template_grams(docs, phrases, templates)
     mark = docs.sparkSession.createDataFrame([(_MARK, "", 0, False, 1, 0, 0, [])], "t_id int, t_label string, t_k int, t_exact boolean, t_n int, t_pos int, t_hash bigint, t_gram array<string>")

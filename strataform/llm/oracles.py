@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strataform.llm.license_scan import PHRASES, SLACK, TEMPLATES
+from strataform.llm.url_filter import RULES
 
 #: ASCII letters.
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -33,11 +34,15 @@ t(tid, template, label) AS (VALUES {_values(TEMPLATES)}),
 tw AS (SELECT tid, label, string_split(template, ' ') AS tws, CASE WHEN len(string_split(template, ' ')) < 5 THEN 2 ELSE 5 END AS k FROM t),
 tg AS (SELECT tid, label, k, len(tws) - k + 1 AS n, unnest(range(len(tws) - k + 1)) AS tpos, tws FROM tw),
 tgram AS (SELECT tid, label, k, n, tpos, array_to_string(tws[tpos + 1 : tpos + k], ' ') AS gram FROM tg),
-pos AS (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM w),
+wd AS (SELECT doc_id, unnest(ws) AS w0, unnest(range(len(ws))) AS i FROM w),
+g AS (SELECT *, lead(w0, 1) OVER d AS w1, lead(w0, 2) OVER d AS w2, lead(w0, 3) OVER d AS w3, lead(w0, 4) OVER d AS w4
+      FROM wd WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 base AS (
-  SELECT doc_id, p.label, i FROM pos, p
-  WHERE ws[i + 1] = string_split(phrase, ' ')[1] AND array_to_string(ws[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase),
-dgram AS (SELECT doc_id, i, k, array_to_string(ws[i + 1 : i + k], ' ') AS gram FROM pos, (VALUES (2), (5)) AS ks(k) WHERE i + k <= len(ws)),
+  SELECT doc_id, label, i FROM g JOIN p ON w0 || ' ' || w1 = phrase
+  UNION ALL SELECT doc_id, label, i FROM g JOIN p ON w0 || ' ' || w1 || ' ' || w2 = phrase),
+dgram AS (
+  SELECT doc_id, i, 2 AS k, w0 || ' ' || w1 AS gram FROM g WHERE w1 IS NOT NULL
+  UNION ALL SELECT doc_id, i, 5, concat_ws(' ', w0, w1, w2, w3, w4) FROM g WHERE w4 IS NOT NULL),
 hit AS (SELECT doc_id, tid, label, n, tpos, i - tpos AS d FROM dgram JOIN tgram USING (k, gram)),
 dd AS (SELECT DISTINCT doc_id, tid, d FROM hit),
 st AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY doc_id, tid ORDER BY d) <= {SLACK} THEN 0 ELSE 1 END AS s FROM dd),
@@ -53,7 +58,33 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base
 FROM w LEFT JOIN bb USING (doc_id) LEFT JOIN lb USING (doc_id)
 """
 
+_OP2 = """
+WITH h AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, hex,
+        list_aggregate(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', substr(hex, i, 1)) - 1), 4, '0')), 'string_agg', '') AS bits FROM h),
+d AS (SELECT page_id, payload_bytes, hex,
+        list_aggregate(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          CAST(1 + list_sum(list_transform(range(5), lambda k: (CASE substr(bits, j * 5 + k + 1, 1) WHEN '1' THEN 1 ELSE 0 END) << (4 - k))) AS BIGINT), 1)), 'string_agg', '') AS payload_digest FROM b),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+_OP5 = f"""
+WITH r(rhost, rpath, rverdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}),
+u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+m AS (
+  SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath) * 1000 + length(rhost)) AS rule, arg_max(rverdict, length(rhost || rpath) * 1000 + length(rhost)) AS verdict
+  FROM s JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT s.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN m ON s.page_id = m.page_id
+"""
+
 SQL = {
+    "op2_warc_chunks": _OP2,
+    "op5_url_filter": _OP5,
     "op7_license_scan": _OP7,
     "op9_line_dedup": _OP9,
 }

@@ -11,6 +11,24 @@ from strataform.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.tiff import media_report
+
+    return media_report(table(spark, sf_dir, "documents"))
+
+
+def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.warc import revisit_records
+
+    return revisit_records(table(spark, sf_dir, "pages"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataform.llm.license_scan import license_report
 
@@ -26,6 +44,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
+        "op1_tiff_media": op1_tiff_media,
+        "op2_warc_chunks": op2_warc_chunks,
+        "op5_url_filter": op5_url_filter,
         "op7_license_scan": op7_license_scan,
         "op9_line_dedup": op9_line_dedup,
     }
