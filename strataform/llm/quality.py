@@ -1,9 +1,11 @@
 """A quality classifier from compressed sizes.
 
-One zstandard dictionary is built from good texts, one from bad ones. A text is
+One zstandard dictionary is trained on good texts, one on bad ones. A text is
 compressed with either, block by block, so that the dictionaries count
-throughout long texts; the difference of the two sizes over their larger one,
-calibrated by a logistic curve, is the probability of a good label.
+throughout long texts. The difference of the two sizes over the larger one is
+the evidence; a logistic curve over it, and over the share of the text that the
+better dictionary leaves (repetition leaves little, noise much), calibrates it
+to the probability of a good label.
 
 The dictionaries and the curve are learned on a sample of labelled rows that is
 bounded by ``PER_CLASS`` rows of each label and ``TRAIN_BYTES`` bytes a row; the
@@ -14,10 +16,10 @@ may be learned from. Scoring is map-only and covers whole texts.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -37,63 +39,62 @@ class Sizes:
     def __init__(self, good: bytes, bad: bytes):
         self.packers = []
         for raw in (good, bad):
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(raw)
             d.precompute_compress(level=LEVEL)
             self.packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
-    def difference(self, raw: bytes) -> float:
-        """Above 0: the good dictionary fits better. 0 for an empty text."""
-        if not raw:
-            return 0.0
+    def measures(self, raw: bytes) -> tuple[float, float, float]:
+        """Difference (above 0: the good dictionary fits better), log of the share that is left, and its square."""
         good, bad = (sum(len(p.compress(raw[i : i + BLOCK_BYTES])) for i in range(0, len(raw), BLOCK_BYTES)) for p in self.packers)
-        return (bad - good) / max(bad, good)
+        left = math.log(min(good, bad) / len(raw))
+        return (bad - good) / max(bad, good), left, left * left
 
 
 class Model:
     """Dictionaries and curve; without samples of both labels, a constant."""
 
-    def __init__(self, good: bytes = b"", bad: bytes = b"", slope: float = 0.0, shift: float = 0.0):
-        self.good, self.bad, self.slope, self.shift = good, bad, slope, shift
+    def __init__(self, good: bytes = b"", bad: bytes = b"", slopes: np.ndarray | None = None, means: np.ndarray | None = None, shift: float = 0.0):
+        self.good, self.bad, self.slopes, self.means, self.shift = good, bad, slopes, means, shift
 
     def scorer(self):
-        sizes = Sizes(self.good, self.bad) if self.slope else None
+        sizes = Sizes(self.good, self.bad) if self.slopes is not None else None
 
         def score(raw: bytes) -> float:
-            x = self.shift + (self.slope * sizes.difference(raw) if sizes else 0.0)
+            x = self.shift
+            if sizes and raw:
+                x += float(self.slopes @ (np.array(sizes.measures(raw)) - self.means))
+            elif sizes:  # no evidence: a difference of 0, else like the mean text
+                x -= float(self.slopes[0] * self.means[0])
             return 1.0 / (1.0 + math.exp(-min(max(x, -500.0), 500.0)))
 
         return score
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Weighted logistic regression by Newton steps, lightly ridged."""
-    scale = float(x.std()) or 1.0
-    rows = np.stack([x / scale, np.ones_like(x)], axis=1)
-    beta = np.zeros(2)
-    ridge = np.diag([1e-2, 1e-6])
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weighted logistic regression by Newton steps, lightly ridged: slopes, means, shift."""
+    means, spread = x.mean(axis=0), x.std(axis=0)
+    spread = np.where(spread > 0, spread, 1.0)
+    rows = np.column_stack([(x - means) / spread, np.ones(len(x))])
+    beta = np.zeros(rows.shape[1])
+    ridge = np.diag([1.0] * x.shape[1] + [1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(rows @ beta, -30, 30)))
         gradient = rows.T @ (weight * (y - p)) - ridge @ beta
         hessian = (rows * (weight * p * (1 - p))[:, None]).T @ rows + ridge
-        step = np.linalg.solve(hessian, gradient)
-        beta = beta + np.clip(step, -5, 5)
+        step = np.clip(np.linalg.solve(hessian, gradient), -3, 3)
+        beta = beta + step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0] / scale), float(beta[1])
+    return beta[:-1] / spread, means, float(beta[-1])
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """Blocks that are spread over all texts, up to the size of a dictionary."""
-    held, size = [], 0
-    depth = 0
-    while size < DICT_BYTES and any(len(t) > depth for t in texts):
-        for t in texts:
-            piece = t[depth : depth + BLOCK_BYTES]
-            if piece and size < DICT_BYTES:
-                held.append(piece)
-                size += len(piece)
-        depth += BLOCK_BYTES
-    return b"".join(held)[:DICT_BYTES]
+    """A dictionary trained on all blocks of the texts; of their plain blocks if they are too few to train on."""
+    blocks = [t[i : i + BLOCK_BYTES] for t in texts for i in range(0, len(t), BLOCK_BYTES)]
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, blocks, k=256, d=8, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(blocks)[:DICT_BYTES] or b" "
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
@@ -120,28 +121,26 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         return Model(shift=math.log((counts[1] + 1) / (counts[0] + 1)))
     good, bad = (_dictionary(parts[y][::2]) for y in (1, 0))
     sizes = Sizes(good, bad)
-    x = np.array([sizes.difference(t) for y in (0, 1) for t in parts[y][1::2]])
+    x = np.array([sizes.measures(t) for y in (0, 1) for t in parts[y][1::2]])
     n = [len(parts[y][1::2]) for y in (0, 1)]
     y = np.repeat([0.0, 1.0], n)
     total = counts[0] + counts[1]
     weight = np.repeat([counts[0] / total / n[0], counts[1] / total / n[1]], n) * sum(n)
-    slope, shift = fit_curve(x, y, weight)
-    return Model(good, bad, slope, shift)
+    slopes, means, shift = fit_curve(x, y, weight)
+    return Model(good, bad, slopes, means, shift)
 
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the score of their whole text; null texts are empty ones.
 
-    An empty text has the score of a difference of 0. An input column named
+    An empty text has the score of a difference of 0 in an otherwise mean text. An input column named
     score is replaced; repeated rows stay.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c.lower() != "score"]
 
     @F.pandas_udf("double")
-    def score(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = held.value.scorer()
         for texts in batches:
             yield pd.Series([one(t.encode("utf-8", "replace")) for t in texts], dtype="float64")
