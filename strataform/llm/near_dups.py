@@ -8,7 +8,9 @@ frequencies are counted over all texts in a hashed table of fixed size.
 
 1. Texts with equal words are collapsed to one, the smallest id.
 2. Consistent weighted samples of each text are cut into bands; texts that
-   agree on a band share a bucket.
+   agree on a band share a bucket. Pairs within a bucket are candidates if as
+   many of all their samples agree as all but one in 2,000 pairs at the
+   threshold have.
 3. Each bucket's smallest id is paired with its other members, and every
    distinct pair is verified by the exact weighted Jaccard similarity.
 4. Members that this leaves outside the class of their bucket's smallest id are
@@ -17,8 +19,9 @@ frequencies are counted over all texts in a hashed table of fixed size.
    within a class is ever listed, and no link between classes is lost.
 5. Verified pairs are joined to classes by large-star and small-star rounds.
 
-Sketching is map-only. Band rows are 8-byte keys. Of the texts, only those that
-share a bucket move, once; the shingles of a pair meet in a join. A bucket, class
+Sketching is map-only. Band rows are a key and a byte for each sample. The texts
+move once, to be joined with the ids that share a bucket (by a sort-merge join
+at every size: these ids have no bound); the shingles of a pair meet in a join. A bucket, class
 or pair centre with a third of all rows makes skewed join keys only, which
 adaptive execution splits. Tables between steps are written to the shared
 folder, so a lost executor doesn't start the job anew.
@@ -41,6 +44,8 @@ BANDS, ROWS = 16, 5
 FREQUENCIES = 1 << 16
 VARIABLES = 1 << 14
 CENTRES = 8
+#: Standard deviations below the threshold at which sample agreement rules a pair out.
+SLACK = 3.3
 BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -100,8 +105,8 @@ class Sampler:
         self.level = np.log(c) - r + r * self.b
         self.places = np.arange(k)
 
-    def bands_of(self, ids: np.ndarray, weights: np.ndarray, chunk: int = 2048) -> list[int]:
-        """A key for each band. Shingles are taken by chunks, so long texts need no more memory."""
+    def bands_of(self, ids: np.ndarray, weights: np.ndarray, chunk: int = 2048) -> tuple[list[int], np.ndarray]:
+        """A key for each band and a byte for each sample. Shingles are taken by chunks, so long texts need no more memory."""
         k = len(self.places)
         best = np.full(k, np.inf, np.float32)
         chosen, stage = np.zeros(k, np.uint64), np.zeros(k, np.float32)
@@ -125,7 +130,7 @@ class Sampler:
         key = np.arange(1, self.bands + 1, dtype=np.uint64)
         for j in range(self.rows):
             key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + sample[:, j])
-        return key.astype(np.int64).tolist()
+        return key.astype(np.int64).tolist(), (sample.ravel() & np.uint64(0xFF)).astype(np.uint8).view(np.int8)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -142,28 +147,33 @@ def _fingerprint(words: str, text: str) -> list[Column]:
 
 
 def sketch(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """id, fa, fb and the band keys of every row; no keys for texts without words."""
+    """id, fa, fb, band keys and sample bytes of every row; neither for texts without words."""
     held = docs.sparkSession.sparkContext.broadcast(idf)
-    schema = pa.schema([("id", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int8()))])
 
     def sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, idf = Sampler(), held.value
         for batch in batches:
             column = batch.column(3)
             ends, values = column.offsets.to_numpy(), column.values.to_numpy()
-            keys = []
-            for i in range(batch.num_rows):
-                ids, weights = shingles(values[ends[i] : ends[i + 1]], idf)
-                keys.append(sampler.bands_of(ids, weights) if len(ids) else [])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            made = [shingles(values[ends[i] : ends[i + 1]], idf) for i in range(batch.num_rows)]
+            made = [sampler.bands_of(*m) if len(m[0]) else ([], []) for m in made]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.int8()))], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("words", words_of(F.col("text")))
     rows = rows.select("id", *_fingerprint("words", "text"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashed"))
-    return rows.mapInArrow(sampled, "id long, fa long, fb long, bands array<long>")
+    return rows.mapInArrow(sampled, "id long, fa long, fb long, bands array<long>, sig array<tinyint>")
+
+
+def agree(a: Column, b: Column, similar: float) -> Column:
+    """Whether enough samples agree for a pair of this similarity."""
+    k = BANDS * ROWS
+    least = int(k * similar - SLACK * (k * similar * (1 - similar)) ** 0.5)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) >= least
 
 
 def features(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str, only: DataFrame) -> DataFrame:
-    """id, shingles and weights (little-endian bytes) of the rows whose id is in ``only``."""
+    """id, shingles (32 bits) and weights, as bytes, of the rows whose id is in ``only``."""
     held = docs.sparkSession.sparkContext.broadcast(idf)
     schema = pa.schema([("id", pa.int64()), ("ids", pa.binary()), ("weights", pa.binary())])
 
@@ -171,10 +181,14 @@ def features(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str, only:
         for batch in batches:
             column = batch.column(1)
             ends, values = column.offsets.to_numpy(), column.values.to_numpy()
-            pairs = [shingles(values[ends[i] : ends[i + 1]], held.value) for i in range(batch.num_rows)]
+            pairs = []
+            for i in range(batch.num_rows):
+                ids, weights = shingles(values[ends[i] : ends[i + 1]], held.value)
+                low, at = np.unique((ids >> np.uint64(32)).astype(np.uint32), return_index=True)
+                pairs.append((low, weights[at]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0].tobytes() for p in pairs], pa.binary()), pa.array([p[1].tobytes() for p in pairs], pa.binary())], schema=schema)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(only, "id", "left_semi")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(only.hint("merge"), "id", "left_semi")
     rows = rows.select("id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashed"))
     return rows.mapInArrow(made, "id long, ids binary, weights binary")
 
@@ -190,7 +204,7 @@ def verify(pairs: DataFrame, feats: DataFrame, similar: float) -> DataFrame:
         for batch in batches:
             good = []
             for i in range(batch.num_rows):
-                a, b = ((part(batch.column(c), i, np.uint64), part(batch.column(c + 1), i, np.float32)) for c in (2, 4))
+                a, b = ((part(batch.column(c), i, np.uint32), part(batch.column(c + 1), i, np.float32)) for c in (2, 4))
                 good.append(weighted_jaccard(a, b) >= similar)
             t = pa.Table.from_batches([batch.select([0, 1])]).filter(pa.array(good, pa.bool_()))
             yield from t.cast(schema).to_batches()
@@ -230,25 +244,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     idf = document_frequencies(docs, text_col)
     sketches = written(sketch(docs, idf, id_col, text_col), "sketches")
-    texts = sketches.groupBy("fa", "fb").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    texts = sketches.groupBy("fa", "fb").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     texts = written(texts, "texts")
-    reps = texts.where("rep IS NOT NULL").select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
-    shared = reps.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("__last"), F.count(F.lit(1)).alias("n")).where(F.col("leader") != F.col("__last")).drop("__last")
-    members = written(reps.join(shared, "bucket"), "members")
+    reps = texts.where("rep IS NOT NULL").select(F.col("rep").alias("id"), "sig", F.explode("bands").alias("bucket"))
+    first = F.min(F.struct("id", "sig")).alias("first")
+    shared = reps.groupBy("bucket").agg(first, F.max("id").alias("__last"), F.count(F.lit(1)).alias("n")).where(F.col("first.id") != F.col("__last"))
+    shared = shared.select("bucket", "n", F.col("first.id").alias("leader"), F.col("first.sig").alias("leader_sig"))
+    members = reps.join(shared, "bucket").withColumn("near", agree(F.col("sig"), F.col("leader_sig"), similar)).drop("leader_sig")
+    members = written(members, "members")
 
     feats = written(features(docs, idf, id_col, text_col, members.select("id").distinct()), "features")
-    tested = written(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    tested = written(members.where("near AND id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = written(verify(tested, feats, similar), "links")
     done = 0
     while True:
         classes = written(components(links), "classes")
-        own = members.join(classes, "id", "left").select("bucket", "leader", "n", "id", F.coalesce("class", "id").alias("class"))
-        first = classes.select(F.col("id").alias("leader"), F.col("class").alias("main"))
-        own = own.join(first, "leader", "left").withColumn("main", F.coalesce("main", "leader"))
+        own = members.join(classes, "id", "left").select("bucket", "leader", "n", "id", "sig", F.coalesce("class", "id").alias("class"))
+        own = own.join(classes.select(F.col("id").alias("leader"), F.col("class").alias("main")), "leader", "left").withColumn("main", F.coalesce("main", "leader"))
         outside = own.where(F.col("class") != F.col("main")).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("n")))
         centres = outside.where(F.col("slot") >= done).where(F.col("slot") < (done + 1) * CENTRES)
-        c = centres.select("bucket", F.col("id").alias("c_id"), F.col("class").alias("c_class"))
-        pairs = c.join(own.select("bucket", "id", "class", "leader"), "bucket").where("class <> c_class AND id <> leader")
+        c = centres.select(F.col("bucket").alias("c_bucket"), F.col("id").alias("c_id"), F.col("class").alias("c_class"), F.col("sig").alias("c_sig"))
+        met = (F.col("bucket") == F.col("c_bucket")) & (F.col("class") != F.col("c_class")) & (F.col("id") != F.col("leader"))
+        pairs = c.join(own.select("bucket", "id", "class", "leader", "sig"), met & agree(F.col("sig"), F.col("c_sig"), similar))
         pairs = pairs.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         left, most = outside.agg(F.count_if(F.col("slot") >= (done + 1) * CENTRES), F.max("slot")).first()
