@@ -14,9 +14,13 @@ frequencies are counted over all texts in a hashed table of fixed size.
 3. Each bucket's smallest id is paired with its other members, and every
    distinct pair is verified by the exact weighted Jaccard similarity.
 4. Members that this leaves outside the class of their bucket's smallest id are
-   paired with all members of other classes, a few centres at a time, until
-   each bucket is one class or all such pairs have been compared. So no pair
-   within a class is ever listed, and no link between classes is lost.
+   paired with all members of other classes that they can be similar to, a few
+   centres at a time, until each bucket is one class or all such pairs have
+   been compared. So no pair within a class is ever listed, and no link between
+   classes is lost. Which texts can be similar follows from their heads: with
+   the shingles in one order, rarest first, two texts of this similarity share
+   a shingle of the fifth of the weight that comes first. Texts that have
+   nothing but a common passage in common share none.
 5. Verified pairs are joined to classes by large-star and small-star rounds.
 
 Sketching is map-only. Band rows are a key and a byte for each sample. The texts
@@ -44,6 +48,10 @@ BANDS, ROWS = 16, 5
 FREQUENCIES = 1 << 16
 VARIABLES = 1 << 14
 CENTRES = 8
+#: Entries of the hashed table by which shingles are put in order.
+ORDER = 1 << 18
+#: What sums of weights may be off by, in parts of the whole.
+ROUNDING = 1e-4
 #: Standard deviations below the threshold at which sample agreement rules a pair out.
 SLACK = 3.3
 BREAK = r"[^\p{L}\p{N}]+"
@@ -215,6 +223,53 @@ def verify(pairs: DataFrame, feats: DataFrame, similar: float) -> DataFrame:
     return both.mapInArrow(kept, "a long, b long").dropDuplicates()
 
 
+def heads(feats: DataFrame, similar: float) -> DataFrame:
+    """id, whole weight, head (the first shingles, rarest first) and n_short, how many of them count for a lighter partner.
+
+    Two texts of this similarity share ``similar`` of the heavier one's weight
+    at least, and 2s / (1 + s) of the lighter one's; so the first shingle in
+    order that they share stands before the last such part of either.
+    """
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(ORDER, np.int64)
+        for batch in batches:
+            ids = np.concatenate([np.frombuffer(raw.as_buffer(), np.uint32) for raw in batch.column(0)] or [np.zeros(0, np.uint32)])
+            n += np.bincount(ids & (ORDER - 1), minlength=ORDER)
+        slots = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(n[slots])], names=["slot", "n"])
+
+    often = np.zeros(ORDER, np.int64)
+    for r in feats.select("ids").mapInArrow(counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # ORDER rows at most
+        often[r["slot"]] = r["n"]
+    held = feats.sparkSession.sparkContext.broadcast(often)
+    schema = pa.schema([("id", pa.int64()), ("weight", pa.float64()), ("n_short", pa.int32()), ("head", pa.list_(pa.int32()))])
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                ids = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint32)
+                weights = np.frombuffer(batch.column(2)[i].as_buffer(), np.float32).astype(np.float64)
+                order = np.lexsort((ids, held.value[ids & (ORDER - 1)]))
+                before = np.concatenate([[0.0], np.cumsum(weights[order])])
+                whole = before[-1]
+                short, long = (int(np.searchsorted(before[:-1], (1.0 - least + ROUNDING) * whole, "right")) for least in (2 * similar / (1 + similar), similar))
+                out.append((batch.column(0)[i].as_py(), whole, short, ids[order[:long]].view(np.int32)))
+            if out:
+                yield pa.record_batch([list(c) for c in zip(*out)], schema=schema)
+
+    return feats.select("id", "ids", "weights").mapInArrow(cut, "id long, weight double, n_short int, head array<int>")
+
+
+def can_be_similar(similar: float) -> Column:
+    """Whether the weights and the heads of a pair (the centre's columns begin with c_) let it be this similar."""
+    lighter, heavier = F.least("weight", "c_weight"), F.greatest("weight", "c_weight")
+    short, c_short = F.slice("head", 1, F.col("n_short")), F.slice("c_head", 1, F.col("c_n_short"))
+    meet = F.when(F.col("weight") <= F.col("c_weight"), F.arrays_overlap(short, F.col("c_head"))).otherwise(F.arrays_overlap(F.col("head"), c_short))
+    return (lighter >= heavier * (similar - ROUNDING)) & meet
+
+
 def components(links: DataFrame) -> DataFrame:
     """id and class (the smallest id connected with it) of all ids in a, b."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -233,6 +288,21 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
+def _placed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members with their own class and, as main, the class of their bucket's leader."""
+    own = members.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    own = own.join(classes.select(F.col("id").alias("leader"), F.col("class").alias("main")), "leader", "left")
+    return own.withColumn("main", F.coalesce("main", "leader"))
+
+
+def _crowd(members: DataFrame, classes: DataFrame, feats: DataFrame, similar: float) -> DataFrame:
+    """The members of buckets of several classes, with their heads."""
+    mixed = _placed(members, classes).where(F.col("class") != F.col("main")).select("bucket").distinct()
+    mixed = written(members.join(mixed, "bucket", "left_semi").select("bucket", "leader", "n", "id", "sig"), "mixed")
+    asked = written(feats.join(mixed.select("id").distinct().hint("merge"), "id", "left_semi"), "asked")
+    return mixed.join(heads(asked, similar).hint("merge"), "id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """id and class_id, the smallest id of its class, for every row of ``docs``.
 
@@ -256,16 +326,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     feats = written(features(docs, idf, id_col, text_col, members.select("id").distinct()), "features")
     tested = written(members.where("near AND id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = written(verify(tested, feats, similar), "links")
-    done = 0
+    done, crowd = 0, None
     while True:
         classes = written(components(links), "classes")
-        own = members.join(classes, "id", "left").select("bucket", "leader", "n", "id", "sig", F.coalesce("class", "id").alias("class"))
-        own = own.join(classes.select(F.col("id").alias("leader"), F.col("class").alias("main")), "leader", "left").withColumn("main", F.coalesce("main", "leader"))
+        if crowd is None:
+            crowd = written(_crowd(members, classes, feats, similar), "crowd")
+        own = _placed(crowd, classes)
         outside = own.where(F.col("class") != F.col("main")).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("n")))
         centres = outside.where(F.col("slot") >= done).where(F.col("slot") < (done + 1) * CENTRES)
-        c = centres.select(F.col("bucket").alias("c_bucket"), F.col("id").alias("c_id"), F.col("class").alias("c_class"), F.col("sig").alias("c_sig"))
+        c = centres.select(*[F.col(x).alias(f"c_{x}") for x in ("bucket", "id", "class", "sig", "weight", "n_short", "head")])
         met = (F.col("bucket") == F.col("c_bucket")) & (F.col("class") != F.col("c_class")) & (F.col("id") != F.col("leader"))
-        pairs = c.join(own.select("bucket", "id", "class", "leader", "sig"), met & agree(F.col("sig"), F.col("c_sig"), similar))
+        pairs = c.join(own, met & agree(F.col("sig"), F.col("c_sig"), similar) & can_be_similar(similar))
         pairs = pairs.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         left, most = outside.agg(F.count_if(F.col("slot") >= (done + 1) * CENTRES), F.max("slot")).first()
