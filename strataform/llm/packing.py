@@ -16,6 +16,7 @@ and length give its sequence and offset by one binary search in the plan.
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import zlib
@@ -68,6 +69,12 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, words))
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for each vocabulary in a worker, kept from task to task."""
+    return WordIds(path)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -82,7 +89,7 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     end = array("I", [END_ID]).tobytes()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
