@@ -17,7 +17,8 @@ frequencies are counted over all texts in a hashed table of fixed size.
    paired with all members of other classes that they can be similar to, a few
    centres at a time, until each bucket is one class or all such pairs have
    been compared. So no pair within a class is ever listed, and no link between
-   classes is lost. Which texts can be similar follows from their heads: with
+   classes is lost. A pair that shares several buckets is listed in the one of
+   the smallest key: there it is compared, or one class when its turn comes. Which texts can be similar follows from their heads: with
    the shingles in one order, rarest first, two texts of this similarity share
    a shingle of the fifth of the weight that comes first. Texts that have
    nothing but a common passage in common share none.
@@ -295,12 +296,14 @@ def _placed(members: DataFrame, classes: DataFrame) -> DataFrame:
     return own.withColumn("main", F.coalesce("main", "leader"))
 
 
-def _crowd(members: DataFrame, classes: DataFrame, feats: DataFrame, similar: float) -> DataFrame:
-    """The members of buckets of several classes, with their heads."""
+def _crowd(members: DataFrame, texts: DataFrame, classes: DataFrame, feats: DataFrame, similar: float) -> DataFrame:
+    """The members of buckets of several classes, with their heads and all their bands."""
     mixed = _placed(members, classes).where(F.col("class") != F.col("main")).select("bucket").distinct()
     mixed = written(members.join(mixed, "bucket", "left_semi").select("bucket", "leader", "n", "id", "sig"), "mixed")
     asked = written(feats.join(mixed.select("id").distinct().hint("merge"), "id", "left_semi"), "asked")
-    return mixed.join(heads(asked, similar).hint("merge"), "id")
+    bands = texts.select(F.col("rep").alias("id"), "bands").join(asked.select("id").distinct().hint("merge"), "id", "left_semi")
+    both = mixed.join(heads(asked, similar).join(bands.hint("merge"), "id").hint("merge"), "id")
+    return both.where(F.array_contains("bands", F.col("bucket")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -330,13 +333,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while True:
         classes = written(components(links), "classes")
         if crowd is None:
-            crowd = written(_crowd(members, classes, feats, similar), "crowd")
+            crowd = written(_crowd(members, texts, classes, feats, similar), "crowd")
         own = _placed(crowd, classes)
         outside = own.where(F.col("class") != F.col("main")).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("n")))
         centres = outside.where(F.col("slot") >= done).where(F.col("slot") < (done + 1) * CENTRES)
-        c = centres.select(*[F.col(x).alias(f"c_{x}") for x in ("bucket", "id", "class", "sig", "weight", "n_short", "head")])
+        c = centres.select(*[F.col(x).alias(f"c_{x}") for x in ("bucket", "id", "class", "sig", "weight", "n_short", "head", "bands")])
         met = (F.col("bucket") == F.col("c_bucket")) & (F.col("class") != F.col("c_class")) & (F.col("id") != F.col("leader"))
-        pairs = c.join(own, met & agree(F.col("sig"), F.col("c_sig"), similar) & can_be_similar(similar))
+        once = F.array_min(F.array_intersect("bands", "c_bands")) == F.col("bucket")
+        pairs = c.join(own, met & once & agree(F.col("sig"), F.col("c_sig"), similar) & can_be_similar(similar))
         pairs = pairs.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         left, most = outside.agg(F.count_if(F.col("slot") >= (done + 1) * CENTRES), F.max("slot")).first()
