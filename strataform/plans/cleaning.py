@@ -72,11 +72,6 @@ def csv_safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("doc_id", F.md5(F.when(F.col("safe").rlike(r'[",\n\r]'), quoted).otherwise(F.col("safe"))).alias("cell_digest"), "guarded")
 
 
-@query("json_path_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.absent') IS NOT NULL AS has_absent FROM events")
-def json_path_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.absent").isNotNull().alias("has_absent"))
-
-
 @query(
     "wide_to_long_months",
     """SELECT l_returnflag, CAST(month(l_shipdate) AS INT) AS month, CAST(sum(CAST(l_quantity AS DECIMAL(20,2))) AS DECIMAL(30,2)) AS quantity
