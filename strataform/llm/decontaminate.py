@@ -2,27 +2,34 @@
 
 Documents and benchmark items are TF-IDF vectors over hashed words, projected
 on the leading right singular vectors of passages. A randomised SVD finds these
-by two distributed rounds of A'(AQ): every task sums its passages' share, the
-shares are added by groups, and the driver orthogonalises a matrix whose size is
-fixed by parameters. Every passage of every document is compared with every
-item by cosine; candidates are checked by the longest common subsequence of
-words with the item, and paraphrases also by the words of its answer.
-
-The SVD is fitted to the passages of a bounded hash sample of documents
-(``SAMPLE_DOCS`` in expectation) and to the items of a block; document
-frequencies are of all passages. Items are taken in blocks of ``BLOCK_ITEMS`` in
-expectation, each with its own basis, so a large benchmark takes more rounds but
-no more memory. Texts are parsed once, into a table of word hashes in the shared
-folder; nothing but results and sums is shuffled.
+in two distributed rounds over all distinct passages, each weighed once however
+often it is copied: A'(AS) of a sparse random S, and the small (AQ)'(AQ) of its
+orthogonalised columns Q. Every task sums its passages' share, the shares are
+added by groups, and the driver works on matrices whose size is fixed by
+parameters. The basis of a block of items spans the items themselves too, so a
+cosine is never below the plain TF-IDF one, whatever the passages are.
+
+Every step of every document, and every pair of steps, is compared with every
+item by cosine, with a bound that falls with the item's length. A second source
+of candidates are runs of words that a text shares with an item: a copy that
+lacks words of the item, or has others in their place, always shares one of
+``run_length`` words. Candidates of both are checked by the longest common
+subsequence of words with the item, and paraphrases also by the words of its answer.
+
+Equal items are searched once, in blocks of ``BLOCK_ITEMS`` at most; a large
+benchmark takes more rounds but no more memory. Texts are parsed once, into
+tables of word hashes and of distinct passages in the shared folder; only the
+passages are shuffled, besides results and sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from strataform.llm.common import text_or_empty, written
 from strataform.llm.near_dups import words_of
@@ -31,13 +38,13 @@ SLOTS = 1 << 14
 #: Words between the starts of two passages; a passage is two such steps.
 STRIDE = 24
 RANK, SPARE = 224, 16
-SAMPLE_DOCS = 800
 BLOCK_ITEMS = 200
-#: Weight of the block's items in the matrix that is decomposed.
-ITEM_WEIGHT = 4.0
+#: The bound of items of two steps or more; it falls with the root of a shorter item's words.
 COSINE = 0.5
 COPY, PARAPHRASE, ANSWER = 0.8, 0.65, 0.8
 GROUP_WORDS = 100_000
+#: Bits of the filter before the lookup of a word run.
+RUN_BITS = 20
 #: Rows of a share of the sum that travel together.
 PART = 256
 
@@ -75,77 +82,85 @@ def _step_slots(words: np.ndarray, ends: np.ndarray, steps: np.ndarray, row: np.
     return np.where(at < ends[row][:, None], words[np.minimum(at, len(words) - 1)] & (SLOTS - 1), SLOTS)
 
 
-def passage_frequencies(table: DataFrame) -> tuple[np.ndarray, float]:
+def passage_table(table: DataFrame) -> DataFrame:
+    """The distinct steps of all rows as the 16-bit slots of their words, and how often each stands."""
+
+    def taken(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, words, ends in _groups(batch):
+                if len(words):
+                    slots = _step_slots(words, ends, *_steps(ends)).astype("<u2")
+                    yield pa.RecordBatch.from_arrays([pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * STRIDE), len(slots), [None, pa.py_buffer(slots.tobytes())]).cast(pa.binary())], names=["slots"])
+
+    return table.select("hashed").mapInArrow(taken, "slots binary").groupBy("slots").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _slots(batch: pa.RecordBatch) -> np.ndarray:
+    column = batch.column(batch.schema.get_field_index("slots"))
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset :]
+    return np.frombuffer(column.buffers()[2], "<u2", batch.num_rows * STRIDE, offsets[0]).reshape(-1, STRIDE)
+
+
+def passage_frequencies(passages: DataFrame) -> tuple[np.ndarray, float]:
     """In how many steps each slot occurs, and the number of steps; over all rows."""
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(SLOTS + 1, np.int64)
+        total = 0
         for batch in batches:
-            for _, _, words, ends in _groups(batch):
-                steps, _ = _steps(ends)
-                held[SLOTS] += len(steps)
-                if len(words):
-                    number = np.zeros(len(words), np.int64)
-                    number[steps[1:]] = 1
-                    keys = np.sort(np.cumsum(number) * SLOTS + (words & (SLOTS - 1)))
-                    first = np.concatenate([[True], keys[1:] != keys[:-1]])
-                    held[:SLOTS] += np.bincount(keys[first] & (SLOTS - 1), minlength=SLOTS)
+            times = batch.column(batch.schema.get_field_index("n")).to_numpy()
+            slots = np.sort(_slots(batch), axis=1)
+            first = np.ones(slots.shape, bool)
+            first[:, 1:] = slots[:, 1:] != slots[:, :-1]
+            held += np.bincount(slots[first], np.repeat(times, first.sum(axis=1)), minlength=SLOTS + 1).astype(np.int64)
+            total += int(times.sum())
+        held[SLOTS] = total
         slots = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(held[slots])], names=["slot", "n"])
 
     found = np.zeros(SLOTS + 1)
-    for r in table.select("hashed").mapInArrow(counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+    for r in passages.mapInArrow(counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         found[r["slot"]] = r["n"]
     return found[:SLOTS], float(found[SLOTS])
 
 
-def _gram(sample: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """A'(AQ) over the passages of the sample, added by parts of PART rows."""
-    held = sample.sparkSession.sparkContext.broadcast((idf, q))
-    width = q.shape[1]
+def _added(passages: DataFrame, share: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """The sum over all passages of what ``share`` makes of some of them, added by parts of PART rows."""
+    rows, width = shape
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, q = held.value
-        weighted, q = np.append(idf, np.float32(0)), np.concatenate([q, np.zeros((1, width), np.float32)])
-        total = np.zeros((SLOTS, width), np.float32)
+        total = np.zeros(shape)
         for batch in batches:
-            for _, _, words, ends in _groups(batch):
-                if not len(words):
-                    continue
-                steps, row = _steps(ends)
-                slots = words & (SLOTS - 1)
-                value = idf[slots]
-                norm = np.sqrt(np.add.reduceat(value * value, steps))
-                lengths = np.diff(np.append(steps, len(words)))
-                value = value / np.repeat(norm, lengths)
-                held_by = _step_slots(words, ends, steps, row)
-                rows = np.empty((len(steps), width), np.float32)
-                for i in range(0, len(steps), 64):
-                    part = held_by[i : i + 64]
-                    rows[i : i + 64] = np.matmul(weighted[part][:, None, :], q[part])[:, 0]
-                rows /= norm[:, None]
-                order = np.argsort(slots, kind="stable")
-                own = slots[order]
-                cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                for i in range(0, len(cut), 2048):
-                    low, high = cut[i], cut[i + 2048] if i + 2048 < len(cut) else len(own)
-                    at = order[low:high]
-                    step = np.searchsorted(steps, at, "right") - 1
-                    total[own[cut[i : i + 2048]]] += np.add.reduceat(value[at][:, None] * rows[step], cut[i : i + 2048] - low, axis=0)
-        for part in range(SLOTS // PART):
-            block = total[part * PART : (part + 1) * PART]
+            slots = _slots(batch)
+            for i in range(0, len(slots), 2048):
+                total += share(slots[i : i + 2048])
+        for part in range(-(-rows // PART)):
+            block = total[part * PART : (part + 1) * PART].astype(np.float32)
             if block.any():
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["part", "share"])
 
     def added(group: pa.Table) -> pa.Table:
-        total = np.zeros(PART * width, np.float64)
-        for share in group["share"]:
-            total += np.frombuffer(share.as_buffer(), np.float32)
+        total = sum(np.frombuffer(s.as_buffer(), np.float32).astype(np.float64) for s in group["share"])
         return pa.table({"part": group["part"].slice(0, 1), "share": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros((SLOTS, width))
-    for r in sample.mapInArrow(shared, "part int, share binary").groupBy("part").applyInArrow(added, "part int, share binary").collect():
-        out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["share"], np.float64).reshape(PART, width)
+    out = np.zeros(shape)
+    for r in passages.mapInArrow(shared, "part int, share binary").groupBy("part").applyInArrow(added, "part int, share binary").collect():
+        block = np.frombuffer(r["share"], np.float64).reshape(-1, width)
+        out[r["part"] * PART : r["part"] * PART + len(block)] = block
+    return out
+
+
+def summed(project: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The sum of the rows of ``project`` at each row of slots."""
+    out = np.empty((len(slots), project.shape[1]), np.float32)
+    taken = np.empty((64, project.shape[1]), np.float32)
+    for i in range(0, len(slots), 64):
+        part = slots[i : i + 64]
+        own, more = out[i : i + 64], taken[: len(part)]
+        np.take(project, part[:, 0], axis=0, out=own, mode="clip")
+        for k in range(1, part.shape[1]):
+            np.take(project, part[:, k], axis=0, out=more, mode="clip")
+            own += more
     return out
 
 
@@ -156,18 +171,94 @@ def _vector(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / n if n else v
 
 
-def latent_basis(sample: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """The leading right singular vectors of the sample's passages and the weighted items."""
-    rows = np.stack([_vector(w, idf) for w in items]) * ITEM_WEIGHT
+def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """The leading right singular vectors of all distinct passages."""
     width = rank + SPARE
-    q = np.random.Generator(np.random.PCG64(7)).standard_normal((SLOTS, width)).astype(np.float32)
-    q = np.linalg.qr(_gram(sample, idf, q) + rows.T @ (rows @ q))[0].astype(np.float32)
-    z = _gram(sample, idf, q) + rows.T @ (rows @ q)
-    small = q.T.astype(np.float64) @ z
+    draw = np.random.Generator(np.random.PCG64(7))
+    column, sign = np.append(draw.integers(0, width, SLOTS), 0), np.append(draw.choice([-1.0, 1.0], SLOTS), 0.0)
+    held = passages.sparkSession.sparkContext.broadcast(np.append(idf, np.float32(0)))
+
+    def norms(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        value = held.value[slots]
+        return value, np.maximum(np.einsum("ij,ij->i", value, value), 1e-9)
+
+    def sketched(slots: np.ndarray) -> np.ndarray:
+        # a word's slot, and the column and sign that each word of its passage has in the sparse random matrix
+        value, square = norms(slots)
+        keys = slots[:, :, None].astype(np.int64) * width + column[slots][:, None, :]
+        weights = (value / square[:, None])[:, :, None] * (value * sign[slots])[:, None, :]
+        return np.bincount(keys.ravel(), weights.ravel(), minlength=(SLOTS + 1) * width).reshape(SLOTS + 1, width)[:SLOTS]
+
+    q = np.linalg.qr(_added(passages, sketched, (SLOTS, width)))[0].astype(np.float32)
+    turned = passages.sparkSession.sparkContext.broadcast(np.concatenate([idf[:, None] * q, np.zeros((1, width), np.float32)]))
+
+    def squared(slots: np.ndarray) -> np.ndarray:
+        rows = summed(turned.value, slots) / np.sqrt(norms(slots)[1])[:, None]
+        return rows.T @ rows
+
+    small = _added(passages, squared, (width, width))
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     return q @ vectors[:, ::-1][:, :rank].astype(np.float32)
 
 
+def with_items(basis: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, int]:
+    """An orthonormal basis of the items' vectors and of ``basis``, the items' part first, and the size of that part."""
+    own, size, _ = np.linalg.svd(vectors.T, full_matrices=False)
+    own = own[:, size > 1e-4]
+    rest, size, _ = np.linalg.svd(basis - own @ (own.T @ basis), full_matrices=False)
+    return np.concatenate([own, rest[:, size > 1e-3]], axis=1).astype(np.float32), own.shape[1]
+
+
+def run_length(size: int) -> int:
+    """The words of a run that any text shares with an item of ``size`` words if it has COPY of them in order and none between them but in place of missing ones."""
+    kept = math.ceil(round(COPY * size, 9))
+    return -(-kept // (size - kept + 1))
+
+
+def _runs(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the k words from each place on; too few at the end give none."""
+    n = max(0, len(words) - k + 1)
+    total = np.full(n, k, np.uint64)
+    for i in range(k):
+        total = (total ^ words[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return total * np.uint64(0xBF58476D1CE4E5B9)
+
+
+class RunIndex:
+    """The places of word runs in items."""
+
+    def __init__(self, items: list[np.ndarray]):
+        self.by: list[tuple] = []
+        lengths = np.array([run_length(len(w)) for w in items])
+        for k in np.unique(lengths).tolist():
+            own = [(j, _runs(items[j], k)) for j in np.flatnonzero(lengths == k)]
+            keys = np.concatenate([h for _, h in own])
+            order = np.argsort(keys, kind="stable")
+            item = np.concatenate([np.full(len(h), j) for j, h in own])
+            place = np.concatenate([np.arange(len(h)) for _, h in own])
+            known = np.zeros(1 << RUN_BITS, bool)
+            known[keys >> np.uint64(64 - RUN_BITS)] = True
+            self.by.append((k, known, keys[order], item[order], place[order]))
+
+    def hits(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, item, and word of the row at which the item would start, of every shared run."""
+        starts = np.concatenate([[0], ends[:-1]])
+        found = []
+        for k, known, keys, item, place in self.by:
+            hashed = _runs(words, k)
+            at = np.flatnonzero(known[hashed >> np.uint64(64 - RUN_BITS)])
+            row = np.searchsorted(ends, at, "right")
+            inside = at + k <= ends[row]
+            at, row = at[inside], row[inside]
+            low, high = (np.searchsorted(keys, hashed[at], side) for side in ("left", "right"))
+            times = high - low
+            which = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row = np.repeat(row, times)
+            found.append((row, item[which], np.repeat(at, times) - starts[row] - place[which]))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def places(pattern: np.ndarray) -> dict[int, int]:
     """For each word of the pattern, a bit at each of its places."""
     masks: dict[int, int] = {}
@@ -193,18 +284,19 @@ FOUND = "id long, item_id long, cosine double, lcs_share double, answer_share do
 
 
 def _search(table: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]], idf: np.ndarray, basis: np.ndarray, cosine: float) -> DataFrame:
+    vectors = np.stack([_vector(w, idf) for _, w, _ in items])
+    basis, own_size = with_items(basis, vectors)
     # the row after the last stands for no word
     project = np.concatenate([idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
-    goal = np.stack([_vector(w, idf) @ basis for _, w, _ in items]).astype(np.float32)
+    goal = (vectors @ basis[:, :own_size]).astype(np.float32)
     goal /= np.maximum(np.linalg.norm(goal, axis=1, keepdims=True), 1e-9)
+    least = np.array([cosine * min(1.0, len(w) / (2 * STRIDE)) ** 0.5 for _, w, _ in items], np.float32)
     wanted = [(i, places(w), len(w), places(a), len(a)) for i, w, a in items]
-    held = table.sparkSession.sparkContext.broadcast((project, goal, wanted))
+    held = table.sparkSession.sparkContext.broadcast((project, goal, least, wanted, RunIndex([w for _, w, _ in items])))
 
-    def judged(words: np.ndarray, at: int, item: tuple[int, dict[int, int], int, dict[int, int], int]) -> tuple[float, float, str] | None:
+    def judged(near: np.ndarray, item: tuple[int, dict[int, int], int, dict[int, int], int]) -> tuple[float, float, str] | None:
         _, wanted, size, answer, answer_size = item
-        reach = size // 2
-        near = words[max(0, at - reach) : at + 2 * STRIDE + reach]
-        share = common_words(wanted, size, near, int(PARAPHRASE * size)) / size
+        share = common_words(wanted, size, near, PARAPHRASE * size) / size
         if share < PARAPHRASE:
             return None
         right = common_words(answer, answer_size, near) / answer_size
@@ -213,33 +305,42 @@ def _search(table: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]], i
         return (share, right, "paraphrase") if right >= ANSWER else None
 
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        project, goal, items = held.value
-        one, taken = np.ones((1, STRIDE), np.float32), np.empty((64, STRIDE, project.shape[1]), np.float32)
+        project, goal, least, items, runs = held.value
         for batch in batches:
             out = []
             for first, last, words, ends in _groups(batch):
                 if not len(words):
                     continue
                 steps, row = _steps(ends)
-                slots = _step_slots(words, ends, steps, row)
-                latent = np.empty((len(steps), project.shape[1]), np.float32)
-                for i in range(0, len(steps), 64):
-                    part = slots[i : i + 64]
-                    np.take(project, part, axis=0, out=taken[: len(part)], mode="clip")
-                    latent[i : i + 64] = np.matmul(one, taken[: len(part)])[:, 0]
+                latent = summed(project, _step_slots(words, ends, steps, row))
+                one, square = latent[:, : goal.shape[1]] @ goal.T, np.einsum("ij,ij->i", latent, latent)
+                two, square_two = one.copy(), square.copy()
                 together = np.flatnonzero(row[1:] == row[:-1])
-                before = latent.copy()
-                before[together] += latent[together + 1]
-                before /= np.maximum(np.sqrt(np.einsum("ij,ij->i", before, before)), 1e-9)[:, None]
-                likeness = before @ goal.T
+                two[together] += one[together + 1]
+                square_two[together] += square[together + 1] + 2 * np.einsum("ij,ij->i", latent[together], latent[together + 1])
+                one /= np.sqrt(np.maximum(square, 1e-9))[:, None]
+                two /= np.sqrt(np.maximum(square_two, 1e-9))[:, None]
+                likeness = np.maximum(one, two)
                 starts = np.concatenate([[0], ends[:-1]])
                 best: dict[tuple[int, int], tuple] = {}
-                for s, j in zip(*np.nonzero(likeness >= cosine)):
-                    r = int(row[s])
-                    own = words[starts[r] : ends[r]]
-                    got = judged(own, int(steps[s] - starts[r]), items[j])
-                    if got and got[0] > best.get((r, int(j)), (0, -1.0))[1]:
-                        best[r, int(j)] = (float(likeness[s, j]), *got)
+
+                def tried(r: int, j: int, low: int, high: int, likeness: float) -> None:
+                    got = judged(words[starts[r] + max(0, low) : min(ends[r], starts[r] + high)], items[j])
+                    if got and got[0] > best.get((r, j), (0, -1.0))[1]:
+                        best[r, j] = (likeness, *got)
+
+                for s, j in zip(*np.nonzero(likeness >= least)):
+                    r, reach = int(row[s]), items[j][2] // 2
+                    at = int(steps[s] - starts[r])
+                    tried(r, int(j), at - reach, at + 2 * STRIDE + reach, float(likeness[s, j]))
+                # runs whose items would start at about the same word are tried once
+                shared = np.stack(runs.hits(words, ends), axis=1)
+                shared[:, 2] //= STRIDE // 2
+                first_step = np.searchsorted(steps, starts)
+                for r, j, at in np.unique(shared, axis=0).tolist():
+                    at, size = at * (STRIDE // 2), items[j][2]
+                    reach = min(size // 2, STRIDE)
+                    tried(r, j, at - reach, at + STRIDE // 2 + size + reach, float(likeness[first_step[r] + max(0, at) // STRIDE, j]))
                 out += [(batch.column(0)[first + r].as_py(), items[j][0], *b) for (r, j), b in best.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["id", "item_id", "cosine", "lcs_share", "answer_share", "kind"])
@@ -263,23 +364,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     asked = benchmark.select(F.col(item_col).cast("long").alias("id"), text_or_empty(item_text).alias("__t"), F.coalesce(F.get(sentences, F.size(sentences) - 1), F.lit("")).alias("__a"))
     hashed = lambda c: F.transform(words_of(F.col(c)), lambda w: F.xxhash64(w).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     asked = asked.select("id", hashed("__t").alias("words"), hashed("__a").alias("answer")).where(F.size("words") > 0)
-    blocks = -(-asked.count() // BLOCK_ITEMS)
+    asked = written(asked.select("id", "words", F.coalesce("answer", F.array().cast("array<int>")).alias("answer")), "items")
+    texts = asked.select("words", "answer").distinct()
+    blocks = -(-texts.count() // BLOCK_ITEMS)
     empty = spark.createDataFrame([], FOUND)
     rows = table.count() if blocks else 0
     if not rows:
         return empty.withColumnRenamed("id", id_col)
-    seen, steps = passage_frequencies(table)
+    passages = written(passage_table(table), "passages")
+    seen, steps = passage_frequencies(passages)
     idf = (np.log((1.0 + steps) / (1.0 + seen)) + 1.0).astype(np.float32)
-    limit = int(min(1.0, SAMPLE_DOCS / rows) * (1 << 30))
-    sample = written(table.where(F.pmod(F.xxhash64("id", F.size("hashed")), F.lit(1 << 30)) <= limit).select("hashed"), "sample").coalesce(8)
+    basis = latent_basis(passages, idf)
+    # a block of hashes may hold more than BLOCK_ITEMS texts: it is split by row number
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("words", "answer"), F.lit(blocks)))
+    texts = texts.withColumn("number", F.row_number().over(Window.partitionBy("block").orderBy("words", "answer")) - 1)
+    texts = written(texts.withColumn("part", F.floor(F.col("number") / BLOCK_ITEMS)).withColumn("text_id", F.col("block") * (1 << 32) + F.col("number")), "item_texts")
     found = empty
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").collect()  # about BLOCK_ITEMS rows
-        items = [(r["id"], np.array(r["words"], np.int32), np.array(r["answer"] or r["words"], np.int32)) for r in own]
-        if items:
-            basis = latent_basis(sample, [w for _, w, _ in items], idf)
-            found = found.union(_search(table, items, idf, basis, cosine))
-    return found.withColumnRenamed("id", id_col)
+    for r in texts.select("block", "part").distinct().orderBy("block", "part").collect():  # a row a block
+        own = texts.where((F.col("block") == r["block"]) & (F.col("part") == r["part"])).orderBy("number").collect()  # at most BLOCK_ITEMS rows
+        items = [(t["text_id"], np.array(t["words"], np.int32), np.array(t["answer"] or t["words"], np.int32)) for t in own]
+        found = found.union(_search(table, items, idf, basis, cosine))
+    ids = asked.join(texts, ["words", "answer"]).select("text_id", F.col("id").alias("own_id"))
+    found = found.join(F.broadcast(ids) if blocks == 1 else ids, found["item_id"] == ids["text_id"])
+    return found.select(F.col("id").alias(id_col), F.col("own_id").alias("item_id"), "cosine", "lcs_share", "answer_share", "kind")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

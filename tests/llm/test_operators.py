@@ -196,6 +196,49 @@ def test_leaks_are_found_and_clean_texts_are_not(spark):
     assert find_leaks(table.limit(0), benchmark).count() == find_leaks(table, benchmark.limit(0)).count() == 0
 
 
+def subsequence(a: list, b: list) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_leaks_match_brute_force_beside_a_hot_text(spark):
+    """More documents than any sample, a third with one long text; short items of common words amid rare ones."""
+    from strataform.llm.decontaminate import COPY, find_leaks
+
+    draw = random.Random(6)
+    rare = [f"{a}{b}" for a in WORDS for b in WORDS[:12]]
+    hot = [f"hot{i}" for i in range(600)]
+    items = [(i, draw.choices(WORDS, k=8 + 2 * i)) for i in range(20)]
+    docs = []
+    for i in range(900):
+        words = draw.choices(rare, k=60)
+        if i % 3 == 0:
+            words += hot
+        elif i % 9 == 1:
+            own = list(items[i // 9 % 20][1])
+            for _ in range(i // 180 % 2):  # a word of half of them is another
+                own[draw.randrange(len(own))] = "other"
+            at = draw.randrange(60)
+            words[at:at] = own
+        docs.append((i, words))
+    wanted = set()
+    for i, words in docs:
+        for j, item in items:
+            own = set(item)
+            if sum(w in own for w in words) >= COPY * len(item) and subsequence(item, words) >= COPY * len(item):
+                wanted.add((i, j))
+    assert len(wanted) >= 100
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(j, " ".join(w)) for j, w in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in find_leaks(table, benchmark).collect()}
+    assert len(found & wanted) / len(wanted) == 1.0
+    assert found == wanted
+
+
 # --- 7: licenses
 
 
