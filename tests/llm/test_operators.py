@@ -239,6 +239,17 @@ def test_leaks_match_brute_force_beside_a_hot_text(spark):
     assert found == wanted
 
 
+@pytest.mark.parametrize("size", [1, 2, 5, 8, 10, 15, 20, 59])
+def test_changed_copies_share_a_word_run(size):
+    from strataform.llm.decontaminate import COPY, run_length
+
+    draw = random.Random(size)
+    for _ in range(200):
+        lost = set(draw.sample(range(size), size - -(-int(COPY * size * 10) // 10)))
+        runs = "".join(" " if i in lost else "x" for i in range(size)).split()
+        assert max(map(len, runs)) >= run_length(size)
+
+
 # --- 7: licenses
 
 
