@@ -239,6 +239,20 @@ def test_leaks_match_brute_force_beside_a_hot_text(spark):
     assert found == wanted
 
 
+def test_equal_items_are_searched_once_and_blocks_are_bounded(spark, monkeypatch):
+    from strataform.llm import decontaminate
+
+    sizes, search = [], decontaminate._search
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 5)
+    monkeypatch.setattr(decontaminate, "_search", lambda table, items, *rest: (sizes.append(len(items)), search(table, items, *rest))[1])
+    texts = [" ".join(prose(700 + i, 20)) for i in range(7)]
+    benchmark = spark.createDataFrame([(None, t) for t in texts] + [(1, texts[0])] * 2, "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(prose(i, 30)) + " " + t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = sorted((r.doc_id, r.item_id or 0) for r in decontaminate.find_leaks(docs, benchmark).collect())
+    assert found == sorted([(i, 0) for i in range(7)] + [(0, 1)] * 2)
+    assert sum(sizes) == 7 and max(sizes) <= 5
+
+
 @pytest.mark.parametrize("size", [1, 2, 5, 8, 10, 15, 20, 59])
 def test_changed_copies_share_a_word_run(size):
     from strataform.llm.decontaminate import COPY, run_length
