@@ -264,6 +264,18 @@ def test_changed_copies_share_a_word_run(size):
         assert max(map(len, runs)) >= run_length(size)
 
 
+def test_copies_are_found_without_the_cosine(spark):
+    """Word runs alone find every short copy, one with another word in its place too."""
+    from strataform.llm.decontaminate import find_leaks
+
+    items = [(i, prose(800 + i, 10)) for i in range(5)]
+    changed = [w if k != 5 else "other" for k, w in enumerate(items[0][1])]
+    docs = [(i, [f"rare{i}x{k}" for k in range(70)] + own) for i, own in [*items, (9, changed)]]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in find_leaks(table, benchmark, cosine=2.0).collect()} == {(i, i) for i in range(5)} | {(9, 0)}
+
+
 # --- 7: licenses
 
 
