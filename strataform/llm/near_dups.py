@@ -6,30 +6,28 @@ is its count times the mean smoothed inverse document frequency of its words.
 of near copies look unlike: what they share would weigh least.) Document
 frequencies are counted over all texts in a hashed table of fixed size.
 
-1. Texts with equal words are collapsed to one, the smallest id.
+1. Texts with equal words are collapsed to one.
 2. Consistent weighted samples of each text are cut into bands; texts that
-   agree on a band share a bucket. Pairs within a bucket are candidates if as
-   many of all their samples agree as all but one in 2,000 pairs at the
-   threshold have.
-3. Each bucket's smallest id is paired with its other members, and every
-   distinct pair is verified by the exact weighted Jaccard similarity.
-4. Members that this leaves outside the class of their bucket's smallest id are
-   paired with all members of other classes that they can be similar to, a few
-   centres at a time, until each bucket is one class or all such pairs have
-   been compared. So no pair within a class is ever listed, and no link between
-   classes is lost. A pair that shares several buckets is listed in the one of
-   the smallest key: there it is compared, or one class when its turn comes. Which texts can be similar follows from their heads: with
-   the shingles in one order, rarest first, two texts of this similarity share
-   a shingle of the fifth of the weight that comes first. Texts that have
-   nothing but a common passage in common share none.
-5. Verified pairs are joined to classes by large-star and small-star rounds.
-
-Sketching is map-only. Band rows are a key and a byte for each sample. The texts
-move once, to be joined with the ids that share a bucket (by a sort-merge join
-at every size: these ids have no bound); the shingles of a pair meet in a join. A bucket, class
-or pair centre with a third of all rows makes skewed join keys only, which
-adaptive execution splits. Tables between steps are written to the shared
-folder, so a lost executor doesn't start the job anew.
+   agree on a band share a bucket. A pair is a candidate if as many of all its
+   samples agree as all but one in 2,000 pairs at the threshold have.
+3. Each bucket's leader is paired with its other members, and every distinct
+   pair is verified by the exact weighted Jaccard similarity. Verified pairs are
+   joined to classes by large-star and small-star rounds.
+4. In a bucket of more than one class, the members outside its leader's class
+   are compared with all members of other classes, block by block: a task holds
+   two blocks of bounded size, verifies their candidates, and returns the links
+   that join classes, fewer than the block has members. So no list of
+   pairs is ever made, and no link between classes is lost. A pair that shares
+   several buckets is compared in one of them only.
+5. The links of both steps are joined to classes again.
+
+Sketching is map-only. The texts move once, to be joined with the texts that
+share a bucket (by a sort-merge join at every size: these have no bound); the
+shingles of a pair meet in a join. A bucket, class or leader with a third of all
+rows makes skewed join keys of plain tables, which adaptive execution splits, or
+more blocks. Tables between steps are written to the shared folder, so a lost
+executor doesn't start the job anew. The number of jobs doesn't depend on the
+size of a bucket.
 """
 
 from __future__ import annotations
@@ -48,11 +46,8 @@ BANDS, ROWS = 16, 5
 #: Entries of the hashed table of document frequencies, and rows of the table of sampling variables.
 FREQUENCIES = 1 << 16
 VARIABLES = 1 << 14
-CENTRES = 8
-#: Entries of the hashed table by which shingles are put in order.
-ORDER = 1 << 18
-#: What sums of weights may be off by, in parts of the whole.
-ROUNDING = 1e-4
+#: Members and bytes of shingles of a block, on average: two blocks are what a comparison holds.
+BLOCK, BLOCK_BYTES = 512, 1 << 24
 #: Standard deviations below the threshold at which sample agreement rules a pair out.
 SLACK = 3.3
 BREAK = r"[^\p{L}\p{N}]+"
@@ -156,50 +151,57 @@ def _fingerprint(words: str, text: str) -> list[Column]:
 
 
 def sketch(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """id, fa, fb, band keys and sample bytes of every row; neither for texts without words."""
+    """id, fa, fb, hash of the text, band keys and sample bytes of every row; no keys and bytes for texts without words."""
     held = docs.sparkSession.sparkContext.broadcast(idf)
-    schema = pa.schema([("id", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int8()))])
+    schema = pa.schema([("id", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("raw", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int8()))])
 
     def sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, idf = Sampler(), held.value
         for batch in batches:
-            column = batch.column(3)
+            column = batch.column(4)
             ends, values = column.offsets.to_numpy(), column.values.to_numpy()
             made = [shingles(values[ends[i] : ends[i + 1]], idf) for i in range(batch.num_rows)]
             made = [sampler.bands_of(*m) if len(m[0]) else ([], []) for m in made]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.int8()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.int8()))], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("words", words_of(F.col("text")))
-    rows = rows.select("id", *_fingerprint("words", "text"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashed"))
-    return rows.mapInArrow(sampled, "id long, fa long, fb long, bands array<long>, sig array<tinyint>")
+    rows = rows.select("id", *_fingerprint("words", "text"), F.xxhash64("text").alias("raw"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashed"))
+    return rows.mapInArrow(sampled, "id long, fa long, fb long, raw long, bands array<long>, sig array<tinyint>")
+
+
+def least_agreement(similar: float) -> int:
+    """How many samples of a pair of this similarity agree, in all but one case in 2,000."""
+    k = BANDS * ROWS
+    return int(k * similar - SLACK * (k * similar * (1 - similar)) ** 0.5)
 
 
 def agree(a: Column, b: Column, similar: float) -> Column:
     """Whether enough samples agree for a pair of this similarity."""
-    k = BANDS * ROWS
-    least = int(k * similar - SLACK * (k * similar * (1 - similar)) ** 0.5)
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) >= least
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) >= least_agreement(similar)
 
 
-def features(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str, only: DataFrame) -> DataFrame:
-    """id, shingles (32 bits) and weights, as bytes, of the rows whose id is in ``only``."""
+def features(docs: DataFrame, idf: np.ndarray, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """tid, shingles and weights, as bytes, and the whole weight of the ``wanted`` texts: tid, id and raw (the hash of the text) of a row that has it."""
     held = docs.sparkSession.sparkContext.broadcast(idf)
-    schema = pa.schema([("id", pa.int64()), ("ids", pa.binary()), ("weights", pa.binary())])
+    schema = pa.schema([("tid", pa.int64()), ("ids", pa.binary()), ("weights", pa.binary()), ("whole", pa.float64())])
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)
             ends, values = column.offsets.to_numpy(), column.values.to_numpy()
-            pairs = []
-            for i in range(batch.num_rows):
-                ids, weights = shingles(values[ends[i] : ends[i + 1]], held.value)
-                low, at = np.unique((ids >> np.uint64(32)).astype(np.uint32), return_index=True)
-                pairs.append((low, weights[at]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0].tobytes() for p in pairs], pa.binary()), pa.array([p[1].tobytes() for p in pairs], pa.binary())], schema=schema)
+            pairs = [shingles(values[ends[i] : ends[i + 1]], held.value) for i in range(batch.num_rows)]
+            whole = pa.array([float(p[1].sum(dtype=np.float64)) for p in pairs], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0].tobytes() for p in pairs], pa.binary()), pa.array([p[1].tobytes() for p in pairs], pa.binary()), whole], schema=schema)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("raw", F.xxhash64("text"))
+    # rows that repeat id and text are one text; the join has put them side by side
+    rows = rows.join(wanted.hint("merge"), ["id", "raw"]).dropDuplicates(["id", "raw"])
+    rows = rows.select("tid", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashed"))
+    return rows.mapInArrow(made, "tid long, ids binary, weights binary, whole double")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(only.hint("merge"), "id", "left_semi")
-    rows = rows.select("id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashed"))
-    return rows.mapInArrow(made, "id long, ids binary, weights binary")
+
+def _weighted_set(ids: pa.Array, weights: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids[i].as_buffer(), np.uint64), np.frombuffer(weights[i].as_buffer(), np.float32)
 
 
 def verify(pairs: DataFrame, feats: DataFrame, similar: float) -> DataFrame:
@@ -207,103 +209,128 @@ def verify(pairs: DataFrame, feats: DataFrame, similar: float) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def part(column: pa.Array, i: int, kind: type) -> np.ndarray:
-            return np.frombuffer(column[i].as_buffer(), kind)
-
         for batch in batches:
-            good = []
-            for i in range(batch.num_rows):
-                a, b = ((part(batch.column(c), i, np.uint32), part(batch.column(c + 1), i, np.float32)) for c in (2, 4))
-                good.append(weighted_jaccard(a, b) >= similar)
+            good = [weighted_jaccard(*(_weighted_set(batch.column(c), batch.column(c + 1), i) for c in (2, 4))) >= similar for i in range(batch.num_rows)]
             t = pa.Table.from_batches([batch.select([0, 1])]).filter(pa.array(good, pa.bool_()))
             yield from t.cast(schema).to_batches()
 
-    left = feats.select(F.col("id").alias("a"), F.col("ids").alias("a_ids"), F.col("weights").alias("a_w"))
-    right = feats.select(F.col("id").alias("b"), F.col("ids").alias("b_ids"), F.col("weights").alias("b_w"))
+    left = feats.select(F.col("tid").alias("a"), F.col("ids").alias("a_ids"), F.col("weights").alias("a_w"))
+    right = feats.select(F.col("tid").alias("b"), F.col("ids").alias("b_ids"), F.col("weights").alias("b_w"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_ids", "a_w", "b_ids", "b_w")
-    return both.mapInArrow(kept, "a long, b long").dropDuplicates()
+    return both.mapInArrow(kept, "a long, b long")
 
 
-def heads(feats: DataFrame, similar: float) -> DataFrame:
-    """id, whole weight, head (the first shingles, rarest first) and n_short, how many of them count for a lighter partner.
+def components(links: DataFrame) -> DataFrame:
+    """tid and class (the smallest tid connected with it) of all in a, b.
 
-    Two texts of this similarity share ``similar`` of the heavier one's weight
-    at least, and 2s / (1 + s) of the lighter one's; so the first shingle in
-    order that they share stands before the last such part of either.
+    Lowest neighbours are written before they are joined, so that the joins are
+    of plain tables, whose skewed keys adaptive execution splits.
     """
-
-    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(ORDER, np.int64)
-        for batch in batches:
-            ids = np.concatenate([np.frombuffer(raw.as_buffer(), np.uint32) for raw in batch.column(0)] or [np.zeros(0, np.uint32)])
-            n += np.bincount(ids & (ORDER - 1), minlength=ORDER)
-        slots = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(n[slots])], names=["slot", "n"])
-
-    often = np.zeros(ORDER, np.int64)
-    for r in feats.select("ids").mapInArrow(counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # ORDER rows at most
-        often[r["slot"]] = r["n"]
-    held = feats.sparkSession.sparkContext.broadcast(often)
-    schema = pa.schema([("id", pa.int64()), ("weight", pa.float64()), ("n_short", pa.int32()), ("head", pa.list_(pa.int32()))])
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint32)
-                weights = np.frombuffer(batch.column(2)[i].as_buffer(), np.float32).astype(np.float64)
-                order = np.lexsort((ids, held.value[ids & (ORDER - 1)]))
-                before = np.concatenate([[0.0], np.cumsum(weights[order])])
-                whole = before[-1]
-                short, long = (int(np.searchsorted(before[:-1], (1.0 - least + ROUNDING) * whole, "right")) for least in (2 * similar / (1 + similar), similar))
-                out.append((batch.column(0)[i].as_py(), whole, short, ids[order[:long]].view(np.int32)))
-            if out:
-                yield pa.record_batch([list(c) for c in zip(*out)], schema=schema)
-
-    return feats.select("id", "ids", "weights").mapInArrow(cut, "id long, weight double, n_short int, head array<int>")
-
-
-def can_be_similar(similar: float) -> Column:
-    """Whether the weights and the heads of a pair (the centre's columns begin with c_) let it be this similar."""
-    lighter, heavier = F.least("weight", "c_weight"), F.greatest("weight", "c_weight")
-    short, c_short = F.slice("head", 1, F.col("n_short")), F.slice("c_head", 1, F.col("c_n_short"))
-    meet = F.when(F.col("weight") <= F.col("c_weight"), F.arrays_overlap(short, F.col("c_head"))).otherwise(F.arrays_overlap(F.col("head"), c_short))
-    return (lighter >= heavier * (similar - ROUNDING)) & meet
-
-
-def components(links: DataFrame) -> DataFrame:
-    """id and class (the smallest id connected with it) of all ids in a, b."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        large = written(both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("x"), "u", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("x").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("class")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct())
+            return edges.select(F.col("u").alias("tid"), F.col("v").alias("class")).union(edges.select(F.col("v").alias("tid"), F.col("v").alias("class")).distinct())
         mark = now
 
 
-def _placed(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """The members with their own class and, as main, the class of their bucket's leader."""
-    own = members.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    own = own.join(classes.select(F.col("id").alias("leader"), F.col("class").alias("main")), "leader", "left")
-    return own.withColumn("main", F.coalesce("main", "leader"))
-
-
-def _crowd(members: DataFrame, texts: DataFrame, classes: DataFrame, feats: DataFrame, similar: float) -> DataFrame:
-    """The members of buckets of several classes, with their heads and all their bands."""
-    mixed = _placed(members, classes).where(F.col("class") != F.col("main")).select("bucket").distinct()
-    mixed = written(members.join(mixed, "bucket", "left_semi").select("bucket", "leader", "n", "id", "sig"), "mixed")
-    asked = written(feats.join(mixed.select("id").distinct().hint("merge"), "id", "left_semi"), "asked")
-    bands = texts.select(F.col("rep").alias("id"), "bands").join(asked.select("id").distinct().hint("merge"), "id", "left_semi")
-    both = mixed.join(heads(asked, similar).join(bands.hint("merge"), "id").hint("merge"), "id")
-    return both.where(F.array_contains("bands", F.col("bucket")))
+CELL = ["bucket", "part", "other"]
+
+
+def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell, one after the other, from batches sorted by cell."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+        starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+        for i, j in zip(starts[:-1], starts[1:]):
+            key = tuple(keys[i].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def joining_links(cell: pa.Table, similar: float) -> list[tuple[int, int]]:
+    """Verified pairs of a cell's asking rows with its other rows that join their classes, no more of them than that takes."""
+    cell = cell.combine_chunks()
+    bucket = cell["bucket"][0].as_py()
+    tid, group, whole = (cell[c].to_numpy() for c in ("tid", "class", "whole"))
+    asks, answers, outside = (cell[c].to_numpy(zero_copy_only=False) for c in ("asks", "answers", "outside"))
+    ids, weights = cell["ids"].chunk(0), cell["weights"].chunk(0)
+    sig, bands = (cell[c].chunk(0).flatten().to_numpy().reshape(len(tid), -1) for c in ("sig", "bands"))
+    left, right = np.flatnonzero(asks), np.flatnonzero(answers)
+    least = least_agreement(similar)
+    found = []
+    for i in range(0, len(left), 32):
+        own = left[i : i + 32]
+        agreed = (sig[own][:, None, :] == sig[right][None, :, :]).sum(axis=2, dtype=np.int32)
+        light, heavy = np.minimum(whole[own][:, None], whole[right]), np.maximum(whole[own][:, None], whole[right])
+        good = (agreed >= least) & (group[own][:, None] != group[right]) & (light >= heavy * (similar - 1e-4))
+        # two outsiders are met in both orders: once is enough
+        good &= ~outside[right][None, :] | (tid[own][:, None] < tid[right])
+        a, b = np.nonzero(good)
+        found.append(np.stack([own[a], right[b], agreed[a, b]], axis=1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    same = bands[pairs[:, 0]] == bands[pairs[:, 1]]
+    pairs = pairs[bands[pairs[:, 0], same.argmax(axis=1)] == bucket]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    links = []
+    for a, b, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
+        x, y = find(int(group[a])), find(int(group[b]))
+        if x != y and weighted_jaccard(_weighted_set(ids, weights, a), _weighted_set(ids, weights, b)) >= similar:
+            root[x] = y
+            links.append((int(tid[a]), int(tid[b])))
+    return links
+
+
+def links_between_classes(members: DataFrame, classes: DataFrame, texts: DataFrame, feats: DataFrame, similar: float) -> DataFrame:
+    """Links a, b that join classes which share a bucket and hold a pair of this similarity."""
+    own = members.join(classes, "tid", "left").withColumn("class", F.coalesce("class", "tid"))
+    own = own.join(classes.select(F.col("tid").alias("leader"), F.col("class").alias("main")), "leader", "left")
+    own = written(own.select("bucket", "tid", "class", (F.col("class") != F.coalesce("main", "leader")).alias("outside")), "placed")
+    sizes = own.join(feats.select("tid", F.octet_length("ids").alias("bytes")), "tid").groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.bool_or("outside").alias("mixed")
+    )
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    sizes = written(sizes.where("mixed").select("bucket", blocks), "mixed")
+    crowd = written(own.join(sizes, "bucket"), "crowd")
+    full = texts.select("tid", "bands", "sig").join(crowd.select("tid").distinct().hint("merge"), "tid", "left_semi").join(feats.hint("merge"), "tid")
+    crowd = crowd.join(full.hint("merge"), "tid").withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
+    steps = F.sequence(F.lit(0), F.col("blocks") - 1)
+    answers = crowd.withColumn("part", F.explode(steps)).withColumn("other", F.col("block")).withColumn("answers", F.lit(True)).withColumn("asks", F.col("outside") & (F.col("part") == F.col("block")))
+    asks = crowd.where("outside").withColumn("part", F.col("block")).withColumn("other", F.explode(steps)).where("other <> part").withColumn("answers", F.lit(False)).withColumn("asks", F.lit(True))
+    columns = [*CELL, "tid", "class", "whole", "asks", "answers", "outside", "bands", "sig", "ids", "weights"]
+
+    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            links = joining_links(cell, similar)
+            if links:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+
+    cells = answers.select(*columns).union(asks.select(*columns)).repartition(*CELL).sortWithinPartitions(*CELL)
+    return cells.mapInArrow(compared, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -317,41 +344,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     idf = document_frequencies(docs, text_col)
     sketches = written(sketch(docs, idf, id_col, text_col), "sketches")
-    texts = sketches.groupBy("fa", "fb").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    texts = written(texts, "texts")
-    reps = texts.where("rep IS NOT NULL").select(F.col("rep").alias("id"), "sig", F.explode("bands").alias("bucket"))
-    first = F.min(F.struct("id", "sig")).alias("first")
-    shared = reps.groupBy("bucket").agg(first, F.max("id").alias("__last"), F.count(F.lit(1)).alias("n")).where(F.col("first.id") != F.col("__last"))
-    shared = shared.select("bucket", "n", F.col("first.id").alias("leader"), F.col("first.sig").alias("leader_sig"))
-    members = reps.join(shared, "bucket").withColumn("near", agree(F.col("sig"), F.col("leader_sig"), similar)).drop("leader_sig")
-    members = written(members, "members")
-
-    feats = written(features(docs, idf, id_col, text_col, members.select("id").distinct()), "features")
-    tested = written(members.where("near AND id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = written(verify(tested, feats, similar), "links")
-    done, crowd = 0, None
-    while True:
-        classes = written(components(links), "classes")
-        if crowd is None:
-            crowd = written(_crowd(members, texts, classes, feats, similar), "crowd")
-        own = _placed(crowd, classes)
-        outside = own.where(F.col("class") != F.col("main")).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("n")))
-        centres = outside.where(F.col("slot") >= done).where(F.col("slot") < (done + 1) * CENTRES)
-        c = centres.select(*[F.col(x).alias(f"c_{x}") for x in ("bucket", "id", "class", "sig", "weight", "n_short", "head", "bands")])
-        met = (F.col("bucket") == F.col("c_bucket")) & (F.col("class") != F.col("c_class")) & (F.col("id") != F.col("leader"))
-        once = F.array_min(F.array_intersect("bands", "c_bands")) == F.col("bucket")
-        pairs = c.join(own, met & once & agree(F.col("sig"), F.col("c_sig"), similar) & can_be_similar(similar))
-        pairs = pairs.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        left, most = outside.agg(F.count_if(F.col("slot") >= (done + 1) * CENTRES), F.max("slot")).first()
-        if not pairs.isEmpty():
-            found = written(verify(pairs, feats, similar), "links")
-            tested = tested.union(pairs)
-            links = written(links.union(found), "links")
-            if not left:
-                classes = written(components(links), "classes")
-        if not left:
-            break
-        done = (done + 1) * CENTRES
-    texts = texts.join(classes.select(F.col("id").alias("rep"), "class"), "rep", "left").select("fa", "fb", F.coalesce("class", "rep").alias("class_id"))
+    named = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "raw"))).alias("rep")
+    texts = sketches.groupBy("fa", "fb").agg(named, F.first("bands").alias("bands"), F.first("sig").alias("sig")).where("rep IS NOT NULL")
+    # numbers of texts: any will do, but they must not change, so the table is written with them
+    texts = written(texts.select(F.monotonically_increasing_id().alias("tid"), "fa", "fb", F.col("rep.id").alias("rep"), "rep.raw", "bands", "sig"), "texts")
+    rows = texts.select("tid", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("tid").alias("leader"), F.max("tid").alias("__last")).where("leader <> __last").drop("__last")
+    members = written(rows.join(written(shared, "shared"), "bucket"), "members")
+    asked = members.select("tid").distinct()
+    feats = features(docs, idf, texts.join(asked.hint("merge"), "tid", "left_semi").select("tid", F.col("rep").alias("id"), "raw"), id_col, text_col)
+    feats = written(feats, "features")
+
+    sigs = written(texts.select("tid", "sig").join(asked.hint("merge"), "tid", "left_semi"), "sigs")
+    pairs = members.where("tid <> leader").select(F.col("leader").alias("a"), F.col("tid").alias("b")).distinct()
+    pairs = pairs.join(sigs.select(F.col("tid").alias("b"), F.col("sig").alias("b_sig")), "b").join(sigs.select(F.col("tid").alias("a"), F.col("sig").alias("a_sig")), "a")
+    pairs = written(pairs.where(agree("a_sig", "b_sig", similar)).select("a", "b"), "pairs")
+    links = written(verify(pairs, feats, similar), "links")
+    classes = written(components(links), "classes")
+    more = written(links_between_classes(members, classes, texts, feats, similar), "links")
+    if not more.isEmpty():
+        classes = written(components(links.union(more)), "classes")
+    texts = written(texts.join(classes, "tid", "left").select("fa", "fb", "rep", F.coalesce("class", "tid").alias("class")), "classed")
+    first = written(texts.groupBy("class").agg(F.min("rep").alias("class_id")), "first")
+    texts = written(texts.join(first, "class").select("fa", "fb", "class_id"), "classed")
     return sketches.select("id", "fa", "fb").join(texts, ["fa", "fb"], "left").select(F.col("id").alias(id_col), "class_id")

@@ -356,23 +356,41 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert found[1] == found[2] == 1 and found[3] == 3 and found[4] == 4
 
 
-def test_similar_pairs_pass_the_heads(spark):
-    base, rows = prose(9, 300), []
-    draw = random.Random(4)
-    for i in range(60):
-        words = list(base)
-        for _ in range(i // 4):
-            words[draw.randrange(len(words))] = draw.choice(WORDS)
-        rows.append((i, " ".join(words[: 300 - i % 40])))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    idf = near_dups.document_frequencies(docs)
-    feats = near_dups.features(docs, idf, "doc_id", "text", docs.select(F.col("doc_id").alias("id")))
-    h = near_dups.heads(feats, near_dups.SIMILAR)
-    c = h.select(*[F.col(x).alias(f"c_{x}") for x in h.columns])
-    passed = {(r.id, r.c_id) for r in h.join(c, (F.col("id") < F.col("c_id")) & near_dups.can_be_similar(near_dups.SIMILAR)).select("id", "c_id").collect()}
-    sets = {r.id: (np.frombuffer(r.ids, np.uint32), np.frombuffer(r.weights, np.float32)) for r in feats.collect()}
-    real = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if near_dups.weighted_jaccard(sets[a], sets[b]) >= near_dups.SIMILAR}
-    assert real and real <= passed
+def test_near_duplicates_of_shared_ids(spark):
+    """Rows are classed by their texts, whatever ids they share."""
+    p, q = prose(70, 60), prose(71, 60)
+    rows = [(3, p), (5, [*p, "tail"]), (5, q), (7, [*q, "other"]), (7, [*q, "other"]), (None, p)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.class_id) for r in near_dups.near_duplicates(docs).collect())
+    assert got == [(-1, 3), (3, 3), (5, 3), (5, 5), (7, 5), (7, 5)]
+
+
+def test_near_duplicates_of_small_blocks_match_brute_force(spark, monkeypatch):
+    """Many texts with one passage, some in classes that their bucket's leader isn't in, compared over many blocks."""
+    monkeypatch.setattr(near_dups, "BLOCK", 4)
+    draw, rows = random.Random(8), []
+    passage = prose(80, 150)
+    for i in range(40):
+        own = passage + prose(3000 + i, 35)
+        rows += [own, [*own[:-3], *draw.choices(WORDS, k=3)]]
+    draw.shuffle(rows)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(docs).collect()}
+    wanted = brute_classes(docs, near_dups.document_frequencies(docs))
+    assert 10 < len(set(wanted.values())) <= 41
+    assert got == wanted
+
+
+def test_near_duplicate_recall_on_a_whole_table(spark):
+    """Against all pairs of sf0.01: the links whose ends share a class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(docs).collect()}
+    wanted = brute_classes(docs, near_dups.document_frequencies(docs))
+    linked = [i for i, c in wanted.items() if i != c]
+    assert len(linked) > 20
+    assert np.mean([got[i] == got[wanted[i]] for i in linked]) >= 0.9
+    # and no two documents of different classes share one
+    assert all(wanted[i] == wanted[c] for i, c in got.items())
 
 
 # --- the pipeline
