@@ -6,8 +6,9 @@ in two distributed rounds over all distinct passages, each weighed once however
 often it is copied: A'(AS) of a sparse random S, and the small (AQ)'(AQ) of its
 orthogonalised columns Q. Every task sums its passages' share, the shares are
 added by groups, and the driver works on matrices whose size is fixed by
-parameters. The basis of a block of items spans the items themselves too, so a
-cosine is never below the plain TF-IDF one, whatever the passages are.
+parameters. The leading directions of the items join the basis, ``ITEM_RANK`` at
+most: up to that many items are spanned in full, so that their cosines are never
+below the plain TF-IDF ones, whatever the passages are.
 
 Every step of every document, and every pair of steps, is compared with every
 item by cosine, with a bound that falls with the item's length. A second source
@@ -16,10 +17,11 @@ lacks words of the item, or has others in their place, always shares one of
 ``run_length`` words. Candidates of both are checked by the longest common
 subsequence of words with the item, and paraphrases also by the words of its answer.
 
-Equal items are searched once, in blocks of ``BLOCK_ITEMS`` at most; a large
-benchmark takes more rounds but no more memory. Texts are parsed once, into
-tables of word hashes and of distinct passages in the shared folder; only the
-passages are shuffled, besides results and sums.
+Equal items are searched once, and all items in one pass over the texts, by
+blocks of ``BLOCK_ITEMS`` cosines. The benchmark is read by the driver and sent to
+all tasks: some 2 KB for each distinct item, and a basis of fixed size. Texts are
+parsed once, into tables of word hashes and of distinct passages in the shared
+folder; only the passages are shuffled, besides results and sums.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from strataform.llm.common import text_or_empty, written
 from strataform.llm.near_dups import words_of
@@ -38,7 +40,7 @@ SLOTS = 1 << 14
 #: Words between the starts of two passages; a passage is two such steps.
 STRIDE = 24
 RANK, SPARE = 224, 16
-BLOCK_ITEMS = 200
+ITEM_RANK, BLOCK_ITEMS = 200, 512
 #: The bound of items of two steps or more; it falls with the root of a shorter item's words.
 COSINE = 0.5
 COPY, PARAPHRASE, ANSWER = 0.8, 0.65, 0.8
@@ -141,11 +143,11 @@ def _added(passages: DataFrame, share: Callable[[np.ndarray], np.ndarray], shape
 
     def added(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(s.as_buffer(), np.float32).astype(np.float64) for s in group["share"])
-        return pa.table({"part": group["part"].slice(0, 1), "share": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"part": group["part"].slice(0, 1), "share": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    out = np.zeros(shape)
+    out = np.zeros(shape, np.float32)
     for r in passages.mapInArrow(shared, "part int, share binary").groupBy("part").applyInArrow(added, "part int, share binary").collect():
-        block = np.frombuffer(r["share"], np.float64).reshape(-1, width)
+        block = np.frombuffer(r["share"], np.float32).reshape(-1, width)
         out[r["part"] * PART : r["part"] * PART + len(block)] = block
     return out
 
@@ -165,14 +167,21 @@ def summed(project: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 
 def _vector(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.zeros(SLOTS)
+    v = np.zeros(SLOTS, np.float32)
     np.add.at(v, words & (SLOTS - 1), idf[words & (SLOTS - 1)])
     n = np.linalg.norm(v)
     return v / n if n else v
 
 
+def orthonormal(rows: np.ndarray, least: float, most: int) -> np.ndarray:
+    """The leading right singular vectors of ``rows``, as rows: ``most`` at most, of singular values over ``least``."""
+    square, turn = np.linalg.eigh(rows @ rows.T)
+    kept = np.flatnonzero(square > least**2)[::-1][:most]
+    return (turn[:, kept] / np.sqrt(square[kept])).T.astype(np.float32) @ rows
+
+
 def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """The leading right singular vectors of all distinct passages."""
+    """The leading right singular vectors of all distinct passages, as rows."""
     width = rank + SPARE
     draw = np.random.Generator(np.random.PCG64(7))
     column, sign = np.append(draw.integers(0, width, SLOTS), 0), np.append(draw.choice([-1.0, 1.0], SLOTS), 0.0)
@@ -189,24 +198,36 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.n
         weights = (value / square[:, None])[:, :, None] * (value * sign[slots])[:, None, :]
         return np.bincount(keys.ravel(), weights.ravel(), minlength=(SLOTS + 1) * width).reshape(SLOTS + 1, width)[:SLOTS]
 
-    q = np.linalg.qr(_added(passages, sketched, (SLOTS, width)))[0].astype(np.float32)
-    turned = passages.sparkSession.sparkContext.broadcast(np.concatenate([idf[:, None] * q, np.zeros((1, width), np.float32)]))
+    sketch = np.ascontiguousarray(_added(passages, sketched, (SLOTS, width)).T)
+    sketch /= max(1e-30, float(np.abs(sketch).max()))
+    # twice, as the squares that the first is made of lose half of the digits
+    q = orthonormal(orthonormal(sketch, 1e-4, width), 0.5, width)
+    width = len(q)
+    turned = passages.sparkSession.sparkContext.broadcast(np.concatenate([(q * idf).T, np.zeros((1, width), np.float32)]))
 
     def squared(slots: np.ndarray) -> np.ndarray:
         rows = summed(turned.value, slots) / np.sqrt(norms(slots)[1])[:, None]
         return rows.T @ rows
 
     small = _added(passages, squared, (width, width))
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    return q @ vectors[:, ::-1][:, :rank].astype(np.float32)
-
-
-def with_items(basis: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, int]:
-    """An orthonormal basis of the items' vectors and of ``basis``, the items' part first, and the size of that part."""
-    own, size, _ = np.linalg.svd(vectors.T, full_matrices=False)
-    own = own[:, size > 1e-4]
-    rest, size, _ = np.linalg.svd(basis - own @ (own.T @ basis), full_matrices=False)
-    return np.concatenate([own, rest[:, size > 1e-3]], axis=1).astype(np.float32), own.shape[1]
+    held.destroy()
+    turned.destroy()
+    _, vectors = np.linalg.eigh((small + small.T) / 2)
+    return vectors[:, ::-1][:, :rank].T.astype(np.float32) @ q
+
+
+def with_items(basis: np.ndarray, items: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """An orthonormal basis, as rows, of the leading directions of the items' vectors and of ``basis``."""
+    lead = np.zeros((0, SLOTS), np.float32)
+    for i in range(0, len(items), ITEM_RANK):
+        more = np.stack([_vector(w, idf) for w in items[i : i + ITEM_RANK]])
+        rows = np.concatenate([lead, more])
+        square, turn = np.linalg.eigh(rows @ rows.T)
+        # rows of the length of their singular values, so that the next items are weighed against these
+        lead = turn[:, square > 1e-6][:, ::-1][:, :ITEM_RANK].T.astype(np.float32) @ rows
+    own = orthonormal(lead, 1e-3, ITEM_RANK)
+    rest = basis - (basis @ own.T) @ own
+    return np.concatenate([own, orthonormal(rest, 1e-2, len(rest))])
 
 
 def run_length(size: int) -> int:
@@ -284,15 +305,16 @@ FOUND = "id long, item_id long, cosine double, lcs_share double, answer_share do
 
 
 def _search(table: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]], idf: np.ndarray, basis: np.ndarray, cosine: float) -> DataFrame:
-    vectors = np.stack([_vector(w, idf) for _, w, _ in items])
-    basis, own_size = with_items(basis, vectors)
+    basis = with_items(basis, [w for _, w, _ in items], idf)
     # the row after the last stands for no word
-    project = np.concatenate([idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
-    goal = (vectors @ basis[:, :own_size]).astype(np.float32)
+    project = np.concatenate([(basis * idf).T, np.zeros((1, len(basis)), np.float32)])
+    goal = np.stack([basis @ _vector(w, idf) for _, w, _ in items])
     goal /= np.maximum(np.linalg.norm(goal, axis=1, keepdims=True), 1e-9)
+    del basis
     least = np.array([cosine * min(1.0, len(w) / (2 * STRIDE)) ** 0.5 for _, w, _ in items], np.float32)
     wanted = [(i, places(w), len(w), places(a), len(a)) for i, w, a in items]
     held = table.sparkSession.sparkContext.broadcast((project, goal, least, wanted, RunIndex([w for _, w, _ in items])))
+    del project, goal, wanted
 
     def judged(near: np.ndarray, item: tuple[int, dict[int, int], int, dict[int, int], int]) -> tuple[float, float, str] | None:
         _, wanted, size, answer, answer_size = item
@@ -313,14 +335,11 @@ def _search(table: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]], i
                     continue
                 steps, row = _steps(ends)
                 latent = summed(project, _step_slots(words, ends, steps, row))
-                one, square = latent[:, : goal.shape[1]] @ goal.T, np.einsum("ij,ij->i", latent, latent)
-                two, square_two = one.copy(), square.copy()
+                square = np.einsum("ij,ij->i", latent, latent)
                 together = np.flatnonzero(row[1:] == row[:-1])
-                two[together] += one[together + 1]
+                square_two = square.copy()
                 square_two[together] += square[together + 1] + 2 * np.einsum("ij,ij->i", latent[together], latent[together + 1])
-                one /= np.sqrt(np.maximum(square, 1e-9))[:, None]
-                two /= np.sqrt(np.maximum(square_two, 1e-9))[:, None]
-                likeness = np.maximum(one, two)
+                norm, norm_two = (np.sqrt(np.maximum(x, 1e-9))[:, None] for x in (square, square_two))
                 starts = np.concatenate([[0], ends[:-1]])
                 best: dict[tuple[int, int], tuple] = {}
 
@@ -329,23 +348,34 @@ def _search(table: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]], i
                     if got and got[0] > best.get((r, j), (0, -1.0))[1]:
                         best[r, j] = (likeness, *got)
 
-                for s, j in zip(*np.nonzero(likeness >= least)):
-                    r, reach = int(row[s]), items[j][2] // 2
-                    at = int(steps[s] - starts[r])
-                    tried(r, int(j), at - reach, at + 2 * STRIDE + reach, float(likeness[s, j]))
                 # runs whose items would start at about the same word are tried once
                 shared = np.stack(runs.hits(words, ends), axis=1)
                 shared[:, 2] //= STRIDE // 2
+                shared = np.unique(shared, axis=0)
+                shared = shared[np.argsort(shared[:, 1], kind="stable")]
                 first_step = np.searchsorted(steps, starts)
-                for r, j, at in np.unique(shared, axis=0).tolist():
-                    at, size = at * (STRIDE // 2), items[j][2]
-                    reach = min(size // 2, STRIDE)
-                    tried(r, j, at - reach, at + STRIDE // 2 + size + reach, float(likeness[first_step[r] + max(0, at) // STRIDE, j]))
+                for low in range(0, len(goal), BLOCK_ITEMS):
+                    own = goal[low : low + BLOCK_ITEMS]
+                    likeness = latent @ own.T
+                    two = likeness.copy()
+                    two[together] += likeness[together + 1]
+                    likeness = np.maximum(likeness / norm, two / norm_two)
+                    for s, j in zip(*np.nonzero(likeness >= least[low : low + BLOCK_ITEMS])):
+                        r, j, likely = int(row[s]), low + int(j), float(likeness[s, j])
+                        reach, at = items[j][2] // 2, int(steps[s] - starts[r])
+                        tried(r, j, at - reach, at + 2 * STRIDE + reach, likely)
+                    mine = shared[np.searchsorted(shared[:, 1], low) : np.searchsorted(shared[:, 1], low + len(own))]
+                    for r, j, at in mine.tolist():
+                        at, size = at * (STRIDE // 2), items[j][2]
+                        reach = min(size // 2, STRIDE)
+                        tried(r, j, at - reach, at + STRIDE // 2 + size + reach, float(likeness[first_step[r] + max(0, at) // STRIDE, j - low]))
                 out += [(batch.column(0)[first + r].as_py(), items[j][0], *b) for (r, j), b in best.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["id", "item_id", "cosine", "lcs_share", "answer_share", "kind"])
 
-    return table.mapInArrow(found, FOUND)
+    out = written(table.mapInArrow(found, FOUND), "found")
+    held.destroy()
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = COSINE) -> DataFrame:
@@ -366,26 +396,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     asked = asked.select("id", hashed("__t").alias("words"), hashed("__a").alias("answer")).where(F.size("words") > 0)
     asked = written(asked.select("id", "words", F.coalesce("answer", F.array().cast("array<int>")).alias("answer")), "items")
     texts = asked.select("words", "answer").distinct()
-    blocks = -(-texts.count() // BLOCK_ITEMS)
-    empty = spark.createDataFrame([], FOUND)
-    rows = table.count() if blocks else 0
-    if not rows:
-        return empty.withColumnRenamed("id", id_col)
+    texts = written(texts.select(F.monotonically_increasing_id().alias("text_id"), "words", "answer"), "item_texts")
+    items = [(t["text_id"], np.array(t["words"], np.int32), np.array(t["answer"] or t["words"], np.int32)) for t in texts.collect()]  # the benchmark
+    if not items or table.isEmpty():
+        return spark.createDataFrame([], FOUND).withColumnRenamed("id", id_col)
     passages = written(passage_table(table), "passages")
     seen, steps = passage_frequencies(passages)
     idf = (np.log((1.0 + steps) / (1.0 + seen)) + 1.0).astype(np.float32)
-    basis = latent_basis(passages, idf)
-    # a block of hashes may hold more than BLOCK_ITEMS texts: it is split by row number
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("words", "answer"), F.lit(blocks)))
-    texts = texts.withColumn("number", F.row_number().over(Window.partitionBy("block").orderBy("words", "answer")) - 1)
-    texts = written(texts.withColumn("part", F.floor(F.col("number") / BLOCK_ITEMS)).withColumn("text_id", F.col("block") * (1 << 32) + F.col("number")), "item_texts")
-    found = empty
-    for r in texts.select("block", "part").distinct().orderBy("block", "part").collect():  # a row a block
-        own = texts.where((F.col("block") == r["block"]) & (F.col("part") == r["part"])).orderBy("number").collect()  # at most BLOCK_ITEMS rows
-        items = [(t["text_id"], np.array(t["words"], np.int32), np.array(t["answer"] or t["words"], np.int32)) for t in own]
-        found = found.union(_search(table, items, idf, basis, cosine))
+    found = _search(table, items, idf, latent_basis(passages, idf), cosine)
     ids = asked.join(texts, ["words", "answer"]).select("text_id", F.col("id").alias("own_id"))
-    found = found.join(F.broadcast(ids) if blocks == 1 else ids, found["item_id"] == ids["text_id"])
+    found = found.join(ids, found["item_id"] == ids["text_id"])
     return found.select(F.col("id").alias(id_col), F.col("own_id").alias("item_id"), "cosine", "lcs_share", "answer_share", "kind")
 
 
