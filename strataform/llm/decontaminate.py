@@ -180,6 +180,13 @@ def orthonormal(rows: np.ndarray, least: float, most: int) -> np.ndarray:
     return (turn[:, kept] / np.sqrt(square[kept])).T.astype(np.float32) @ rows
 
 
+def _by_slot(basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A row of weighted basis for each slot, side by side in memory; the row after the last stands for no word."""
+    out = np.zeros((SLOTS + 1, len(basis)), np.float32)
+    np.multiply(basis.T, idf[:, None], out=out[:SLOTS])
+    return out
+
+
 def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """The leading right singular vectors of all distinct passages, as rows."""
     width = rank + SPARE
@@ -203,7 +210,7 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.n
     # twice, as the squares that the first is made of lose half of the digits
     q = orthonormal(orthonormal(sketch, 1e-4, width), 0.5, width)
     width = len(q)
-    turned = passages.sparkSession.sparkContext.broadcast(np.concatenate([(q * idf).T, np.zeros((1, width), np.float32)]))
+    turned = passages.sparkSession.sparkContext.broadcast(_by_slot(q, idf))
 
     def squared(slots: np.ndarray) -> np.ndarray:
         rows = summed(turned.value, slots) / np.sqrt(norms(slots)[1])[:, None]
@@ -306,8 +313,7 @@ FOUND = "id long, item_id long, cosine double, lcs_share double, answer_share do
 
 def _search(table: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]], idf: np.ndarray, basis: np.ndarray, cosine: float) -> DataFrame:
     basis = with_items(basis, [w for _, w, _ in items], idf)
-    # the row after the last stands for no word
-    project = np.concatenate([(basis * idf).T, np.zeros((1, len(basis)), np.float32)])
+    project = _by_slot(basis, idf)
     goal = np.stack([basis @ _vector(w, idf) for _, w, _ in items])
     goal /= np.maximum(np.linalg.norm(goal, axis=1, keepdims=True), 1e-9)
     del basis
