@@ -47,9 +47,11 @@ TAGS = {
     "tile_counts": 325,
 }
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
+#: More samples for each stored byte than any of the compressions can give.
+EXPANSION = 4096
 #: Struct letters and bytes of the field types that are read.
 TYPES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
-#: How the pages of a file are stored in turn: compression, predictor, tiled.
+#: How the pages of a file are stored in turn, from the one that the payload's checksum names on: compression, predictor, tiled.
 SCHEMES = [(DEFLATE, 1, False), (LZW, 2, False), (PACKBITS, 1, True), (DEFLATE, 2, True)]
 
 
@@ -161,7 +163,14 @@ def unpack_lzw(data: bytes) -> bytes:
 
 
 PACK: dict[int, Callable[[bytes], bytes]] = {NONE: bytes, LZW: pack_lzw, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: pack_bits}
-UNPACK: dict[int, Callable[[bytes], bytes]] = {NONE: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+UNPACK: dict[int, Callable[[bytes], bytes]] = {NONE: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+
+
+def unpack(compression: int, data: bytes, size: int) -> bytes:
+    """The samples of a strip or tile; deflate gives no more than ``size`` of them, whatever its bytes say."""
+    if compression in (DEFLATE, OLD_DEFLATE):
+        return zlib.decompressobj().decompress(data, max(1, size))
+    return UNPACK[compression](data)
 
 
 def encode_tiff(payload: bytes, page_rows: int = PAGE_ROWS, schemes: list = SCHEMES) -> bytes:
@@ -171,9 +180,10 @@ def encode_tiff(payload: bytes, page_rows: int = PAGE_ROWS, schemes: list = SCHE
     out = bytearray(b"II*\0\0\0\0\0")
     link = 4
     step = page_rows * ROW_BYTES
+    turn = zlib.crc32(payload)
     for number, start in enumerate(range(0, len(payload), step)):
         page = payload[start : start + step]
-        compression, predictor, tiled = schemes[number % len(schemes)]
+        compression, predictor, tiled = schemes[(turn + number) % len(schemes)]
         rows = len(page) // ROW_BYTES
         pixels = np.frombuffer(page, np.uint8).reshape(rows, WIDTH, CHANNELS)
         block = TILE_ROWS if tiled else STRIP_ROWS
@@ -247,12 +257,20 @@ def decode_tiff(data: bytes) -> Iterator[dict]:
             places, counts = tags[TAGS[f"{kind}_offsets"]], tags[TAGS[f"{kind}_counts"]]
             wide = one("tile_width", width) if tiled else width
             high = one("tile_height", height) if tiled else min(one("rows_per_strip", height), height)
-            across = -(-width // wide)
+            if min(width, height, channels, wide, high) < 1:
+                raise BadTiff(f"page {number} has no size")
+            across, down = -(-width // wide), -(-height // high)
+            if not len(places) == len(counts) == across * down:
+                raise BadTiff(f"page {number} has {len(places)} places and {len(counts)} lengths of {across * down} {kind}s")
+            # checked before anything of that size is made
+            held = sum(min(c, max(0, len(data) - p)) for p, c in zip(places, counts))
+            if max(width * height, across * wide * down * high) * channels > EXPANSION * held:
+                raise BadTiff(f"page {number} is larger than its {kind}s can hold")
             pixels = np.zeros((height, width, channels), np.uint8)
-            for i, (place, count) in enumerate(zip(places, counts, strict=True)):
+            for i, (place, count) in enumerate(zip(places, counts)):
                 top, left = i // across * high, i % across * wide
                 rows = high if tiled else min(high, height - top)
-                raw = UNPACK[compression](data[place : place + count])
+                raw = unpack(compression, data[place : place + count], rows * wide * channels)
                 if len(raw) < rows * wide * channels:
                     raise BadTiff(f"page {number} has too few samples")
                 block = np.frombuffer(raw, np.uint8, rows * wide * channels).reshape(rows, wide, channels)
@@ -260,7 +278,9 @@ def decode_tiff(data: bytes) -> Iterator[dict]:
                     block = np.cumsum(block, axis=1, dtype=np.uint8)
                 pixels[top : top + rows, left : left + wide] = block[: height - top, : width - left]
             yield {"page": number, "width": width, "height": height, "channels": channels, "compression": compression, "predictor": predictor, "layout": kind, "samples": pixels.tobytes()}
-    except (struct.error, KeyError, IndexError, zlib.error) as e:
+    except BadTiff:
+        raise
+    except (struct.error, KeyError, IndexError, zlib.error, ValueError, ArithmeticError) as e:
         raise BadTiff(str(e)) from e
 
 
