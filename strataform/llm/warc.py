@@ -7,7 +7,9 @@ folder, so that task retries and lost executors are Spark's to settle.
 Reading: the segments of an archive are streamed in order through a small state
 machine. A payload leaves it as chunk rows: record id, chunk number, bytes, and
 the SHA-1 of the payload up to that chunk. No record is ever whole in memory;
-a task holds one segment and one chunk.
+a task holds one segment, one chunk, and the WARC head of one record, however
+long its url is. The HTTP head is passed over as it comes; a record that has no
+blank line within its length is all head, its payload empty.
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ from strataform.llm.common import written
 SEGMENT_BYTES = 1 << 18
 ARCHIVE_BYTES = 1 << 23
 CHUNK_BYTES = 1 << 16
-HEAD_LIMIT = 1 << 20
 SEGMENTS = "archive string, part long, bytes binary"
 CHUNKS = "archive string, record_id string, row_id long, uri string, chunk int, bytes binary, payload_so_far long, digest_so_far string, last boolean"
 _SEGMENT_SCHEMA = pa.schema([("archive", pa.string()), ("part", pa.int64()), ("bytes", pa.binary())])
 _CHUNK_SCHEMA = pa.schema(
     [("archive", pa.string()), ("record_id", pa.string()), ("row_id", pa.int64()), ("uri", pa.string()), ("chunk", pa.int32()), ("bytes", pa.binary()), ("payload_so_far", pa.int64()), ("digest_so_far", pa.string()), ("last", pa.bool_())]
 )
+_BLANK = b"\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -109,6 +111,7 @@ class ChunkReader:
         self.archive, self.size = archive, chunk_bytes
         self.held = bytearray()
         self.state = "head"
+        self.sought = 0
         self.unzip = None
         self.first = True
 
@@ -134,16 +137,25 @@ class ChunkReader:
             if self.unzip.eof:
                 self.unzip = None
 
-    def _head(self, mark: bytes) -> bytes | None:
-        at = self.held.find(mark)
+    def _head(self) -> bytes | None:
+        at = self.held.find(_BLANK, self.sought)
         if at < 0:
-            if len(self.held) > HEAD_LIMIT:
-                raise ValueError(f"archive {self.archive}: a head of more than {HEAD_LIMIT} bytes")
+            self.sought = max(0, len(self.held) - 3)
             return None
         head = bytes(self.held[:at])
-        del self.held[: at + len(mark)]
+        del self.held[: at + 4]
+        self.sought = 0
         return head
 
+    def _passed_http(self) -> bool:
+        """Drop the HTTP head as far as it is here; whether that was all of it."""
+        at = self.held.find(_BLANK, 0, self.left)
+        ended = at >= 0 or len(self.held) >= self.left
+        size = at + 4 if at >= 0 else self.left if ended else max(0, len(self.held) - 3)
+        del self.held[:size]
+        self.left -= size
+        return ended
+
     def _row(self, size: int) -> tuple:
         piece = bytes(self.held[:size])
         del self.held[:size]
@@ -158,7 +170,7 @@ class ChunkReader:
             if self.state == "head":
                 while self.held[:2] == b"\r\n":
                     del self.held[:2]
-                head = self._head(b"\r\n\r\n")
+                head = self._head()
                 if head is None:
                     return
                 version, *lines = head.decode("utf-8", "replace").split("\r\n")
@@ -173,10 +185,8 @@ class ChunkReader:
                 http = fields.get("content-type", "").startswith("application/http")
                 self.state = "http" if http and self.kind == "response" else "payload"
             elif self.state == "http":
-                before = len(self.held)
-                if self._head(b"\r\n\r\n") is None:
+                if not self._passed_http():
                     return
-                self.left -= before - len(self.held)
                 self.state = "payload"
             else:
                 while self.left > self.size and len(self.held) >= self.size:
@@ -242,6 +252,8 @@ def revisit_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     ends = read_chunks(segments).where("last").select(F.col("row_id").alias(id_col), F.col("payload_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"))
     ends = written(ends, "warc-records")
     first = ends.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes")).agg(F.min(id_col).alias("__first"))
+    # written, so that the join is of plain tables, whose large keys adaptive execution splits
+    first = written(first, "warc-first")
     own = F.col("__first").isNull() | F.col(id_col).eqNullSafe(F.col("__first"))
     joined = ends.join(first, (ends.payload_digest == F.col("__digest")) & (ends.payload_bytes == F.col("__bytes")), "left")
     return joined.select(
