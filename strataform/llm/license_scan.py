@@ -88,15 +88,21 @@ def _diagonals(docs: DataFrame, id_col: str, text_col: str, phrases: list, templ
     rolled = own.select("d_id", "d_fp", "n_words", "words", F.posexplode_outer("grams").alias("p", "h"))
 
     t, n_grams = _template_grams(docs, phrases, templates)
-    mark = docs.sparkSession.createDataFrame([(_MARK, "", 0, False, 1, 0, 0, [])], "t_id int, t_label string, t_k int, t_exact boolean, t_n int, t_pos int, t_hash bigint, t_gram array<string>")
+    mark = docs.sparkSession.createDataFrame([(_MARK, "", 1, False, 1, 0, 0, [])], "t_id int, t_label string, t_k int, t_exact boolean, t_n int, t_pos int, t_hash bigint, t_gram array<string>")
     t = t.select(mark.columns).unionByName(mark)
-    t = F.broadcast(t) if n_grams <= BROADCAST_GRAMS else t
     # the first element of a document's grams is its marker; then the short grams, then the long ones
     n_short = F.greatest(F.col("n_words") - (PHRASE_K - 1), F.lit(0))
     start = F.when(F.col("p") <= n_short, F.col("p") - 1).otherwise(F.col("p") - 1 - n_short)
+    if n_grams <= BROADCAST_GRAMS:
+        t, gram = F.broadcast(t), F.slice("words", start + 1, F.col("t_k"))
+    else:
+        # the grams are shuffled: each with its own words, not with all of its document
+        k = F.when(F.col("p") <= n_short, PHRASE_K).otherwise(TEMPLATE_K)
+        rolled = rolled.withColumn("gram", F.when(F.col("p") > 0, F.slice("words", start + 1, k))).drop("words")
+        gram = F.col("gram")
     hits = rolled.join(t, rolled.h == t.t_hash)
     own_mark = (F.col("p") == 0) & (F.col("t_id") == _MARK)
-    same = (F.col("p") > 0) & (F.col("t_id") != _MARK) & (F.slice("words", start + 1, F.col("t_k")) == F.col("t_gram"))
+    same = (F.col("p") > 0) & (F.col("t_id") != _MARK) & (gram == F.col("t_gram"))
     hits = hits.where(own_mark | same).select("d_id", "d_fp", "n_words", "t_id", "t_label", "t_exact", "t_n", "t_k", "t_pos", F.when(F.col("p") == 0, F.lit(0)).otherwise(start).alias("start"))
     return (
         hits.withColumn("diagonal", F.col("start") - F.col("t_pos"))
@@ -106,7 +112,10 @@ def _diagonals(docs: DataFrame, id_col: str, text_col: str, phrases: list, templ
 
 
 def _spans(diagonals: DataFrame, coverage: float) -> DataFrame:
-    """Neighbouring diagonals of a template merged, kept if they cover enough of it; marker rows pass."""
+    """Neighbouring diagonals of a template merged, kept if their grams hold enough of its words; marker rows pass.
+
+    So a word put in, left out or replaced costs a template no more than that word.
+    """
     by = Window.partitionBy("d_id", "d_fp", "n_words", "t_id").orderBy("diagonal")
     near = F.when(F.col("t_exact"), F.lit(0)).otherwise(F.lit(SLACK))
     step = F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= near, 0).otherwise(1)
@@ -115,7 +124,7 @@ def _spans(diagonals: DataFrame, coverage: float) -> DataFrame:
         .withColumn("island", F.sum("step").over(by))
         .groupBy("d_id", "d_fp", "n_words", "t_id", "t_label", "t_exact", "t_n", "t_k", "island")
         .agg(F.max("rows").alias("rows"), F.flatten(F.collect_list("seen")).alias("seen"), F.min("first").alias("first"), F.max("last").alias("last"))
-        .withColumn("covered", F.size(F.array_distinct("seen")) / F.col("t_n"))
+        .withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform("seen", lambda p: F.sequence(p, p + F.col("t_k") - 1))))) / (F.col("t_n") + F.col("t_k") - 1))
         .drop("seen")
     )
     enough = F.when(F.col("t_exact"), F.col("covered") >= 1.0).otherwise(F.col("covered") >= coverage)

@@ -43,13 +43,13 @@ base AS (
 dgram AS (
   SELECT doc_id, i, 2 AS k, w0 || ' ' || w1 AS gram FROM g WHERE w1 IS NOT NULL
   UNION ALL SELECT doc_id, i, 5, concat_ws(' ', w0, w1, w2, w3, w4) FROM g WHERE w4 IS NOT NULL),
-hit AS (SELECT doc_id, tid, label, n, tpos, i - tpos AS d FROM dgram JOIN tgram USING (k, gram)),
+hit AS (SELECT doc_id, tid, label, k, n, tpos, i - tpos AS d FROM dgram JOIN tgram USING (k, gram)),
 dd AS (SELECT DISTINCT doc_id, tid, d FROM hit),
 st AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY doc_id, tid ORDER BY d) <= {SLACK} THEN 0 ELSE 1 END AS s FROM dd),
 isl AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, tid ORDER BY d) AS island FROM st),
 sp AS (
-  SELECT doc_id, label, count(DISTINCT tpos) / CAST(min(n) AS DOUBLE) AS covered
-  FROM hit JOIN isl USING (doc_id, tid, d) GROUP BY doc_id, tid, label, island),
+  SELECT doc_id, label, count(DISTINCT wpos) / CAST(min(n + k - 1) AS DOUBLE) AS covered
+  FROM (SELECT *, unnest(range(tpos, tpos + k)) AS wpos FROM hit JOIN isl USING (doc_id, tid, d)) GROUP BY doc_id, tid, label, island),
 lab AS (SELECT doc_id, label, 1.0::DOUBLE AS covered FROM base UNION ALL SELECT * FROM sp WHERE covered >= 0.8),
 lb AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(covered) AS score FROM lab GROUP BY doc_id),
 bb AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id)
