@@ -8,15 +8,17 @@ Shuffles: (1) one row for each distinct line of a document, combined before it
 moves, to count documents; (2) line hashes with positions, without any text,
 against the frequent hashes; (3) documents against their dropped positions.
 Text moves once. A line that a third of all documents hold makes one large
-key in (2) only, which is a plain sort-merge join whose large partitions
-adaptive execution splits.
+key in (2) only. Frequent hashes and dropped positions are written before they
+are joined, so both joins are of plain tables, whose large keys adaptive
+execution splits; and a lost executor doesn't count lines anew. Lines are told
+apart by 128 bits of hash, which aren't confirmed on the strings.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strataform.llm.common import fresh, lower_ascii, text_or_empty
+from strataform.llm.common import fresh, lower_ascii, text_or_empty, written
 
 #: The characters stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -61,10 +63,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .where(F.col("n") >= min_docs)
         .select("a", "b")
     )
-    placed = own.select("__id", "__fp", F.posexplode("__keys").alias("__pos", "__key")).where(long_enough(F.col("__key")))
+    # the outer form: a plain one makes Spark compute the keys once more, to filter empty arrays
+    placed = own.select("__id", "__fp", F.posexplode_outer("__keys").alias("__pos", "__key")).where(long_enough(F.col("__key")))
     placed = placed.select("__id", "__fp", "__pos", _hash(F.col("__key")).alias("h")).select("__id", "__fp", "__pos", "h.a", "h.b")
-    gone = placed.join(frequent, ["a", "b"], "left_semi").groupBy("__id", "__fp").agg(F.collect_set("__pos").alias("__gone"))
-    gone = gone.select(F.col("__id").alias("__gid"), F.col("__fp").alias("__gfp"), "__gone")
+    gone = placed.join(written(frequent, "frequent"), ["a", "b"], "left_semi").groupBy("__id", "__fp").agg(F.collect_set("__pos").alias("__gone"))
+    gone = written(gone.select(F.col("__id").alias("__gid"), F.col("__fp").alias("__gfp"), "__gone"), "gone")
 
     held = base.withColumn("__fp", F.xxhash64(text_or_empty(text_col))).join(gone, (F.col(id_col).eqNullSafe(F.col("__gid"))) & (F.col("__fp") == F.col("__gfp")), "left")
     held = held.withColumn("__lines", lines).withColumn("n_lines", F.size("__lines").cast("long"))
