@@ -72,6 +72,42 @@ def test_unreadable_files_give_an_error_row(spark):
     assert [(r.row_id, r.n_pages, r.error is not None) for r in tiff.tiff_pages(files).collect()] == [(1, 0, True)]
 
 
+def test_bad_sizes_and_counts_are_errors():
+    import struct
+
+    good = tiff.encode_tiff(b"ab" * 960, schemes=[(8, 1, False)])
+
+    def changed(tag: int, value: int) -> bytes:
+        (at,) = struct.unpack_from("<I", good, 4)
+        out = bytearray(good)
+        for i in range(struct.unpack_from("<H", good, at)[0]):
+            if struct.unpack_from("<H", good, at + 2 + 12 * i)[0] == tag:
+                struct.pack_into("<I", out, at + 10 + 12 * i, value)
+        return bytes(out)
+
+    assert b"".join(p["samples"] for p in tiff.decode_tiff(good)) == b"ab" * 960
+    for tag, value in ((256, 0), (257, 0), (257, 4_000_000_000), (277, 0), (278, 0), (278, 1), (256, 65_535)):
+        with pytest.raises(tiff.BadTiff):
+            list(tiff.decode_tiff(changed(tag, value)))
+    for end in range(len(good)):
+        with pytest.raises(tiff.BadTiff):
+            list(tiff.decode_tiff(good[:end]))
+
+
+def test_big_endian_pages_are_read():
+    import struct
+
+    entries = [(256, 3, 2), (257, 3, 1), (258, 3, 8), (259, 3, 1), (273, 4, 8), (277, 3, 1), (278, 3, 1), (279, 4, 2)]
+    data = b"MM\0*" + struct.pack(">I", 10) + b"\7\x09" + struct.pack(">H", len(entries))
+    data += b"".join(struct.pack(">HHI", t, k, 1) + struct.pack(">I" if k == 4 else ">HH", *([v] if k == 4 else [v, 0])) for t, k, v in entries) + struct.pack(">I", 0)
+    assert [p["samples"] for p in tiff.decode_tiff(data)] == [b"\7\x09"]
+
+
+def test_every_scheme_meets_short_texts():
+    used = {next(tiff.decode_tiff(tiff.encode_tiff(tiff.pad_payload(f"text {i}".encode()))))["compression"] for i in range(40)}
+    assert used == {c for c, _, _ in tiff.SCHEMES}
+
+
 # --- 2: WARC
 
 
@@ -88,6 +124,25 @@ def test_warc_chunks_carry_running_digests(spark, gzip):
         assert data == text.encode() and [r.last for r in own] == [False] * (len(own) - 1) + [True]
 
 
+def test_warc_heads_of_any_length(spark):
+    """A url of 5 MB, repeated rows, and a payload of several segments."""
+    url, text = "http://a/" + "x" * 5_000_000, "é" * 400_000
+    pages = spark.createDataFrame([(1, url, "a"), (1, url, "a"), (2, "b", text), (None, "c", text)], "page_id long, url string, html string")
+    found = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.revisit_records(pages).collect())
+    assert found == [(0, 800_000, "revisit", 2), (1, 1, "response", None), (1, 1, "response", None), (2, 800_000, "response", None)]
+    assert {len(r.uri) for r in warc.read_chunks(warc.write_archives(pages.where("page_id = 1"))).collect()} == {len(url)}
+
+
+def test_http_record_without_a_blank_line():
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n"
+    data = head % 30 + b"x" * 30 + b"\r\n\r\n" + head % 9 + b"H\r\n\r\nbody\r\n\r\n"
+    for step in (1, 7, len(data)):
+        reader = warc.ChunkReader("a", 16)
+        rows = [r for i in range(0, len(data), step) for r in reader.feed(data[i : i + step])]
+        reader.close()
+        assert [r[5] for r in rows] == [b"", b"body"]
+
+
 def test_warc_revisits_of_odd_rows(spark):
     pages = spark.createDataFrame([(5, "a", "same"), (3, "b", "same"), (9, "c", None), (8, "d", "")], "page_id long, url string, html string")
     found = {r.page_id: (r.record_type, r.refers_to) for r in warc.revisit_records(pages).collect()}
@@ -328,6 +383,34 @@ def test_licenses_of_odd_rows(odd, none):
     assert license_report(odd).count() == odd.count() and license_report(none).count() == 0
 
 
+def test_licenses_with_a_changed_word(spark):
+    """Notices with a word put in, left out or replaced in the middle keep their label; strangers have none."""
+    from strataform.llm.license_scan import TEMPLATES, license_report
+
+    rows, wanted = [], {}
+    for i, (text, label) in enumerate(TEMPLATES):
+        words = text.split()
+        k = len(words) // 2
+        changes = [words] if len(words) < 11 else [words, [*words[:k], "odd", *words[k:]], words[:k] + words[k + 1 :], [*words[:k], "odd", *words[k + 1 :]]]
+        for own in changes:
+            wanted[len(rows)] = label
+            rows.append((len(rows), " ".join(prose(i, 20) + own + prose(i + 50, 20))))
+    rows += [(1000 + i, " ".join(prose(600 + i, 60))) for i in range(5)]
+    got = {r.doc_id: r.labels for r in license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i].split(",") for i, label in wanted.items())
+    assert all(got[1000 + i] == "" for i in range(5))
+
+
+def test_licenses_with_many_templates_take_a_join(spark, sf_dir, monkeypatch):
+    """Above the bound of the broadcast the rows are the same."""
+    from strataform.llm import license_scan
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    usual = sorted(map(str, license_scan.license_report(docs).collect()))
+    monkeypatch.setattr(license_scan, "BROADCAST_GRAMS", 0)
+    assert sorted(map(str, license_scan.license_report(docs).collect())) == usual
+
+
 # --- 8: language ID
 
 
@@ -351,6 +434,8 @@ def test_lines_of_odd_rows(spark, odd, none):
     from strataform.llm.line_dedup import drop_repeated_lines
 
     assert drop_repeated_lines(odd).count() == odd.count() and drop_repeated_lines(none).count() == 0
+    kept = sorted((r.doc_id or 0, r.text, r.n_lines, r.n_dropped) for r in drop_repeated_lines(odd).collect())
+    assert kept == sorted((i or 0, t or "", (t or "").count("\n") + 1, 0) for i, t in odd.select("doc_id", "text").collect())
     docs = spark.createDataFrame([(i, f" Common \nown {i}\n\ncommon") for i in range(10)], "doc_id long, text string")
     assert {(r.text, r.n_lines, r.n_dropped) for r in drop_repeated_lines(docs).collect()} == {(f"own {i}\n", 4, 2) for i in range(10)}
     assert {r.n_dropped for r in drop_repeated_lines(docs.limit(9)).collect()} == {0}
