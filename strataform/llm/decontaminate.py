@@ -126,8 +126,8 @@ def passage_frequencies(passages: DataFrame) -> tuple[np.ndarray, float]:
     return found[:SLOTS], float(found[SLOTS])
 
 
-def _added(passages: DataFrame, share: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
-    """The sum over all passages of what ``share`` makes of some of them, added by parts of PART rows."""
+def _added(passages: DataFrame, share: Callable[[np.ndarray, np.ndarray], None], shape: tuple[int, int]) -> np.ndarray:
+    """The sum over all passages of what ``share`` adds to it for some of them, added by parts of PART rows."""
     rows, width = shape
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,7 @@ def _added(passages: DataFrame, share: Callable[[np.ndarray], np.ndarray], shape
         for batch in batches:
             slots = _slots(batch)
             for i in range(0, len(slots), 2048):
-                total += share(slots[i : i + 2048])
+                share(slots[i : i + 2048], total)
         for part in range(-(-rows // PART)):
             block = total[part * PART : (part + 1) * PART].astype(np.float32)
             if block.any():
@@ -146,6 +146,8 @@ def _added(passages: DataFrame, share: Callable[[np.ndarray], np.ndarray], shape
         return pa.table({"part": group["part"].slice(0, 1), "share": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     out = np.zeros(shape, np.float32)
+    # a task's share is as large as the sum: as many tasks as cores, not as partitions
+    passages = passages.coalesce(max(1, passages.sparkSession.sparkContext.defaultParallelism))
     for r in passages.mapInArrow(shared, "part int, share binary").groupBy("part").applyInArrow(added, "part int, share binary").collect():
         block = np.frombuffer(r["share"], np.float32).reshape(-1, width)
         out[r["part"] * PART : r["part"] * PART + len(block)] = block
@@ -198,12 +200,15 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.n
         value = held.value[slots]
         return value, np.maximum(np.einsum("ij,ij->i", value, value), 1e-9)
 
-    def sketched(slots: np.ndarray) -> np.ndarray:
+    def sketched(slots: np.ndarray, total: np.ndarray) -> None:
         # a word's slot, and the column and sign that each word of its passage has in the sparse random matrix
         value, square = norms(slots)
-        keys = slots[:, :, None].astype(np.int64) * width + column[slots][:, None, :]
-        weights = (value / square[:, None])[:, :, None] * (value * sign[slots])[:, None, :]
-        return np.bincount(keys.ravel(), weights.ravel(), minlength=(SLOTS + 1) * width).reshape(SLOTS + 1, width)[:SLOTS]
+        own, others = value / square[:, None].astype(np.float64), value * sign[slots]
+        columns, base = column[slots], slots.astype(np.int64) * width
+        for k in range(slots.shape[1]):
+            real = slots[:, k] < SLOTS
+            keys, weights = base[real, k, None] + columns[real], own[real, k, None] * others[real]
+            np.add.at(total.reshape(-1), keys.ravel(), weights.ravel())
 
     sketch = np.ascontiguousarray(_added(passages, sketched, (SLOTS, width)).T)
     sketch /= max(1e-30, float(np.abs(sketch).max()))
@@ -212,9 +217,9 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.n
     width = len(q)
     turned = passages.sparkSession.sparkContext.broadcast(_by_slot(q, idf))
 
-    def squared(slots: np.ndarray) -> np.ndarray:
+    def squared(slots: np.ndarray, total: np.ndarray) -> None:
         rows = summed(turned.value, slots) / np.sqrt(norms(slots)[1])[:, None]
-        return rows.T @ rows
+        total += rows.T @ rows
 
     small = _added(passages, squared, (width, width))
     held.destroy()
