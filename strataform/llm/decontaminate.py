@@ -49,6 +49,8 @@ GROUP_WORDS = 100_000
 RUN_BITS = 20
 #: Rows of a share of the sum that travel together.
 PART = 256
+#: Chunks of passages whose sum is kept in single precision, before it goes to the task's sum in double.
+FLUSH = 64
 
 
 def word_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -131,15 +133,20 @@ def _added(passages: DataFrame, share: Callable[[np.ndarray, np.ndarray], None],
     rows, width = shape
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
+        total, part, chunks = np.zeros(shape), np.zeros(shape, np.float32), 0
         for batch in batches:
             slots = _slots(batch)
             for i in range(0, len(slots), 2048):
-                share(slots[i : i + 2048], total)
-        for part in range(-(-rows // PART)):
-            block = total[part * PART : (part + 1) * PART].astype(np.float32)
+                share(slots[i : i + 2048], part)
+                chunks += 1
+                if chunks % FLUSH == 0:
+                    total += part
+                    part[:] = 0
+        total += part
+        for number in range(-(-rows // PART)):
+            block = total[number * PART : (number + 1) * PART].astype(np.float32)
             if block.any():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["part", "share"])
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["part", "share"])
 
     def added(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(s.as_buffer(), np.float32).astype(np.float64) for s in group["share"])
@@ -193,7 +200,7 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.n
     """The leading right singular vectors of all distinct passages, as rows."""
     width = rank + SPARE
     draw = np.random.Generator(np.random.PCG64(7))
-    column, sign = np.append(draw.integers(0, width, SLOTS), 0), np.append(draw.choice([-1.0, 1.0], SLOTS), 0.0)
+    column, sign = np.append(draw.integers(0, width, SLOTS), 0), np.append(draw.choice([-1.0, 1.0], SLOTS), 0.0).astype(np.float32)
     held = passages.sparkSession.sparkContext.broadcast(np.append(idf, np.float32(0)))
 
     def norms(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +210,7 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.n
     def sketched(slots: np.ndarray, total: np.ndarray) -> None:
         # a word's slot, and the column and sign that each word of its passage has in the sparse random matrix
         value, square = norms(slots)
-        own, others = value / square[:, None].astype(np.float64), value * sign[slots]
+        own, others = value / square[:, None], value * sign[slots]
         columns, base = column[slots], slots.astype(np.int64) * width
         for k in range(slots.shape[1]):
             real = slots[:, k] < SLOTS
