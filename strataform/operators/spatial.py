@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strataform.functions.staging import staged
+
 #: Fixed value: the mean radius of the earth in metres.
 EARTH = 6371008.8
 DEGREE = EARTH * 3.141592653589793 / 180
@@ -96,12 +98,13 @@ def nearest_sites(points: DataFrame, sites: DataFrame, point_id: str, site_id: s
 
     Points and sites have columns x and y. A point looks in its cell and the
     eight around it; if its k-th site there is further than a cell is wide,
-    cells twice as wide are tried, for the points that are left only. After
-    ``most`` doublings the cells are as wide as the earth, so that points with
-    fewer than ``k`` sites anywhere end with those that there are. Null ids are kept apart from
-    no one; null places meet nothing.
+    cells twice as wide are tried, for the points that are left only; what is
+    left is checkpointed before. After ``most`` doublings the cells are as wide
+    as the earth. Where there are fewer than ``k`` sites, all are found. Point
+    ids are distinct; null ids and null places meet nothing.
     """
-    left, found = points.select(point_id, "x", "y"), None
+    k = min(k, sites.where("x IS NOT NULL AND y IS NOT NULL").count())
+    left, found = points.where("x IS NOT NULL AND y IS NOT NULL").where(F.col(point_id).isNotNull()).select(point_id, "x", "y"), None
     s = sites.select(site_id, F.col("x").alias("sx"), F.col("y").alias("sy"))
     for step in range(most + 1):
         around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
@@ -116,9 +119,10 @@ def nearest_sites(points: DataFrame, sites: DataFrame, point_id: str, site_id: s
         done = (near if last else done.where("__far = 1")).select(point_id, "x", "y", site_id, "sx", "sy", "degrees", "rank")
         found = done if found is None else found.union(done)
         if not last:
-            left = left.join(done.select(point_id).distinct(), point_id, "left_anti")
+            found = staged(found)
+            left = staged(left.join(found.select(point_id).distinct(), point_id, "left_anti"))
             size *= 2
-            if left.isEmpty():
+            if not k or left.isEmpty():
                 break
     return found
 

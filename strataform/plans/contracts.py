@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from strataform.functions.staging import staged
 from strataform.plans.registry import query, table
 
 
@@ -127,8 +128,8 @@ def seed_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys in order cut to batches of 1,000, without sorting them in one task: ranges first, then places within a range."""
     spread = table(spark, sf_dir, "orders").select("o_orderkey").repartitionByRange("o_orderkey").withColumn("part", F.spark_partition_id())
-    # range bounds are sampled, so the ranges are fixed by one write before they are counted
-    spread = spread.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else spread.persist()
+    # range bounds are sampled, so the ranges are fixed by a checkpoint before they are counted
+    spread = staged(spread)
     counts = spread.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
     before = counts.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))  # a row a partition
     place = F.row_number().over(Window.partitionBy("part").orderBy("o_orderkey")) + F.col("before")

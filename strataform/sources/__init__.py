@@ -1 +1 @@
-"""Readers and sinks: wide tables, JSON payloads, cell tables, upserts, tiles."""
+"""Readers of delivered files and writers of versioned tables."""
