@@ -262,8 +262,8 @@ def percent_change_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("year", "n", "prev", change.cast("double").alias("change_pct"))
 
 
-@query("rank_pages", "SELECT page, count(*) AS n, min(s_suppkey) AS first_key FROM (SELECT s_suppkey, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 2 AS page FROM supplier WHERE s_nationkey = 1) GROUP BY 1")
+@query("rank_pages", "SELECT s_nationkey, page, count(*) AS n, min(s_suppkey) AS first_key FROM (SELECT s_nationkey, s_suppkey, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 2 AS page FROM supplier) GROUP BY 1, 2")
 def rank_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").where("s_nationkey = 1")
+    s = table(spark, sf_dir, "supplier")
     at = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1
-    return s.select("s_suppkey", F.floor(at / 2).alias("page")).groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("first_key"))
+    return s.select("s_nationkey", "s_suppkey", F.floor(at / 2).alias("page")).groupBy("s_nationkey", "page").agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("first_key"))

@@ -270,10 +270,10 @@ def typed_exclusion_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.withColumn("reason", reason).select("n_nationkey", F.when(F.col("reason").isNull(), F.col("v")).alias("value"), "reason")
 
 
-@query("nulls_last_sorts", "SELECT s_suppkey, bal, row_number() OVER (ORDER BY bal DESC NULLS LAST, s_suppkey) AS down, row_number() OVER (ORDER BY bal ASC NULLS LAST, s_suppkey) AS up FROM (SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN NULL ELSE s_acctbal END AS bal FROM supplier WHERE s_nationkey = 3)")
+@query("nulls_last_sorts", "SELECT s_suppkey, bal, row_number() OVER (PARTITION BY s_nationkey ORDER BY bal DESC NULLS LAST, s_suppkey) AS down, row_number() OVER (PARTITION BY s_nationkey ORDER BY bal ASC NULLS LAST, s_suppkey) AS up FROM (SELECT s_suppkey, s_nationkey, CASE WHEN s_acctbal < 0 THEN NULL ELSE s_acctbal END AS bal FROM supplier)")
 def nulls_last_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks of one region's rows, nulls last in both directions."""
-    s = table(spark, sf_dir, "supplier").where("s_nationkey = 3").select("s_suppkey", "s_nationkey", F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("bal"))
+    """Ranks within each region, nulls last in both directions."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("bal"))
     w = Window.partitionBy("s_nationkey")
     down = F.row_number().over(w.orderBy(F.desc_nulls_last("bal"), "s_suppkey")).cast("long")
     up = F.row_number().over(w.orderBy(F.asc_nulls_last("bal"), "s_suppkey")).cast("long")
