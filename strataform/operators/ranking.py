@@ -2,7 +2,7 @@
 
 Ranks over a whole table never sort it in one task: values are counted first,
 the counts of the distinct values are summed in order, and rows are numbered
-within their value. The values are decimals of a bounded scale, so the one
+within their value and range of keys. The values are decimals of a bounded scale, so the one
 ordered sum is over a bounded domain.
 """
 
@@ -16,9 +16,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from strataform.functions.rounding import half_even
 
 
-def _before(df: DataFrame, value: str, descending: bool) -> DataFrame:
-    """Each distinct value, how many rows come before it, and how many rows there are."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+#: Bits of a whole-number key that are left out of its range: a value's rows are numbered by ranges of 65,536 keys.
+RANGE_BITS = 16
+
+
+def _before(df: DataFrame, value: str, descending: bool, times: str | None = None) -> DataFrame:
+    """Each distinct value, how many rows come before it, and how many rows there are; a row stands for ``times`` rows."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg((F.sum(times) if times else F.count(F.lit(1))).alias("__n"))
     order = F.desc(value) if descending else F.asc(value)
     running = F.sum("__n").over(Window.orderBy(order)) - F.col("__n")
     total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("population"))
@@ -26,11 +30,21 @@ def _before(df: DataFrame, value: str, descending: bool) -> DataFrame:
 
 
 def rank_all(df: DataFrame, value: str, key: str, rank: str = "rank", descending: bool = True) -> DataFrame:
-    """Add ``rank``, 1-based in the total order of value and key, and ``population``. Null values aren't ranked."""
-    before = _before(df, value, descending)
-    joined = df.join(before, df[value] == before["__v"])
-    within = F.row_number().over(Window.partitionBy("__v").orderBy(key))
-    return joined.withColumn(rank, (F.col("__before") + within).cast("long")).drop("__v", "__before")
+    """Add ``rank``, 1-based in the total order of value and key, and ``population``. Null values aren't ranked.
+
+    A value that many rows have is numbered in many tasks, one for each range of
+    whole-number keys; other keys, and null ones, make one range, before the rest.
+    """
+    whole = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    bucket = F.shiftright(F.col(key).cast("long"), RANGE_BITS) if whole else F.lit(None).cast("long")
+    ranged = df.where(F.col(value).isNotNull()).withColumn("__range", F.coalesce(bucket, F.lit(-(1 << 62))))
+    counts = ranged.groupBy(value, "__range").agg(F.count(F.lit(1)).alias("__m"))
+    before = _before(counts, value, descending, "__m")
+    ahead = F.sum("__m").over(Window.partitionBy("__v").orderBy("__range")) - F.col("__m")
+    places = counts.join(before, counts[value] == before["__v"]).select("__v", F.col("__range").alias("__r"), (F.col("__before") + ahead).alias("__before"), "population")
+    joined = ranged.join(places, (ranged[value] == places["__v"]) & (ranged["__range"] == places["__r"]))
+    within = F.row_number().over(Window.partitionBy("__v", "__r").orderBy(key))
+    return joined.withColumn(rank, (F.col("__before") + within).cast("long")).drop("__v", "__r", "__range", "__before")
 
 
 def percentile_rank(df: DataFrame, value: str, out: str = "percentile") -> DataFrame:

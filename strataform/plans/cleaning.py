@@ -129,13 +129,22 @@ def duplicate_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("n > 1").select("digest", "n", (F.col("n") - 1).alias("surplus"), "across_sources")
 
 
-_DELIVERED = """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS status, CAST(o_totalprice AS DECIMAL(20,2)) AS price FROM orders WHERE o_orderkey % 11 <> 0"""
+_STORED = """SELECT o_orderkey AS k, o_orderstatus AS status, CAST(o_totalprice AS DECIMAL(20,2)) AS price FROM orders WHERE o_orderdate < DATE '2001-01-01'"""
+_DELIVERED = """SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'O' THEN 'F' ELSE o_orderstatus END AS status, CAST(o_totalprice AS DECIMAL(20,2)) AS price FROM orders WHERE o_orderdate >= DATE '1996-01-01'"""
+
+
+def _version(orders: DataFrame, status: Column) -> DataFrame:
+    return orders.select(F.col("o_orderkey").alias("k"), status.alias("status"), F.col("o_totalprice").cast("decimal(20,2)").alias("price"))
+
+
+def stored(orders: DataFrame) -> DataFrame:
+    """What is known of the orders before the last year's delivery; every order is stored, delivered or both."""
+    return _version(orders.where("o_orderdate < DATE '2001-01-01'"), F.col("o_orderstatus"))
 
 
 def delivered(orders: DataFrame) -> DataFrame:
-    """Made-up next delivery of the orders: some changed, some gone."""
-    status = F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))
-    return orders.where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("k"), status.alias("status"), F.col("o_totalprice").cast("decimal(20,2)").alias("price"))
+    """The next delivery: open orders are filled, those before 1996 gone."""
+    return _version(orders.where("o_orderdate >= DATE '1996-01-01'"), F.when(F.col("o_orderstatus") == "O", "F").otherwise(F.col("o_orderstatus")))
 
 
 def change_plan(stored: DataFrame, arriving: DataFrame, key: str, material: list[str]) -> DataFrame:
@@ -149,20 +158,19 @@ def change_plan(stored: DataFrame, arriving: DataFrame, key: str, material: list
 @query(
     "upsert_plan",
     f"""SELECT action, count(*) AS n FROM (SELECT CASE WHEN o.k IS NULL THEN 'insert' WHEN d.k IS NULL THEN 'absent' WHEN o.status IS NOT DISTINCT FROM d.status AND o.price IS NOT DISTINCT FROM d.price THEN 'keep' ELSE 'update' END AS action
-FROM (SELECT o_orderkey AS k, o_orderstatus AS status, CAST(o_totalprice AS DECIMAL(20,2)) AS price FROM orders WHERE o_orderkey % 13 <> 0) o FULL JOIN ({_DELIVERED}) d ON o.k = d.k) GROUP BY action""",
+FROM ({_STORED}) o FULL JOIN ({_DELIVERED}) d ON o.k = d.k) GROUP BY action""",
 )
 def upsert_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    stored = orders.where("o_orderkey % 13 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(20,2)").alias("price"))
-    return change_plan(stored, delivered(orders), "k", ["status", "price"]).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    return change_plan(stored(orders), delivered(orders), "k", ["status", "price"]).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("insert_ignore", "SELECT o_orderkey % 13 = 0 AS inserted, count(*) AS n FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY ALL")
+@query("insert_ignore", f"SELECT o.k IS NULL AS inserted, count(*) AS n FROM ({_DELIVERED}) d LEFT JOIN ({_STORED}) o ON o.k = d.k GROUP BY ALL")
 def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arriving keys that are stored are skipped; both kinds are counted."""
     orders = table(spark, sf_dir, "orders")
-    stored = orders.where("o_orderkey % 13 <> 0").select(F.col("o_orderkey").alias("k"), F.lit(True).alias("known"))
-    return delivered(orders).join(stored, "k", "left").groupBy(F.col("known").isNull().alias("inserted")).agg(F.count(F.lit(1)).alias("n"))
+    known = stored(orders).select("k", F.lit(True).alias("known"))
+    return delivered(orders).join(known, "k", "left").groupBy(F.col("known").isNull().alias("inserted")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("freshness_rollup", "SELECT event_type, max(ts) AS last_seen, arg_max(event_id, (ts, event_id)) AS last_event, count(*) AS n FROM events GROUP BY event_type")

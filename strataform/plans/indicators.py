@@ -10,12 +10,12 @@ from strataform.operators.scoring import composite, critic_weights, curve, provi
 from strataform.plans.registry import query, table
 from strataform.plans.scoring import CANDIDATES_SQL, WEIGHTS, candidates
 
-_POP = "SELECT c_nationkey AS nk, count(*) AS population FROM customer WHERE c_nationkey % 7 <> 0 GROUP BY 1"
+_POP = "SELECT c_nationkey AS nk, count(*) AS population FROM customer GROUP BY 1"
 _WASTE = "SELECT c_nationkey AS nk, o_orderpriority AS stream, sum(CAST(o_totalprice AS DECIMAL(20,2))) AS qty FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) = 1997 GROUP BY 1, 2"
 
 
 def _population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_nationkey % 7 <> 0").groupBy(F.col("c_nationkey").alias("nk")).agg(F.count(F.lit(1)).alias("population"))
+    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nk")).agg(F.count(F.lit(1)).alias("population"))
 
 
 def _waste(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,10 +117,10 @@ def capital_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("r_name").agg(F.sum("pop").alias("population"), F.sum("bal").cast("double").alias("balance"))
 
 
-@query("generation_burden_scatter", "WITH x AS (SELECT s_nationkey AS nk, count(*) AS burden FROM supplier GROUP BY 1), y AS (SELECT c_nationkey AS nk, count(*) AS generation FROM customer WHERE c_nationkey % 6 <> 0 GROUP BY 1), j AS (SELECT nk, burden, generation FROM x JOIN y USING (nk)), m AS (SELECT median(burden) AS mb, median(generation) AS mg FROM j) SELECT x.nk, CASE WHEN j.nk IS NULL THEN 'NO_MATCH' END AS reason, CASE WHEN j.nk IS NOT NULL THEN (CASE WHEN j.generation >= mg THEN 'HIGH' ELSE 'LOW' END) || '/' || (CASE WHEN j.burden >= mb THEN 'HIGH' ELSE 'LOW' END) END AS quadrant FROM x LEFT JOIN j ON x.nk = j.nk CROSS JOIN m")
+@query("generation_burden_scatter", "WITH x AS (SELECT s_nationkey AS nk, count(*) AS burden FROM supplier GROUP BY 1), y AS (SELECT c_nationkey AS nk, count(*) AS generation FROM customer GROUP BY 1), j AS (SELECT nk, burden, generation FROM x JOIN y USING (nk)), m AS (SELECT median(burden) AS mb, median(generation) AS mg FROM j) SELECT x.nk, CASE WHEN j.nk IS NULL THEN 'NO_MATCH' END AS reason, CASE WHEN j.nk IS NOT NULL THEN (CASE WHEN j.generation >= mg THEN 'HIGH' ELSE 'LOW' END) || '/' || (CASE WHEN j.burden >= mb THEN 'HIGH' ELSE 'LOW' END) END AS quadrant FROM x LEFT JOIN j ON x.nk = j.nk CROSS JOIN m")
 def generation_burden_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nk")).agg(F.count(F.lit(1)).alias("burden"))
-    y = table(spark, sf_dir, "customer").where("c_nationkey % 6 <> 0").groupBy(F.col("c_nationkey").alias("nk")).agg(F.count(F.lit(1)).alias("generation"))
+    y = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nk")).agg(F.count(F.lit(1)).alias("generation"))
     j = x.join(y, "nk", "left")
     m = j.where("generation IS NOT NULL").agg(F.median("burden").alias("mb"), F.median("generation").alias("mg"))
     side = lambda a, b: F.when(F.col(a) >= F.col(b), "HIGH").otherwise("LOW")
