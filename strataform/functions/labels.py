@@ -87,3 +87,45 @@ def redacted(json: Column) -> Column:
 def fixed_point(c: Column, places: int = 8) -> Column:
     """A weight as text with a fixed number of places, without the sign of a zero."""
     return c.cast(f"decimal({places + 4},{places})").cast("string")
+
+
+#: Short and old names of provinces, by the official one; marks of a company and of its label.
+SIDO_NAMES = {"서울특별시": ["서울특별시", "서울시", "서울"], "인천광역시": ["인천광역시", "인천시", "인천"], "경기도": ["경기도", "경기"]}
+COMPANY = r"(\(주\)|\(유\)|㈜|주식회사|유한회사)"
+CONTRACTOR_LABELS = ["계약상대자", "계약상대방", "업체"]
+
+
+def request_address(sido: Column, sigungu: Column, address: Column) -> Column:
+    """The address with province and district in front, unless it begins with them; an unknown province is put in front as it is."""
+    a, s, g = tidy(address), tidy(sido), tidy(sigungu)
+    first = F.substring_index(a, " ", 1)
+    qualified = F.lit(False)
+    for names in SIDO_NAMES.values():
+        qualified = qualified | (s.isin(*names) & first.isin(*names))
+    return F.when(qualified, a).when(a.startswith(g), F.concat_ws(" ", s, a)).otherwise(F.concat_ws(" ", s, g, a))
+
+
+def simple_address(address: Column) -> Column:
+    """The address without brackets and without further lots at its end; null if nothing goes, or all."""
+    short = F.regexp_replace(F.regexp_replace(address, r"\([^)]*\)", " "), r"([0-9]+(?:-[0-9]+)?),[0-9,\-]+\s*$", "$1")
+    return F.when((tidy(short) != tidy(address)) & (tidy(short) != ""), tidy(short))
+
+
+def geocode_attempts(address: Column) -> Column:
+    """The tries in their order: the address by road, by parcel, then the simple one likewise."""
+    tries = [F.when(a.isNotNull(), F.struct(a.alias("address"), F.lit(kind).alias("kind"))) for a in (address, simple_address(address)) for kind in ("ROAD", "PARCEL")]
+    return F.array_compact(F.array(*tries))
+
+
+def contractor(name: Column, note: Column) -> Column:
+    """The company that a note names after a label, else the one at the end of a contract's name; null without a company's mark."""
+    text, found = tidy(note), []
+    for label in CONTRACTOR_LABELS:
+        start = F.coalesce(F.nullif(F.instr(text, label + ":"), F.lit(0)) + len(label) + 1, F.nullif(F.instr(text, label), F.lit(0)) + len(label))
+        tail = F.trim(F.substring(text, start, F.length(text)))
+        candidate = F.regexp_replace(F.element_at(F.split(tail, r"[,;|]|\s{2,}|\.\s"), 1), r"^[ .,;|]+|[ .,;|]+$", "")
+        found.append(F.when(candidate.rlike(COMPANY), F.substring(candidate, 1, 200)))
+    title = tidy(name)
+    last = F.trim(F.substring_index(title, " - ", -1))
+    found.append(F.when(title.contains(" - ") & last.rlike(COMPANY), F.substring(last, 1, 200)))
+    return F.coalesce(*found)
