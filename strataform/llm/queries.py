@@ -81,6 +81,24 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.conversation_repair import damage_report
+
+    return damage_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataform.llm.spelling import DAMAGE, group_variants
+
+    return group_variants(table(spark, sf_dir, "documents"), damage=DAMAGE)
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "op1_tiff_media": op1_tiff_media,
@@ -93,6 +111,9 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_line_dedup": op9_line_dedup,
         "op10_near_dups": op10_near_dups,
+        "op11_token_counts": op11_token_counts,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_spelling_variants": op13_spelling_variants,
         "pipeline": pipeline,
     }
     return found
