@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strataform.llm.common import table, written
 from strataform.llm.decontaminate import drop_leaks
 from strataform.llm.line_dedup import drop_repeated_lines
-from strataform.llm.near_dups import near_duplicates
+from strataform.llm.near_dups import keep_one
 from strataform.llm.packing import pack_documents
 from strataform.llm.quality import KEEP, held_out, score_quality, train
 
@@ -25,10 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, the one with the smallest id; those without an id stay."""
-    classes = near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(classes, docs["doc_id"] == classes["__kept"], "left_semi")
-    return kept.union(docs.where("doc_id IS NULL"))
+    """One document of each class stays: one with the smallest id."""
+    return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -440,6 +440,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those that hold a benchmark item; rows without an id stay."""
-    leaks = written(find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__leak")).where("__leak IS NOT NULL").distinct(), "leaks")
-    return docs.join(leaks, docs[id_col] == leaks["__leak"], "left_anti")
+    """The rows of ``docs`` without those whose text holds a benchmark item.
+
+    Rows are judged by their texts: of rows that share an id, or have none, only
+    those that hold an item go.
+    """
+    own = F.xxhash64(F.col(id_col), text_or_empty(text_col))
+    leaks = find_leaks(docs.select(own.alias("__key"), F.col(text_col).alias("__text")), benchmark, "__key", "__text")
+    leaks = written(leaks.select(F.col("__key").alias("__leak")).distinct(), "leaks")
+    return docs.join(leaks, own == leaks["__leak"], "left_anti")

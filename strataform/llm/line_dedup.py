@@ -5,7 +5,8 @@ and lines over the threshold dropped; what stays is put together by position.
 Only DataFrame functions are used.
 
 Shuffles: (1) one row for each distinct line of a document, combined before it
-moves, to count documents; (2) line hashes with positions, without any text,
+moves, to count documents: rows whose id no other row has are counted, those of
+ids that repeat are counted once an id; (2) line hashes with positions, without any text,
 against the frequent hashes; (3) documents against their dropped positions.
 Text moves once. A line that a third of all documents hold makes one large
 key in (2) only. Frequent hashes and dropped positions are written before they
@@ -42,8 +43,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null or empty text: one empty line, kept, as keys shorter than
     ``min_chars`` code points are never dropped; the text comes back empty.
-    Each row is a document: repeated rows count again and come back as often.
-    Null ids are kept like any other id. Input columns named like the two
+    Rows with the same id are one document: a line counts once for all of them,
+    and repeated rows come back as often. Rows without an id count for no line,
+    but lose frequent lines like others. Input columns named like the two
     counts are replaced; other columns pass through. An empty table gives an
     empty table.
     """
@@ -56,13 +58,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return F.length(key) >= min_chars
 
     hashes = F.array_distinct(F.transform(F.filter("__keys", long_enough), _hash))
-    frequent = (
-        own.select(F.explode(hashes).alias("h"))
-        .groupBy(F.col("h.a").alias("a"), F.col("h.b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_docs)
-        .select("a", "b")
-    )
+    repeated = base.groupBy(F.col(id_col).alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1 AND __again IS NOT NULL").select("__again")
+    counted = own.where("__id IS NOT NULL").join(written(repeated, "repeated"), F.col("__id") == F.col("__again"), "left")
+    counted = counted.select(F.explode(hashes).alias("h"), "__again").groupBy(F.col("h.a").alias("a"), F.col("h.b").alias("b"), "__again").agg(F.count(F.lit(1)).alias("n"))
+    documents = F.sum(F.when(F.col("__again").isNull(), F.col("n")).otherwise(1))
+    frequent = counted.groupBy("a", "b").agg(documents.alias("n")).where(F.col("n") >= min_docs).select("a", "b")
     # the outer form: a plain one makes Spark compute the keys once more, to filter empty arrays
     placed = own.select("__id", "__fp", F.posexplode_outer("__keys").alias("__pos", "__key")).where(long_enough(F.col("__key")))
     placed = placed.select("__id", "__fp", "__pos", _hash(F.col("__key")).alias("h")).select("__id", "__fp", "__pos", "h.a", "h.b")

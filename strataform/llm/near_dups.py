@@ -14,11 +14,16 @@ frequencies are counted over all texts in a hashed table of fixed size.
    pair is verified by the exact weighted Jaccard similarity. Verified pairs are
    joined to classes by large-star and small-star rounds.
 4. In a bucket of more than one class, the members outside its leader's class
-   are compared with all members of other classes, block by block: a task holds
-   two blocks of bounded size, verifies their candidates, and returns the links
-   that join classes, fewer than the block has members. So no list of
-   pairs is ever made, and no link between classes is lost. A pair that shares
-   several buckets is compared in one of them only.
+   are compared with all members of other classes. A bucket of more than one
+   block is first split into families: the shingles that texts of such buckets
+   share, the most frequent last, have a beginning that two similar texts can't
+   both do without, so texts that share nothing in it, even by way of others,
+   are never compared. What many unlike texts have in common (a passage, a
+   notice) comes last and joins no families. A family is compared block by
+   block: a task holds two blocks of bounded size, verifies their candidates,
+   and returns the links that join classes, fewer than the block has members.
+   So no list of pairs is ever made, and no link between classes is lost. A pair
+   that shares several buckets is compared in one of them only.
 5. The links of both steps are joined to classes again.
 
 Sketching is map-only. The texts move once, to be joined with the texts that
@@ -242,7 +247,7 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
-CELL = ["bucket", "part", "other"]
+CELL = ["bucket", "family", "part", "other"]
 
 
 def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -252,7 +257,7 @@ def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+        keys = np.stack([batch.column(c).to_numpy() for c in range(len(CELL))], axis=1)
         starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
         for i, j in zip(starts[:-1], starts[1:]):
             key = tuple(keys[i].tolist())
@@ -305,17 +310,67 @@ def joining_links(cell: pa.Table, similar: float) -> list[tuple[int, int]]:
     return links
 
 
+def families(feats: DataFrame, similar: float) -> DataFrame:
+    """tid and family of the texts that have a partner to be compared with: similar texts are in one family.
+
+    Shingles are ordered by the number of texts that have them. The last of a
+    text's shingles that together weigh less than ``similar`` of it are left out:
+    all that two texts share can't lie there if they are similar, so they share a
+    shingle before it. A shingle's texts are joined by links to the smallest.
+    """
+    least = similar - 1e-4
+
+    def exploded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, weights = _weighted_set(batch.column(1), batch.column(2), i)
+                tid = np.full(len(ids), batch.column(0)[i].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tid), pa.array(ids.astype(np.int64)), pa.array(weights)], names=["tid", "shingle", "weight"])
+
+    def first_ones(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            ends, fields = column.offsets.to_numpy(), column.values.flatten()
+            count, shingle, weight = (f.to_numpy() for f in fields)
+            tids, found = [], []
+            for i, (tid, whole) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                own = slice(ends[i], ends[i + 1])
+                order = np.lexsort((shingle[own], count[own]))
+                behind = np.cumsum(weight[own][order][::-1].astype(np.float64))[::-1]
+                found.append(shingle[own][order][behind >= least * whole])
+                tids.append(np.full(len(found[-1]), tid, np.int64))
+            if tids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tids)), pa.array(np.concatenate(found))], names=["tid", "shingle"])
+
+    parts = feats.select("tid", "ids", "weights").mapInArrow(exploded, "tid long, shingle long, weight float")
+    shared = written(parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "shared-shingles")
+    own = parts.join(shared, "shingle").groupBy("tid").agg(F.collect_list(F.struct("texts", "shingle", "weight")).alias("own")).join(feats.select("tid", "whole"), "tid")
+    first = written(own.select("tid", "whole", "own").mapInArrow(first_ones, "tid long, shingle long"), "first-shingles")
+    leaders = written(first.groupBy("shingle").agg(F.min("tid").alias("leader"), F.max("tid").alias("__last")).where("leader <> __last").drop("__last"), "leaders")
+    links = first.join(leaders, "shingle").where("tid <> leader").select(F.col("leader").alias("a"), F.col("tid").alias("b")).distinct()
+    return written(components(links).select("tid", F.col("class").alias("family")), "families")
+
+
 def links_between_classes(members: DataFrame, classes: DataFrame, texts: DataFrame, feats: DataFrame, similar: float) -> DataFrame:
     """Links a, b that join classes which share a bucket and hold a pair of this similarity."""
     own = members.join(classes, "tid", "left").withColumn("class", F.coalesce("class", "tid"))
     own = own.join(classes.select(F.col("tid").alias("leader"), F.col("class").alias("main")), "leader", "left")
     own = written(own.select("bucket", "tid", "class", (F.col("class") != F.coalesce("main", "leader")).alias("outside")), "placed")
-    sizes = own.join(feats.select("tid", F.octet_length("ids").alias("bytes")), "tid").groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.bool_or("outside").alias("mixed")
-    )
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
-    sizes = written(sizes.where("mixed").select("bucket", blocks), "mixed")
-    crowd = written(own.join(sizes, "bucket"), "crowd")
+
+    def sized(rows: DataFrame, *keys: str) -> DataFrame:
+        sizes = rows.join(feats.select("tid", F.octet_length("ids").alias("bytes")), "tid").groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.bool_or("outside").alias("mixed")
+        )
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+        return written(sizes.where("mixed AND n > 1").select(*keys, blocks), "mixed")
+
+    crowd = written(own.join(sized(own, "bucket"), "bucket").withColumn("family", F.lit(0).cast("long")), "crowd")
+    wide = crowd.where("blocks > 1").drop("blocks", "family")
+    if not wide.isEmpty():
+        full = feats.join(wide.select("tid").distinct().hint("merge"), "tid", "left_semi")
+        wide = written(wide.join(families(full, similar), "tid"), "wide")
+        wide = wide.join(sized(wide, "bucket", "family"), ["bucket", "family"])
+        crowd = written(crowd.where("blocks = 1").unionByName(wide), "crowd")
     full = texts.select("tid", "bands", "sig").join(crowd.select("tid").distinct().hint("merge"), "tid", "left_semi").join(feats.hint("merge"), "tid")
     crowd = crowd.join(full.hint("merge"), "tid").withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
     steps = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -333,21 +388,14 @@ def links_between_classes(members: DataFrame, classes: DataFrame, texts: DataFra
     return cells.mapInArrow(compared, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """id and class_id, the smallest id of its class, for every row of ``docs``.
-
-    Null texts are empty; texts without words are copies only of equal texts.
-    Rows that share an id but not their text are classed by their texts, each
-    on its own. Rows without an id take the class of their copies that have
-    one, else null. Repeated rows stay;
-    other columns aren't read; an empty table gives an empty one.
-    """
+def _classed(docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
+    """id and raw (the hash of the text) of every row, with those of a row that stands for its class: class_id, class_raw."""
     idf = document_frequencies(docs, text_col)
     sketches = written(sketch(docs, idf, id_col, text_col), "sketches")
     named = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "raw"))).alias("rep")
     texts = sketches.groupBy("fa", "fb").agg(named, F.first("bands").alias("bands"), F.first("sig").alias("sig")).where("rep IS NOT NULL")
     # numbers of texts: any will do, but they must not change, so the table is written with them
-    texts = written(texts.select(F.monotonically_increasing_id().alias("tid"), "fa", "fb", F.col("rep.id").alias("rep"), "rep.raw", "bands", "sig"), "texts")
+    texts = written(texts.select(F.monotonically_increasing_id().alias("tid"), "fa", "fb", F.col("rep.id").alias("rep"), F.col("rep.raw").alias("raw"), "bands", "sig"), "texts")
     rows = texts.select("tid", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("tid").alias("leader"), F.max("tid").alias("__last")).where("leader <> __last").drop("__last")
     members = written(rows.join(written(shared, "shared"), "bucket"), "members")
@@ -364,7 +412,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = written(links_between_classes(members, classes, texts, feats, similar), "links")
     if not more.isEmpty():
         classes = written(components(links.union(more)), "classes")
-    texts = written(texts.join(classes, "tid", "left").select("fa", "fb", "rep", F.coalesce("class", "tid").alias("class")), "classed")
-    first = written(texts.groupBy("class").agg(F.min("rep").alias("class_id")), "first")
-    texts = written(texts.join(first, "class").select("fa", "fb", "class_id"), "classed")
-    return sketches.select("id", "fa", "fb").join(texts, ["fa", "fb"], "left").select(F.col("id").alias(id_col), "class_id")
+    texts = written(texts.join(classes, "tid", "left").select("fa", "fb", "rep", "raw", F.coalesce("class", "tid").alias("class")), "classed")
+    first = written(texts.groupBy("class").agg(F.min(F.struct("rep", "raw")).alias("least")), "first")
+    texts = written(texts.join(first, "class").select("fa", "fb", F.col("least.rep").alias("class_id"), F.col("least.raw").alias("class_raw")), "classed")
+    return sketches.select("id", "raw", "fa", "fb").join(texts, ["fa", "fb"], "left").select("id", "raw", "class_id", "class_raw")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """id and class_id, the smallest id of its class, for every row of ``docs``.
+
+    Null texts are empty; texts without words are copies only of equal texts.
+    Rows that share an id but not their text are classed by their texts, each
+    on its own. Rows without an id take the class of their copies that have
+    one, else null. Repeated rows stay;
+    other columns aren't read; an empty table gives an empty one.
+    """
+    return _classed(docs, id_col, text_col, similar).select(F.col("id").alias(id_col), "class_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """One row of each class of near duplicates: one with the smallest id, and with the class's text of that id.
+
+    Rows are told apart by id and text, so of repeated rows one stays, and of
+    rows that share an id each class keeps its own. Rows without an id go if
+    their class has an id; else one of each text stays.
+    """
+    own = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__raw", F.xxhash64(text_or_empty(text_col)))
+    classed = written(_classed(docs, id_col, text_col, similar), "rows")
+    stay = classed.where((F.col("id") == F.col("class_id")) & (F.col("raw") == F.col("class_raw")) | F.col("class_id").isNull()).select(F.col("id").alias("__kept"), F.col("raw").alias("__text")).distinct()
+    kept = own.join(stay.hint("merge"), (F.col("__raw") == F.col("__text")) & F.col("__id").eqNullSafe(F.col("__kept")), "left_semi")
+    return kept.dropDuplicates(["__raw", "__id"]).drop("__id", "__raw")

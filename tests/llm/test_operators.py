@@ -441,6 +441,16 @@ def test_lines_of_odd_rows(spark, odd, none):
     assert {r.n_dropped for r in drop_repeated_lines(docs.limit(9)).collect()} == {0}
 
 
+def test_lines_count_documents_not_rows(spark, tmp_path):
+    """Rows of one id are one document, rows without an id none; as the SQL has it."""
+    from strataform.llm.line_dedup import drop_repeated_lines
+
+    rows = [(1, "x")] * 10 + [(i, "y") for i in range(9)] + [(None, "y")] * 3 + [(i, "z\nz") for i in (1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.text, r.n_dropped) for r in drop_repeated_lines(docs).collect()}
+    assert (1, "x", 0) in found and (0, "y", 0) in found and (10, "", 2) in found and not any(t.startswith("z") for _, t, _ in found)
+
+
 # --- 10: near duplicates
 
 
@@ -509,6 +519,32 @@ def test_near_duplicates_of_small_blocks_match_brute_force(spark, monkeypatch):
     assert got == wanted
 
 
+def test_texts_that_share_a_passage_only_are_not_compared(spark, monkeypatch):
+    """A mixed bucket of n texts with one passage: none of them enters a block, pairs among them do and are found."""
+    monkeypatch.setattr(near_dups, "BLOCK", 32)
+    passage = prose(1, 120)
+    pools = {}
+    for n in (200, 400):
+        texts = [" ".join(passage + prose(100 + i, 45)) for i in range(n)]
+        texts += [t + " and one more" for t in texts[:10]]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        sizes = []
+        monkeypatch.setattr(near_dups, "families", lambda feats, similar, made=near_dups.families: (f := made(feats, similar), sizes.append((feats.count(), f.count())))[0])
+        found = {r.doc_id: r.class_id for r in near_dups.near_duplicates(docs).collect()}
+        monkeypatch.undo()
+        monkeypatch.setattr(near_dups, "BLOCK", 32)
+        assert found == {i: i - n if i >= n else i for i in range(n + 10)}
+        pools[n] = sizes
+    assert all(after <= 20 < before for sizes in pools.values() for before, after in sizes) and pools[400]
+
+
+def test_keep_one_goes_by_text(spark):
+    p, q, r = (" ".join(prose(i, 60)) for i in (1, 2, 3))
+    rows = [(3, p), (5, p + " tail"), (5, q), (9, r), (9, r), (None, r), (None, "a text of its own"), (None, "a text of its own"), (11, None), (12, "")]
+    kept = near_dups.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((k.doc_id or 0, k.text) for k in kept), key=str) == sorted([(3, p), (5, q), (9, r), (0, "a text of its own"), (11, None)], key=str)
+
+
 def test_near_duplicate_recall_on_a_whole_table(spark):
     """Against all pairs of sf0.01: the links whose ends share a class."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -524,6 +560,27 @@ def test_near_duplicate_recall_on_a_whole_table(spark):
 # --- the pipeline
 
 
+def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):
+    """Nulls, shared ids, repeated rows and clashing columns go through all stages; an empty table gives an empty one."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(prose(77, 40)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = spark.createDataFrame([(21, "Before. " + " ".join(prose(77, 40)), None, 7, 0.5, 9), (21, " ".join(prose(78, 60)), None, 7, 0.5, 9)], SMALL)
+    for name, docs in (("odd", odd.union(leak)), ("none", none)):
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, str(tmp_path))
+            assert after.columns == docs.columns, stage_name
+            docs = spark.createDataFrame(after.collect(), docs.schema)
+        rows = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert (len(rows) > 0) == (name == "odd")
+        if name == "odd":
+            kept = docs.collect()
+            assert len({(k.doc_id, k.text) for k in kept}) == len(kept)
+            assert [k.text for k in kept if k.doc_id == 21] == [" ".join(prose(78, 60))]
+            assert [k.doc_id for k in kept].count(3) == 1 and [k.doc_id for k in kept].count(None) == 1
+
+
 def test_pipeline_packs_what_its_stages_keep(spark, sf_dir):
     import corpus_pipeline
 
