@@ -8,10 +8,15 @@ from pyspark.sql import Column, functions as F
 MONEY = r"^([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(\.[0-9]+)?\s*원?$"
 MONTHLY_AVERAGE, TOTALS = "월평균", ["계", "합계", "총계"]
 ISO_MONTH, KOREAN_MONTH = r"^([0-9]{4})-([0-9]{1,2})$", r"^([0-9]{1,2})월$"
-DATE_TOKEN = r"(?:([0-9]{4})\.\s*)?([0-9]{1,2})\.\s*([0-9]{1,2})"
 UNIT = r":\s*([^)\s]+)"
 PREFIXES = ["서울특별시", "인천광역시", "경기도"]
-SENSITIVE = ["servicekey", "consumer_secret", "accesstoken", "authorization", "password", "token"]
+#: Keys of requests and responses whose values are secret, in lower case.
+SENSITIVE = [
+    "authorization", "access_token", "accesstoken", "apikey", "api_key", "consumer_key", "consumer_secret", "key",
+    "rcis_api_key", "rcis_user_id", "secret", "servicekey", "token", "usrid", "password",
+]
+#: A piece of a JSON text: a string, a mark, a number or word, blanks, or a quote that is never closed.
+JSON_PIECE = r'"(?:[^"\\]++|\\.)*+"|[\[\]{}:,]|[^\[\]{}:,"\s]++|\s++|"'
 
 
 def tidy(c: Column) -> Column:
@@ -40,18 +45,25 @@ def label_period(c: Column, year: Column) -> tuple[Column, Column]:
 
 
 def _date(token: Column, year: Column) -> Column:
-    own = F.regexp_extract(token, DATE_TOKEN, 1)
-    parts = [F.when(own != "", own).otherwise(year.cast("string")), *[F.lpad(F.regexp_extract(token, DATE_TOKEN, i), 2, "0") for i in (2, 3)]]
-    return F.when(token.rlike(DATE_TOKEN), F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd"))
+    """A date from the last numbers between points, dashes and strokes: day, month, and the year if there is one."""
+    parts = F.filter(F.transform(F.split(token, r"[.\-/]"), lambda x: F.trim(x)), lambda x: x != "")
+    day, month, own = (F.get(parts, F.size(parts) - i) for i in (1, 2, 3))
+    text = F.concat_ws("-", F.when(own.rlike("^[0-9]{4}$"), own).otherwise(year.cast("string")), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+    return F.when(day.rlike("^[0-9]{1,2}$") & month.rlike("^[0-9]{1,2}$"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def date_range(c: Column, year: Column) -> tuple[Column, Column, Column]:
-    """Start, end and whether it is part of a year, of a label such as ``2024.2.26.~4.5``; a bare year has no dates."""
+    """Start, end and whether it is part of a year, of a label such as ``2024.2.26.~4.5``.
+
+    The end takes the start's year if it names none. A bare year has no dates
+    and is whole; a single date has none either, as it doesn't say where its
+    time ends, but it is part of a year.
+    """
     text = F.translate(tidy(c), "∼", "~")
     ranged = F.instr(text, "~") > 0
     start = F.when(ranged, _date(F.substring_index(text, "~", 1), year))
     end = F.when(ranged, _date(F.regexp_extract(text, "~(.*)$", 1), F.coalesce(F.year(start), year)))
-    return start, end, ranged
+    return start, end, ranged | text.rlike(r"^[0-9]{4}\s*[.\-/]")
 
 
 def list_cell(c: Column) -> Column:
@@ -72,16 +84,45 @@ def organisation(c: Column) -> Column:
     return F.trim(F.regexp_replace(name, "청$", ""))
 
 
-def selected_option(html: Column) -> Column:
-    """The value of a page's selected option; null without one."""
-    found = F.regexp_extract(html, r'<option\s+value="([^"]*)"\s+selected', 1)
-    return F.when(found != "", found)
+def selected_option(html: Column, name: str) -> Column:
+    """The value of the selected option of the select of that name, whatever other attributes there are; null without one."""
+    attribute = lambda tag, key: F.regexp_extract(tag, rf'(?is)(?:^|\s){key}\s*=\s*["\']([^"\']*)["\']', 1)
+    selects = F.transform(F.slice(F.split(html, r"(?i)<select\b"), 2, 2**30), lambda s: F.struct(F.substring_index(s, ">", 1).alias("tag"), F.element_at(F.split(s, r"(?i)</select"), 1).alias("body")))
+    body = F.get(F.filter(selects, lambda s: attribute(s.tag, "name") == name), 0)["body"]
+    tags = F.transform(F.slice(F.split(body, r"(?i)<option\b"), 2, 2**30), lambda o: F.substring_index(o, ">", 1))
+    chosen = F.get(F.filter(tags, lambda t: F.regexp_replace(t, "\"[^\"]*\"|'[^']*'", "").rlike(r"(?i)\sselected(\s|=|/|$)")), 0)
+    return F.when(chosen.rlike(r"(?i)\svalue\s*="), attribute(chosen, "value"))
 
 
 def redacted(json: Column) -> Column:
-    """A JSON text in which texts and numbers under a sensitive key, at any depth, are redacted; other parts stay as they are."""
-    names = "|".join(SENSITIVE)
-    return F.regexp_replace(json, rf'(?i)("(?:{names})"\s*:\s*)("(?:[^"\\]|\\.)*"|[-+0-9.eE]+|true|false|null)', '$1"[REDACTED]"')
+    """A JSON text in which the values under sensitive keys, of any kind and at any depth, are redacted; other parts stay as they are.
+
+    The text is walked piece by piece: a value that begins after a sensitive
+    key's colon is replaced, an object or array up to the mark that closes it.
+    Keys are compared in lower case, escapes read. What isn't JSON comes back
+    with what follows such keys replaced as far as it can be read.
+    """
+    pieces = F.regexp_extract_all(json, F.lit(JSON_PIECE), F.lit(0))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit(-1).alias("hidden"), F.lit("").alias("text"), F.lit(False).alias("secret"))
+
+    def plain(quoted: Column) -> Column:
+        return F.lower(F.when(quoted.contains("\\"), F.get(F.from_json(F.concat(F.lit("["), quoted, F.lit("]")), "array<string>"), 0)).otherwise(F.btrim(quoted, F.lit('"'))))
+
+    def step(s: Column, p: Column) -> Column:
+        opens, closes, blank = p.isin("{", "["), p.isin("}", "]"), F.trim(p) == ""
+        depth = s.depth + F.when(opens, 1).when(closes, -1).otherwise(0)
+        inside = s.hidden >= 0
+        begins = ~inside & s.secret & ~blank
+        hidden = F.when(inside & (depth > s.hidden), s.hidden).when(begins & opens, s.depth).otherwise(-1)
+        return F.struct(
+            F.when(inside, s.out).when(begins, F.concat(s.out, F.lit('"[REDACTED]"'))).otherwise(F.concat(s.out, p)).alias("out"),
+            depth.alias("depth"),
+            hidden.alias("hidden"),
+            F.when(p.startswith('"') & ~begins, p).when(blank, s.text).otherwise("").alias("text"),
+            F.when(blank, s.secret).otherwise(~inside & (p == ":") & F.coalesce(plain(s.text).isin(*SENSITIVE), F.lit(False))).alias("secret"),
+        )
+
+    return F.aggregate(pieces, start, step, lambda s: s.out)
 
 
 def fixed_point(c: Column, places: int = 8) -> Column:
@@ -89,43 +130,66 @@ def fixed_point(c: Column, places: int = 8) -> Column:
     return c.cast(f"decimal({places + 4},{places})").cast("string")
 
 
-#: Short and old names of provinces, by the official one; marks of a company and of its label.
-SIDO_NAMES = {"서울특별시": ["서울특별시", "서울시", "서울"], "인천광역시": ["인천광역시", "인천시", "인천"], "경기도": ["경기도", "경기"]}
-COMPANY = r"(\(주\)|\(유\)|㈜|주식회사|유한회사)"
+#: Names of provinces with their official ones; marks of a company; labels of a contractor, the first wins.
+SIDO_NAMES = {
+    "서울특별시": "서울특별시", "서울시": "서울특별시", "서울": "서울특별시",
+    "인천광역시": "인천광역시", "인천시": "인천광역시", "인천": "인천광역시",
+    "경기도": "경기도", "경기": "경기도",
+}
+COMPANY_MARKS = ["(주)", "(유)", "㈜", "주식회사", "유한회사"]
 CONTRACTOR_LABELS = ["계약상대자", "계약상대방", "업체"]
+NAME_LENGTH = 200
 
 
 def request_address(sido: Column, sigungu: Column, address: Column) -> Column:
-    """The address with province and district in front, unless it begins with them; an unknown province is put in front as it is."""
-    a, s, g = tidy(address), tidy(sido), tidy(sigungu)
-    first = F.substring_index(a, " ", 1)
-    qualified = F.lit(False)
-    for names in SIDO_NAMES.values():
-        qualified = qualified | (s.isin(*names) & first.isin(*names))
-    return F.when(qualified, a).when(a.startswith(g), F.concat_ws(" ", s, a)).otherwise(F.concat_ws(" ", s, g, a))
+    """The address after as many of province and district as it doesn't begin with; an unknown province is put in front as it is."""
+    official = F.create_map(*[F.lit(x) for pair in SIDO_NAMES.items() for x in pair])
+    words, place = F.split(tidy(address), " "), F.array(tidy(sido), tidy(sigungu))
+    same_province = F.coalesce(official[F.get(words, 0)] == official[F.get(place, 0)], F.lit(False))
+    missing = F.when(same_province, 0).when(F.startswith(tidy(address), F.get(place, 1)), 1).otherwise(2)
+    return F.array_join(F.concat(F.slice(place, 1, missing), words), " ")
+
+
+def _first_lot(word: Column) -> Column:
+    """A word that ends in lots between commas, up to the first lot; other words as they are."""
+    lots = F.substring(word, F.length(F.rtrim(word, F.lit("0123456789,-"))) + 1, F.length(word))
+    parts = F.split(lots, ",")
+    first = F.array_position(F.transform(parts, lambda p: p.rlike("[0-9]$")), True).cast("int")
+    rest = F.array_join(F.slice(parts, first + 1, F.size(parts)), ",")
+    cut = (first > 0) & (first < F.size(parts)) & (rest != "")
+    return F.when(cut, F.substring(word, F.lit(1), F.length(word) - F.length(rest) - 1)).otherwise(word)
 
 
 def simple_address(address: Column) -> Column:
     """The address without brackets and without further lots at its end; null if nothing goes, or all."""
-    short = F.regexp_replace(F.regexp_replace(address, r"\([^)]*\)", " "), r"([0-9]+(?:-[0-9]+)?),[0-9,\-]+\s*$", "$1")
-    return F.when((tidy(short) != tidy(address)) & (tidy(short) != ""), tidy(short))
+    parts = F.split(tidy(address), r"\(")
+    closed = F.transform(F.slice(parts, 2, 2**30), lambda p: F.when(p.contains(")"), F.concat(F.lit(" "), F.substring(p, F.instr(p, ")") + 1, F.length(p)))).otherwise(F.concat(F.lit("("), p)))
+    words = F.split(tidy(F.concat(F.get(parts, 0), F.array_join(closed, ""))), " ")
+    short = F.array_join(F.concat(F.slice(words, F.lit(1), F.size(words) - 1), F.array(_first_lot(F.element_at(words, -1)))), " ")
+    return F.when((short != tidy(address)) & (short != ""), short)
 
 
 def geocode_attempts(address: Column) -> Column:
-    """The tries in their order: the address by road, by parcel, then the simple one likewise."""
-    tries = [F.when(a.isNotNull(), F.struct(a.alias("address"), F.lit(kind).alias("kind"))) for a in (address, simple_address(address)) for kind in ("ROAD", "PARCEL")]
-    return F.array_compact(F.array(*tries))
+    """The tries in their order: each form of the address by road, then by parcel."""
+    forms, kinds = F.array_compact(F.array(address, simple_address(address))), F.array(F.lit("ROAD"), F.lit("PARCEL"))
+    return F.flatten(F.transform(forms, lambda a: F.transform(kinds, lambda k: F.struct(a.alias("address"), k.alias("kind")))))
 
 
 def contractor(name: Column, note: Column) -> Column:
-    """The company that a note names after a label, else the one at the end of a contract's name; null without a company's mark."""
-    text, found = tidy(note), []
-    for label in CONTRACTOR_LABELS:
-        start = F.coalesce(F.nullif(F.instr(text, label + ":"), F.lit(0)) + len(label) + 1, F.nullif(F.instr(text, label), F.lit(0)) + len(label))
-        tail = F.trim(F.substring(text, start, F.length(text)))
-        candidate = F.regexp_replace(F.element_at(F.split(tail, r"[,;|]|\s{2,}|\.\s"), 1), r"^[ .,;|]+|[ .,;|]+$", "")
-        found.append(F.when(candidate.rlike(COMPANY), F.substring(candidate, 1, 200)))
-    title = tidy(name)
-    last = F.trim(F.substring_index(title, " - ", -1))
-    found.append(F.when(title.contains(" - ") & last.rlike(COMPANY), F.substring(last, 1, 200)))
-    return F.coalesce(*found)
+    """The company that a note names after a label, else the one at the end of a contract's name; null without a company's mark.
+
+    A note is read by clauses: the first that has the label, with a colon if one
+    has, names the company.
+    """
+    clauses = F.split(tidy(note), r"[,;|]|\.\s")
+
+    def named(label: Column) -> Column:
+        own = F.when(F.contains(tidy(note), F.concat(label, F.lit(":"))), F.concat(label, F.lit(":"))).otherwise(label)
+        clause = F.get(F.filter(clauses, lambda c: F.contains(c, own)), 0)
+        return F.btrim(F.substring(clause, F.position(own, clause) + F.length(own), F.length(clause)), F.lit(" ."))
+
+    title = F.split(tidy(name), " - ")
+    found = F.transform(F.array(*[F.lit(x) for x in CONTRACTOR_LABELS]), named)
+    found = F.concat(found, F.when(F.size(title) > 1, F.array(F.trim(F.element_at(title, -1)))).otherwise(F.array().cast("array<string>")))
+    company = F.filter(found, lambda c: F.exists(F.array(*[F.lit(m) for m in COMPANY_MARKS]), lambda m: F.contains(c, m)))
+    return F.substring(F.get(company, 0), 1, NAME_LENGTH)

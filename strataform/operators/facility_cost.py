@@ -43,8 +43,8 @@ def facility_cost(df: DataFrame, bands: Sequence[Band]) -> DataFrame:
     ok = lambda c: F.coalesce(c, F.lit(False))
     valid_share = ok((F.col("share") > 0) & (F.col("share") <= 1))
     valid_days = ok(F.col("days").between(1, MAX_DAYS))
-    out = df.withColumn("service_ton", F.when(valid_share & ok(F.col("annual_ton") >= 0), F.bround(_dec(F.col("annual_ton"), 14, 3) * _dec(F.col("share"), 5, 4), 6)))
-    out = out.withColumn("capacity_tpd", F.when(valid_days, _dec(F.bround(_dec(F.col("service_ton"), 18, 6) / _dec(F.col("days"), 4, 0), 6), 18, 6)))
+    out = df.withColumn("service_ton", F.when(valid_share & ok(F.col("annual_ton") >= 0), F.bround(_dec(F.col("annual_ton"), 20, 6) * _dec(F.col("share"), 5, 4), 6)))
+    out = out.withColumn("capacity_tpd", F.when(valid_days, _dec(F.bround(_dec(F.col("service_ton"), 21, 6) / _dec(F.col("days"), 4, 0), 6), 18, 6)))
     n_bands, unit = F.lit(0), F.lit(None).cast("decimal(8,4)")
     for band in bands:
         n_bands = n_bands + F.when(ok(_fits(band)), 1).otherwise(0)

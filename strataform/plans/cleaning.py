@@ -17,24 +17,28 @@ def blank_to_null(c: Column) -> Column:
 
 
 def parse_quantity(c: Column) -> tuple[Column, Column]:
-    """Decimal value and reason: commas go, null-like tokens are missing (not zero), negative or other texts are rejected."""
+    """Decimal value and reason: commas go, null-like tokens are missing (not zero), negative or other texts are rejected.
+
+    A number of more than 14 whole digits is out of range, with a reason of its own.
+    """
     plain = F.regexp_replace(F.trim(c), ",", "")
-    missing = c.isNull() | plain.isin(NULL_TOKENS)
-    number = F.when(~missing & plain.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), plain.cast("decimal(20,6)"))
-    reason = F.when(missing, "MISSING").when(number.isNull(), "NOT_NUMERIC").when(number < 0, "NEGATIVE")
+    missing = c.isNull() | F.upper(plain).isin([t.upper() for t in NULL_TOKENS])
+    numeric = plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    number = F.when(~missing & numeric, plain.try_cast("decimal(20,6)"))
+    reason = F.when(missing, "MISSING").when(~numeric, "NOT_NUMERIC").when(plain.startswith("-") & F.coalesce(number != 0, F.lit(True)), "NEGATIVE").when(number.isNull(), "OUT_OF_RANGE")
     return F.when(reason.isNull(), number), reason
 
 
 @query(
     "quantity_parse",
-    """SELECT event_id, CASE WHEN reason IS NULL THEN CAST(raw AS DECIMAL(20,6)) END AS quantity, reason FROM (
-  SELECT event_id, raw, CASE WHEN raw IN ('', '-') THEN 'MISSING' WHEN NOT regexp_matches(raw, '^-?[0-9]+(\\.[0-9]+)?$') THEN 'NOT_NUMERIC'
-    WHEN CAST(raw AS DECIMAL(20,6)) < 0 THEN 'NEGATIVE' END AS reason
-  FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '1234' || CAST(event_id AS VARCHAR) || '.5' WHEN 1 THEN '-' WHEN 2 THEN '-7' WHEN 3 THEN event_type ELSE '' END AS raw FROM events))""",
+    """SELECT event_id, CASE n WHEN 0 THEN CAST('1234' || CAST(event_id AS VARCHAR) || '.5' AS DECIMAL(20,6)) WHEN 5 THEN CAST(1500 AS DECIMAL(20,6)) END AS quantity,
+  CASE n WHEN 1 THEN 'MISSING' WHEN 2 THEN 'NEGATIVE' WHEN 3 THEN 'NOT_NUMERIC' WHEN 4 THEN 'MISSING' WHEN 6 THEN 'OUT_OF_RANGE' WHEN 7 THEN 'NEGATIVE' WHEN 8 THEN 'MISSING' END AS reason
+  FROM (SELECT event_id, event_id % 9 AS n FROM events)""",
 )
 def quantity_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("event_id") % 5
-    raw = F.when(n == 0, F.concat(F.lit(" 1,234"), F.col("event_id").cast("string"), F.lit(".5 "))).when(n == 1, "-").when(n == 2, "-7").when(n == 3, F.col("event_type")).otherwise(" ")
+    n = F.col("event_id") % 9
+    raw = F.when(n == 0, F.concat(F.lit(" 1,234"), F.col("event_id").cast("string"), F.lit(".5 "))).when(n == 1, "-").when(n == 2, "-7").when(n == 3, F.col("event_type")).when(n == 4, " ")
+    raw = raw.when(n == 5, "1.5e3").when(n == 6, "12345678901234567890").when(n == 7, "-12345678901234567890").otherwise("n/a")
     value, reason = parse_quantity(F.col("raw"))
     return table(spark, sf_dir, "events").select("event_id", raw.alias("raw")).select("event_id", value.alias("quantity"), reason.alias("reason"))
 
@@ -49,7 +53,7 @@ def value_state_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a cell says: a measure, a measured zero, a dash, a text or nothing."""
     kind = F.col("event_type")
     v = F.trim(F.when(kind == "error", "-").when(kind == "signup", " ").when(kind == "click", "none").otherwise(F.regexp_extract("props", "[0-9]+", 0)))
-    state = F.when(v == "", "BLANK").when(v == "-", "DASH").when(~v.rlike("^[0-9]+$"), "TEXT_NO_DATA").when(v.cast("long") == 0, "MEASURED_ZERO").otherwise("MEASURED")
+    state = F.when(v == "", "BLANK").when(v == "-", "DASH").when(~v.rlike("^[0-9]+$"), "TEXT_NO_DATA").when(v.rlike("^0+$"), "MEASURED_ZERO").otherwise("MEASURED")
     return table(spark, sf_dir, "events").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -53,12 +53,13 @@ def label_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "date_range_label",
-    """SELECT event_id, CASE event_id % 5 WHEN 1 THEN make_date(2024, 2, CAST(event_id % 28 + 1 AS BIGINT)) WHEN 2 THEN make_date(2023, 11, 5) END AS start_date,
-  CASE event_id % 5 WHEN 1 THEN make_date(2024, 4, 5) WHEN 2 THEN make_date(2023, 12, 31) END AS end_date, event_id % 5 IN (1, 2, 3) AS part_year FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 8 IN (1, 5) THEN make_date(2024, 2, CAST(event_id % 28 + 1 AS BIGINT)) WHEN event_id % 8 = 2 THEN make_date(2023, 11, 5) END AS start_date,
+  CASE WHEN event_id % 8 IN (1, 5) THEN make_date(2024, 4, 5) WHEN event_id % 8 = 2 THEN make_date(2023, 12, 31) WHEN event_id % 8 = 6 THEN make_date(2024, 3, 1) END AS end_date, event_id % 8 NOT IN (0, 4) AS part_year FROM events""",
 )
 def date_range_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second date takes the year of the first; days that don't exist are missing."""
-    raw = _choice("event_id", "2024", F.concat(F.lit("2024.2."), (F.col("event_id") % 28 + 1).cast("string"), F.lit(".~4.5")), "2023. 11. 5 ∼ 12. 31.", "2024.2.30~2024.13.1", "연중")
+    """The second date takes the year of the first; days that don't exist are missing; a single date is part of a year."""
+    day = (F.col("event_id") % 28 + 1).cast("string")
+    raw = _choice("event_id", "2024", F.concat(F.lit("2024.2."), day, F.lit(".~4.5")), "2023. 11. 5 ∼ 12. 31.", "2024.2.30~2024.13.1", "연중", F.concat(F.lit("2024-2-"), day, F.lit(" ~ 2024/04/05")), "상반기~3/1", "2024 . 7.")
     start, end, part = labels.date_range(raw, F.lit(2024))
     return table(spark, sf_dir, "events").select("event_id", start.alias("start_date"), end.alias("end_date"), part.alias("part_year"))
 
@@ -83,20 +84,28 @@ def organisation_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", labels.organisation(raw).alias("name"))
 
 
-@query("selected_option", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y%m') END AS month FROM events")
+@query("selected_option", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y%m') WHEN event_id % 3 = 1 THEN '' END AS month FROM events")
 def selected_option(spark: SparkSession, sf_dir: str) -> DataFrame:
-    month = F.date_format("ts", "yyyyMM")
-    page = F.concat(F.lit('<select><option value="190001">x</option><option value="'), month, F.when(F.col("event_id") % 2 == 0, '" selected>').otherwise('">'), F.lit("y</option></select>"))
-    return table(spark, sf_dir, "events").select("event_id", labels.selected_option(page).alias("month"))
+    """The option that is selected in the select of one name, among others; an empty value is a value."""
+    month = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyyMM")).otherwise("")
+    other = F.lit('<select name="searchYearEnd"><option value="1900" selected>x</option></select>')
+    wanted = F.concat(F.lit('<select class="s" name="searchMonthEnd" id="m"><option value="190001" title="not selected">x</option><OPTION class="a" value="'), month, F.when(F.col("event_id") % 3 < 2, '" id="b" selected="selected">').otherwise('">'), F.lit("y</option></select>"))
+    page = F.concat(other, F.when(F.col("event_id") % 6 < 3, wanted).otherwise(F.concat(wanted, other)))
+    return table(spark, sf_dir, "events").select("event_id", labels.selected_option(page, "searchMonthEnd").alias("month"))
 
 
 @query(
     "secret_redaction",
-    """SELECT event_id, '{"serviceKey": "[REDACTED]", "page": ' || CAST(user_id AS VARCHAR) || ', "auth": {"TOKEN": "[REDACTED]", "kind": "' || event_type || '"}}' AS body FROM events""",
+    """SELECT event_id, '{"serviceKey": "[REDACTED]", "page": ' || CAST(user_id AS VARCHAR) || ', "auth": {"TOKEN": "[REDACTED]", "kind": "' || event_type || '"}, "list": [{"apiKey": "[REDACTED]"}, {"key": "[REDACTED]", "keys": 1}], "access_token" : "[REDACTED]"}' AS body FROM events""",
 )
 def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values go where their key is sensitive, whatever its case and depth."""
-    raw = F.concat(F.lit('{"serviceKey": "a\\"b'), F.col("event_id").cast("string"), F.lit('", "page": '), F.col("user_id").cast("string"), F.lit(', "auth": {"TOKEN": 12, "kind": "'), F.col("event_type"), F.lit('"}}'))
+    """Values of every kind go where their key is sensitive, whatever its case and depth."""
+    k = F.col("event_id").cast("string")
+    hidden = _choice("event_id", F.concat(F.lit('{"id": ['), k, F.lit(', {"a": "}"}], "b": "\\"]"}')), F.concat(F.lit("["), k, F.lit(", [2, {}]]")), F.concat(F.lit('"a\\"b'), k, F.lit('"')), k, "null")
+    raw = F.concat(
+        F.lit('{"serviceKey": '), hidden, F.lit(', "page": '), F.col("user_id").cast("string"), F.lit(', "auth": {"TOKEN": 12, "kind": "'), F.col("event_type"),
+        F.lit('"}, "list": [{"apiKey": '), hidden, F.lit('}, {"key": true, "keys": 1}], "access_token" : '), hidden, F.lit("}"),
+    )
     return table(spark, sf_dir, "events").select("event_id", labels.redacted(raw).alias("body"))
 
 

@@ -34,10 +34,34 @@ def read_version(spark: SparkSession, path: str, version: int | None = None) ->
     return spark.read.parquet(f"{path}/v{held[-1] if version is None else version}") if held else None
 
 
-def _write(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    held = versions(spark, path)
-    # a folder of that number without _SUCCESS is what a lost job left
-    rows.write.mode("overwrite").parquet(f"{path}/v{held[-1] + 1 if held else 1}")
+class Conflict(RuntimeError):
+    """Another writer has taken the version that was to be written."""
+
+
+def _claim(path: str, version: int) -> str:
+    return f"{path}/v{version}.claim"
+
+
+def _write(spark: SparkSession, path: str, rows: DataFrame, base: int) -> None:
+    """Write the version after ``base``. Who creates its claim first writes it; every other writer fails."""
+    files, place = _folder(spark, _claim(path, base + 1))
+    if not files.createNewFile(place):
+        raise Conflict(f"{path}: version {base + 1} is being written, or a lost job left its claim (see release)")
+    try:
+        rows.write.mode("overwrite").parquet(f"{path}/v{base + 1}")
+    except BaseException:
+        files.delete(place, False)
+        raise
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Give up the claim of a job that was lost before its version was whole; only for when no job writes the table."""
+    files, place = _folder(spark, _claim(path, _newest(spark, path) + 1))
+    files.delete(place, False)
+
+
+def _newest(spark: SparkSession, path: str) -> int:
+    return max(versions(spark, path), default=0)
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], material: list[str]) -> dict[str, int]:
@@ -50,9 +74,10 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], mat
     """
     if not rows.groupBy(*keys).count().where("count > 1").isEmpty():
         raise ValueError("two delivered rows share a key")
-    held = read_version(spark, path)
+    base = _newest(spark, path)
+    held = read_version(spark, path, base) if base else None
     if held is None:
-        _write(spark, path, rows)
+        _write(spark, path, rows, base)
         return {"created": read_version(spark, path).count(), "changed": 0, "unchanged": 0}
     both = _matched(held, rows, keys)
     differs = F.lit(False)
@@ -62,7 +87,7 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], mat
     counts = {r["kind"]: r["count"] for r in both.groupBy(kind.alias("kind")).count().collect()}
     if counts.get("created") or counts.get("changed"):
         new = kind.isin("created", "changed")
-        _write(spark, path, both.select(*[F.when(new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in held.columns]))
+        _write(spark, path, both.select(*[F.when(new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in held.columns]), base)
     return {k: counts.get(k, 0) for k in ("created", "changed", "unchanged")}
 
 
@@ -76,16 +101,17 @@ def _matched(held: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def insert_new(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> dict[str, int]:
     """Add the rows whose key isn't held; of delivered rows that share a key any one. How many were inserted and skipped."""
-    total, held = rows.count(), read_version(spark, path)
+    total, base = rows.count(), _newest(spark, path)
+    held = read_version(spark, path, base) if base else None
     rows = rows.dropDuplicates(keys)
     if held is None:
-        _write(spark, path, rows)
+        _write(spark, path, rows, base)
         inserted = read_version(spark, path).count()
     else:
         both = _matched(held, rows, keys)
         inserted = both.where("o.__here IS NULL").count()
         if inserted:
-            _write(spark, path, both.select(*[F.when(F.col("o.__here"), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in held.columns]))
+            _write(spark, path, both.select(*[F.when(F.col("o.__here"), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in held.columns]), base)
     return {"inserted": inserted, "skipped": total - inserted}
 
 
@@ -97,11 +123,12 @@ def refresh_source(spark: SparkSession, path: str, rows: DataFrame, source_col:
     """
     if not rows.where(~F.col(source_col).eqNullSafe(F.lit(source))).isEmpty():
         raise ValueError(f"rows of a source that isn't {source}")
-    held = read_version(spark, path)
+    base = _newest(spark, path)
+    held = read_version(spark, path, base) if base else None
     retired = 0 if held is None else held.where(F.col(source_col) == source).count()
     rest = None if held is None else held.where(~F.col(source_col).eqNullSafe(F.lit(source)))
-    _write(spark, path, rows if rest is None else rest.unionByName(rows))
-    stored = read_version(spark, path).where(F.col(source_col) == source).select(*rows.columns)
+    _write(spark, path, rows if rest is None else rest.unionByName(rows), base)
+    stored = read_version(spark, path, base + 1).where(F.col(source_col) == source).select(*rows.columns)
     if not stored.exceptAll(rows).isEmpty() or not rows.exceptAll(stored).isEmpty():
         raise ValueError(f"what is stored of {source} isn't what was delivered")
     return {"retired": retired, "held": stored.count()}
@@ -111,7 +138,8 @@ def write_csv(df: DataFrame, path: str) -> None:
     """CSV part files as spreadsheets read them: UTF-8 with a mark in front of the header, CRLF, RFC 4180 quotes.
 
     Texts that a spreadsheet would take for a formula get an apostrophe in
-    front. Nulls are empty cells. One header stands in each part file.
+    front. Nulls are empty cells. One header stands in each part file; a table
+    without rows is one file with nothing but the header.
     """
     cells = []
     for name, kind in df.dtypes:
@@ -121,6 +149,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     line = F.concat(F.concat_ws(",", *cells), F.lit("\r"))
     header = "﻿" + ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\r\n') else c for c in df.columns) + "\r"
 
+    if df.isEmpty():
+        df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+        return
+
     def with_header(batches):
         import pyarrow as pa
 

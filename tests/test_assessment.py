@@ -41,3 +41,40 @@ def test_addresses_and_contractors_of_odd_rows(spark):
     rows = df.select(labels.simple_address(F.col("a")).alias("a"), labels.contractor(F.col("a"), F.col("b")).alias("b")).collect()
     assert [r.a for r in rows] == [None, None, None, "수집 - 가"]
     assert [r.b for r in rows] == [None, None, None, "(주)가"]
+
+
+def test_addresses_contractors_and_secrets(spark):
+    one = spark.range(1)
+
+    def value(c):
+        return one.select(c).first()[0]
+
+    lit = F.lit
+    for s, g, a, want in [
+        ("경기도", "용인시", " 경기  용인시 길 3", "경기 용인시 길 3"), ("경기도", "용인시", "용인시 길 3", "경기도 용인시 길 3"), ("경기도", "용인시", "길 3", "경기도 용인시 길 3"),
+        ("서울특별시", "중구", "서울시 중구 1", "서울시 중구 1"), ("부산", "중구", "부산 중구 1", "부산 중구 부산 중구 1"), ("경기도", "용인시", "서울 길", "경기도 용인시 서울 길"),
+    ]:
+        assert value(labels.request_address(lit(s), lit(g), lit(a))) == want
+    for a, want in [("길 3(태평동)", "길 3"), ("가 (나) 다 (라", "가 다 (라"), ("리 12-1,2", "리 12-1"), ("리 12,3,4-5", "리 12"), ("리 12,", None), ("리 가,12", None), ("리 가,12,3", "리 가,12"), ("12,3 리", None), ("(가)", None), ("리 3 ", None)]:
+        assert value(labels.simple_address(lit(a))) == want, a
+    for name, note, want in [
+        (None, "업체 갑, 업체: (주)을", "(주)을"), (None, "업체: 갑. 계약상대자 ㈜병 외; 끝", "㈜병 외"), ("가 - 나 - 주식회사 다", "업체: 갑", "주식회사 다"), ("주식회사 다", None, None),
+        ("가 - 나", "계약상대방: 유한회사 라 .| 마", "유한회사 라"), (None, "업체: " + "가" * 300 + "(주)", "가" * 200),
+    ]:
+        assert value(labels.contractor(lit(name), lit(note))) == want
+    for raw, want in [
+        ('{"apiKey":"x","a":[{"ACCESS_TOKEN":{"b":[1,"}"]}},2]}', '{"apiKey":"[REDACTED]","a":[{"ACCESS_TOKEN":"[REDACTED]"},2]}'),
+        ('{"key" : [1, {"x": "\\"]"}] , "monkey": "key", "z": "token: 1"}', '{"key" : "[REDACTED]" , "monkey": "key", "z": "token: 1"}'),
+        ('{"t\\u006fken": -1.5e3, "secret": null, "usrId": true, "v": 1.10}', '{"t\\u006fken": "[REDACTED]", "secret": "[REDACTED]", "usrId": "[REDACTED]", "v": 1.10}'),
+        ('["token", {"token": ""}]', '["token", {"token": "[REDACTED]"}]'), ("", ""), ('{"token": "unclosed', '{"token": "[REDACTED]"unclosed'),
+    ]:
+        assert value(labels.redacted(lit(raw))) == want, raw
+    assert value(labels.redacted(lit('{"password": "' + "x" * 100_000 + '"}'))) == '{"password": "[REDACTED]"}'
+
+
+def test_quantities_keep_six_places(spark):
+    df = spark.createDataFrame([("INCINERATION", "36500.000499", "0.5", 365, "1.20", "city_or_county", 1000)], "facility_type string, annual_ton string, share string, days int, multiplier string, scheme string, population long")
+    df = df.withColumn("annual_ton", F.col("annual_ton").cast("decimal(20,6)")).withColumn("share", F.col("share").cast("decimal(5,4)")).withColumn("multiplier", F.col("multiplier").cast("decimal(4,2)"))
+    (row,) = facility_cost(df, [("INCINERATION", "0", "80", "5.2")]).collect()
+    # the half of 36500.000499 is 18250.0002495: half to even at six places
+    assert str(row.service_ton) == "18250.000250" and row.reason is None

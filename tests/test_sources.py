@@ -62,6 +62,25 @@ def test_upsert_changes_only_what_matters(spark, tmp_path):
     assert {tuple(r) for r in sinks.read_version(spark, path, 1).collect()} == {(1, 10, "a"), (2, None, "a"), (None, 5, "a")}
 
 
+def test_two_writers_of_one_version_conflict(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.insert_new(spark, path, spark.range(2), ["id"])
+    sinks._write(spark, path, spark.range(3), 1)
+    with pytest.raises(sinks.Conflict):
+        sinks._write(spark, path, spark.range(4), 1)
+    assert sinks.read_version(spark, path).count() == 3
+    (tmp_path / "t" / "v3.claim").write_text("")  # a lost job
+    with pytest.raises(sinks.Conflict):
+        sinks.insert_new(spark, path, spark.range(5), ["id"])
+    sinks.release(spark, path)
+    assert sinks.insert_new(spark, path, spark.range(5), ["id"]) == {"inserted": 2, "skipped": 3}
+
+
+def test_csv_of_an_empty_table_has_its_header(spark, tmp_path):
+    sinks.write_csv(spark.createDataFrame([], "a string, `b,c` long"), str(tmp_path / "c"))
+    assert b"".join(open(p, "rb").read() for p in glob.glob(f"{tmp_path}/c/part-*")) == b'\xef\xbb\xbfa,"b,c"\r\n'
+
+
 def test_insert_new_counts_what_it_skips(spark, tmp_path):
     path = str(tmp_path / "t")
     assert sinks.insert_new(spark, path, spark.range(3), ["id"]) == {"inserted": 3, "skipped": 0}
