@@ -31,6 +31,8 @@ LIMIT = 2048
 CACHE_WORDS = 1_000_000
 #: Symbols of one call of the merging, and the rank of a pair that has none.
 BATCH_SYMBOLS, NO_RANK = 1 << 20, np.iinfo(np.int64).max
+#: Characters of texts whose new words are learned together.
+GROUP_CHARS = 1 << 20
 
 
 class Merges:
@@ -155,16 +157,22 @@ class WordCounts(dict):
         self.update(zip(words, counts.tolist()))
 
     def of(self, texts: list[str]) -> list[int]:
-        found = []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            new = [w for w in set(words) if w not in self]
-            if new:
-                if len(self) + len(new) > CACHE_WORDS:
+        """Counts of texts; the new words of a group of bounded size are learned together."""
+        found: list[int] = []
+        group: list[list[str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            group.append(text.replace("\n", " ").split(" "))
+            size += len(text)
+            if size >= GROUP_CHARS or i == len(texts) - 1:
+                own = set().union(*group)
+                new = [w for w in own if w not in self]
+                if new and len(self) + len(new) > CACHE_WORDS:
                     self.clear()
-                    new = list(set(words))
+                    new = list(own)
                 self.learn(new)
-            found.append(sum(map(self.__getitem__, words)))
+                found += [sum(map(self.__getitem__, words)) for words in group]
+                group, size = [], 0
         return found
 
 
