@@ -38,6 +38,8 @@ TILE_EDGES, FINER = 2048, 64
 SLIVER = 1e-11
 #: A height this near to another, as a share of both, is the same but for rounding.
 ROUNDING = 4e-15
+#: The share of its side by which a tile begins early when crossings are looked for.
+EARLY = 2.0**-20
 #: Jumps between two checkpoints: each doubles what an edge knows of its ring.
 JUMPS = 3
 
@@ -152,12 +154,14 @@ class Tile:
         found: set[int] = set()
         place = np.full(len(self.ids), -1)
         for low, high, own, yl, yr in self.slabs():
-            at = self.ids[own]
             within = (yl < self.y1) & (yl > self.y0) | (yr < self.y1) & (yr > self.y0)
-            same = (at[1:] == at[:-1]) & (yl[1:] == yl[:-1]) & (yr[1:] == yr[:-1]) & within[1:]
+            each = np.lexsort((np.arange(len(own)), self.ids[own]))
+            at, a, b = self.ids[own[each]], yl[each], yr[each]
+            same = (at[1:] == at[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & within[each[1:]]
             found |= set(at[1:][same].tolist())
             # edges that go on from the slab before, but in another order, crossed between the two
             on = own[place[own] >= 0]
+            on = on[np.argsort(self.ids[on], kind="stable")]  # by polygon: edges of others may pass through the same point
             swapped = np.flatnonzero((place[on[1:]] < place[on[:-1]]) & (self.ids[on[1:]] == self.ids[on[:-1]]))
             height = self.ay[on] + (self.by[on] - self.ay[on]) * ((low - self.ax[on]) / (self.bx[on] - self.ax[on]))
             found |= {int(self.ids[on[i]]) for i in swapped if self.y0 <= height[i] < self.y1}
@@ -180,10 +184,13 @@ class Tile:
 # --- tiles
 
 
-def _dealt(rows: DataFrame, size: Column) -> DataFrame:
-    """A row for each tile of this side that an edge has a say in: those that it passes over in x, and its polygon's and lower ones in y."""
+def _dealt(rows: DataFrame, size: Column, early: float) -> DataFrame:
+    """A row for each tile of this side that an edge has a say in: those that it passes over in x, and its polygon's and lower ones in y.
+
+    With ``early``, tiles begin that share of their side before their left side.
+    """
     to = lambda high, low: F.greatest(F.ceil(high / size) - 1, F.floor(low / size))
-    out = rows.withColumn("tx", F.explode(F.sequence(F.floor(F.col("ax") / size), to(F.col("bx"), F.col("ax")))))
+    out = rows.withColumn("tx", F.explode(F.sequence(F.floor(F.col("ax") / size), to(F.col("bx") + size * early, F.col("ax")))))
     lowest = F.floor(F.least("ay", "by") / size)
     highest = to(F.col("top"), lowest * size)
     return out.withColumn("ty", F.explode(F.sequence(lowest, F.greatest(lowest, highest))))
@@ -205,14 +212,15 @@ def tiled(polygons: DataFrame, size: float | None = None, upright: bool = False)
     forward = F.col("e.x1") < F.col("e.x2")
     ends = [F.when(forward, F.col(f"e.{a}")).otherwise(F.col(f"e.{b}")).alias(n) for n, a, b in (("ax", "x1", "x2"), ("ay", "y1", "y2"), ("bx", "x2", "x1"), ("by", "y2", "y1"))]
     one = one.select("id", "top", *ends)
-    coarse = _dealt(one, F.lit(size))
+    early = EARLY if upright else 0.0
+    coarse = _dealt(one, F.lit(size), early)
     finer = F.least(F.lit(FINER), F.ceil(F.sqrt(F.col("n") / TILE_EDGES))).cast("int")
     busy = staged(coarse.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE_EDGES).select("tx", "ty", finer.alias("finer")))
     all_in = coarse.join(busy, ["tx", "ty"], "left").withColumn("side", F.lit(size) / F.coalesce("finer", F.lit(1)))
     plain = all_in.where("finer IS NULL")
     # a busy tile's edges are dealt to its own smaller tiles only
     fine = all_in.where("finer IS NOT NULL").withColumnsRenamed({"tx": "__tx", "ty": "__ty"})
-    fine = _dealt(fine, F.col("side")).where("tx BETWEEN __tx * finer AND __tx * finer + finer - 1 AND ty BETWEEN __ty * finer AND __ty * finer + finer - 1")
+    fine = _dealt(fine, F.col("side"), early).where("tx BETWEEN __tx * finer AND __tx * finer + finer - 1 AND ty BETWEEN __ty * finer AND __ty * finer + finer - 1")
     columns = ["side", "tx", "ty", "id", "ax", "ay", "bx", "by"]
     return plain.select(*columns).union(fine.select(*columns))
 
@@ -229,7 +237,8 @@ def _swept(polygons: DataFrame, size: float | None, schema: str, rows_of: Callab
         names = [f.strip().split(" ", 1)[0] for f in schema.split(",")]
         for (side, tx, ty), own in groupby(lines(), key=lambda r: r[:3]):
             rows = list(own)
-            bounds = (tx * side, ty * side, (tx + 1) * side, (ty + 1) * side)
+            # two edges may cross at a tile's very side: the tile on the right begins before it
+            bounds = (tx * side - (EARLY * side if upright else 0.0), ty * side, (tx + 1) * side, (ty + 1) * side)
             tile = Tile(bounds, np.array([r[3] for r in rows], np.int64), np.array([r[4:] for r in rows], np.float64).T)
             made = list(rows_of(tile))
             if made:

@@ -1,9 +1,10 @@
-"""Spatial joins over points and rings, by grid cells.
+"""Spatial joins over points and shapes, by grid cells.
 
-A ring is an array of structs x, y (degrees), its last point not repeated.
-Candidates meet in an equi-join on grid cells; the exact predicate follows, in
-higher-order functions. A cell with a third of all points makes a skewed key,
-which adaptive execution splits.
+A ring is an array of structs x, y (degrees), its last point not repeated; a
+shape is an array of rings, parts, holes and islands alike: a point is inside
+where a ray crosses an odd number of edges. Candidates meet in an equi-join on
+grid cells; the exact predicate follows, in higher-order functions. A cell with
+a third of all points makes a skewed key, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from strataform.functions.staging import staged
 #: Fixed value: the mean radius of the earth in metres.
 EARTH = 6371008.8
 DEGREE = EARTH * 3.141592653589793 / 180
-#: Latitudes up to which the margins of a distance are wide enough.
-MAX_LATITUDE_SHARE = 0.5
+#: A latitude beyond which meridians are too near each other for cells of degrees.
+POLAR = 89.0
 
 
 def ring(*points: tuple[Column, Column]) -> Column:
@@ -34,8 +35,13 @@ def ring_area(points: Column) -> Column:
     return F.abs(doubled) / 2
 
 
-def in_ring(points: Column, x: Column, y: Column) -> Column:
-    """Whether a ray to the right crosses the ring an odd number of times; a point on a lower or left edge is inside."""
+def shape_edges(rings: Column) -> Column:
+    """The edges of all rings of a shape."""
+    return F.flatten(F.transform(rings, edges))
+
+
+def in_edges(lines: Column, x: Column, y: Column) -> Column:
+    """Whether a ray to the right crosses the edges an odd number of times; a point on a lower or left edge is inside."""
 
     def crossed(e: Column) -> Column:
         spans = (e.y1 > y) != (e.y2 > y)
@@ -43,7 +49,15 @@ def in_ring(points: Column, x: Column, y: Column) -> Column:
         at = F.when(spans, (e.x2 - e.x1) * (y - e.y1) / F.when(spans, e.y2 - e.y1).otherwise(1.0) + e.x1)
         return F.when(spans & (x < at), 1).otherwise(0)
 
-    return F.aggregate(edges(points), F.lit(0), lambda n, e: n + crossed(e)) % 2 == 1
+    return F.aggregate(lines, F.lit(0), lambda n, e: n + crossed(e)) % 2 == 1
+
+
+def in_ring(points: Column, x: Column, y: Column) -> Column:
+    return in_edges(edges(points), x, y)
+
+
+def in_shape(rings: Column, x: Column, y: Column) -> Column:
+    return in_edges(shape_edges(rings), x, y)
 
 
 def metres(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -52,8 +66,8 @@ def metres(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return 2 * EARTH * F.asin(F.sqrt(F.least(F.lit(1.0), a * a + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * b * b)))
 
 
-def ring_metres(points: Column, x: Column, y: Column) -> Column:
-    """The distance to a ring's nearest edge on a plane that touches the earth at the point; 0 inside."""
+def shape_metres(rings: Column, x: Column, y: Column) -> Column:
+    """The distance to a shape's nearest edge on a plane that touches the earth at the point; 0 inside."""
     flat = F.cos(F.radians(y))
 
     def to_edge(e: Column) -> Column:
@@ -63,34 +77,43 @@ def ring_metres(points: Column, x: Column, y: Column) -> Column:
         t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.when(square > 0, square).otherwise(1.0)))).otherwise(0.0)
         return F.sqrt((ax + t * dx) * (ax + t * dx) + (ay + t * dy) * (ay + t * dy))
 
-    nearest = F.array_min(F.transform(edges(points), to_edge)) * DEGREE
-    return F.when(in_ring(points, x, y), 0.0).otherwise(nearest)
+    nearest = F.array_min(F.transform(shape_edges(rings), to_edge)) * DEGREE
+    return F.when(in_shape(rings, x, y), 0.0).otherwise(nearest)
 
 
 def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size)
 
 
-def ring_cells(rings: DataFrame, ring_col: str, size: float, margin: float = 0.0) -> DataFrame:
-    """A row for each grid cell that a ring's box, widened by ``margin`` degrees, meets."""
-    xs, ys = F.transform(ring_col, lambda p: p.x), F.transform(ring_col, lambda p: p.y)
-    out = rings.withColumn("__cx", F.explode(F.sequence(_cell(F.array_min(xs) - margin, size), _cell(F.array_max(xs) + margin, size))))
-    return out.withColumn("__cy", F.explode(F.sequence(_cell(F.array_min(ys) - margin, size), _cell(F.array_max(ys) + margin, size))))
+def shape_cells(shapes: DataFrame, rings_col: str, size: float, dx: Column | float = 0.0, dy: float = 0.0) -> DataFrame:
+    """A row for each grid cell that a shape's box, widened by ``dx`` and ``dy`` degrees, meets."""
+    points = F.flatten(rings_col)
+    xs, ys = F.transform(points, lambda p: p.x), F.transform(points, lambda p: p.y)
+    out = shapes.withColumn("__cx", F.explode(F.sequence(_cell(F.array_min(xs) - dx, size), _cell(F.array_max(xs) + dx, size))))
+    return out.withColumn("__cy", F.explode(F.sequence(_cell(F.array_min(ys) - dy, size), _cell(F.array_max(ys) + dy, size))))
 
 
-def points_in_rings(points: DataFrame, rings: DataFrame, x: str = "x", y: str = "y", ring_col: str = "ring", size: float = 0.25) -> DataFrame:
-    """A row for each pair of a point and a ring that holds it. Points and rings that are null meet nothing."""
+def points_in_shapes(points: DataFrame, shapes: DataFrame, x: str = "x", y: str = "y", rings_col: str = "rings", size: float = 0.25) -> DataFrame:
+    """A row for each pair of a point and a shape that holds it. Points and shapes that are null meet nothing."""
     own = points.withColumn("__cx", _cell(F.col(x), size)).withColumn("__cy", _cell(F.col(y), size))
-    return own.join(ring_cells(rings, ring_col, size), ["__cx", "__cy"]).where(in_ring(F.col(ring_col), F.col(x), F.col(y))).drop("__cx", "__cy")
+    return own.join(shape_cells(shapes, rings_col, size), ["__cx", "__cy"]).where(in_shape(F.col(rings_col), F.col(x), F.col(y))).drop("__cx", "__cy")
+
 
+def points_near_shapes(points: DataFrame, shapes: DataFrame, within: float, x: str = "x", y: str = "y", rings_col: str = "rings") -> DataFrame:
+    """A row for each pair of a point and a shape at most ``within`` metres away, with the distance.
 
-def points_near_rings(points: DataFrame, rings: DataFrame, within: float, x: str = "x", y: str = "y", ring_col: str = "ring") -> DataFrame:
-    """A row for each pair of a point and a ring at most ``within`` metres away, with the distance; up to 60 degrees of latitude."""
-    margin = within / DEGREE / MAX_LATITUDE_SHARE
-    size = max(margin, 0.05)
+    How many degrees of longitude that is follows from each shape's own latitude;
+    shapes that reach beyond 89 degrees of latitude, with the distance added, are
+    an error, and so is a distance over the date line not seen.
+    """
+    dy = within / DEGREE
+    ys = F.transform(F.flatten(rings_col), lambda p: p.y)
+    edge = F.greatest(F.abs(F.array_min(ys)), F.abs(F.array_max(ys))) + dy
+    dx = dy / F.cos(F.radians(F.when(edge <= POLAR, edge).otherwise(F.raise_error(F.lit("a shape is too near to a pole")).cast("double"))))
+    size = max(dy, 0.05)
     own = points.withColumn("__cx", _cell(F.col(x), size)).withColumn("__cy", _cell(F.col(y), size))
-    both = own.join(ring_cells(rings, ring_col, size, margin), ["__cx", "__cy"]).drop("__cx", "__cy")
-    return both.withColumn("metres", ring_metres(F.col(ring_col), F.col(x), F.col(y))).where(F.col("metres") <= within)
+    both = own.join(shape_cells(shapes, rings_col, size, dx, dy), ["__cx", "__cy"]).drop("__cx", "__cy")
+    return both.withColumn("metres", shape_metres(F.col(rings_col), F.col(x), F.col(y))).where(F.col("metres") <= within)
 
 
 def nearest_sites(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, k: int = 5, size: float = 0.25, most: int = 12) -> DataFrame:
@@ -125,11 +148,3 @@ def nearest_sites(points: DataFrame, sites: DataFrame, point_id: str, site_id: s
             if not k or left.isEmpty():
                 break
     return found
-
-
-def box_overlap(a: list[Column], b: list[Column]) -> Column:
-    """Intersection over union of two boxes, each x low, y low, x high, y high; 0 for boxes without area."""
-    side = lambda lo, hi: F.greatest(hi - lo, F.lit(0.0))
-    both = side(F.greatest(a[0], b[0]), F.least(a[2], b[2])) * side(F.greatest(a[1], b[1]), F.least(a[3], b[3]))
-    whole = side(a[0], a[2]) * side(a[1], a[3]) + side(b[0], b[2]) * side(b[1], b[3]) - both
-    return F.when(whole > 0, both / F.when(whole > 0, whole).otherwise(1.0)).otherwise(0.0)

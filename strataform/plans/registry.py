@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from strataform.plans import aggregates, assessment, cleaning, contracts, indicators, labels, relational, scoring, spatial, windows  # noqa: F401
+    from strataform.plans import aggregates, assessment, cleaning, contracts, indicators, labels, overlay, relational, scoring, spatial, windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

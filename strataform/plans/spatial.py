@@ -1,20 +1,25 @@
 """Points in regions, buffers, nearest sites, grids and areas.
 
 The tables have no geometry: a supplier, a customer and a nation are given
-places and rings by their keys, the same in the queries and in their SQL.
+places and shapes (an island, and a lake that isn't part of the region) by their keys, the same in the queries and in their SQL.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from strataform.functions import geodesy
 from strataform.operators import spatial
 from strataform.plans.registry import query, table
 
+#: A lake in each region and an island off its coast, from the region's corner on.
+_LAKE = [(0.3, 0.3), (0.5, 0.32), (0.4, 0.5)]
+_ISLE = [(-0.2, 0.1), (-0.1, 0.1), (-0.12, 0.25)]
 _X0, _Y0 = "(126e0 + (n_nationkey % 5) * 0.6e0)", "(34e0 + floor(n_nationkey / 5) * 0.8e0)"
 _RINGS = f"""r AS (SELECT n_nationkey AS nk, n_name, {_X0} AS x0, {_Y0} AS y0 FROM nation),
 e AS (SELECT nk, x0 AS x1, y0 AS y1, x0 + 0.7e0 AS x2, y0 + 0.1e0 AS y2 FROM r UNION ALL SELECT nk, x0 + 0.7e0, y0 + 0.1e0, x0 + 0.65e0, y0 + 0.9e0 FROM r
-  UNION ALL SELECT nk, x0 + 0.65e0, y0 + 0.9e0, x0 - 0.05e0, y0 + 0.75e0 FROM r UNION ALL SELECT nk, x0 - 0.05e0, y0 + 0.75e0, x0, y0 FROM r)"""
+  UNION ALL SELECT nk, x0 + 0.65e0, y0 + 0.9e0, x0 - 0.05e0, y0 + 0.75e0 FROM r UNION ALL SELECT nk, x0 - 0.05e0, y0 + 0.75e0, x0, y0 FROM r
+  UNION ALL SELECT nk, x0 + a, y0 + b, x0 + c, y0 + d FROM r, (VALUES {", ".join(str((x1, y1, x2, y2)) for part in ("_LAKE", "_ISLE") for (x1, y1), (x2, y2) in zip(globals()[part], globals()[part][1:] + globals()[part][:1]))}) AS v(a, b, c, d))"""
 _SUPPLIERS = "f AS (SELECT s_suppkey, s_acctbal, 125.9e0 + (s_suppkey * 7919 % 1000) * 0.0032e0 AS x, 33.9e0 + (s_suppkey * 104729 % 997) * 0.0042e0 AS y FROM supplier)"
 _CUSTOMERS = "c AS (SELECT c_custkey, 125.9e0 + (c_custkey * 7907 % 1009) * 0.0032e0 AS x, 33.9e0 + (c_custkey * 104723 % 991) * 0.0042e0 AS y FROM customer)"
 _HELD = "h AS (SELECT c_custkey, nk FROM c JOIN e ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1)"
@@ -23,7 +28,9 @@ _HELD = "h AS (SELECT c_custkey, nk FROM c JOIN e ON (y1 > y) <> (y2 > y) AND x
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     x, y = F.lit(126.0) + (F.col("n_nationkey") % 5) * 0.6, F.lit(34.0) + F.floor(F.col("n_nationkey") / 5) * 0.8
-    return n.select(F.col("n_nationkey").alias("nk"), "n_name", spatial.ring((x, y), (x + 0.7, y + 0.1), (x + 0.65, y + 0.9), (x - 0.05, y + 0.75)).alias("ring"))
+    main = spatial.ring((x, y), (x + 0.7, y + 0.1), (x + 0.65, y + 0.9), (x - 0.05, y + 0.75))
+    others = [spatial.ring(*[(x + dx, y + dy) for dx, dy in part]) for part in (_LAKE, _ISLE)]
+    return n.select(F.col("n_nationkey").alias("nk"), "n_name", F.array(main, *others).alias("rings"))
 
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +44,7 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.points_in_rings(_customers(spark, sf_dir), _regions(spark, sf_dir))
+    return spatial.points_in_shapes(_customers(spark, sf_dir), _regions(spark, sf_dir))
 
 
 @query(
@@ -51,12 +58,41 @@ FROM r LEFT JOIN d ON r.nk = d.nk AND (inside OR m <= 5000) GROUP BY 1""",
 )
 def geodesic_buffer_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facilities in a region or at most 5 km from it; regions without any stay."""
-    near = spatial.points_near_rings(_suppliers(spark, sf_dir), _regions(spark, sf_dir), 5000.0)
+    near = spatial.points_near_shapes(_suppliers(spark, sf_dir), _regions(spark, sf_dir), 5000.0)
     sums = near.groupBy("nk").agg(F.count_if(F.col("metres") == 0).alias("i"), F.count(F.lit(1)).alias("w"), F.sum(F.col("s_acctbal").cast("decimal(20,2)")).cast("double").alias("b"))
     zero = F.lit(0).cast("long")
     return _regions(spark, sf_dir).select("nk").join(sums, "nk", "left").select("nk", F.coalesce("i", zero).alias("inside"), F.coalesce("w", zero).alias("within_5km"), F.coalesce("b", F.lit(0.0)).alias("balance"))
 
 
+@query(
+    "facility_burden_near",
+    f"""WITH {_RINGS}, {_SUPPLIERS},
+g AS (SELECT nk, s_suppkey, (x1 - x) * cos(radians(y)) AS ax, y1 - y AS ay, (x2 - x) * cos(radians(y)) AS bx, y2 - y AS by_, (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 AS crossed FROM f, e),
+t AS (SELECT *, greatest(0, least(1, -(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM g),
+d AS (SELECT nk, s_suppkey, count(*) FILTER (WHERE crossed) % 2 = 1 OR min(sqrt((ax + t * (bx - ax)) ** 2 + (ay + t * (by_ - ay)) ** 2)) * 6371008.8 * pi() / 180 <= 5000 AS near FROM t GROUP BY 1, 2),
+n AS (SELECT nk, count(*) FILTER (WHERE near) AS near FROM d GROUP BY 1),
+l AS (SELECT s_nationkey AS nk, count(*) AS located, count(*) FILTER (WHERE s_acctbal < 0) AS unknown, CAST(sum(CAST(s_acctbal AS DECIMAL(20,2))) FILTER (WHERE s_acctbal >= 0) AS DOUBLE) AS quantity FROM supplier GROUP BY 1),
+p AS (SELECT c_nationkey AS nk, count(*) AS people FROM customer WHERE c_nationkey % 6 <> 5 GROUP BY 1)
+SELECT r.nk, coalesce(located, 0) AS located, coalesce(near, 0) AS within_5km, coalesce(unknown, 0) AS missing_quantity, coalesce(unknown, 0) > 0 AS is_partial, quantity,
+  CASE WHEN people > 0 THEN round(coalesce(quantity, 0) / people, 6) END AS per_person, CASE WHEN people IS NULL THEN 'NO_POPULATION' END AS reason
+FROM r LEFT JOIN n USING (nk) LEFT JOIN l USING (nk) LEFT JOIN p USING (nk)""",
+)
+def facility_burden_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region's facilities by their own code and those in it or within 5 km, in one row, with its quantity a person."""
+    near = spatial.points_near_shapes(_suppliers(spark, sf_dir), _regions(spark, sf_dir), 5000.0).groupBy("nk").agg(F.count(F.lit(1)).alias("near"))
+    balance = F.col("s_acctbal").cast("decimal(20,2)")
+    located = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nk")).agg(
+        F.count(F.lit(1)).alias("located"), F.count_if(balance < 0).alias("unknown"), F.sum(F.when(balance >= 0, balance)).cast("double").alias("quantity")
+    )
+    people = table(spark, sf_dir, "customer").where("c_nationkey % 6 <> 5").groupBy(F.col("c_nationkey").alias("nk")).agg(F.count(F.lit(1)).alias("people"))
+    rows = _regions(spark, sf_dir).select("nk").join(near, "nk", "left").join(located, "nk", "left").join(people, "nk", "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return rows.select(
+        "nk", count("located").alias("located"), count("near").alias("within_5km"), count("unknown").alias("missing_quantity"), (count("unknown") > 0).alias("is_partial"), "quantity",
+        F.when(F.col("people") > 0, F.round(F.coalesce("quantity", F.lit(0.0)) / F.col("people"), 6)).alias("per_person"), F.when(F.col("people").isNull(), "NO_POPULATION").alias("reason"),
+    )
+
+
 @query("point_in_cell", f"WITH {_RINGS}, {_CUSTOMERS}, {_HELD} SELECT c_custkey, CAST(min(nk) AS BIGINT) AS region, count(nk) AS containers FROM c LEFT JOIN h USING (c_custkey) GROUP BY 1")
 def point_in_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first region by code that holds a point, and how many do."""
@@ -111,16 +147,25 @@ SELECT 'v1:' || i || '_' || j AS cell, CAST(min(nk) AS BIGINT) AS region, count(
 def region_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Square cells of 0.05 degrees from the origin on, kept where a region holds their centre."""
     size = 0.05
-    cells = spatial.ring_cells(_regions(spark, sf_dir), "ring", size)
+    cells = spatial.shape_cells(_regions(spark, sf_dir), "rings", size)
     cells = cells.withColumn("x", (F.col("__cx") + 0.5) * size).withColumn("y", (F.col("__cy") + 0.5) * size)
-    kept = cells.where(spatial.in_ring(F.col("ring"), F.col("x"), F.col("y")))
+    kept = cells.where(spatial.in_shape(F.col("rings"), F.col("x"), F.col("y")))
     key = F.concat(F.lit("v1:"), F.col("__cx").cast("string"), F.lit("_"), F.col("__cy").cast("string"))
     return kept.groupBy(key.alias("cell")).agg(F.min("nk").cast("long").alias("region"), F.count(F.lit(1)).alias("regions"))
 
 
-@query("ring_areas", f"WITH {_RINGS} SELECT nk, round(abs(sum(x1 * y2 - x2 * y1)) / 2, 9) AS area FROM e GROUP BY 1")
+_MAIN = [(0.0, 0.0), (0.7, 0.1), (0.65, 0.9), (-0.05, 0.75)]
+
+
+def _area(points: list[tuple[float, float]]) -> float:
+    return abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(points, points[1:] + points[:1]))) / 2
+
+
+@query("ring_areas", f"SELECT CAST(n_nationkey AS INTEGER) AS nk, round({_area(_MAIN)}::DOUBLE - {_area(_LAKE)}::DOUBLE + {_area(_ISLE)}::DOUBLE, 9) AS area FROM nation")
 def ring_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _regions(spark, sf_dir).select("nk", F.round(spatial.ring_area(F.col("ring")), 9).alias("area"))
+    """A shape's area: its outer rings' without its holes'."""
+    parts = F.transform("rings", lambda r, i: F.when(i == 1, -1).otherwise(1) * spatial.ring_area(r))
+    return _regions(spark, sf_dir).select("nk", F.round(F.aggregate(parts, F.lit(0.0), lambda t, a: t + a), 9).alias("area"))
 
 
 @query(
@@ -131,5 +176,5 @@ SELECT p_partkey, i / (20 * 15 + 30 * 30 - i) AS iou FROM i""",
 )
 def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = (F.col("p_partkey") % 60).cast("double"), F.col("p_size").cast("double")
-    window = [F.lit(float(v)) for v in (20, 10, 50, 40)]
-    return table(spark, sf_dir, "part").select("p_partkey", spatial.box_overlap([x, y, x + 20, y + 15], window).alias("iou"))
+    window = tuple(F.lit(float(v)) for v in (20, 10, 50, 40))
+    return table(spark, sf_dir, "part").select("p_partkey", geodesy.box_iou((x, y, x + 20, y + 15), window).alias("iou"))

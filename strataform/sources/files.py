@@ -77,19 +77,37 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
 
 
 def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """The properties and the outer ring (structs x, y) of each feature of GeoJSON files; a null geometry has a null ring."""
-    schema = f"features array<struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
+    """The properties and the shape of each feature of GeoJSON files: polygons of rings of structs x, y, outer ring first.
+
+    Polygons and multipolygons are read; a null geometry has a null shape. Any
+    other kind of geometry, and one that can't be read, is an error. For spatial
+    joins the rings of all polygons are one list: ``flatten(shape)``.
+    """
+    schema = f"features array<struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: string>>>"
     features = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    outer = F.transform(F.get(F.col("f.geometry.coordinates"), 0), lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    one = F.from_json(text, "array<array<array<double>>>", {"mode": "FAILFAST"})
+    many = F.from_json(text, "array<array<array<array<double>>>>", {"mode": "FAILFAST"})
+    numbers = F.when(kind == "Polygon", F.array(one)).when(kind == "MultiPolygon", many)
     # files repeat a ring's first point at its end
-    return features.select("f.properties.*", F.when(F.col("f.geometry.type") == "Polygon", F.slice(outer, 1, F.size(outer) - 1)).alias("ring"))
-
-
-def features_json(rings: DataFrame, ring_col: str = "ring") -> DataFrame:
-    """A GeoJSON feature for each row, as text; rows whose ring is null have a null geometry."""
-    points = F.transform(ring_col, lambda p: F.array(p.x, p.y))
-    closed = F.array(F.concat(points, F.slice(points, 1, 1)))
-    geometry = F.when(F.col(ring_col).isNotNull(), F.struct(F.lit("Polygon").alias("type"), closed.alias("coordinates")))
-    rest = [c for c in rings.columns if c != ring_col]
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*rest).alias("properties"), geometry.alias("geometry"))
-    return rings.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
+    ring = lambda r: F.transform(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))
+    shape = F.transform(numbers, lambda polygon: F.transform(polygon, ring))
+    known = kind.isNull() | kind.isin("Polygon", "MultiPolygon") & text.isNotNull()
+    return features.select("f.properties.*", F.when(known, shape).otherwise(F.raise_error(F.concat(F.lit("not a polygon: "), kind)).cast(SHAPE)).alias("shape"))
+
+
+#: Polygons of rings of points.
+SHAPE = "array<array<array<struct<x:double,y:double>>>>"
+
+
+def features_json(shapes: DataFrame, shape_col: str = "shape") -> DataFrame:
+    """A GeoJSON feature for each row, as text: a polygon, or a multipolygon if the shape has several; a null or empty shape is an error."""
+    ring = lambda r: F.transform(F.concat(r, F.slice(r, 1, 1)), lambda p: F.array(p.x, p.y))
+    polygons = F.transform(shape_col, lambda polygon: F.transform(polygon, ring))
+    one = F.struct(F.lit("Polygon").alias("type"), F.get(polygons, 0).alias("coordinates"))
+    many = F.struct(F.lit("MultiPolygon").alias("type"), polygons.alias("coordinates"))
+    size = F.coalesce(F.size(shape_col), F.lit(0))
+    quiet = {"ignoreNullFields": "false"}
+    geometry = F.when(size == 1, F.to_json(one, quiet)).when(size > 1, F.to_json(many, quiet)).otherwise(F.raise_error(F.lit("a feature without a shape")).cast("string"))
+    rest = F.to_json(F.struct(*[c for c in shapes.columns if c != shape_col]), quiet)
+    return shapes.select(F.concat(F.lit('{"type":"Feature","properties":'), rest, F.lit(',"geometry":'), geometry, F.lit("}")).alias("feature"))

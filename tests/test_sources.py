@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import glob
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,10 +44,42 @@ def test_inventory_skips_lock_files(spark, tmp_path):
 
 
 def test_features_round_trip(spark, tmp_path):
-    rows = spark.createDataFrame([("a", [(0.0, 0.0), (1.0, 0.0), (1.0, 2.0)]), ("b", None)], "code string, ring array<struct<x: double, y: double>>")
+    """A region of two islands, one with a lake; points in the lake are outside."""
+    from strataform.operators.spatial import points_in_shapes
+
+    def square(x, y, w):
+        return [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+
+    shapes = [("a", [[square(0.0, 0.0, 4.0), square(1.0, 1.0, 2.0)], [square(6.0, 0.0, 1.0)]]), ("b", [[square(8.0, 0.0, 1.0)]])]
+    rows = spark.createDataFrame(shapes, f"code string, shape {files.SHAPE}")
     made = [json.loads(r.feature) for r in files.features_json(rows).collect()]
-    (tmp_path / "f.json").write_text(json.dumps({"type": "FeatureCollection", "features": made}))
-    assert sorted(files.read_features(spark, str(tmp_path / "f.json"), "code: string").collect()) == sorted(rows.collect())
+    assert [m["geometry"]["type"] for m in made] == ["MultiPolygon", "Polygon"] and made[0]["geometry"]["coordinates"][0][1][0] == made[0]["geometry"]["coordinates"][0][1][-1] == [1.0, 1.0]
+    path = tmp_path / "f.json"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": [*made, {"type": "Feature", "properties": {"code": "c"}, "geometry": None}]}))
+    got = files.read_features(spark, str(path), "code: string")
+    assert sorted(got.where("shape IS NOT NULL").collect()) == sorted(rows.collect()) and got.where("shape IS NULL").count() == 1
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 2.0, 2.0), (3, 6.5, 0.5), (4, 5.0, 0.5), (5, 8.5, 0.5), (6, None, 1.0)], "p long, x double, y double")
+    held = points_in_shapes(points, got.select("code", F.flatten("shape").alias("rings")))
+    assert {(r.p, r.code) for r in held.collect()} == {(1, "a"), (3, "a"), (5, "b")}
+    for bad in ({"type": "Point", "coordinates": [1, 2]}, {"type": "Polygon", "coordinates": "x"}):
+        path.write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"code": "c"}, "geometry": bad}]}))
+        with pytest.raises(Exception):
+            files.read_features(spark, str(path), "code: string").collect()
+    with pytest.raises(Exception):
+        files.features_json(rows.select("code", F.lit(None).cast(files.SHAPE).alias("shape"))).collect()
+
+
+def test_distances_hold_at_all_latitudes(spark):
+    from strataform.operators.spatial import points_near_shapes
+
+    schema = "id long, rings array<array<struct<x: double, y: double>>>"
+    for lat in (-80.0, 0.0, 30.0, 70.0, 80.0, 88.0):
+        shapes = spark.createDataFrame([(1, [[(10.0, lat), (11.0, lat), (11.0, lat + 0.5), (10.0, lat + 0.5)]])], schema)
+        east = 11.0 + 4900 / 111195.08 / math.cos(math.radians(lat + 0.25))
+        points = spark.createDataFrame([(1, east, lat + 0.25), (2, 11.0 + (east - 11.0) * 1.05, lat + 0.25)], "p long, x double, y double")
+        assert [(r.p, round(r.metres)) for r in points_near_shapes(points, shapes, 5000.0).collect()] == [(1, 4900)]
+    with pytest.raises(Exception):
+        points_near_shapes(points, spark.createDataFrame([(1, [[(0.0, 89.0), (1.0, 89.0), (1.0, 89.9)]])], schema), 5000.0).collect()
 
 
 def test_upsert_changes_only_what_matters(spark, tmp_path):
