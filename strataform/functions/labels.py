@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 #: Tokens and patterns of the sources' labels.
 MONEY = r"^([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(\.[0-9]+)?\s*원?$"
-MONTHLY_AVERAGE, TOTALS = "월평균", ["계", "합계", "총계"]
-ISO_MONTH, KOREAN_MONTH = r"^([0-9]{4})-([0-9]{1,2})$", r"^([0-9]{1,2})월$"
+MONTHLY_AVERAGE, TOTALS = "월평균", ["합계", "총계", "소계", "계"]
+ISO_MONTH, KOREAN_MONTH = r"^([0-9]{4})[-.]([0-9]{1,2})$", r"^([0-9]{1,2})월"
 UNIT = r":\s*([^)\s]+)"
 PREFIXES = ["서울특별시", "인천광역시", "경기도"]
 #: Keys of requests and responses whose values are secret, in lower case.
