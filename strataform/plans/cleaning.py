@@ -4,31 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from strataform.functions.quantities import blank_to_null, parse_quantity
 from strataform.plans.registry import query, table
 
-#: Tokens that stand for no value.
-NULL_TOKENS = ["", "-", "N/A", "null"]
 #: Fixed value: the sphere's radius in metres that web mercator uses.
 MERCATOR_RADIUS = 6378137.0
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", F.trim(c))
-
-
-def parse_quantity(c: Column) -> tuple[Column, Column]:
-    """Decimal value and reason: commas go, null-like tokens are missing (not zero), negative or other texts are rejected.
-
-    A number of more than 14 whole digits is out of range, with a reason of its own.
-    """
-    plain = F.regexp_replace(F.trim(c), ",", "")
-    missing = c.isNull() | F.upper(plain).isin([t.upper() for t in NULL_TOKENS])
-    numeric = plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-    number = F.when(~missing & numeric, plain.try_cast("decimal(20,6)"))
-    reason = F.when(missing, "MISSING").when(~numeric, "NOT_NUMERIC").when(plain.startswith("-") & F.coalesce(number != 0, F.lit(True)), "NEGATIVE").when(number.isNull(), "OUT_OF_RANGE")
-    return F.when(reason.isNull(), number), reason
-
-
 @query(
     "quantity_parse",
     """SELECT event_id, CASE n WHEN 0 THEN CAST('1234' || CAST(event_id AS VARCHAR) || '.5' AS DECIMAL(20,6)) WHEN 5 THEN CAST(1500 AS DECIMAL(20,6)) END AS quantity,

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from strataform.operators.triage import LANDFILL_FIELDS, PROCESSING_FIELDS, facility_rows
+
 #: The name of a month's column, and the form of a region's cell, in population deliveries.
 MONTH_COLUMN = r"^([0-9]{4})년([0-9]{2})월_총인구수$"
 REGION_CELL = r"^(.*?)\s*\(\s*([0-9]+)\s*\)\s*$"
@@ -76,6 +78,53 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
     return files.where(~F.col("name").startswith("~$") & ~F.col("name").startswith("."))
 
 
+#: Fields of a facility's row as text, and those that hold for all rows of a page.
+FACILITY_FIELDS = ["name", "sido", "sigungu", "address", *LANDFILL_FIELDS.values(), *PROCESSING_FIELDS.values()]
+
+
+def read_facilities(spark: SparkSession, path: str, kinds: dict[str, str], year: int) -> DataFrame:
+    """Facility rows of paged deliveries of several data sets, sorted out by ``triage.facility_rows``; with file, pid and place in the file.
+
+    ``kinds`` names the kind of facility of each data set. Pages say their data
+    set, year and result code; a page of another data set or year is an error, a
+    page without data (code NO_DATA) has no rows. Nothing else is dropped.
+    """
+    fields = ", ".join(f"`{f}` string" for f in FACILITY_FIELDS)
+    schema = f"pid string, year int, code string, data array<struct<{fields}>>"
+    pages = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("pid")]
+    pages = pages.withColumn("kind", kind)
+    wrong = pages.where(F.col("kind").isNull() | ~F.col("year").eqNullSafe(F.lit(year)) | ((F.col("code") != "NO_DATA") & F.col("data").isNull()))
+    if not wrong.isEmpty():
+        raise IncompleteDelivery(f"{path}: pages of another data set or year, or without rows")
+    rows = pages.where("code <> 'NO_DATA'").select("file", "pid", "kind", F.posexplode("data").alias("place", "row")).select("file", "pid", "kind", "place", "row.*")
+    return facility_rows(rows, "file", "place").join(pages.select("file", "pid").distinct(), "file")
+
+
+def discover(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Every layer that a manifest names and every file found: dataset, layer, path and state.
+
+    ``manifest``: dataset, layer, folder, suffix, coverage (REQUIRED, OPTIONAL or
+    UNPUBLISHED); ``files``: path. A layer has the files in its folder that end
+    in its suffix. FOUND; DUPLICATE where a layer has several; MISSING and
+    ABSENT for a required and an optional layer without any, UNPUBLISHED where
+    none is expected; UNEXPECTED for a file of no layer, or of one that should
+    have none.
+    """
+    folder = F.regexp_extract("path", "([^/]*)/[^/]*$", 1)
+    own = files.select("path", folder.alias("__folder"))
+    held = own.join(manifest, (F.col("__folder") == F.col("folder")) & F.col("path").endswith(F.col("suffix")), "full")
+    several = F.count("path").over(Window.partitionBy("dataset", "layer")) > 1
+    state = (
+        F.when(F.col("layer").isNull(), "UNEXPECTED")
+        .when(F.col("path").isNull(), F.when(F.col("coverage") == "REQUIRED", "MISSING").when(F.col("coverage") == "OPTIONAL", "ABSENT").otherwise("UNPUBLISHED"))
+        .when(F.col("coverage") == "UNPUBLISHED", "UNEXPECTED")
+        .when(several, "DUPLICATE")
+        .otherwise("FOUND")
+    )
+    return held.select("dataset", "layer", "path", state.alias("state"))
+
+
 def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """The properties and the shape of each feature of GeoJSON files: polygons of rings of structs x, y, outer ring first.
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strataform.functions.labels import redacted
+
 
 def _folder(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -134,6 +136,20 @@ def refresh_source(spark: SparkSession, path: str, rows: DataFrame, source_col:
     return {"retired": retired, "held": stored.count()}
 
 
+def keep_raw(spark: SparkSession, path: str, responses: DataFrame) -> DataFrame:
+    """Store raw responses once, without their secrets, and return each with the digest that it is held by.
+
+    ``responses``: source, endpoint, period, version and payload (JSON text). The
+    key is source, endpoint, period, version and the digest of the payload after
+    its secrets are gone, so a response that comes again, with another key of
+    access, is the one that is held. Null periods and payloads are values.
+    """
+    clean = responses.withColumn("payload", redacted(F.col("payload")))
+    clean = clean.withColumn("digest", F.sha2(F.coalesce("payload", F.lit("\0")), 256))
+    insert_new(spark, path, clean.select("source", "endpoint", "period", "version", "digest", "payload"), ["source", "endpoint", "period", "version", "digest"])
+    return clean.select("source", "endpoint", "period", "version", "digest")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV part files as spreadsheets read them: UTF-8 with a mark in front of the header, CRLF, RFC 4180 quotes.
 

@@ -152,3 +152,40 @@ def test_nearest_sites_match_brute_force(spark):
         got = nearest_sites(spark.createDataFrame(points, "p long, x double, y double"), spark.createDataFrame(sites, "s long, x double, y double"), "p", "s", k=k).groupBy("p").agg(F.array_sort(F.collect_list(F.struct("rank", "s"))).alias("r")).collect()
         wanted = {p: [s for _, s in sorted((((sx - x) ** 2 + (sy - y) ** 2) ** 0.5, s) for s, sx, sy in sites)[:k]] for p, x, y in points}
         assert {r.p: [e.s for e in r.r] for r in got} == wanted
+
+
+def test_facilities_of_several_data_sets(spark, tmp_path):
+    row = {"name": "시설", "sido": "경기도", "sigungu": "용인시", "address": "길 1", "LANDFILL_QTY": "1,000", "FILL_AREA": "5", "DISPOSAL_QTY": "7", "RESIDUE_RECY": "x"}
+    pages = {"a": ("P1", [row, {**row, "name": "합계"}, {**row, "address": " "}, row]), "b": ("P2", [row, {**row, "RESIDUE_RECY": "-"}])}
+    for name, (pid, rows) in pages.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps({"pid": pid, "year": 2024, "code": "OK", "data": rows}))
+    (tmp_path / "c.json").write_text(json.dumps({"pid": "P2", "year": 2024, "code": "NO_DATA"}))
+    kinds = {"P1": "LANDFILL", "P2": "INCINERATION"}
+    found = files.read_facilities(spark, str(tmp_path), kinds, 2024).orderBy("pid", "place").collect()
+    assert [(r.pid, r.outcome, r.reason, r["index"]) for r in found] == [
+        ("P1", "RECORD", None, 0), ("P1", "AGGREGATE", None, None), ("P1", "REJECTED", "missing address", 1), ("P1", "RECORD", None, 2),
+        ("P2", "REJECTED", "RESIDUE_RECY NOT_NUMERIC", 0), ("P2", "RECORD", None, 1),
+    ]
+    assert (float(found[0].throughput), float(found[0].fill_area_m2), found[0].residue_recycling) == (1000.0, 5.0, None) and (float(found[5].throughput), found[5].fill_area_m2) == (7.0, None)
+    (tmp_path / "d.json").write_text(json.dumps({"pid": "P1", "year": 2023, "code": "OK", "data": []}))
+    with pytest.raises(files.IncompleteDelivery):
+        files.read_facilities(spark, str(tmp_path), kinds, 2024)
+
+
+def test_discovery_by_a_manifest(spark):
+    manifest = spark.createDataFrame([("d", "roads", "r", ".shp", "REQUIRED"), ("d", "rivers", "v", ".shp", "REQUIRED"), ("d", "parks", "p", ".shp", "OPTIONAL"), ("d", "mines", "m", ".shp", "UNPUBLISHED"), ("d", "bays", "b", ".shp", "UNPUBLISHED"), ("d", "hills", "h", ".shp", "REQUIRED")], "dataset string, layer string, folder string, suffix string, coverage string")
+    found = files.discover(spark.createDataFrame([("/x/r/a.shp",), ("/x/b/a.shp",), ("/x/h/a.shp",), ("/x/h/b.shp",), ("/x/r/a.dbf",)], "path string"), manifest)
+    assert {(r.layer, r.path, r.state) for r in found.collect()} == {
+        ("roads", "/x/r/a.shp", "FOUND"), ("rivers", None, "MISSING"), ("parks", None, "ABSENT"), ("mines", None, "UNPUBLISHED"), ("bays", "/x/b/a.shp", "UNEXPECTED"),
+        ("hills", "/x/h/a.shp", "DUPLICATE"), ("hills", "/x/h/b.shp", "DUPLICATE"), (None, "/x/r/a.dbf", "UNEXPECTED"),
+    }
+
+
+def test_raw_responses_are_kept_once_without_secrets(spark, tmp_path):
+    path, schema = str(tmp_path / "raw"), "source string, endpoint string, period string, version string, payload string"
+    make = lambda *rows: spark.createDataFrame(rows, schema)
+    first = sinks.keep_raw(spark, path, make(("s", "e", "2024", "1", '{"apiKey": "a", "v": 1}'), ("s", "e", None, "1", None))).collect()
+    again = sinks.keep_raw(spark, path, make(("s", "e", "2024", "1", '{"apiKey": "b", "v": 1}'), ("s", "e", "2024", "1", '{"apiKey": "b", "v": 2}'))).collect()
+    assert first[0].digest == again[0].digest != again[1].digest
+    held = sinks.read_version(spark, path).collect()
+    assert len(held) == 3 and not any("apiKey" in (r.payload or "") and "REDACTED" not in r.payload for r in held)
