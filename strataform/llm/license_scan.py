@@ -2,9 +2,12 @@
 
 Every rolling word k-gram of every document is hashed and joined with the
 template positions of that hash. A hit at document word i and template word j
-votes for the diagonal i - j of its document and template. Neighbouring
-diagonals are merged, so that a few inserted or missing words don't break a
-span, and spans are verified by the share of their template that they cover.
+votes for the diagonal i - j of its document and template. A diagonal is merged
+with those at most ``SLACK`` to its right, so that a few inserted or missing
+words don't break a span, but no more of them, and spans are verified by the
+share of their template that they cover. Long templates have grams of five
+words; short ones pairs of words next to each other or with one between, so
+that a word put in, left out or replaced costs them no more than that word.
 Every hit is confirmed on the words themselves, so hash collisions don't count.
 Only DataFrame functions are used.
 
@@ -21,8 +24,8 @@ from strataform.llm.common import fresh, lower_ascii, text_or_empty
 
 BROADCAST_GRAMS = 100_000
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: Words of the grams of short phrases, and of longer templates.
-PHRASE_K, TEMPLATE_K = 2, 5
+#: Words of the grams of phrases and short templates, and of longer templates; words from which on a template is long.
+PHRASE_K, TEMPLATE_K, LONG = 2, 5, 11
 #: Diagonals this close are one span.
 SLACK = 4
 
@@ -53,28 +56,40 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text), BREAK), "")
 
 
-def _grams(words: Column, hashed: Column, k: int) -> Column:
-    """Hashes of all runs of k words; the k is part of the hash."""
-    n = F.size(words) - k
-    rolled = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.lit(k), *[F.get(hashed, i + j) for j in range(k)]))
+def _pairs(words: Column, hashed: Column, gap: int) -> Column:
+    """Hashes of all words with the one ``gap`` places on; how far it is isn't part of the hash."""
+    n = F.size(words) - gap - 1
+    rolled = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.lit(PHRASE_K), F.get(hashed, i), F.get(hashed, i + gap)))
     return F.when(n >= 0, rolled).otherwise(F.array().cast("array<bigint>"))
 
 
+def _grams(words: Column, hashed: Column) -> Column:
+    """Hashes of all runs of TEMPLATE_K words."""
+    n = F.size(words) - TEMPLATE_K
+    rolled = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.lit(TEMPLATE_K), *[F.get(hashed, i + j) for j in range(TEMPLATE_K)]))
+    return F.when(n >= 0, rolled).otherwise(F.array().cast("array<bigint>"))
+
+
+TEMPLATE = "t_id int, t_label string, t_exact boolean, t_words int, t_pos int, t_hash bigint, t_gram array<string>, t_covers array<int>"
+
+
 def _template_grams(docs: DataFrame, phrases: list, templates: list) -> tuple[DataFrame, int]:
-    spark = docs.sparkSession
-    rows = [(i, label, text, PHRASE_K, True) for i, (text, label) in enumerate(phrases)]
-    rows += [(len(phrases) + i, label, text, TEMPLATE_K, False) for i, (text, label) in enumerate(templates)]
-    rows = [(i, label, text, min(k, len(text.split())), exact) for i, label, text, k, exact in rows]
-    if any(k not in (PHRASE_K, TEMPLATE_K) for *_, k, _ in rows):
-        rows = [(i, label, text, PHRASE_K if k < TEMPLATE_K else TEMPLATE_K, exact) for i, label, text, k, exact in rows]
-    t = spark.createDataFrame(rows, "t_id int, t_label string, t_text string, t_k int, t_exact boolean")
-    t = t.withColumn("t_words", words_of(F.col("t_text")))
-    t = t.withColumn("t_hashed", F.transform("t_words", lambda w: F.xxhash64(w)))
-    grams = F.when(F.col("t_k") == PHRASE_K, _grams(F.col("t_words"), F.col("t_hashed"), PHRASE_K)).otherwise(_grams(F.col("t_words"), F.col("t_hashed"), TEMPLATE_K))
-    t = t.withColumn("t_grams", grams).withColumn("t_n", F.size("t_grams"))
-    t = t.select("t_id", "t_label", "t_k", "t_exact", "t_n", "t_words", F.posexplode_outer("t_grams").alias("t_pos", "t_hash"))
-    t = t.withColumn("t_gram", F.slice("t_words", F.col("t_pos") + 1, F.col("t_k"))).drop("t_words")
-    return t, sum(max(1, len(text.split()) - k + 1) for _, _, text, k, _ in rows)
+    """A row for each gram of each phrase and template: its place, words and the words of the template that it covers."""
+    rows = []
+    for i, (text, label, exact) in enumerate([*((t, x, True) for t, x in phrases), *((t, x, False) for t, x in templates)]):
+        words = text.split()
+        if len(words) < PHRASE_K:
+            raise ValueError(f"a phrase or template of one word can't be found: {text}")
+        if exact or len(words) < LONG:
+            places = [[p, p + gap] for gap in ((1,) if exact else (1, 2)) for p in range(len(words) - gap)]
+        else:
+            places = [list(range(p, p + TEMPLATE_K)) for p in range(len(words) - TEMPLATE_K + 1)]
+        rows += [(i, label, exact, len(words), covers[0], [words[p] for p in covers], covers) for covers in places]
+    t = docs.sparkSession.createDataFrame(rows, TEMPLATE.replace("t_hash bigint, ", ""))
+    hashed = F.transform("t_gram", lambda w: F.xxhash64(w))
+    one = F.xxhash64(F.lit(PHRASE_K), F.get(hashed, 0), F.get(hashed, 1))
+    t = t.withColumn("t_hash", F.when(F.size("t_gram") == PHRASE_K, one).otherwise(F.xxhash64(F.lit(TEMPLATE_K), *[F.get(hashed, j) for j in range(TEMPLATE_K)])))
+    return t, len(rows)
 
 
 def _diagonals(docs: DataFrame, id_col: str, text_col: str, phrases: list, templates: list) -> DataFrame:
@@ -82,67 +97,69 @@ def _diagonals(docs: DataFrame, id_col: str, text_col: str, phrases: list, templ
     own = docs.select(F.col(id_col).alias("d_id"), text_or_empty(text_col).alias("__text"))
     own = own.select("d_id", F.xxhash64("__text").alias("d_fp"), words_of(F.col("__text")).alias("words"))
     own = own.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n_words", F.size("words"))
-    short, long = (_grams(F.col("words"), F.col("hashed"), k) for k in (PHRASE_K, TEMPLATE_K))
-    own = own.select("d_id", "d_fp", "words", "n_words", F.concat(F.array(F.lit(0).cast("bigint")), short, long).alias("grams"))
+    next_ones, second_ones = (_pairs(F.col("words"), F.col("hashed"), gap) for gap in (1, 2))
+    own = own.select("d_id", "d_fp", "words", "n_words", F.concat(F.array(F.lit(0).cast("bigint")), next_ones, second_ones, _grams(F.col("words"), F.col("hashed"))).alias("grams"))
     # the outer form: a plain explode of a column makes Spark compute the grams once more, to filter empty arrays
     rolled = own.select("d_id", "d_fp", "n_words", "words", F.posexplode_outer("grams").alias("p", "h"))
 
     t, n_grams = _template_grams(docs, phrases, templates)
-    mark = docs.sparkSession.createDataFrame([(_MARK, "", 1, False, 1, 0, 0, [])], "t_id int, t_label string, t_k int, t_exact boolean, t_n int, t_pos int, t_hash bigint, t_gram array<string>")
+    mark = docs.sparkSession.createDataFrame([(_MARK, "", False, 1, 0, 0, [], [])], TEMPLATE)
     t = t.select(mark.columns).unionByName(mark)
-    # the first element of a document's grams is its marker; then the short grams, then the long ones
-    n_short = F.greatest(F.col("n_words") - (PHRASE_K - 1), F.lit(0))
-    start = F.when(F.col("p") <= n_short, F.col("p") - 1).otherwise(F.col("p") - 1 - n_short)
+    # the first element of a document's grams is its marker; then the pairs of either distance, then the long grams
+    n_next, n_second = (F.greatest(F.col("n_words") - gap, F.lit(0)) for gap in (1, 2))
+    p = F.col("p")
+    gap = F.when(p <= n_next, 1).when(p <= n_next + n_second, 2).otherwise(0)
+    start = p - 1 - F.when(gap == 1, 0).when(gap == 2, n_next).otherwise(n_next + n_second)
+    gram = F.when(gap > 0, F.array(F.get("words", start), F.get("words", start + gap))).otherwise(F.slice("words", start + 1, TEMPLATE_K))
     if n_grams <= BROADCAST_GRAMS:
-        t, gram = F.broadcast(t), F.slice("words", start + 1, F.col("t_k"))
+        t = F.broadcast(t)
     else:
         # the grams are shuffled: each with its own words, not with all of its document
-        k = F.when(F.col("p") <= n_short, PHRASE_K).otherwise(TEMPLATE_K)
-        rolled = rolled.withColumn("gram", F.when(F.col("p") > 0, F.slice("words", start + 1, k))).drop("words")
+        rolled = rolled.withColumn("gram", F.when(p > 0, gram)).drop("words")
         gram = F.col("gram")
     hits = rolled.join(t, rolled.h == t.t_hash)
-    own_mark = (F.col("p") == 0) & (F.col("t_id") == _MARK)
-    same = (F.col("p") > 0) & (F.col("t_id") != _MARK) & (gram == F.col("t_gram"))
-    hits = hits.where(own_mark | same).select("d_id", "d_fp", "n_words", "t_id", "t_label", "t_exact", "t_n", "t_k", "t_pos", F.when(F.col("p") == 0, F.lit(0)).otherwise(start).alias("start"))
+    own_mark = (p == 0) & (F.col("t_id") == _MARK)
+    same = (p > 0) & (F.col("t_id") != _MARK) & (gram == F.col("t_gram")) & (~F.col("t_exact") | (gap == 1))
+    hits = hits.where(own_mark | same).select("d_id", "d_fp", "n_words", "t_id", "t_label", "t_exact", "t_words", "t_pos", "t_covers", F.when(p == 0, 0).otherwise(start).alias("start"), F.when(gap > 0, gap).otherwise(TEMPLATE_K - 1).alias("reach"))
     return (
         hits.withColumn("diagonal", F.col("start") - F.col("t_pos"))
-        .groupBy("d_id", "d_fp", "n_words", "t_id", "t_label", "t_exact", "t_n", "t_k", "diagonal")
-        .agg(F.count(F.lit(1)).alias("rows"), F.collect_set("t_pos").alias("seen"), F.min("start").alias("first"), F.max("start").alias("last"))
+        .groupBy("d_id", "d_fp", "n_words", "t_id", "t_label", "t_exact", "t_words", "diagonal")
+        .agg(F.count(F.lit(1)).alias("rows"), F.array_distinct(F.flatten(F.collect_set("t_covers"))).alias("seen"), F.min("start").alias("first"), F.max(F.col("start") + F.col("reach")).alias("last"))
     )
 
 
 def _spans(diagonals: DataFrame, coverage: float) -> DataFrame:
-    """Neighbouring diagonals of a template merged, kept if their grams hold enough of its words; marker rows pass.
+    """Each diagonal with its neighbours to the right, kept if they hold enough of the template's words; marker rows pass.
 
-    So a word put in, left out or replaced costs a template no more than that word.
+    Phrases are exact: a diagonal stands alone and must hold all. Of a template
+    one word may always be missing.
     """
     by = Window.partitionBy("d_id", "d_fp", "n_words", "t_id").orderBy("diagonal")
-    near = F.when(F.col("t_exact"), F.lit(0)).otherwise(F.lit(SLACK))
-    step = F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= near, 0).otherwise(1)
-    spans = (
-        diagonals.withColumn("step", step)
-        .withColumn("island", F.sum("step").over(by))
-        .groupBy("d_id", "d_fp", "n_words", "t_id", "t_label", "t_exact", "t_n", "t_k", "island")
-        .agg(F.max("rows").alias("rows"), F.flatten(F.collect_list("seen")).alias("seen"), F.min("first").alias("first"), F.max("last").alias("last"))
-        .withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform("seen", lambda p: F.sequence(p, p + F.col("t_k") - 1))))) / (F.col("t_n") + F.col("t_k") - 1))
-        .drop("seen")
-    )
-    enough = F.when(F.col("t_exact"), F.col("covered") >= 1.0).otherwise(F.col("covered") >= coverage)
-    return spans.where((F.col("t_id") == _MARK) | enough)
+    near = by.rangeBetween(0, SLACK)
+    exact = F.col("t_exact")
+    merged = diagonals.select(
+        "d_id", "d_fp", "n_words", "t_id", "t_label", "t_exact", "t_words", "diagonal", "rows",
+        F.when(exact, F.col("seen")).otherwise(F.array_distinct(F.flatten(F.collect_list("seen").over(near)))).alias("seen"),
+        F.when(exact, F.col("first")).otherwise(F.min("first").over(near)).alias("first"), F.when(exact, F.col("last")).otherwise(F.max("last").over(near)).alias("last"),
+    )
+    held = merged.withColumn("held", F.size("seen")).withColumn("covered", F.size("seen") / F.col("t_words")).drop("seen")
+    enough = F.when(exact, F.col("held") == F.col("t_words")).otherwise(F.col("held") >= F.least(F.ceil(F.col("t_words") * coverage), F.col("t_words") - 1))
+    return held.where((F.col("t_id") == _MARK) | enough)
 
 
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: list = PHRASES, templates: list = TEMPLATES, coverage: float = 0.8) -> DataFrame:
     """One row for each verified span: id, label, first_word, last_word, covered (0 to 1).
 
-    Null and empty texts have no spans. Repeated rows give their spans once.
+    Of spans of one template whose diagonals are near, the first of the best is
+    reported. Null and empty texts have no spans. Repeated rows give their spans
+    once. Phrases and templates have two words or more.
     """
     found = _spans(_diagonals(docs, id_col, text_col, phrases, templates), coverage).where(F.col("t_id") != _MARK)
+    by = Window.partitionBy("d_id", "d_fp", "n_words", "t_id").orderBy("diagonal")
+    before, after = (F.coalesce(F.max("held").over(by.rangeBetween(*r)), F.lit(0)) for r in ((-SLACK, -1), (1, SLACK)))
+    found = found.withColumn("best", F.col("t_exact") | ((F.col("held") > before) & (F.col("held") >= after))).where("best")
     return found.select(
-        F.col("d_id").alias(id_col),
-        F.col("t_label").alias("label"),
-        F.col("first").cast("long").alias("first_word"),
-        (F.col("last") + F.col("t_k") - 1).cast("long").alias("last_word"),
-        "covered",
+        F.col("d_id").alias(id_col), F.col("t_label").alias("label"), F.col("first").cast("long").alias("first_word"), F.col("last").cast("long").alias("last_word"), F.least(F.col("covered"), F.lit(1.0)).alias("covered")
     )
 
 
@@ -155,7 +172,8 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     0 without one. Null or empty text: no words, no labels, score 0. Repeated
     rows come back as often as they stand in ``docs``; rows of one id with
     different texts are reported apart. Null ids pass through. Other columns of
-    ``docs``, whatever their names, aren't read.
+    ``docs``, whatever their names, aren't read. A phrase or template of one word
+    is refused.
     """
     found = _spans(_diagonals(fresh(docs), id_col, text_col, phrases, templates), coverage)
     base = F.col("t_exact")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataform.llm.license_scan import PHRASES, SLACK, TEMPLATES
+from strataform.llm.license_scan import LONG, PHRASES, SLACK, TEMPLATES
 from strataform.llm.url_filter import RULES
 
 #: ASCII letters.
@@ -31,9 +31,11 @@ WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),
 p(pid, phrase, label) AS (VALUES {_values(PHRASES)}),
 t(tid, template, label) AS (VALUES {_values(TEMPLATES)}),
-tw AS (SELECT tid, label, string_split(template, ' ') AS tws, CASE WHEN len(string_split(template, ' ')) < 5 THEN 2 ELSE 5 END AS k FROM t),
-tg AS (SELECT tid, label, k, len(tws) - k + 1 AS n, unnest(range(len(tws) - k + 1)) AS tpos, tws FROM tw),
-tgram AS (SELECT tid, label, k, n, tpos, array_to_string(tws[tpos + 1 : tpos + k], ' ') AS gram FROM tg),
+tw AS (SELECT tid, label, string_split(template, ' ') AS tws FROM t),
+tk AS (SELECT *, len(tws) AS n, len(tws) < {LONG} AS short FROM tw),
+tgram AS (
+  SELECT tid, label, n, 2 AS k, tpos, [tpos, tpos + g] AS covers, tws[tpos + 1] || ' ' || tws[tpos + g + 1] AS gram FROM (SELECT *, unnest(range(n - g)) AS tpos FROM (SELECT *, unnest([1, 2]) AS g FROM tk WHERE short))
+  UNION ALL SELECT tid, label, n, 5, tpos, range(tpos, tpos + 5), array_to_string(tws[tpos + 1 : tpos + 5], ' ') FROM (SELECT *, unnest(range(n - 4)) AS tpos FROM tk WHERE NOT short)),
 wd AS (SELECT doc_id, unnest(ws) AS w0, unnest(range(len(ws))) AS i FROM w),
 g AS (SELECT *, lead(w0, 1) OVER d AS w1, lead(w0, 2) OVER d AS w2, lead(w0, 3) OVER d AS w3, lead(w0, 4) OVER d AS w4
       FROM wd WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
@@ -42,15 +44,16 @@ base AS (
   UNION ALL SELECT doc_id, label, i FROM g JOIN p ON w0 || ' ' || w1 || ' ' || w2 = phrase),
 dgram AS (
   SELECT doc_id, i, 2 AS k, w0 || ' ' || w1 AS gram FROM g WHERE w1 IS NOT NULL
+  UNION ALL SELECT doc_id, i, 2, w0 || ' ' || w2 FROM g WHERE w2 IS NOT NULL
   UNION ALL SELECT doc_id, i, 5, concat_ws(' ', w0, w1, w2, w3, w4) FROM g WHERE w4 IS NOT NULL),
-hit AS (SELECT doc_id, tid, label, k, n, tpos, i - tpos AS d FROM dgram JOIN tgram USING (k, gram)),
-dd AS (SELECT DISTINCT doc_id, tid, d FROM hit),
-st AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY doc_id, tid ORDER BY d) <= {SLACK} THEN 0 ELSE 1 END AS s FROM dd),
-isl AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, tid ORDER BY d) AS island FROM st),
+hit AS (SELECT DISTINCT doc_id, tid, label, n, covers, i - tpos AS d FROM dgram JOIN tgram USING (k, gram)),
 sp AS (
-  SELECT doc_id, label, count(DISTINCT wpos) / CAST(min(n + k - 1) AS DOUBLE) AS covered
-  FROM (SELECT *, unnest(range(tpos, tpos + k)) AS wpos FROM hit JOIN isl USING (doc_id, tid, d)) GROUP BY doc_id, tid, label, island),
-lab AS (SELECT doc_id, label, 1.0::DOUBLE AS covered FROM base UNION ALL SELECT * FROM sp WHERE covered >= 0.8),
+  SELECT doc_id, label, covered FROM (
+    SELECT a.doc_id, a.label, a.n, count(DISTINCT wpos) AS held, count(DISTINCT wpos) / CAST(a.n AS DOUBLE) AS covered
+    FROM (SELECT DISTINCT doc_id, tid, label, n, d FROM hit) a JOIN (SELECT doc_id, tid, d, unnest(covers) AS wpos FROM hit) b ON a.doc_id = b.doc_id AND a.tid = b.tid AND b.d BETWEEN a.d AND a.d + {SLACK}
+    GROUP BY a.doc_id, a.tid, a.label, a.n, a.d)
+  WHERE held >= least(ceil(n * 0.8), n - 1)),
+lab AS (SELECT doc_id, label, 1.0::DOUBLE AS covered FROM base UNION ALL SELECT * FROM sp),
 lb AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(covered) AS score FROM lab GROUP BY doc_id),
 bb AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -218,7 +218,22 @@ def test_plan_uses_every_piece_once(seed):
 # --- 5: URL filters
 
 
-def test_collisions_are_confirmed_on_strings(spark, monkeypatch):
+def test_all_keys_equal(monkeypatch, tmp_path):
+    """With a hash that makes all keys collide, verdicts are those of the strings."""
+    from strataform.llm import url_filter
+
+    urls = [("a.example.com", "/en/x"), ("www.example.com", "/en/"), ("com", "/"), ("a.net", "/fr/"), ("net", "/e"), ("x.org", "/en/"), ("a" * 5000 + ".net", "/es/" + "b" * 5000)] * 2
+    usual = []
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda text: 7)
+        path = tmp_path / f"index{same}"
+        path.write_bytes(url_filter.build_index(url_filter.RULES))
+        usual.append(url_filter.DigestArray(str(path)).judge([h for h, _ in urls], [p for _, p in urls]))
+    assert usual[0] == usual[1] and usual[0][:7] == [("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("com/", "allow"), ("net/fr/", "block"), (None, None), (None, None), ("net/es/", "block")]
+
+
+def test_urls_of_odd_rows(spark):
     from strataform.llm import url_filter
 
     index = url_filter.build_index(url_filter.RULES)
@@ -228,6 +243,9 @@ def test_collisions_are_confirmed_on_strings(spark, monkeypatch):
     assert found == {1: ("", None, "allow"), 2: ("", None, "allow"), 3: ("a.example.com", "example.com/en/", "block"), 4: ("www.example.com", "www.example.com/en/", "allow"), 5: ("com", None, "allow"), 6: ("a.net", "net/fr/", "block")}
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
     assert {r.verdict for r in url_filter.filter_urls(pages, rules=[], default="block").collect()} == {"block"}
+    again = pages.union(pages.where("page_id = 3")).selectExpr("page_id", "url", "'own' AS host", "'own' AS Verdict", "1 AS n")
+    rows = url_filter.filter_urls(again).collect()
+    assert len(rows) == 7 and rows[0].n == 1 and sum(r.host == "a.example.com" for r in rows) == 2 and url_filter.filter_urls(again).columns == ["page_id", "url", "n", "host", "path", "rule", "verdict"]
 
 
 # --- 6: decontamination
@@ -391,14 +409,29 @@ def test_licenses_with_a_changed_word(spark):
     for i, (text, label) in enumerate(TEMPLATES):
         words = text.split()
         k = len(words) // 2
-        changes = [words] if len(words) < 11 else [words, [*words[:k], "odd", *words[k:]], words[:k] + words[k + 1 :], [*words[:k], "odd", *words[k + 1 :]]]
+        changes = [words, [*words[:k], "odd", *words[k:]], words[:k] + words[k + 1 :], [*words[:k], "odd", *words[k + 1 :]]]
         for own in changes:
             wanted[len(rows)] = label
             rows.append((len(rows), " ".join(prose(i, 20) + own + prose(i + 50, 20))))
     rows += [(1000 + i, " ".join(prose(600 + i, 60))) for i in range(5)]
+    for i, (text, _) in enumerate(TEMPLATES):  # four strangers after every five words, or the words in another order
+        words = text.split()
+        rows.append((2000 + i, " ".join(w for j in range(0, len(words), 5) for w in [*words[j : j + 5], *prose(i + j, 4)]) if len(words) > 14 else " ".join(words[::-1])))
+    rows += [(3000, "all rights reserved worldwide " * 3), (3001, "all rights reserved")]
     got = {r.doc_id: r.labels for r in license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(label in got[i].split(",") for i, label in wanted.items())
-    assert all(got[1000 + i] == "" for i in range(5))
+    assert all(got[1000 + i] == "" for i in range(5)) and all(got[2000 + i] == "" for i in range(10)), [got[2000 + i] for i in range(10)]
+    assert got[3000] == got[3001] == "proprietary"
+
+
+def test_license_spans_and_their_places(spark):
+    from strataform.llm.license_scan import TEMPLATES, license_spans
+
+    texts = ["x y " + TEMPLATES[0][0] + " z", "x " + TEMPLATES[3][0].replace("the ", "the odd ") + " and " + TEMPLATES[3][0], None, "mit license"]
+    found = sorted((r.doc_id, r.label, r.first_word, r.last_word, round(r.covered, 3)) for r in license_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert found == [(0, "apache", 2, 9, 1.0), (0, "apache", 5, 6, 1.0), (1, "mit", 1, 6, 1.0), (1, "mit", 5, 6, 1.0), (1, "mit", 8, 12, 1.0), (1, "mit", 11, 12, 1.0), (3, "mit", 0, 1, 1.0)]
+    with pytest.raises(ValueError):
+        license_spans(spark.createDataFrame([], "doc_id long, text string"), phrases=[("mit", "mit")])
 
 
 def test_licenses_with_many_templates_take_a_join(spark, sf_dir, monkeypatch):
