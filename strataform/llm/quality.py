@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strataform.llm.common import text_or_empty
 
 PER_CLASS = 1500
+#: Bytes of a text that it is learned from: of a longer one, blocks spread evenly over all of it.
 TRAIN_BYTES = 1 << 15
 DICT_BYTES = 110 << 10
 BLOCK_BYTES = 1 << 10
@@ -102,7 +103,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
     Ids with several different labels aren't learned from; of several texts of
     an id the smallest is. The rows of a label with the smallest id hashes are
-    the sample; half of them make its dictionary, half the curve.
+    the sample; half of them make its dictionary, half the curve. Long texts are
+    learned from by blocks from their whole length; empty ones aren't.
     """
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & learn).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("__y"))
     own = own.where(F.col("y") == F.col("__y")).select(F.col(id_col).alias("__id"), F.col("y").cast("int").alias("y"))
@@ -112,7 +114,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     order = F.xxhash64(F.col("__id").cast("string"))
     some = [own.where(F.col("y") == y).orderBy(order, "__id").limit(PER_CLASS) for y in (0, 1)]
     sample = F.broadcast(some[0].union(some[1]))
-    texts = docs.select(F.col(id_col).alias("__id"), F.encode(text_or_empty(text_col), "UTF-8").alias("raw")).where(F.length("raw").between(1, TRAIN_BYTES))
+    texts = docs.select(F.col(id_col).alias("__id"), F.encode(text_or_empty(text_col), "UTF-8").alias("raw")).where(F.length("raw") > 0)
+    blocks = TRAIN_BYTES // BLOCK_BYTES
+    stride = (F.length("raw") - BLOCK_BYTES) / (blocks - 1)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.substring("raw", (i * stride).cast("int") + 1, F.lit(BLOCK_BYTES)))
+    some_of_it = F.aggregate(spread, F.lit(b""), lambda all_, one: F.concat(all_, one))
+    texts = texts.withColumn("raw", F.when(F.length("raw") > TRAIN_BYTES, some_of_it).otherwise(F.col("raw")))
     rows = texts.join(sample, "__id").groupBy("__id", "y").agg(F.min("raw").alias("raw")).orderBy(F.xxhash64(F.col("__id").cast("string"), F.lit(1)), "__id").collect()
     parts: dict[int, list[bytes]] = {0: [], 1: []}
     for r in rows:
