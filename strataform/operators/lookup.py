@@ -80,11 +80,17 @@ def longest_prefix(names: DataFrame, registry: DataFrame, name: str, prefix: str
     the lengths that the registry uses, so nothing is compared pair by pair.
     """
     lengths = registry.agg(F.array_sort(F.collect_set(F.length(prefix))).alias("__lengths"))
-    ids = names.withColumn("__row", F.struct(*names.columns))
-    parts = ids.crossJoin(F.broadcast(lengths)).select("__row", *scope, F.explode(F.transform("__lengths", lambda n: F.substring(F.col(name), F.lit(1), n))).alias("__part")).where(F.length("__part") > 0).distinct()
+    # names repeat, and what else their rows have doesn't matter: each is looked up once
+    asked = names.select(*scope, F.col(name).alias("__name")).distinct()
+    parts = asked.crossJoin(F.broadcast(lengths)).select(*scope, "__name", F.explode(F.transform("__lengths", lambda n: F.substring(F.col("__name"), F.lit(1), n))).alias("__part")).where(F.length("__part") > 0).distinct()
     reg = registry.select(*scope, F.col(prefix).alias("__part")).distinct()
-    best = parts.join(reg, [*scope, "__part"]).groupBy("__row").agg(F.max_by("__part", F.length("__part")).alias("matched_prefix"))
-    return names.withColumn("__row", F.struct(*names.columns)).join(best, "__row", "left").drop("__row")
+    best = parts.join(reg, [*scope, "__part"]).groupBy(*scope, "__name").agg(F.max_by("__part", F.length("__part")).alias("matched_prefix"))
+    keys = {c: f"__{i}" for i, c in enumerate(scope)}
+    best = best.withColumnsRenamed(keys)
+    met = F.col(name) == F.col("__name")
+    for c, k in keys.items():
+        met = met & (names[c] == F.col(k))
+    return names.join(best, met, "left").drop("__name", *keys.values())
 
 
 def complete_sum(members: DataFrame, values: DataFrame, group: str, key: str, value: str) -> DataFrame:

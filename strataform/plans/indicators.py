@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strataform.functions.rounding import clamp_score, dec, half_even, ratio
 from strataform.operators.lookup import checked_lookup
@@ -19,7 +19,7 @@ def _population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _waste(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, c = table(spark, sf_dir, "orders").where(F.year("o_orderdate") == 1997), table(spark, sf_dir, "customer")
+    o, c = table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= "1997-01-01") & (F.col("o_orderdate") < "1998-01-01")), table(spark, sf_dir, "customer")
     return o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("nk"), F.col("o_orderpriority").alias("stream")).agg(F.sum(dec(F.col("o_totalprice"), 20, 2)).alias("qty"))
 
 
@@ -49,10 +49,20 @@ def facility_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FLOW = "SELECT strftime(l_shipdate, '%Y-%m') AS month, s_nationkey AS origin, l_returnflag AS waste, sum(CAST(l_quantity AS DECIMAL(20,2))) AS kg, sum(CAST(l_extendedprice AS DECIMAL(20,2))) AS fee FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3"
 
 
+def _cents(c: str) -> Column:
+    """Hundredths as a whole number: sums of them stay exact, and on the fast path that decimals leave."""
+    return F.floor(F.col(c) * 100 + 0.5)
+
+
 def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
-    keys = [F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("s_nationkey").alias("origin"), F.col("l_returnflag").alias("waste")]
-    return l.join(s, l.l_suppkey == s.s_suppkey).groupBy(*keys).agg(F.sum(dec(F.col("l_quantity"), 20, 2)).alias("kg"), F.sum(dec(F.col("l_extendedprice"), 20, 2)).alias("fee"))
+    """kg and fee by month, origin and waste: months are numbers while rows are many, and texts afterwards."""
+    l, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    number = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1
+    l = l.select("l_suppkey", number.alias("__m"), "l_returnflag", _cents("l_quantity").alias("kg"), _cents("l_extendedprice").alias("fee"))
+    sums = l.join(s, l.l_suppkey == s.s_suppkey).groupBy("__m", F.col("s_nationkey").alias("origin"), F.col("l_returnflag").alias("waste")).agg(F.sum("kg").alias("kg"), F.sum("fee").alias("fee"))
+    month = F.format_string("%04d-%02d", F.floor(F.col("__m") / 12), F.col("__m") % 12 + 1)
+    exact = [(F.col(c).cast("decimal(20,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(20,2)").alias(c) for c in ("kg", "fee")]
+    return sums.select(month.alias("month"), "origin", "waste", *exact)
 
 
 @query("landfill_summary", f"WITH f AS ({_FLOW}) SELECT left(month, 4) AS year, round_even(CAST(sum(kg) AS DOUBLE) / 1000, 3) AS tonnes, round_even(CAST(sum(fee) AS DOUBLE) / CAST(sum(kg) AS DOUBLE), 2) AS fee_per_kg, count(DISTINCT month) AS months, count(DISTINCT month) = 12 AS complete FROM f GROUP BY 1")
