@@ -29,11 +29,6 @@ def checked_lookup(facts: DataFrame, side: DataFrame, on: Sequence[str], value:
     return joined.withColumn(value, F.when(n == 1, F.col("__v"))).withColumn("reason", F.when(n == 0, missing).when(n > 1, ambiguous)).drop("__n", "__v")
 
 
-def split_outcome(df: DataFrame, reason: str = "reason") -> tuple[DataFrame, DataFrame]:
-    """Rows with a value, and excluded rows."""
-    return df.where(F.col(reason).isNull()).drop(reason), df.where(F.col(reason).isNotNull())
-
-
 def reconcile(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """One row a key of either side: both, left_only, right_only or duplicate."""
     a = left.groupBy(*on).agg(F.count(F.lit(1)).alias("left_rows"))

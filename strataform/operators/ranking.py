@@ -8,14 +8,12 @@ ordered sum is over a bounded domain.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataform.functions.rounding import half_even
 
-
 #: Bits of a whole-number key that are left out of its range: a value's rows are numbered by ranges of 65,536 keys.
 RANGE_BITS = 16
 
@@ -61,29 +59,18 @@ def top_fraction(rank: Column, population: Column, share: float = 0.10) -> Colum
     return rank <= F.greatest(F.lit(1), F.ceil(population * F.lit(share)))
 
 
-def nearest_rank(ordered: Column, p: int) -> Column:
-    """The nearest-rank percentile of a sorted array; null when there are fewer than four values."""
-    n = F.size(ordered)
-    return F.when(n >= 4, F.get(ordered, F.ceil(n * F.lit(p) / 100).cast("int") - 1))
-
-
-def quantile_breaks(values: Sequence[float], classes: int) -> list[float]:
-    """Values at round(step (n - 1) / classes), halves up, strictly increasing."""
-    ordered, out = sorted(values), []
-    if not ordered:
-        return out
-    for step in range(1, classes):
-        v = ordered[math.floor(step * (len(ordered) - 1) / classes + 0.5)]
-        if not out or v > out[-1]:
-            out.append(v)
-    return out
+def quantile_breaks(df: DataFrame, value: str, classes: int) -> DataFrame:
+    """One row: the distinct values at places round(step (n - 1) / classes), halves up, in order, as ``breaks``.
 
-
-def log_breaks(largest: float | None, classes: int) -> list[float]:
-    """Equal intervals of log1p up to the largest value; none unless it is positive."""
-    if largest is None or largest <= 0:
-        return []
-    return [math.expm1(math.log1p(largest) * step / classes) for step in range(1, classes)]
+    Each place is found among the counts of the distinct values, so no task has
+    all rows. Null values take no part; without values there are no breaks.
+    """
+    before = _before(df, value, False)
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__w")).agg(F.count(F.lit(1)).alias("__n"))
+    held = before.join(counts, F.col("__v") == F.col("__w"))
+    places = F.array(*[F.floor(F.lit(step) * (F.col("population") - 1) / classes + 0.5) for step in range(1, classes)])
+    within = F.exists(places, lambda p: (p >= F.col("__before")) & (p < F.col("__before") + F.col("__n")))
+    return held.where(within).agg(F.sort_array(F.collect_list("__v")).alias("breaks"))
 
 
 def class_index(value: Column, breaks: Column) -> Column:

@@ -25,21 +25,27 @@ def curve(x: Column, points: list[tuple[int, int]] = ROAD_CURVE) -> Column:
     return half_even(F.when(x.isNotNull(), out), 4, 9)
 
 
-def validate_weights(weights: Mapping[str, object], keys: tuple[str, ...] = ("zoning", "road", "equity", "demand")) -> dict[str, Decimal]:
-    """Exactly these keys, decimals in [0, 1] (no floats, no booleans), not all zero, adding up to exactly 1."""
-    if set(weights) != set(keys):
-        raise ValueError("exactly the four weights are asked for")
-    out = {}
-    for k, w in weights.items():
-        if isinstance(w, (bool, float)):
-            raise ValueError(f"{k}: give an exact decimal")
-        d = Decimal(str(w))
-        if not d.is_finite() or not 0 <= d <= 1:
-            raise ValueError(f"{k}: outside [0, 1]")
-        out[k] = d.quantize(Decimal("1e-8"), ROUND_HALF_EVEN)
-    if sum(out.values()) != 1:
-        raise ValueError("the weights don't add up to 1")
-    return out
+def weight_fault(text: Column, keys: tuple[str, ...] = ("zoning", "road", "equity", "demand")) -> Column:
+    """The first fault of weights that come as a JSON object; null for good ones.
+
+    Exactly the keys; each a whole number or a decimal written as a text, since a
+    number with a point is a float, whose sum can't be told to be exact; from 0
+    to 1; not all zero; with eight places they add up to exactly 1.
+    """
+    parsed = F.try_parse_json(text)
+    kinds = F.array(*[F.schema_of_variant(F.try_variant_get(parsed, f"$.{k}", "variant")) for k in keys])
+    values = F.array(*[F.try_variant_get(parsed, f"$.{k}", "string").try_cast("decimal(28,12)") for k in keys])
+    names = F.array_sort(F.json_object_keys(text))
+    total = F.aggregate(values, F.lit(0).cast("decimal(20,8)"), lambda t, w: (t + F.bround(w, 8)).cast("decimal(20,8)"))
+    return (
+        F.when(parsed.isNull() | names.isNull(), "NOT_AN_OBJECT")
+        .when(names != F.array(*[F.lit(k) for k in sorted(keys)]), "KEYS")
+        .when(F.exists(kinds, lambda k: ~k.isin("BIGINT", "STRING")), "NOT_EXACT")
+        .when(F.exists(values, lambda w: w.isNull()), "NOT_A_NUMBER")
+        .when(F.exists(values, lambda w: (w < 0) | (w > 1)), "OUT_OF_RANGE")
+        .when(F.forall(values, lambda w: w == 0), "ALL_ZERO")
+        .when(total != 1, "SUM")
+    )
 
 
 def composite(weights: Mapping[str, str]) -> Column:

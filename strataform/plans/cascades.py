@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataform.operators import overlay, triage
 from strataform.operators.ranking import rank_all
+from strataform.operators.scoring import weight_fault
 from strataform.plans.overlay import _parts
 from strataform.plans.registry import query, table
 
@@ -133,6 +134,18 @@ def policy_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(triage.policy_faults(weights, ["zoning", "road", "demand"], curve, hard, review), ",").alias("faults"))
 
 
+@query(
+    "weight_validation",
+    """SELECT p_partkey, CASE p_partkey % 10 WHEN 1 THEN 'NOT_AN_OBJECT' WHEN 2 THEN 'KEYS' WHEN 3 THEN 'NOT_EXACT' WHEN 4 THEN 'NOT_EXACT' WHEN 5 THEN 'NOT_A_NUMBER' WHEN 6 THEN 'OUT_OF_RANGE' WHEN 7 THEN 'ALL_ZERO' WHEN 8 THEN 'SUM' END AS fault FROM part""",
+)
+def weight_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fault of each user's weights."""
+    k, rest = F.col("p_partkey") % 10, ', "road": "0.25", "equity": "0.25", "demand": "0.25"}'
+    first = F.when(k == 3, "0.25").when(k == 4, "true").when(k == 5, '"x"').when(k == 6, '"-0.25"').when(k == 8, '"0.25000001"').otherwise('"0.2500"')
+    text = F.when(k == 1, "[1]").when(k == 2, '{"zoning": "1"}').when(k == 7, '{"zoning": 0, "road": "0", "equity": "0.0", "demand": 0}').when(k == 9, '{"zoning": 1, "road": "0", "equity": 0, "demand": "0"}').otherwise(F.concat(F.lit('{"zoning": '), first, F.lit(rest)))
+    return table(spark, sf_dir, "part").select("p_partkey", weight_fault(text).alias("fault"))
+
+
 @query(
     "mapping_coverage",
     """WITH r AS (SELECT c_custkey, c_custkey % 4 AS pid, c_nationkey AS n, c_custkey % 9 AS k FROM customer), s AS (SELECT *, CASE WHEN n >= 20 THEN 'OUT_OF_SCOPE' WHEN k = 1 THEN 'UNMATCHED' WHEN k = 2 THEN 'AMBIGUOUS' WHEN k = 3 THEN 'COARSER' ELSE 'EXACT' END AS status FROM r),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from strataform.operators import clipping, landcover, overlay
+from strataform.operators import clipping, grids, landcover, overlay
 from strataform.operators.spatial import ring
 from strataform.plans.registry import query, table
 
@@ -243,3 +243,19 @@ def grid_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("OK")
     )
     return cells.join(crossed, "id", "left").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n_rows"))
+
+
+@query(
+    "grid_500m",
+    """WITH r AS (SELECT s_suppkey AS k, s_suppkey * 9000 + 137 AS x, 1900000 + s_suppkey % 3 * 9000 + 211 AS y, 2600 + s_suppkey % 7 * 550 AS w, 2100 + s_suppkey % 5 * 650 AS h FROM supplier),
+c AS (SELECT *, x // 500 + a AS i, y // 500 + b AS j FROM r, (SELECT unnest(range(16)) AS a), (SELECT unnest(range(16)) AS b)),
+d AS (SELECT *, i * 500 + 250 AS mx, j * 500 + 250 AS my, greatest(0, least(x + w, i * 500 + 500) - greatest(x, i * 500)) * greatest(0, least(y + h, j * 500 + 500) - greatest(y, j * 500)) AS whole,
+  greatest(0, least(x + 1700, i * 500 + 500) - greatest(x + 700, i * 500)) * greatest(0, least(y + 1600, j * 500 + 500) - greatest(y + 600, j * 500)) AS lake FROM c)
+SELECT 'v1:' || i || '_' || j AS key, i, j, CAST(sum(whole - lake) AS DOUBLE) AS area FROM d WHERE mx >= x AND mx < x + w AND my >= y AND my < y + h AND NOT (mx >= x + 700 AND mx < x + 1700 AND my >= y + 600 AND my < y + 1600) GROUP BY 1, 2, 3""",
+)
+def grid_500m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of 500 m from the grid's origin on, kept by their centre, clipped to regions with lakes, in square metres."""
+    k = F.col("s_suppkey")
+    x, y, w, h = k * 9000 + 137, 1_900_000 + k % 3 * 9000 + 211, 2600 + k % 7 * 550, 2100 + k % 5 * 650
+    regions = table(spark, sf_dir, "supplier").select(F.array(_rectangle(x, y, w, h), _rectangle(x + 700, y + 600, F.lit(1000), F.lit(1000))).alias("rings"))
+    return grids.square_grid(regions, 500.0, "v1").withColumn("area", F.round("area", 3))

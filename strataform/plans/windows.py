@@ -146,9 +146,8 @@ def quantile_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantile classes; the breaks come from the sorted values of one dimension."""
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     v = n.join(s, n.n_nationkey == s.s_nationkey, "left").groupBy("n_nationkey").agg(F.count("s_suppkey").alias("suppliers"))
-    cs = F.sort_array(F.collect_list("suppliers"))
-    b = v.agg(cs.alias("cs")).select(F.array_distinct(F.array(*[F.get("cs", F.floor(k * (F.size("cs") - 1) / 5.0 + 0.5).cast("int")) for k in (1, 2, 3, 4)])).alias("bs"))
-    return v.crossJoin(F.broadcast(b)).select("n_nationkey", "suppliers", R.class_index(F.col("suppliers"), F.col("bs")).cast("long").alias("class"))
+    breaks = R.quantile_breaks(v, "suppliers", 5)
+    return v.crossJoin(F.broadcast(breaks)).select("n_nationkey", "suppliers", R.class_index(F.col("suppliers"), F.col("breaks")).cast("long").alias("class"))
 
 
 @query("log_breaks", "WITH m AS (SELECT max(l_extendedprice) AS top FROM lineitem), b AS (SELECT [exp(ln(1 + top) * k / 5) - 1 for k in [1, 2, 3, 4]] AS bs FROM m) SELECT len(list_filter(bs, lambda x: l_extendedprice >= x)) AS class, count(*) AS n FROM lineitem, b GROUP BY 1")
