@@ -99,36 +99,34 @@ _CLEAR, _END, _FIRST = 256, 257, 258
 
 def pack_lzw(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, highest bit first; widths change one code early."""
-    codes: list[tuple[int, int]] = [(_CLEAR, 9)]
-    table: dict[tuple[int, int], int] = {}
-    width, free, held = 9, _FIRST, -1
+    segments: list[list[int]] = []
+    codes: list[int] = []
+    table: dict[int, int] = {}
+    free, held = _FIRST, -1
     for byte in data:
         if held < 0:
             held = byte
             continue
-        known = table.get((held, byte))
+        pair = held << 8 | byte
+        known = table.get(pair)
         if known is not None:
             held = known
             continue
-        codes.append((held, width))
-        table[held, byte] = free
+        codes.append(held)
+        table[pair] = free
         free += 1
         held = byte
         if free == 4094:
-            codes.append((_CLEAR, width))
-            table.clear()
-            width, free = 9, _FIRST
-        elif free >= 1 << width and width < 12:
-            width += 1
-    if held >= 0:
-        codes.append((held, width))
-        free += 1
-        if free >= 1 << width and width < 12:
-            width += 1
-    codes.append((_END, width))
-    bits = "".join(format(c, f"0{w}b") for c, w in codes)
-    bits += "0" * (-len(bits) % 8)
-    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+            segments.append([*codes, _CLEAR])
+            codes, table, free = [], {}, _FIRST
+    segments.append([*codes, held, _END] if held >= 0 else [*codes, _END])
+    # the n-th code after a clear is as wide as the table's next free code
+    widest = np.array([9] * (512 - _FIRST) + [10] * 512 + [11] * 1024 + [12] * 2100, np.int64)
+    values = np.concatenate([[_CLEAR], *segments]).astype(np.int64)
+    widths = np.concatenate([[9], *(widest[: len(c)] for c in segments)])
+    place = widths[:, None] - 1 - np.arange(12)
+    bits = (values[:, None] >> np.maximum(place, 0)) & 1
+    return np.packbits(bits[place >= 0].astype(np.uint8)).tobytes()
 
 
 def unpack_lzw(data: bytes) -> bytes:
