@@ -36,8 +36,8 @@ PLACES = 4
 
 
 def says(text: Column, words: list[str]) -> Column:
-    """Whether a text has any of the words."""
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    """Whether a text has any of the words; the text, which is often an expression, is made once."""
+    return F.get(F.transform(F.array(text), lambda t: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(t, w))), 0)
 
 
 def _named(text: Column, kinds: dict[str, list[str]]) -> Column:

@@ -414,18 +414,24 @@ def signed_area(ring: Column) -> Column:
     return F.aggregate(edges(ring), F.lit(0.0), lambda t, e: t + (e.x1 * e.y2 - e.x2 * e.y1)) / 2
 
 
-def turned(ring: Column, left: Column) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A column made of another one that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def turned(ring: Column, left: bool = True) -> Column:
     """A ring that turns left, or right, whatever way it was written."""
-    return F.when((signed_area(ring) > 0) == left, ring).otherwise(F.reverse(ring))
+    return _let(ring, lambda r: F.when((signed_area(r) > 0) == left, r).otherwise(F.reverse(r)))
 
 
 def canonical_ring(ring: Column) -> Column:
     """A ring that turns left and begins at its least point, without points that repeat the one before."""
-    n = F.size(ring)
-    plain = F.filter(ring, lambda p, i: p != F.get(ring, (i + n - 1) % n))
-    left = turned(plain, F.lit(True))
-    at = F.array_position(left, F.array_min(left)).cast("int")
-    return F.concat(F.slice(left, at, F.size(left)), F.slice(left, F.lit(1), at - 1))
+    plain = _let(ring, lambda r: F.filter(r, lambda p, i: p != F.get(r, (i + F.size(r) - 1) % F.size(r))))
+
+    def begun(r: Column, at: Column) -> Column:
+        return F.concat(F.slice(r, at, F.size(r)), F.slice(r, F.lit(1), at - 1))
+
+    return _let(turned(plain), lambda r: begun(r, F.array_position(r, F.array_min(r)).cast("int")))
 
 
 def fingerprint(rings: Column, places: int = 6) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from strataform.functions.staging import staged
 from strataform.operators import workbooks
 from strataform.plans.registry import query, table
 
@@ -71,7 +72,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
             whole = whole + value(m, k)
         lines.append(cell(k + 2, 14, F.when(off, 0).otherwise(whole + F.when((F.col("file") % 16 == 7) & (k == 1), 1).otherwise(0)), "number"))
     grids = months.select("file", F.lit("B").alias("role"), F.explode(F.array(*lines)).alias("c")).select("file", "role", "c.*")
-    return contracts.unionByName(heads).unionByName(totals).unionByName(grids)
+    return staged(contracts.unionByName(heads).unionByName(totals).unionByName(grids))
 
 
 def _list(values: list[str]) -> str:
