@@ -17,17 +17,21 @@ lacks words of the item, or has others in their place, always shares one of
 ``run_length`` words. Candidates of both are checked by the longest common
 subsequence of words with the item, and paraphrases also by the words of its answer.
 
-Equal items are searched once, and all items in one pass over the texts, by
-blocks of ``BLOCK_ITEMS`` cosines. The benchmark is read by the driver and sent to
-all tasks: some 2 KB for each distinct item, and a basis of fixed size. Texts are
-parsed once, into tables of word hashes and of distinct passages in the shared
-folder; only the passages are shuffled, besides results and sums.
+Equal items are searched once. Items are dealt to passes over the texts by their
+hash, about ``PASS_ITEMS`` items and ``PASS_WORDS`` words to a pass, and within a
+pass to blocks of ``BLOCK_ITEMS``, so what the driver reads and sends to the tasks
+is bounded however large the benchmark is: some 2 KB an item of one pass, and a
+basis of fixed size. Runs that many items share are met block by block, and some
+``HITS_AT_ONCE`` places at once. Texts are parsed once, into tables of word hashes
+and of distinct passages in the shared folder; only the passages are shuffled,
+besides results and sums.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,10 @@ SLOTS = 1 << 14
 STRIDE = 24
 RANK, SPARE = 224, 16
 ITEM_RANK, BLOCK_ITEMS = 200, 512
+#: Items and words that a pass over the texts takes on average; items are dealt to passes by their hash.
+PASS_ITEMS, PASS_WORDS = 2048, 1 << 19
+#: Places of items at shared word runs that are made together.
+HITS_AT_ONCE = 1 << 18
 #: The bound of items of two steps or more; it falls with the root of a shorter item's words.
 COSINE = 0.5
 COPY, PARAPHRASE, ANSWER = 0.8, 0.65, 0.8
@@ -292,10 +300,10 @@ class RunIndex:
             known[keys >> np.uint64(64 - RUN_BITS)] = True
             self.by.append((k, known, keys[order], item[order], place[order]))
 
-    def hits(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, item, and word of the row at which the item would start, of every shared run."""
+    def hits(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Row, item, and half step of the row at which the item would start, of every shared run; runs that agree in these once, in the order of items."""
         starts = np.concatenate([[0], ends[:-1]])
-        found = []
+        found = [np.zeros((0, 3), np.int64)]
         for k, known, keys, item, place in self.by:
             hashed = _runs(words, k)
             at = np.flatnonzero(known[hashed >> np.uint64(64 - RUN_BITS)])
@@ -303,11 +311,18 @@ class RunIndex:
             inside = at + k <= ends[row]
             at, row = at[inside], row[inside]
             low, high = (np.searchsorted(keys, hashed[at], side) for side in ("left", "right"))
-            times = high - low
-            which = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            row = np.repeat(row, times)
-            found.append((row, item[which], np.repeat(at, times) - starts[row] - place[which]))
-        return tuple(np.concatenate(c) for c in zip(*found))
+            upto = np.cumsum(high - low)
+            first = 0
+            while first < len(at):
+                before = upto[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(upto, before + HITS_AT_ONCE, "right")))
+                times = (high - low)[first:last]
+                which = np.repeat(low[first:last], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                own, begin = np.repeat(row[first:last], times), np.repeat(at[first:last], times) - place[which]
+                found.append(np.unique(np.stack([own, item[which], (begin - starts[own]) // (STRIDE // 2)], axis=1), axis=0))
+                first = last
+        shared = np.unique(np.concatenate(found), axis=0)
+        return shared[np.argsort(shared[:, 1], kind="stable")]
 
 
 def places(pattern: np.ndarray) -> dict[int, int]:
@@ -342,7 +357,9 @@ def _search(table: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]], i
     del basis
     least = np.array([cosine * min(1.0, len(w) / (2 * STRIDE)) ** 0.5 for _, w, _ in items], np.float32)
     wanted = [(i, places(w), len(w), places(a), len(a)) for i, w, a in items]
-    held = table.sparkSession.sparkContext.broadcast((project, goal, least, wanted, RunIndex([w for _, w, _ in items])))
+    width = BLOCK_ITEMS
+    runs = [RunIndex([w for _, w, _ in items[low : low + width]]) for low in range(0, len(items), width)]
+    held = table.sparkSession.sparkContext.broadcast((project, goal, least, wanted, runs))
     del project, goal, wanted
 
     def judged(near: np.ndarray, item: tuple[int, dict[int, int], int, dict[int, int], int]) -> tuple[float, float, str] | None:
@@ -378,27 +395,22 @@ def _search(table: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]], i
                     if got and got[0] > best.get((r, j), (0, -1.0))[1]:
                         best[r, j] = (likeness, *got)
 
-                # runs whose items would start at about the same word are tried once
-                shared = np.stack(runs.hits(words, ends), axis=1)
-                shared[:, 2] //= STRIDE // 2
-                shared = np.unique(shared, axis=0)
-                shared = shared[np.argsort(shared[:, 1], kind="stable")]
                 first_step = np.searchsorted(steps, starts)
-                for low in range(0, len(goal), BLOCK_ITEMS):
-                    own = goal[low : low + BLOCK_ITEMS]
+                for block, index in enumerate(runs):
+                    low = block * width
+                    own = goal[low : low + width]
                     likeness = latent @ own.T
                     two = likeness.copy()
                     two[together] += likeness[together + 1]
                     likeness = np.maximum(likeness / norm, two / norm_two)
-                    for s, j in zip(*np.nonzero(likeness >= least[low : low + BLOCK_ITEMS])):
+                    for s, j in zip(*np.nonzero(likeness >= least[low : low + width])):
                         r, j, likely = int(row[s]), low + int(j), float(likeness[s, j])
                         reach, at = items[j][2] // 2, int(steps[s] - starts[r])
                         tried(r, j, at - reach, at + 2 * STRIDE + reach, likely)
-                    mine = shared[np.searchsorted(shared[:, 1], low) : np.searchsorted(shared[:, 1], low + len(own))]
-                    for r, j, at in mine.tolist():
-                        at, size = at * (STRIDE // 2), items[j][2]
+                    for r, j, at in index.hits(words, ends):
+                        at, size = int(at) * (STRIDE // 2), items[low + j][2]
                         reach = min(size // 2, STRIDE)
-                        tried(r, j, at - reach, at + STRIDE // 2 + size + reach, float(likeness[first_step[r] + max(0, at) // STRIDE, j - low]))
+                        tried(int(r), low + int(j), at - reach, at + STRIDE // 2 + size + reach, float(likeness[first_step[r] + max(0, at) // STRIDE, j]))
                 out += [(batch.column(0)[first + r].as_py(), items[j][0], *b) for (r, j), b in best.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["id", "item_id", "cosine", "lcs_share", "answer_share", "kind"])
@@ -427,13 +439,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     asked = written(asked.select("id", "words", F.coalesce("answer", F.array().cast("array<int>")).alias("answer")), "items")
     texts = asked.select("words", "answer").distinct()
     texts = written(texts.select(F.monotonically_increasing_id().alias("text_id"), "words", "answer"), "item_texts")
-    items = [(t["text_id"], np.array(t["words"], np.int32), np.array(t["answer"] or t["words"], np.int32)) for t in texts.collect()]  # the benchmark
-    if not items or table.isEmpty():
+    size = texts.agg(F.count(F.lit(1)).alias("items"), F.sum(F.size("words") + F.size("answer")).alias("words")).first()
+    if not size["items"] or table.isEmpty():
         return spark.createDataFrame([], FOUND).withColumnRenamed("id", id_col)
     passages = written(passage_table(table), "passages")
     seen, steps = passage_frequencies(passages)
     idf = (np.log((1.0 + steps) / (1.0 + seen)) + 1.0).astype(np.float32)
-    found = _search(table, items, idf, latent_basis(passages, idf), cosine)
+    basis = latent_basis(passages, idf)
+    passes = max(math.ceil(size["items"] / PASS_ITEMS), math.ceil(size["words"] / PASS_WORDS))
+    parts = []
+    for number in range(passes):
+        dealt = texts.where(F.pmod(F.xxhash64("words", "answer"), F.lit(passes)) == number).collect()  # about PASS_ITEMS of them
+        items = [(t["text_id"], np.array(t["words"], np.int32), np.array(t["answer"] or t["words"], np.int32)) for t in dealt]
+        parts += [_search(table, items, idf, basis, cosine)] if items else []
+    found = reduce(DataFrame.union, parts)
     ids = asked.join(texts, ["words", "answer"]).select("text_id", F.col("id").alias("own_id"))
     found = found.join(ids, found["item_id"] == ids["text_id"])
     return found.select(F.col("id").alias(id_col), F.col("own_id").alias("item_id"), "cosine", "lcs_share", "answer_share", "kind")

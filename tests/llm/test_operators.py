@@ -347,6 +347,31 @@ def test_many_items_take_one_pass(spark):
     assert found <= wanted and len(found) >= 0.9 * len(wanted)
 
 
+def test_items_with_one_head_in_several_passes(spark, monkeypatch):
+    """Bounded passes, blocks and places at once change no row, though all items and texts share their first words."""
+    from strataform.llm import decontaminate
+
+    head = prose(1, 12)
+    items = [(i, head + prose(5000 + i, 24)) for i in range(150)]
+    docs = [(i, (head + prose(40_000 + i, 30)) * 3 + items[i][1] + prose(20_000 + i, 30)) for i in range(0, 150, 5)]
+    docs += [(1000 + i, (head + prose(60_000 + i, 9)) * 20) for i in range(20)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+
+    def found():
+        rows = decontaminate.find_leaks(table, benchmark).collect()
+        return sorted((r.doc_id, r.item_id, round(r.lcs_share, 9), round(r.answer_share, 9), r.kind) for r in rows)
+
+    sizes, search = [], decontaminate._search
+    once = found()
+    monkeypatch.setattr(decontaminate, "PASS_ITEMS", 40)
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 16)
+    monkeypatch.setattr(decontaminate, "HITS_AT_ONCE", 50)
+    monkeypatch.setattr(decontaminate, "_search", lambda table, items, *rest: (sizes.append(len(items)), search(table, items, *rest))[1])
+    assert found() == once and len(sizes) == 4 and sum(sizes) == 150
+    assert {(d, i) for d, i, *_ in once} == {(i, i) for i in range(0, 150, 5)}
+
+
 def test_leak_recall_on_a_whole_table(spark):
     """Against a subsequence search of every document of sf0.01 for every item."""
     from strataform.llm.decontaminate import COPY, common_words, find_leaks, places
