@@ -18,6 +18,10 @@ EARTH = 6371008.8
 DEGREE = EARTH * 3.141592653589793 / 180
 #: A latitude beyond which meridians are too near each other for cells of degrees.
 POLAR = 89.0
+#: Sites that a leaf of the tree of sites holds, for each that is looked for.
+CROWD = 8
+#: Halvings of the sites' extent, in all and between a node and its children.
+DEPTH, STEP = 30, 2
 
 
 def ring(*points: tuple[Column, Column]) -> Column:
@@ -116,35 +120,96 @@ def points_near_shapes(points: DataFrame, shapes: DataFrame, within: float, x: s
     return both.withColumn("metres", shape_metres(F.col(rings_col), F.col(x), F.col(y))).where(F.col("metres") <= within)
 
 
-def nearest_sites(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, k: int = 5, size: float = 0.25, most: int = 12) -> DataFrame:
+def _site_tree(sites: DataFrame, cap: int) -> DataFrame:
+    """The nodes of a quadtree of sites with places ix, iy of DEPTH bits: level, cx, cy, px, py, n, box, split.
+
+    A node with more than ``cap`` sites has up to 4^STEP children; boxes are
+    those of the sites, so that distances to them need no rounding.
+    """
+    cells = sites.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"), F.min("sx").alias("x1"), F.max("sx").alias("x2"), F.min("sy").alias("y1"), F.max("sy").alias("y2"))
+    up = _at_levels(cells, DEPTH)
+    nodes = up.groupBy("level", "cx", "cy").agg(F.sum("n").alias("n"), F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2"))
+    nodes = nodes.select("*", F.shiftright("cx", STEP).alias("px"), F.shiftright("cy", STEP).alias("py"), ((F.col("n") > cap) & (F.col("level") < DEPTH)).alias("split"))
+    parents = nodes.where("split").select((F.col("level") + STEP).alias("level"), F.col("cx").alias("px"), F.col("cy").alias("py"))
+    return nodes.where("level = 0").union(nodes.join(parents, ["level", "px", "py"], "left_semi").select(*nodes.columns))
+
+
+def _at_levels(rows: DataFrame, deepest: int) -> DataFrame:
+    """Each row once a level of the tree, with the cell that its place is in."""
+    out = rows.withColumn("level", F.explode(F.array(*[F.lit(n) for n in range(0, deepest + 1, STEP)])))
+    return out.withColumns({"cx": F.expr(f"shiftright(ix, {DEPTH} - level)"), "cy": F.expr(f"shiftright(iy, {DEPTH} - level)")})
+
+
+def _measured(nodes: Column, x: Column, y: Column) -> Column:
+    """Nodes with the distances to the farthest and to the nearest place of their boxes, the farthest first."""
+
+    def far_near(n: Column) -> Column:
+        fx, fy = F.greatest(F.abs(n.x1 - x), F.abs(n.x2 - x)), F.greatest(F.abs(n.y1 - y), F.abs(n.y2 - y))
+        nx, ny = F.greatest(n.x1 - x, x - n.x2, F.lit(0.0)), F.greatest(n.y1 - y, y - n.y2, F.lit(0.0))
+        return F.struct(F.sqrt(fx * fx + fy * fy).alias("far"), F.sqrt(nx * nx + ny * ny).alias("near"), n.n.alias("n"), n.alias("node"))
+
+    return F.transform(nodes, far_near)
+
+
+def _pruned(rows: DataFrame, k: int) -> DataFrame:
+    """Rows of a point (p, x, y, bound) with nodes: the bound falls to a distance within which k sites are, and nodes beyond it go."""
+    zero = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(float("inf")).alias("bound"))
+    step = lambda a, m: F.struct((a.seen + m.n).alias("seen"), F.when(a.seen >= k, a.bound).otherwise(m.far).alias("bound"))
+    within = F.aggregate(F.array_sort("measured"), zero, step, lambda a: F.when(a.seen >= k, a.bound).otherwise(float("inf")))
+    rows = rows.withColumn("measured", _measured(F.col("nodes"), F.col("x"), F.col("y"))).withColumn("bound", F.least("bound", within))
+    kept = F.filter("measured", lambda m: m.near <= F.col("bound"))
+    return rows.select("p", "x", "y", "bound", F.transform(kept, lambda m: m.node).alias("nodes"))
+
+
+def nearest_sites(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, k: int = 5) -> DataFrame:
     """The ``k`` sites nearest to each point by planar degrees, ties by the smaller site id: point, site, degrees and rank.
 
-    Points and sites have columns x and y. A point looks in its cell and the
-    eight around it; if its k-th site there is further than a cell is wide,
-    cells twice as wide are tried, for the points that are left only; what is
-    left is checkpointed before. After ``most`` doublings the cells are as wide
-    as the earth. Where there are fewer than ``k`` sites, all are found. Point
-    ids are distinct; null ids and null places meet nothing.
+    Points and sites have columns x and y. Sites are held in a quadtree whose
+    leaves have at most ``CROWD * k`` of them, of a place only the ``k`` with the
+    smallest ids; where more places than that lie within 2^-DEPTH of the extent,
+    a leaf has them all. Points walk down the tree together, level by level,
+    each with the nodes that can still hold one of its nearest, checkpointed on
+    the way; a point meets the sites of the leaves that are left. A point that is
+    as far from many sites as from its k-th meets all of these. Where there are
+    fewer than ``k`` sites, all are found. Point ids are distinct; null ids and
+    null places meet nothing, nor do sites at them.
     """
-    k = min(k, sites.where("x IS NOT NULL AND y IS NOT NULL").count())
-    left, found = points.where("x IS NOT NULL AND y IS NOT NULL").where(F.col(point_id).isNotNull()).select(point_id, "x", "y"), None
-    s = sites.select(site_id, F.col("x").alias("sx"), F.col("y").alias("sy"))
-    for step in range(most + 1):
-        around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-        asked = left.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-        asked = asked.withColumn("cx", _cell(F.col("x"), size) + F.col("dx")).withColumn("cy", _cell(F.col("y"), size) + F.col("dy"))
-        held = s.withColumn("cx", _cell(F.col("sx"), size)).withColumn("cy", _cell(F.col("sy"), size))
-        near = asked.join(held, ["cx", "cy"]).withColumn("degrees", F.sqrt((F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y"))))
-        by = Window.partitionBy(point_id).orderBy("degrees", site_id)
-        near = near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-        last = step == most
-        done = near.withColumn("__far", F.max(F.when((F.col("rank") == k) & (F.col("degrees") <= size), 1).otherwise(0)).over(Window.partitionBy(point_id)))
-        done = (near if last else done.where("__far = 1")).select(point_id, "x", "y", site_id, "sx", "sy", "degrees", "rank")
-        found = done if found is None else found.union(done)
-        if not last:
-            found = staged(found)
-            left = staged(left.join(found.select(point_id).distinct(), point_id, "left_anti"))
-            size *= 2
-            if not k or left.isEmpty():
-                break
-    return found
+    placed = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"
+    p = points.where(placed).where(F.col(point_id).isNotNull()).select(F.col(point_id).alias("p"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    s = sites.where(placed).where(F.col(site_id).isNotNull()).select(F.col(site_id).alias("s"), F.col("x").cast("double").alias("sx"), F.col("y").cast("double").alias("sy"))
+    s = s.withColumn("__n", F.row_number().over(Window.partitionBy("sx", "sy").orderBy("s"))).where(F.col("__n") <= k).drop("__n")
+    e = s.agg(F.min("sx").alias("x0"), F.min("sy").alias("y0"), F.max("sx").alias("x1"), F.max("sy").alias("y1"), F.count(F.lit(1)).alias("n")).first()
+    cap = CROWD * k
+    if not e["n"]:
+        e = {"x0": 0.0, "y0": 0.0, "x1": 0.0, "y1": 0.0, "n": 0}
+    side = max(e["x1"] - e["x0"], e["y1"] - e["y0"]) or 1.0
+    place = lambda v, origin: F.least(F.floor((v - F.lit(origin)) / F.lit(side) * F.lit(float(1 << DEPTH))), F.lit((1 << DEPTH) - 1)).cast("int")
+    s = staged(s.withColumns({"ix": place(F.col("sx"), e["x0"]), "iy": place(F.col("sy"), e["y0"])}))
+    tree = staged(_site_tree(s, cap))
+    node = F.struct("level", "cx", "cy", "x1", "x2", "y1", "y2", "n", "split")
+    kids = tree.where("level > 0").groupBy((F.col("level") - STEP).alias("level"), F.col("px").alias("cx"), F.col("py").alias("cy")).agg(F.collect_list(node).alias("kids"))
+
+    # the first nodes of all points: the root, or its 4^STEP children at most
+    top = tree.where(F.col("level") == (STEP if e["n"] > cap else 0)).agg(F.collect_list(node).alias("nodes"))
+    walking = _pruned(p.withColumn("bound", F.lit(float("inf"))).crossJoin(F.broadcast(top)), k)
+    arrived = None
+    for _ in range(STEP, DEPTH + 1, STEP):
+        walking = staged(walking)
+        open_ = F.exists("nodes", lambda n: n.split)
+        own = walking.where(~open_)
+        arrived = own if arrived is None else arrived.union(own)
+        walking = walking.where(open_)
+        if walking.isEmpty():
+            break
+        each = walking.select("p", "x", "y", "bound", F.explode("nodes").alias("node"))
+        each = each.withColumns({c: F.col("node")[c] for c in ("level", "cx", "cy")}).join(kids, ["level", "cx", "cy"], "left")
+        near = F.filter(_measured(F.coalesce("kids", F.array("node")), F.col("x"), F.col("y")), lambda m: m.near <= F.col("bound"))
+        each = each.select("p", "x", "y", "bound", F.transform(near, lambda m: m.node).alias("nodes"))
+        walking = _pruned(each.groupBy("p").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.min("bound").alias("bound"), F.flatten(F.collect_list("nodes")).alias("nodes")), k)
+    deepest = tree.agg(F.max("level")).first()[0] or 0
+    leaves = tree.where("NOT split").select("level", "cx", "cy")
+    held = _at_levels(s, deepest).join(leaves, ["level", "cx", "cy"]).select("level", "cx", "cy", "s", "sx", "sy")
+    met = arrived.select("p", "x", "y", "bound", F.explode("nodes").alias("node")).withColumns({c: F.col("node")[c] for c in ("level", "cx", "cy")}).join(held, ["level", "cx", "cy"])
+    met = met.withColumn("degrees", F.sqrt((F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y")))).where("degrees <= bound")
+    met = met.withColumn("rank", F.row_number().over(Window.partitionBy("p").orderBy("degrees", "s"))).where(F.col("rank") <= k)
+    return met.select(F.col("p").alias(point_id), "x", "y", F.col("s").alias(site_id), "sx", "sy", "degrees", "rank")

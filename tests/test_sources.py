@@ -7,6 +7,7 @@ import glob
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,26 @@ def test_nearest_sites_match_brute_force(spark):
         assert {r.p: [e.s for e in r.r] for r in got} == wanted
 
 
+def test_nearest_sites_of_crowds(spark):
+    """Thousands of sites in one spot and at one place, points among them and far away, odd rows: the walk meets few sites."""
+    from strataform.operators import spatial
+
+    draw = np.random.Generator(np.random.PCG64(3))
+    spot = np.concatenate([127 + draw.random((3000, 2)) * 1e-4, np.full((500, 2), 127.00005), 120 + draw.random((200, 2)) * 10])
+    sites = [(int(i), *map(float, xy)) for i, xy in zip(draw.permutation(len(spot)), spot)]
+    asked = np.concatenate([127 + draw.random((40, 2)) * 1e-4, 118 + draw.random((20, 2)) * 14, [[-170.0, 80.0], [127.00005, 127.00005]]])
+    points = [(i, *map(float, xy)) for i, xy in enumerate(asked)]
+    odd = [(None, 127.0, 127.0), (900, None, 1.0), (901, 1.0, float("nan"))]
+    p, s = spark.createDataFrame(points + odd, "p long, x double, y double"), spark.createDataFrame(sites + odd, "s long, x double, y double")
+    got = spatial.nearest_sites(p, s, "p", "s", k=4).groupBy("p").agg(F.array_sort(F.collect_list(F.struct("rank", "s"))).alias("r")).collect()
+    wanted = {i: [s for _, s in sorted((((sx - x) * (sx - x) + (sy - y) * (sy - y)) ** 0.5, s) for s, sx, sy in sites)[:4]] for i, x, y in points}
+    assert {r.p: [e.s for e in r.r] for r in got} == wanted
+    assert spatial.nearest_sites(p, s.limit(0), "p", "s").count() == spatial.nearest_sites(p.limit(0), s, "p", "s").count() == 0
+    tree = spatial._site_tree(s.where("s < 900").select(F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("s") * 300_000).cast("int").alias("ix"), F.lit(5).alias("iy")), 16)
+    leaves = tree.where("NOT split").agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    assert leaves["all"] == s.where("s < 900").count() and leaves["most"] <= 16
+
+
 def test_facilities_of_several_data_sets(spark, tmp_path):
     row = {"name": "시설", "sido": "경기도", "sigungu": "용인시", "address": "길 1", "LANDFILL_QTY": "1,000", "FILL_AREA": "5", "DISPOSAL_QTY": "7", "RESIDUE_RECY": "x"}
     pages = {"a": ("P1", [row, {**row, "name": "합계"}, {**row, "address": " "}, row]), "b": ("P2", [row, {**row, "RESIDUE_RECY": "-"}])}
