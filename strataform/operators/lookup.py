@@ -39,40 +39,61 @@ def reconcile(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame
     return both.select(*on, state.alias("state"))
 
 
+#: Bands and kinds that may be sent to all tasks, and cuts of the axis for more bands than that.
+FEW, CUTS = 2_000, 1_000
+
+
+def _in_band(b: Column, x: Column) -> Column:
+    above = b["low"].isNull() | (x > b["low"]) | (~b["low_open"] & (x == b["low"]))
+    below = b["high"].isNull() | (x < b["high"]) | (~b["high_open"] & (x == b["high"]))
+    return F.coalesce(above & below, F.lit(False))
+
+
 def band_join(facts: DataFrame, bands: DataFrame, value: Column, none: str = "NO_BAND", many: str = "SEVERAL_BANDS") -> DataFrame:
     """The single band of each row: bands (band, low, high, low_open, high_open), null bounds unbounded.
 
-    Bands are a dimension that is small by its meaning; they are gathered into
-    one array, so that each row is matched where it is and none fans out.
+    Up to ``FEW`` bands are gathered into one array, so that each row is matched
+    where it is. More of them meet the distinct values in an equi-join on the
+    parts of the axis between quantiles of their bounds. No row fans out.
     """
-    held = bands.agg(F.array_sort(F.collect_list(F.struct("band", "low", "high", "low_open", "high_open"))).alias("__bands"))
-    joined = facts.crossJoin(F.broadcast(held)).withColumn("__x", value)
-
-    def fits(b: Column) -> Column:
-        above = b["low"].isNull() | (F.col("__x") > b["low"]) | (~b["low_open"] & (F.col("__x") == b["low"]))
-        below = b["high"].isNull() | (F.col("__x") < b["high"]) | (~b["high_open"] & (F.col("__x") == b["high"]))
-        return F.coalesce(above & below, F.lit(False))
-
-    hits = F.filter("__bands", fits)
-    joined = joined.withColumn("__hits", hits)
-    n = F.size("__hits")
-    return (
-        joined.withColumn("band", F.when(n == 1, F.get(F.col("__hits"), 0)["band"]))
-        .withColumn("reason", F.when(n == 0, none).when(n > 1, many))
-        .drop("__bands", "__hits", "__x")
-    )
+    joined = facts.withColumn("__x", value)
+    if len(bands.take(FEW + 1)) <= FEW:
+        held = bands.agg(F.array_sort(F.collect_list(F.struct("band", "low", "high", "low_open", "high_open"))).alias("__bands"))
+        joined = joined.crossJoin(F.broadcast(held)).withColumn("__hits", F.filter("__bands", lambda b: _in_band(b, F.col("__x"))))
+        joined = joined.withColumns({"__n": F.size("__hits"), "__band": F.get(F.col("__hits"), 0)["band"]}).drop("__bands", "__hits")
+    else:
+        ends = bands.select(F.explode(F.array(F.col("low").cast("double"), F.col("high").cast("double"))).alias("end")).where("end IS NOT NULL")
+        cuts = sorted(set(ends.approxQuantile("end", [i / CUTS for i in range(CUTS + 1)], 1 / CUTS)))
+        between = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+        part = lambda v: F.size(F.filter(between, lambda c: c <= v.cast("double")))
+        first, last = F.when(F.col("low").isNull(), 0).otherwise(part(F.col("low"))), F.when(F.col("high").isNull(), len(cuts)).otherwise(part(F.col("high")))
+        spread = bands.where(first <= last).select(F.struct("band", "low", "high", "low_open", "high_open").alias("b"), F.explode(F.sequence(first, last)).alias("__part"))
+        asked = joined.where("__x IS NOT NULL").select("__x").distinct().withColumn("__part", part(F.col("__x")))
+        met = asked.join(spread, "__part").where(_in_band(F.col("b"), F.col("__x"))).groupBy("__x").agg(F.count(F.lit(1)).cast("int").alias("__n"), F.min("b.band").alias("__band"))
+        # null values have null bounds only, as many as there are bands without any
+        free = bands.where("low IS NULL AND high IS NULL").agg(F.count(F.lit(1)).cast("int").alias("__n"), F.min("band").alias("__band")).select(F.lit(None).cast(joined.schema["__x"].dataType).alias("__y"), "__n", "__band")
+        met = met.withColumnRenamed("__x", "__y").union(free)
+        joined = joined.join(met, F.col("__x").eqNullSafe(F.col("__y")), "left").withColumn("__n", F.coalesce("__n", F.lit(0))).drop("__y")
+    n = F.col("__n")
+    return joined.withColumn("band", F.when(n == 1, F.col("__band"))).withColumn("reason", F.when(n == 0, none).when(n > 1, many)).drop("__n", "__band", "__x")
 
 
 def missing_combinations(keys: DataFrame, kinds: DataFrame, observed: DataFrame, on: Sequence[str], reason: str = "SOURCE_NOT_REPORTED") -> DataFrame:
-    """Pairs of every key and every kind that aren't observed. Kinds are few: they are broadcast."""
-    return keys.crossJoin(F.broadcast(kinds)).join(observed.select(*on).distinct(), list(on), "left_anti").withColumn("reason", F.lit(reason))
+    """Pairs of every key and every kind that aren't observed: as many rows as keys times kinds, less those observed.
+
+    Up to ``FEW`` kinds are sent to all tasks; more of them stay where they are.
+    """
+    few = len(kinds.take(FEW + 1)) <= FEW
+    pairs = keys.crossJoin(F.broadcast(kinds) if few else kinds)
+    return pairs.join(observed.select(*on).distinct(), list(on), "left_anti").withColumn("reason", F.lit(reason))
 
 
 def longest_prefix(names: DataFrame, registry: DataFrame, name: str, prefix: str, scope: Sequence[str] = ()) -> DataFrame:
     """``names`` with their longest registered prefix within their scope.
 
     An equi-join on the prefixes that a name can have: its own leading parts of
-    the lengths that the registry uses, so nothing is compared pair by pair.
+    the lengths that the registry uses, so nothing is compared pair by pair. Only
+    the distinct lengths are sent to all tasks, no more than the longest has letters.
     """
     lengths = registry.agg(F.array_sort(F.collect_set(F.length(prefix))).alias("__lengths"))
     # names repeat, and what else their rows have doesn't matter: each is looked up once

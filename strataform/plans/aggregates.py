@@ -213,25 +213,36 @@ def json_path_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.get_json_object("props", "$.page")).alias("with_page"), F.count(F.get_json_object("props", "$.missing")).alias("with_missing"))
 
 
-@query("map_build", "SELECT p_partkey, p_size * 2 AS zoning, 100 - p_size * 2 AS road, 2 AS n_keys FROM part")
+@query(
+    "map_build",
+    """WITH t AS (SELECT l_partkey, l_returnflag AS profile, sum(l_quantity) AS total FROM lineitem GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY total DESC, profile) AS rank FROM t)
+SELECT l_partkey, max(total) FILTER (WHERE profile = 'A') AS total_a, max(rank) FILTER (WHERE profile = 'N') AS rank_n, count(*) AS n_keys FROM k GROUP BY 1""",
+)
 def map_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.create_map(F.lit("zoning"), F.col("p_size") * 2, F.lit("road"), 100 - F.col("p_size") * 2)
-    return table(spark, sf_dir, "part").select("p_partkey", m.alias("m")).select("p_partkey", F.element_at("m", "zoning").alias("zoning"), F.element_at("m", "road").alias("road"), F.size("m").alias("n_keys"))
+    """{profile: total} and {profile: rank} of each candidate, read back by key; an absent key is null."""
+    t = table(spark, sf_dir, "lineitem").groupBy("l_partkey", F.col("l_returnflag").alias("profile")).agg(F.sum("l_quantity").alias("total"))
+    held = t.groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("less"), "profile"))).alias("held"))
+    totals = F.map_from_entries(F.transform("held", lambda e: F.struct(e.profile, -e.less)))
+    ranks = F.map_from_entries(F.transform("held", lambda e, i: F.struct(e.profile, (i + 1).cast("long"))))
+    maps = held.select("l_partkey", totals.alias("totals"), ranks.alias("ranks"))
+    return maps.select("l_partkey", F.try_element_at("totals", F.lit("A")).alias("total_a"), F.try_element_at("ranks", F.lit("N")).alias("rank_n"), F.size("ranks").cast("long").alias("n_keys"))
 
 
-@query("nested_matrix_walk", "SELECT n_regionkey, layer, count(*) AS n FROM (SELECT n_regionkey, unnest(['zoning', 'road']) AS layer FROM nation) GROUP BY 1, 2")
+@query("nested_matrix_walk", "SELECT l_suppkey, l_returnflag AS layer, l_linestatus AS status, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
 def nested_matrix_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """{region: {layer: status}} walked by two explodes."""
-    inner = F.create_map(F.lit("zoning"), F.lit("ok"), F.lit("road"), F.lit("ok"))
-    n = table(spark, sf_dir, "nation").select(F.create_map("n_regionkey", inner).alias("m"))
-    return n.select(F.explode("m").alias("n_regionkey", "layers")).select("n_regionkey", F.explode("layers").alias("layer", "status")).groupBy("n_regionkey", "layer").agg(F.count(F.lit(1)).alias("n"))
+    """{owner: {layer: {status: rows}}}, gathered level by level and walked back by explodes."""
+    n = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+    layers = n.groupBy("l_suppkey", "l_returnflag").agg(F.map_from_entries(F.collect_list(F.struct("l_linestatus", "n"))).alias("statuses"))
+    matrix = layers.groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "statuses"))).alias("layers"))
+    return matrix.select("l_suppkey", F.explode("layers").alias("layer", "statuses")).select("l_suppkey", "layer", F.explode("statuses").alias("status", "n"))
 
 
-@query("map_score_range_filter", "SELECT p_partkey, CAST(p_size * 2 AS DOUBLE) AS score FROM part WHERE p_size * 2 BETWEEN 30 AND 60")
+@query("map_score_range_filter", "SELECT event_id, CAST(TRY_CAST(json_extract_string(props, '$.k') AS DECIMAL(7, 4)) AS DOUBLE) AS score FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS DECIMAL(7, 4)) BETWEEN 30 AND 60")
 def map_score_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.create_map(F.lit("base"), (F.col("p_size") * 2).cast("string"))
-    p = table(spark, sf_dir, "part").select("p_partkey", F.element_at(m, "base").cast("decimal(7,4)").alias("s"))
-    return p.where("s BETWEEN 30 AND 60").select("p_partkey", F.col("s").cast("double").alias("score"))
+    """Rows whose decimal within a JSON text lies in a closed range; absent and unreadable ones are in none."""
+    score = F.get_json_object("props", "$.k").try_cast("decimal(7,4)")
+    return table(spark, sf_dir, "events").select("event_id", score.alias("s")).where("s BETWEEN 30 AND 60").select("event_id", F.col("s").cast("double").alias("score"))
 
 
 @query("vintage_dimension_scan", "SELECT CAST(year(o_orderdate) AS BIGINT) AS vintage, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1")

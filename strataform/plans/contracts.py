@@ -47,18 +47,18 @@ def recomputed_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "duplicate_series",
-    """WITH p AS (SELECT n_nationkey AS nk, s_suppkey, strftime(l_shipdate, '%m') AS m, CAST(max(l_linenumber) AS BIGINT) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL),
-s AS (SELECT s_suppkey, nk, sha256(string_agg(m || '=' || v, ';' ORDER BY m)) AS digest FROM p GROUP BY 1, 2 HAVING count(*) >= 12)
-SELECT digest, count(*) AS series, count(DISTINCT nk) AS owners FROM s GROUP BY 1 HAVING count(DISTINCT nk) > 1""",
+    """WITH p AS (SELECT p_partkey, p_brand, strftime(l_shipdate, '%m') AS m, CAST(min(l_linenumber) <= 3 AS INT) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+s AS (SELECT p_partkey, p_brand, sha256(string_agg(m || '=' || v, ';' ORDER BY m)) AS digest FROM p GROUP BY 1, 2 HAVING count(*) >= 12)
+SELECT digest, count(*) AS series, count(DISTINCT p_brand) AS owners FROM s GROUP BY 1 HAVING count(DISTINCT p_brand) > 1""",
 )
 def duplicate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series of twelve or more points that owners of different codes deliver alike."""
-    l, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
-    points = l.groupBy("l_suppkey", F.date_format("l_shipdate", "MM").alias("m")).agg(F.max("l_linenumber").alias("v"))
-    text = F.array_join(F.array_sort(F.collect_list(F.concat("m", F.lit("="), F.col("v").cast("string")))), ";")
-    series = points.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("k"), F.sha2(text, 256).alias("digest")).where("k >= 12")
-    named = series.join(s.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    return named.groupBy("digest").agg(F.count(F.lit(1)).alias("series"), F.countDistinct("s_nationkey").alias("owners")).where("owners > 1")
+    """Series of twelve or more points that different owners deliver alike."""
+    low = F.min("l_linenumber") <= 3
+    points = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"), F.date_format("l_shipdate", "MM").alias("m")).agg(low.cast("int").cast("string").alias("v"))
+    text = F.array_join(F.array_sort(F.collect_list(F.concat("m", F.lit("="), "v"))), ";")
+    series = points.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("k"), F.sha2(text, 256).alias("digest")).where("k >= 12")
+    named = series.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
+    return named.groupBy("digest").agg(F.count(F.lit(1)).alias("series"), F.countDistinct("p_brand").alias("owners")).where("owners > 1")
 
 
 _VALUE = "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS value, CASE WHEN c_acctbal >= 0 OR c_mktsegment = 'BUILDING' THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS status FROM customer"
@@ -110,15 +110,19 @@ def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "seed_check",
-    """WITH seed AS (SELECT r_regionkey, r_name FROM region), held AS (SELECT n_regionkey AS r_regionkey, min(r_name) AS r_name FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)
-SELECT (SELECT count(*) FROM (SELECT * FROM seed EXCEPT SELECT * FROM held)) AS missing, (SELECT count(*) FROM (SELECT * FROM held EXCEPT SELECT * FROM seed)) AS extra""",
+    """WITH held AS (SELECT l_partkey, min(l_returnflag) AS flag FROM lineitem WHERE l_quantity >= 45 GROUP BY 1),
+r AS (SELECT p_brand, p_size, CASE WHEN p_size <= 25 THEN 'A' ELSE 'N' END AS wanted, flag FROM part LEFT JOIN held ON p_partkey = l_partkey),
+g AS (SELECT p_brand, p_size, count(*) AS n, count(*) FILTER (WHERE flag IS NULL) AS missing, count(*) FILTER (WHERE flag <> wanted) AS changed FROM r GROUP BY 1, 2)
+SELECT p_brand, p_size, missing, changed, CASE WHEN missing = n THEN 'SEED' WHEN missing + changed = 0 THEN 'NO_OP' ELSE 'MISMATCH' END AS outcome FROM g""",
 )
 def seed_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored seed against its definition, both ways; zeros mean that nothing has to be done."""
-    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    held = table(spark, sf_dir, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey").agg(F.min("r_name").alias("r_name"))
-    sides = r.exceptAll(held).select(F.lit("m").alias("side")).union(held.exceptAll(r).select(F.lit("e").alias("side")))
-    return sides.agg(F.count_if(F.col("side") == "m").alias("missing"), F.count_if(F.col("side") == "e").alias("extra"))
+    """Stored rows against the seed that defines them, by group: none are stored, all as they should be, or the seed must not go on."""
+    held = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_returnflag").alias("flag"))
+    wanted = F.when(F.col("p_size") <= 25, "A").otherwise("N")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", wanted.alias("wanted")).join(held, "p_partkey", "left")
+    groups = rows.groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("flag").isNull()).alias("missing"), F.count_if(F.col("flag") != F.col("wanted")).alias("changed"))
+    outcome = F.when(F.col("missing") == F.col("n"), "SEED").when(F.col("missing") + F.col("changed") == 0, "NO_OP").otherwise("MISMATCH")
+    return groups.select("p_brand", "p_size", "missing", "changed", outcome.alias("outcome"))
 
 
 @query(

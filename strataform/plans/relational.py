@@ -117,14 +117,14 @@ def bridge_complete_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "missing_stream_combinations",
-    """WITH o AS (SELECT DISTINCT c_nationkey AS n_nationkey, o_orderpriority AS stream FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < TIMESTAMP '1995-02-01')
-SELECT n.n_nationkey, s.stream, 'SOURCE_NOT_REPORTED' AS reason FROM nation n CROSS JOIN (SELECT DISTINCT stream FROM o) s
-WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.n_nationkey = n.n_nationkey AND o.stream = s.stream)""",
+    """WITH o AS (SELECT DISTINCT o_custkey AS c_custkey, o_orderpriority AS stream FROM orders)
+SELECT c.c_custkey, s.stream, 'SOURCE_NOT_REPORTED' AS reason FROM customer c CROSS JOIN (SELECT DISTINCT stream FROM o) s
+WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.c_custkey = c.c_custkey AND o.stream = s.stream)""",
 )
 def missing_stream_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, c = table(spark, sf_dir, "orders").where("o_orderdate < TIMESTAMP '1995-02-01'"), table(spark, sf_dir, "customer")
-    seen = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").alias("n_nationkey"), F.col("o_orderpriority").alias("stream")).distinct()
-    return missing_combinations(table(spark, sf_dir, "nation").select("n_nationkey"), seen.select("stream").distinct(), seen, ["n_nationkey", "stream"])
+    """Streams that a reporter never delivered."""
+    seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("stream")).distinct()
+    return missing_combinations(table(spark, sf_dir, "customer").select("c_custkey"), seen.select("stream").distinct(), seen, ["c_custkey", "stream"])
 
 
 @query("semi_join_bbox", "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20) GROUP BY 1")
@@ -336,10 +336,19 @@ def symmetric_code_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.subtract(b).withColumn("side", F.lit("only_first")).union(b.subtract(a).withColumn("side", F.lit("only_second")))
 
 
-@query("overlap_guard", "SELECT count(*) AS overlap, count(*) > 0 AS rejected FROM (SELECT n_nationkey FROM nation WHERE n_nationkey < 10 INTERSECT SELECT n_nationkey FROM nation WHERE n_nationkey > 7)")
+@query(
+    "overlap_guard",
+    """WITH a AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'), n AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'N'),
+o AS (SELECT l_suppkey, count(*) AS overlap FROM a JOIN n USING (l_suppkey, l_partkey) GROUP BY 1)
+SELECT s_suppkey, coalesce(overlap, 0) AS overlap, coalesce(overlap, 0) > 0 AS rejected FROM supplier LEFT JOIN o ON s_suppkey = l_suppkey""",
+)
 def overlap_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select("n_nationkey")
-    return n.where("n_nationkey < 10").intersect(n.where("n_nationkey > 7")).agg(F.count(F.lit(1)).alias("overlap"), (F.count(F.lit(1)) > 0).alias("rejected"))
+    """A request with two sets, what it includes and what it leaves out: rejected if they share a member."""
+    flag = F.col("l_returnflag")
+    members = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.bool_or(flag == "A").alias("a"), F.bool_or(flag == "N").alias("n"))
+    shared = members.where("a AND n").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("shared"))
+    overlap = F.coalesce("shared", F.lit(0).cast("long"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey").join(shared, "s_suppkey", "left").select("s_suppkey", overlap.alias("overlap"), (overlap > 0).alias("rejected"))
 
 
 @query(

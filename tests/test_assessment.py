@@ -78,3 +78,21 @@ def test_quantities_keep_six_places(spark):
     (row,) = facility_cost(df, [("INCINERATION", "0", "80", "5.2")]).collect()
     # the half of 36500.000499 is 18250.0002495: half to even at six places
     assert str(row.service_ton) == "18250.000250" and row.reason is None
+
+
+def test_many_bands_meet_values_by_parts_of_the_axis(spark, monkeypatch):
+    """More bands than are sent to all tasks give the same rows: overlaps, open ends, gaps, unbounded and null values."""
+    from strataform.operators import lookup
+
+    draw = np.random.Generator(np.random.PCG64(5))
+    bands = [(f"b{i:03}", float(a), float(a + w), bool(o), bool(c)) for i, (a, w, o, c) in enumerate(zip(draw.integers(0, 900, 300), draw.integers(0, 3, 300), draw.integers(0, 2, 300), draw.integers(0, 2, 300)))]
+    bands += [("back", 5.0, 1.0, False, False)]
+    values = [(i, None if i % 50 == 0 else float(i % 1900) / 2) for i in range(2500)]
+    facts = spark.createDataFrame(values, "id long, v double")
+    for more in ([], [("low", None, 0.0, False, True)], [("all", None, None, False, False)]):
+        table = spark.createDataFrame(bands + more, "band string, low double, high double, low_open boolean, high_open boolean")
+        out = {}
+        for few in (2000, 10):
+            monkeypatch.setattr(lookup, "FEW", few)
+            out[few] = sorted(map(tuple, lookup.band_join(facts, table, F.col("v")).collect()))
+        assert out[2000] == out[10] and len(out[10]) == 2500
