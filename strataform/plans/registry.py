@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from strataform.plans import aggregates, assessment, cascades, cleaning, contracts, indicators, labels, overlay, relational, releases, scoring, spatial, windows, workbooks  # noqa: F401
+    from strataform.plans import aggregates, assessment, cascades, cleaning, contracts, indicators, labels, overlay, relational, releases, scoring, spatial, suitability, windows, workbooks  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
