@@ -289,6 +289,7 @@ class RunIndex:
 
     def __init__(self, items: list[np.ndarray]):
         self.by: list[tuple] = []
+        self.longest = max(map(len, items))
         lengths = np.array([run_length(len(w)) for w in items])
         for k in np.unique(lengths).tolist():
             own = [(j, _runs(items[j], k)) for j in np.flatnonzero(lengths == k)]
@@ -303,7 +304,9 @@ class RunIndex:
     def hits(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Row, item, and half step of the row at which the item would start, of every shared run; runs that agree in these once, in the order of items."""
         starts = np.concatenate([[0], ends[:-1]])
-        found = [np.zeros((0, 3), np.int64)]
+        found = [np.zeros(0, np.int64)]
+        # one number for the three: no half step is further from 0 than this
+        far = (int(ends[-1]) + self.longest) // (STRIDE // 2) + 1
         for k, known, keys, item, place in self.by:
             hashed = _runs(words, k)
             at = np.flatnonzero(known[hashed >> np.uint64(64 - RUN_BITS)])
@@ -319,10 +322,10 @@ class RunIndex:
                 times = (high - low)[first:last]
                 which = np.repeat(low[first:last], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 own, begin = np.repeat(row[first:last], times), np.repeat(at[first:last], times) - place[which]
-                found.append(np.unique(np.stack([own, item[which], (begin - starts[own]) // (STRIDE // 2)], axis=1), axis=0))
+                found.append(np.unique((item[which] * len(ends) + own) * (2 * far) + (begin - starts[own]) // (STRIDE // 2) + far))
                 first = last
-        shared = np.unique(np.concatenate(found), axis=0)
-        return shared[np.argsort(shared[:, 1], kind="stable")]
+        which, at = np.divmod(np.unique(np.concatenate(found)), 2 * far)
+        return np.stack([which % len(ends), which // len(ends), at - far], axis=1)
 
 
 def places(pattern: np.ndarray) -> dict[int, int]:
