@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: Tokens and patterns of the sources' labels.
@@ -19,51 +21,74 @@ SENSITIVE = [
 JSON_PIECE = r'"(?:[^"\\]++|\\.)*+"|[\[\]{}:,]|[^\[\]{}:,"\s]++|\s++|"'
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A column made of another one that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def tidy(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
 
 
 def money(c: Column) -> Column:
     """The exact amount of a text such as ``1,234.5 원``; null for all else, never zero."""
-    text = tidy(c)
-    digits = F.concat(F.regexp_replace(F.regexp_extract(text, MONEY, 1), ",", ""), F.regexp_extract(text, MONEY, 2))
-    return F.when(text.rlike(MONEY), digits).try_cast("decimal(38,6)")
+    digits = lambda t: F.concat(F.regexp_replace(F.regexp_extract(t, MONEY, 1), ",", ""), F.regexp_extract(t, MONEY, 2))
+    return let(tidy(c), lambda t: F.when(t.rlike(MONEY), digits(t))).try_cast("decimal(38,6)")
 
 
 def label_period(c: Column, year: Column) -> tuple[Column, Column]:
-    """Month and kind of a label's last token: MONTHLY, ANNUAL, MONTHLY_AVERAGE or UNSPECIFIED."""
-    text = tidy(c)
-    tail = F.trim(F.regexp_extract(text, r"([^:]*)$", 1))
-    iso, korean = tail.rlike(ISO_MONTH), tail.rlike(KOREAN_MONTH)
-    number = F.when(iso, F.regexp_extract(tail, ISO_MONTH, 2)).when(korean, F.regexp_extract(tail, KOREAN_MONTH, 1)).try_cast("int")
-    own_year = F.when(iso, F.regexp_extract(tail, ISO_MONTH, 1)).otherwise(F.lpad(year.cast("string"), 4, "0"))
-    average = text.startswith(MONTHLY_AVERAGE)
-    monthly = ~average & F.coalesce(number.between(1, 12), F.lit(False))
-    month = F.when(monthly, F.concat(own_year, F.lit("-"), F.lpad(number.cast("string"), 2, "0")))
-    kind = F.when(average, "MONTHLY_AVERAGE").when(monthly, "MONTHLY").when(tail.isin(TOTALS), "ANNUAL").otherwise("UNSPECIFIED")
-    return month, kind
+    """The fields of ``period_of``: month and kind."""
+    found = period_of(c, year)
+    return found["month"], found["kind"]
+
+
+def period_of(c: Column, year: Column) -> Column:
+    """month and kind of a label's last token: MONTHLY, ANNUAL, MONTHLY_AVERAGE or UNSPECIFIED."""
+
+    def of(text: Column, tail: Column) -> Column:
+        iso, korean = tail.rlike(ISO_MONTH), tail.rlike(KOREAN_MONTH)
+        number = F.when(iso, F.regexp_extract(tail, ISO_MONTH, 2)).when(korean, F.regexp_extract(tail, KOREAN_MONTH, 1)).try_cast("int")
+        own_year = F.when(iso, F.regexp_extract(tail, ISO_MONTH, 1)).otherwise(F.lpad(year.cast("string"), 4, "0"))
+        return let(number, lambda n: kinds(text, tail, F.when(n.between(1, 12), F.concat(own_year, F.lit("-"), F.lpad(n.cast("string"), 2, "0")))))
+
+    def kinds(text: Column, tail: Column, month: Column) -> Column:
+        average = text.startswith(MONTHLY_AVERAGE)
+        return let(F.when(~average, month), lambda m: F.struct(m.alias("month"), F.when(average, "MONTHLY_AVERAGE").when(m.isNotNull(), "MONTHLY").when(tail.isin(TOTALS), "ANNUAL").otherwise("UNSPECIFIED").alias("kind")))
+
+    return let(tidy(c), lambda text: let(F.trim(F.regexp_extract(text, r"([^:]*)$", 1)), lambda tail: of(text, tail)))
 
 
 def _date(token: Column, year: Column) -> Column:
     """A date from the last numbers between points, dashes and strokes: day, month, and the year if there is one."""
-    parts = F.filter(F.transform(F.split(token, r"[.\-/]"), lambda x: F.trim(x)), lambda x: x != "")
-    day, month, own = (F.get(parts, F.size(parts) - i) for i in (1, 2, 3))
-    text = F.concat_ws("-", F.when(own.rlike("^[0-9]{4}$"), own).otherwise(year.cast("string")), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.when(day.rlike("^[0-9]{1,2}$") & month.rlike("^[0-9]{1,2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+
+    def of(parts: Column) -> Column:
+        day, month, own = (F.get(parts, F.size(parts) - i) for i in (1, 2, 3))
+        text = F.concat_ws("-", F.when(own.rlike("^[0-9]{4}$"), own).otherwise(year.cast("string")), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+        return F.when(day.rlike("^[0-9]{1,2}$") & month.rlike("^[0-9]{1,2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+
+    return let(F.filter(F.transform(F.split(token, r"[.\-/]"), lambda x: F.trim(x)), lambda x: x != ""), of)
 
 
 def date_range(c: Column, year: Column) -> tuple[Column, Column, Column]:
-    """Start, end and whether it is part of a year, of a label such as ``2024.2.26.~4.5``.
+    """The fields of ``dates``: start, end and whether it is part of a year."""
+    found = dates(c, year)
+    return found["start"], found["end"], found["part"]
+
+
+def dates(c: Column, year: Column) -> Column:
+    """start, end and whether it is part of a year, of a label such as ``2024.2.26.~4.5``.
 
     The end takes the start's year if it names none. A bare year has no dates
     and is whole; a single date has none either, as it doesn't say where its
     time ends, but it is part of a year.
     """
-    text = F.translate(tidy(c), "∼", "~")
-    ranged = F.instr(text, "~") > 0
-    start = F.when(ranged, _date(F.substring_index(text, "~", 1), year))
-    end = F.when(ranged, _date(F.regexp_extract(text, "~(.*)$", 1), F.coalesce(F.year(start), year)))
-    return start, end, ranged | text.rlike(r"^[0-9]{4}\s*[.\-/]")
+
+    def of(text: Column) -> Column:
+        ranged = F.instr(text, "~") > 0
+        end = lambda start: F.when(ranged, _date(F.regexp_extract(text, "~(.*)$", 1), F.coalesce(F.year(start), year)))
+        return let(F.when(ranged, _date(F.substring_index(text, "~", 1), year)), lambda s: F.struct(s.alias("start"), end(s).alias("end"), (ranged | text.rlike(r"^[0-9]{4}\s*[.\-/]")).alias("part")))
+
+    return let(F.translate(tidy(c), "∼", "~"), of)
 
 
 def list_cell(c: Column) -> Column:
@@ -152,21 +177,26 @@ def request_address(sido: Column, sigungu: Column, address: Column) -> Column:
 
 def _first_lot(word: Column) -> Column:
     """A word that ends in lots between commas, up to the first lot; other words as they are."""
-    lots = F.substring(word, F.length(F.rtrim(word, F.lit("0123456789,-"))) + 1, F.length(word))
-    parts = F.split(lots, ",")
-    first = F.array_position(F.transform(parts, lambda p: p.rlike("[0-9]$")), True).cast("int")
-    rest = F.array_join(F.slice(parts, first + 1, F.size(parts)), ",")
-    cut = (first > 0) & (first < F.size(parts)) & (rest != "")
-    return F.when(cut, F.substring(word, F.lit(1), F.length(word) - F.length(rest) - 1)).otherwise(word)
+
+    def cut(w: Column, parts: Column, first: Column) -> Column:
+        rest = F.array_join(F.slice(parts, first + 1, F.size(parts)), ",")
+        return let(rest, lambda r: F.when((first > 0) & (first < F.size(parts)) & (r != ""), F.substring(w, F.lit(1), F.length(w) - F.length(r) - 1)).otherwise(w))
+
+    parts_of = lambda w: F.split(F.substring(w, F.length(F.rtrim(w, F.lit("0123456789,-"))) + 1, F.length(w)), ",")
+    first_of = lambda parts: F.array_position(F.transform(parts, lambda p: p.rlike("[0-9]$")), True).cast("int")
+    return let(word, lambda w: let(parts_of(w), lambda parts: let(first_of(parts), lambda first: cut(w, parts, first))))
 
 
 def simple_address(address: Column) -> Column:
     """The address without brackets and without further lots at its end; null if nothing goes, or all."""
-    parts = F.split(tidy(address), r"\(")
-    closed = F.transform(F.slice(parts, 2, 2**30), lambda p: F.when(p.contains(")"), F.concat(F.lit(" "), F.substring(p, F.instr(p, ")") + 1, F.length(p)))).otherwise(F.concat(F.lit("("), p)))
-    words = F.split(tidy(F.concat(F.get(parts, 0), F.array_join(closed, ""))), " ")
-    short = F.array_join(F.concat(F.slice(words, F.lit(1), F.size(words) - 1), F.array(_first_lot(F.element_at(words, -1)))), " ")
-    return F.when((short != tidy(address)) & (short != ""), short)
+
+    def bare(parts: Column) -> Column:
+        closed = F.transform(F.slice(parts, 2, 2**30), lambda p: F.when(p.contains(")"), F.concat(F.lit(" "), F.substring(p, F.instr(p, ")") + 1, F.length(p)))).otherwise(F.concat(F.lit("("), p)))
+        return F.split(tidy(F.concat(F.get(parts, 0), F.array_join(closed, ""))), " ")
+
+    shortened = lambda words: F.array_join(F.concat(F.slice(words, F.lit(1), F.size(words) - 1), F.array(_first_lot(F.element_at(words, -1)))), " ")
+    short_of = lambda text: let(let(F.split(text, r"\("), bare), shortened)
+    return let(tidy(address), lambda text: let(short_of(text), lambda short: F.when((short != text) & (short != ""), short)))
 
 
 def geocode_attempts(address: Column) -> Column:
@@ -181,15 +211,13 @@ def contractor(name: Column, note: Column) -> Column:
     A note is read by clauses: the first that has the label, with a colon if one
     has, names the company.
     """
-    clauses = F.split(tidy(note), r"[,;|]|\.\s")
 
-    def named(label: Column) -> Column:
-        own = F.when(F.contains(tidy(note), F.concat(label, F.lit(":"))), F.concat(label, F.lit(":"))).otherwise(label)
-        clause = F.get(F.filter(clauses, lambda c: F.contains(c, own)), 0)
-        return F.btrim(F.substring(clause, F.position(own, clause) + F.length(own), F.length(clause)), F.lit(" ."))
+    def named(text: Column, clauses: Column, label: Column) -> Column:
+        name_in = lambda own: let(F.get(F.filter(clauses, lambda c: F.contains(c, own)), 0), lambda c: F.btrim(F.substring(c, F.position(own, c) + F.length(own), F.length(c)), F.lit(" .")))
+        return let(F.when(F.contains(text, F.concat(label, F.lit(":"))), F.concat(label, F.lit(":"))).otherwise(label), name_in)
 
-    title = F.split(tidy(name), " - ")
-    found = F.transform(F.array(*[F.lit(x) for x in CONTRACTOR_LABELS]), named)
-    found = F.concat(found, F.when(F.size(title) > 1, F.array(F.trim(F.element_at(title, -1)))).otherwise(F.array().cast("array<string>")))
-    company = F.filter(found, lambda c: F.exists(F.array(*[F.lit(m) for m in COMPANY_MARKS]), lambda m: F.contains(c, m)))
+    each = lambda text, clauses: F.transform(F.array(*[F.lit(x) for x in CONTRACTOR_LABELS]), lambda label: named(text, clauses, label))
+    found = let(tidy(note), lambda text: let(F.split(text, r"[,;|]|\.\s"), lambda clauses: each(text, clauses)))
+    titled = let(F.split(tidy(name), " - "), lambda title: F.when(F.size(title) > 1, F.array(F.trim(F.element_at(title, -1)))).otherwise(F.array().cast("array<string>")))
+    company = F.filter(F.concat(found, titled), lambda c: F.exists(F.array(*[F.lit(m) for m in COMPANY_MARKS]), lambda m: F.contains(c, m)))
     return F.substring(F.get(company, 0), 1, NAME_LENGTH)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from strataform.functions.labels import tidy
+from strataform.functions.labels import let, tidy
 
 #: Words of the sources, in their own spellings, and what they stand for.
 DASHES = ["-", "－", "–", "—", "ㅡ", "‐", "‑"]
@@ -37,7 +37,7 @@ PLACES = 4
 
 def says(text: Column, words: list[str]) -> Column:
     """Whether a text has any of the words; the text, which is often an expression, is made once."""
-    return F.get(F.transform(F.array(text), lambda t: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(t, w))), 0)
+    return let(text, lambda t: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(t, w)))
 
 
 def _named(text: Column, kinds: dict[str, list[str]]) -> Column:
@@ -47,29 +47,34 @@ def _named(text: Column, kinds: dict[str, list[str]]) -> Column:
 
 def waste_scope(name: Column) -> Column:
     """One narrow stream that a contract names; several, or none but household waste, are the whole; else unknown."""
-    narrow = _named(tidy(name), NARROW_SCOPES)
-    whole = (F.size(narrow) > 1) | (F.size(narrow) == 0) & says(tidy(name), WHOLE_STREAM)
-    return F.when(whole, "ALL_MUNICIPAL").when(F.size(narrow) == 1, F.get(narrow, 0)).otherwise("UNKNOWN")
+
+    def of(text: Column, narrow: Column) -> Column:
+        whole = (F.size(narrow) > 1) | (F.size(narrow) == 0) & says(text, WHOLE_STREAM)
+        return F.when(whole, "ALL_MUNICIPAL").when(F.size(narrow) == 1, F.get(narrow, 0)).otherwise("UNKNOWN")
+
+    return let(tidy(name), lambda text: let(_named(text, NARROW_SCOPES), lambda narrow: of(text, narrow)))
 
 
 def waste_category(label: Column, scope: Column) -> Column:
     """The stream that a label names, COMBINED for several; without one the stream of its contract's scope."""
-    named = _named(tidy(label), STREAMS)
     other = F.create_map(*[F.lit(x) for pair in STREAM_OF_SCOPE.items() for x in pair])[scope]
-    return F.when(F.size(named) == 1, F.get(named, 0)).when(F.size(named) > 1, "COMBINED").otherwise(F.coalesce(other, F.lit("UNKNOWN")))
+    of = lambda named: F.when(F.size(named) == 1, F.get(named, 0)).when(F.size(named) > 1, "COMBINED").otherwise(F.coalesce(other, F.lit("UNKNOWN")))
+    return let(tidy(label), lambda text: let(_named(text, STREAMS), of))
 
 
 def accounting_basis(name: Column) -> Column:
     """A gate fee is one whatever else is said; treatment counts only where a way of treatment is bought, alone or with haulage."""
-    text = tidy(name)
-    bought = F.when(says(text, TRANSPORT), "COLLECTION_TRANSPORT_WITH_TREATMENT").otherwise("TREATMENT_SERVICE")
-    return F.when(says(text, INBOUND_FEE), "FACILITY_INBOUND_FEE").when(says(text, TREATMENT), bought).otherwise("COLLECTION_TRANSPORT")
+
+    def of(text: Column) -> Column:
+        bought = F.when(says(text, TRANSPORT), "COLLECTION_TRANSPORT_WITH_TREATMENT").otherwise("TREATMENT_SERVICE")
+        return F.when(says(text, INBOUND_FEE), "FACILITY_INBOUND_FEE").when(says(text, TREATMENT), bought).otherwise("COLLECTION_TRANSPORT")
+
+    return let(tidy(name), of)
 
 
 def payment_type(note: Column) -> Column:
     """An amount is paid unless the note says that it is an award or an estimate."""
-    text = F.lower(tidy(note))
-    return F.when(says(text, AWARD_NOTES), "CONTRACT_AWARD_AMOUNT").when(says(text, BUDGET_NOTES), "BUDGET_ESTIMATE").otherwise("ACTUAL_PAID_AMOUNT")
+    return let(F.lower(tidy(note)), lambda text: F.when(says(text, AWARD_NOTES), "CONTRACT_AWARD_AMOUNT").when(says(text, BUDGET_NOTES), "BUDGET_ESTIMATE").otherwise("ACTUAL_PAID_AMOUNT"))
 
 
 def geographic_scope(name: Column) -> Column:
@@ -82,16 +87,21 @@ def covers_every_stream(scopes: Column) -> Column:
 
 
 def cell_value(kind: Column, value: Column, label: Column) -> tuple[Column, Column]:
+    """The fields of ``cell_read``: number and state."""
+    found = cell_read(kind, value, label)
+    return found["number"], found["state"]
+
+
+def cell_read(kind: Column, value: Column, label: Column) -> Column:
     """A quantity cell's number, half to even at four places, and its state; no text and no blank is ever a zero.
 
     A cell without text has the state that its label declares.
     """
-    number = F.when(kind == "number", F.bround(value.try_cast("decimal(28,12)"), PLACES).cast("decimal(20,4)"))
-    text, name = tidy(value), tidy(label)
 
     def stated(t: Column) -> Column:
         return F.when(t.isin(DASHES), "SOURCE_DASH_NO_DATA").when(F.replace(t, F.lit(" "), F.lit("")).isin(NO_DATA), "SOURCE_TEXT_NO_DATA")
 
-    prose = F.when(text != "", F.coalesce(stated(text), F.lit("SOURCE_TEXT_NO_DATA")))
-    state = F.when(number == 0, "MEASURED_ZERO").when(number.isNotNull(), "MEASURED").otherwise(F.coalesce(prose, stated(name), F.lit("BLANK")))
-    return number, state
+    prose = let(tidy(value), lambda t: F.when(t != "", F.coalesce(stated(t), F.lit("SOURCE_TEXT_NO_DATA"))))
+    number = F.when(kind == "number", F.bround(value.try_cast("decimal(28,12)"), PLACES).cast("decimal(20,4)"))
+    of = lambda n: F.struct(n.alias("number"), F.when(n == 0, "MEASURED_ZERO").when(n.isNotNull(), "MEASURED").otherwise(F.coalesce(prose, let(tidy(label), stated), F.lit("BLANK"))).alias("state"))
+    return let(number, of)

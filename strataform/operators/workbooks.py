@@ -3,9 +3,9 @@
 Cells are rows: file, role (A: contracts, B: a grid of months), row, col, kind
 (number or text) and value, all numbers as text. Nothing is found by its place:
 header names give the columns, once a file, and cells meet them in a join on the
-file. A contract's block is what lies between its row and the next one; windows
-over a file's rows find it. A file is a workbook, so a window has its rows, a
-million at most.
+file. A contract's block is what lies between its row and the next one: windows
+over stretches of ``STRETCH`` rows find it, and one over a file's stretches tells
+each what lies before and after it.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ TONNES, DESTINATIONS, NUMBERED = ("반출량(톤)", "반출량2(톤)"), "월별
 GRID_CATEGORY, GRID_TOTAL = "구분", "계"
 GRID_ROWS = {"일반": "GENERAL", "음식물": "FOOD", "재활용": "RECYCLING", "계": "COMBINED"}
 NAME_LENGTH, LABEL_LENGTH = 400, 200
+#: Rows of a file that meet in one window.
+STRETCH = 4096
 
 
 def layouts(cells: DataFrame, year: int) -> DataFrame:
@@ -78,21 +80,48 @@ def _amount(kind: Column, value: Column) -> Column:
     return F.when(kind == "number", value.try_cast("decimal(38,6)")).otherwise(labels.money(value))
 
 
-def _blocks(cells: DataFrame, found: DataFrame) -> DataFrame:
-    """file, row and the cells of named columns for each row of contract files, with start and end of the block that it lies in (null: none)."""
-    own = cells.where("row > 1").join(found.where("role <> 'B' AND fits"), "file")
-    named = ["year", "organisation", "contract", "payment", "facility", "method", "note", "ledger"]
-    rows = own.groupBy("file", "row").agg(*[F.max(F.when(F.col("col") == F.col(f"{n}_col"), F.struct("kind", "value"))).alias(n) for n in named])
+def _bodies(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """The cells below the header of contract files, with the columns of their file and the stretch of rows that they lie in."""
+    return cells.where("row > 1").join(found.where("role <> 'B' AND fits"), "file").withColumn("stretch", F.floor(F.col("row") / STRETCH))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Rows with ``total``, and with ``starts``: their number if a contract begins there."""
     name = tidy(F.col("contract.value"))
     total = name.isin(terms.TOTAL_WORDS)
+    return rows.withColumn("total", total).withColumn("starts", F.when((name != "") & (name != CONTRACT) & ~total, F.col("row")))
+
+
+def _contract_rows(own: DataFrame) -> DataFrame:
+    """file, stretch, row, contract, total and starts of each row with a cell in the contract column."""
+    return _starts(own.where("col = contract_col").groupBy("file", "stretch", "row").agg(F.max(F.struct("kind", "value")).alias("contract")))
+
+
+def _stretches(own: DataFrame) -> DataFrame:
+    """file, stretch, the last start before it and the first one after it, and the file's boundary: its first total row, or the row after its last."""
+    firsts = _contract_rows(own).groupBy("file", "stretch").agg(F.min("starts").alias("first"), F.max("starts").alias("final"), F.min(F.when(F.col("total"), F.col("row"))).alias("total"))
+    tops = own.groupBy("file", "stretch").agg(F.max("row").alias("top")).join(firsts, ["file", "stretch"], "left")
     whole = Window.partitionBy("file")
-    ordered = whole.orderBy("row")
-    rows = rows.withColumn("boundary", F.coalesce(F.min(F.when(total, F.col("row"))).over(whole), F.max("row").over(whole) + 1))
-    rows = rows.withColumn("starts", F.when((name != "") & (name != CONTRACT) & ~total, F.col("row")))
-    later = F.min("starts").over(ordered.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("block", F.max("starts").over(ordered)).withColumn("last", F.greatest("row", F.least(F.coalesce(later, F.col("boundary")), F.col("boundary")) - 1))
-    rows = rows.withColumn("block_end", F.max(F.when(F.col("starts").isNotNull(), F.struct("starts", "last"))).over(ordered)["last"])
-    return rows.withColumn("block", F.when(F.col("row") <= F.col("block_end"), F.col("block")))
+    # a frame that ends before the row, in either order: one that begins after it would be read anew for each row
+    before = lambda order: whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return tops.select(
+        "file", "stretch", F.max("final").over(before(F.col("stretch"))).alias("earlier"), F.min("first").over(before(F.desc("stretch"))).alias("later"),
+        F.coalesce(F.min("total").over(whole), F.max("top").over(whole) + 1).alias("boundary"),
+    )
+
+
+def _blocks(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """file, row and the cells of named columns for each row of contract files, with start and end of the block that it lies in (null: none)."""
+    own = _bodies(cells, found)
+    named = ["year", "organisation", "contract", "payment", "facility", "method", "note", "ledger"]
+    rows = own.groupBy("file", "stretch", "row").agg(*[F.max(F.when(F.col("col") == F.col(f"{n}_col"), F.struct("kind", "value"))).alias(n) for n in named])
+    rows = _starts(rows).drop("total").join(_stretches(own), ["file", "stretch"])
+    near = Window.partitionBy("file", "stretch")
+    later = F.coalesce(F.min("starts").over(near.orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, -1)), F.col("later"))
+    rows = rows.withColumn("block", F.coalesce(F.max("starts").over(near.orderBy("row")), F.col("earlier"))).withColumn("later", later)
+    # the start after a row is the one after its block's own row too
+    rows = rows.withColumn("block_end", F.when(F.col("block").isNotNull(), F.greatest(F.col("block"), F.least(F.coalesce("later", "boundary"), F.col("boundary")) - 1)))
+    return rows.withColumn("block", F.when(F.col("row") <= F.col("block_end"), F.col("block"))).drop("stretch", "earlier", "later")
 
 
 def contracts(cells: DataFrame, year: int) -> DataFrame:
@@ -106,19 +135,20 @@ def contracts(cells: DataFrame, year: int) -> DataFrame:
     month = F.regexp_extract(tidy(F.col("ledger.value")), rf"^{year}[-.]([0-9]{{1,2}})$", 1)
     paid = rows.where("block IS NOT NULL").groupBy("file", "block").agg(F.array_compact(F.collect_set(F.when(month != "", month.cast("int")))).alias("months"))
     rows = rows.where("starts IS NOT NULL").join(paid, ["file", "block"], "left")
-    name, note = tidy(F.col("contract.value")), tidy(F.col("note.value"))
-    label = tidy(F.col("year.value"))
-    start, end, part = labels.date_range(label, F.lit(year))
+    # columns that many others are made of are made once
+    rows = rows.withColumns({"name": tidy(F.col("contract.value")), "note_text": tidy(F.col("note.value")), "label": tidy(F.col("year.value")), "amount": _amount(F.col("payment.kind"), F.col("payment.value"))})
+    rows = rows.withColumns({
+        "dates": labels.dates(F.col("label"), F.lit(year)), "basis": terms.accounting_basis(F.col("name")), "kind": terms.payment_type(F.col("note_text")), "area": terms.geographic_scope(F.col("name")),
+    })
+    name, note, label, amount, basis, kind, area = (F.col(c) for c in ("name", "note_text", "label", "amount", "basis", "kind", "area"))
     # the bare year, of this delivery, is no part of a year
-    part = part & (label != str(year))
-    amount, basis = _amount(F.col("payment.kind"), F.col("payment.value")), terms.accounting_basis(name)
-    kind, area = terms.payment_type(note), terms.geographic_scope(name)
+    part = F.col("dates.part") & (label != str(year))
     missing = (F.size("months") > 0) & (F.size("months") < 12)
     limits = F.array_compact(F.array(F.when(part, "PARTIAL_PERIOD_COVERAGE"), F.when(area == "SUB_MUNICIPAL", "PARTIAL_GEOGRAPHIC_SCOPE"), F.when(missing, "PAYMENT_PERIOD_COVERAGE_INCOMPLETE")))
     eligible = basis.isin(terms.ELIGIBLE_BASES)
     return rows.select(
         "file", "row", F.col("block_end").alias("row_end"), F.substring(name, 1, NAME_LENGTH).alias("contract_name"), labels.contractor(name, note).alias("contractor"),
-        F.nullif(label, F.lit("")).alias("period_label"), start.alias("period_start"), end.alias("period_end"), amount.alias("amount"),
+        F.nullif(label, F.lit("")).alias("period_label"), F.col("dates.start").alias("period_start"), F.col("dates.end").alias("period_end"), "amount",
         F.when(F.col("payment.kind") == "text", F.nullif(tidy(F.col("payment.value")), F.lit(""))).alias("payment_text"), kind.alias("payment_type"), basis.alias("accounting_basis"),
         (amount.isNotNull() & (kind == "ACTUAL_PAID_AMOUNT") & eligible).alias("eligible"), terms.waste_scope(name).alias("waste_scope"), area.alias("geographic_scope"),
         labels.list_cell(F.col("facility.value")).alias("destinations"), labels.list_cell(F.col("method.value")).alias("methods"),

@@ -24,7 +24,7 @@ def _pick(values: list[str], key: Column) -> Column:
 def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, layout number f, number n in the file, and the order's keys."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_custkey") % FILES).alias("file"))
-    return orders.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("o_orderkey"))).withColumn("f", F.col("file") % 8)
+    return staged(orders.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("o_orderkey"))).withColumn("f", F.col("file") % 8))
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
             whole = whole + value(m, k)
         lines.append(cell(k + 2, 14, F.when(off, 0).otherwise(whole + F.when((F.col("file") % 16 == 7) & (k == 1), 1).otherwise(0)), "number"))
     grids = months.select("file", F.lit("B").alias("role"), F.explode(F.array(*lines)).alias("c")).select("file", "role", "c.*")
-    return staged(contracts.unionByName(heads).unionByName(totals).unionByName(grids))
+    return contracts.unionByName(heads).unionByName(totals).unionByName(grids)
 
 
 def _list(values: list[str]) -> str:

@@ -110,3 +110,15 @@ def test_contracts_and_their_blocks(spark):
 def test_no_cells(spark):
     none = spark.createDataFrame([], CELLS)
     assert workbooks.file_status(none, YEAR).count() == workbooks.contracts(none, YEAR).count() == workbooks.grid_quantities(none, YEAR).count() == 0
+
+
+def test_blocks_over_stretches(spark, monkeypatch):
+    """Blocks, their ends and the total row are found over borders of stretches, also over stretches without any start."""
+    body = [[2024, "갑구", f"청소 {i}", i, "소각장 : 1월", 1, "x", "y", None] if i in (1, 2, 9, 20) else [None] * 4 + ["소각장 : 2월", 2] + [None] * 3 for i in range(1, 26)]
+    body[22][2] = "합계"
+    df = frame(spark, ("a", "A", sheet(rows=body)))
+    for stretch in (1, 3, 7, 4096):
+        monkeypatch.setattr(workbooks, "STRETCH", stretch)
+        assert sorted((r.row, r.row_end) for r in workbooks.contracts(df, YEAR).collect()) == [(2, 2), (3, 9), (10, 20), (21, 23)]
+        parts = workbooks.quantities(df, YEAR).collect()
+        assert {(r.row, r.contract_row) for r in parts} == {(i, max(b for b in (2, 3, 10, 21) if b <= i)) for i in range(2, 24)}
