@@ -171,18 +171,20 @@ def quantities(cells: DataFrame, year: int) -> DataFrame:
     place = F.col("col") - F.col("payment_col") - 1
     side = lambda n: F.max(F.when(place % 2 == n, F.struct("kind", "value")))
     pairs = own.groupBy("file", "row", F.floor(place / 2).cast("int").alias("pair"), "payment_col").agg(side(0).alias("named"), side(1).alias("cell"))
-    pairs = pairs.join(rows.where("block IS NOT NULL").select("file", "row", "block"), ["file", "row"])
-    written = F.array_sort(F.collect_list(F.struct("row", "pair", tidy(F.col("named.value")).alias("l"), F.coalesce("cell.kind", F.lit("")).alias("k"), F.coalesce("cell.value", F.lit("")).alias("v"))))
-    text = F.to_json(F.transform(written, lambda w: F.struct(w.l, w.k, w.v)))
-    blocks = pairs.groupBy("file", "block").agg(F.sha2(text, 256).alias("mark"), F.bool_or(F.coalesce(F.col("cell.kind") == "number", F.lit(False))).alias("measured"))
-    same = Window.partitionBy("file", "mark")
-    blocks = blocks.withColumn("repeated", F.col("measured") & (F.count(F.lit(1)).over(same) > 1)).withColumn("first", F.min("block").over(same)).withColumn("at", F.array_sort(F.collect_list("block").over(same)))
-    blocks = blocks.where(~F.col("repeated") | (F.col("block") == F.col("first"))).drop("mark", "measured", "first")
-    scope = rows.where("starts IS NOT NULL").select("file", F.col("row").alias("block"), terms.waste_scope(F.col("contract.value")).alias("scope"))
-    out = pairs.join(blocks, ["file", "block"]).join(scope, ["file", "block"])
-    label = tidy(F.col("named.value"))
-    number, state = terms.cell_value(F.col("cell.kind"), F.col("cell.value"), label)
-    month, period = labels.label_period(label, F.lit(year))
+    pairs = pairs.join(rows.where("block IS NOT NULL").select("file", "row", "block"), ["file", "row"]).withColumn("l", tidy(F.col("named.value")))
+    number_in = F.coalesce(F.col("cell.kind") == "number", F.lit(False))
+    blocks = pairs.groupBy("file", "block").agg(F.array_sort(F.collect_list(F.struct("row", "pair", "l", "cell", "payment_col"))).alias("written"), F.bool_or(number_in).alias("measured"))
+    text = F.to_json(F.transform("written", lambda w: F.struct(w.l, F.coalesce(w.cell.kind, F.lit("")), F.coalesce(w.cell.value, F.lit("")))))
+    # equal blocks meet by the hash of their text, blocks without a number nowhere
+    blocks = blocks.withColumn("mark", F.when(F.col("measured"), F.sha2(text, 256)).otherwise(F.col("block").cast("string")))
+    series = blocks.groupBy("file", "mark").agg(F.min(F.struct("block", "written")).alias("first"), F.array_sort(F.collect_list("block")).alias("at"))
+    series = series.select("file", F.col("first.block").alias("block"), "at", (F.size("at") > 1).alias("repeated"), F.explode("first.written").alias("w")).select("*", "w.*")
+    scope = _contract_rows(_bodies(cells, found)).where("starts IS NOT NULL").select("file", F.col("row").alias("block"), terms.waste_scope(F.col("contract.value")).alias("scope"))
+    # columns that many others are made of are made once
+    out = series.join(scope, ["file", "block"]).withColumnRenamed("l", "label")
+    label = F.col("label")
+    out = out.withColumns({"read": terms.cell_read(F.col("cell.kind"), F.col("cell.value"), label), "period": labels.period_of(label, F.lit(year))})
+    number, state, month, period = (F.col(c) for c in ("read.number", "read.state", "period.month", "period.kind"))
     cut = F.regexp_extract(label, "^(.*):[^:]*$", 1)
     return out.select(
         "file", "row", (F.col("payment_col") + 2 + F.col("pair") * 2).alias("col"), F.substring(label, 1, LABEL_LENGTH).alias("label"),

@@ -122,3 +122,11 @@ def test_blocks_over_stretches(spark, monkeypatch):
         assert sorted((r.row, r.row_end) for r in workbooks.contracts(df, YEAR).collect()) == [(2, 2), (3, 9), (10, 20), (21, 23)]
         parts = workbooks.quantities(df, YEAR).collect()
         assert {(r.row, r.contract_row) for r in parts} == {(i, max(b for b in (2, 3, 10, 21) if b <= i)) for i in range(2, 24)}
+
+
+def test_no_window_reads_all_rows_for_each(spark):
+    """A frame that begins after its row is read anew for each row, and a list over all copies stood in every copy."""
+    df = frame(spark, ("a", "A", sheet(rows=[[2024, "갑구", "청소", 1, "a", 1, "x", "y", None]])))
+    for made in (workbooks.contracts, workbooks.quantities, workbooks.file_status):
+        plan = made(df, YEAR)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RowFrame, 1, unboundedfollowing" not in plan and not [line for line in plan.splitlines() if "Window [" in line and "collect_list" in line]
