@@ -97,10 +97,20 @@ def shape_cells(shapes: DataFrame, rings_col: str, size: float, dx: Column | flo
     return out.withColumn("__cy", F.explode(F.sequence(_cell(F.array_min(ys) - dy, size), _cell(F.array_max(ys) + dy, size))))
 
 
-def points_in_shapes(points: DataFrame, shapes: DataFrame, x: str = "x", y: str = "y", rings_col: str = "rings", size: float = 0.25) -> DataFrame:
-    """A row for each pair of a point and a shape that holds it. Points and shapes that are null meet nothing."""
+def points_in_shapes(points: DataFrame, shapes: DataFrame, x: str = "x", y: str = "y", rings_col: str = "rings", size: float | None = None) -> DataFrame:
+    """A row for each pair of a point and a shape that holds it. Points and shapes that are null meet nothing.
+
+    The side of a grid cell is half a shape's on average unless it is given, so
+    a shape has about nine rows. How many they are isn't seen by the planner,
+    which would send them to all tasks: they are joined by sorting.
+    """
+    if size is None:
+        points_of = F.flatten(rings_col)
+        ends = [F.transform(points_of, lambda p: p.x), F.transform(points_of, lambda p: p.y)]
+        found = shapes.agg(F.avg(F.greatest(*[F.array_max(e) - F.array_min(e) for e in ends]))).first()[0]
+        size = found / 2 if found else 1.0
     own = points.withColumn("__cx", _cell(F.col(x), size)).withColumn("__cy", _cell(F.col(y), size))
-    return own.join(shape_cells(shapes, rings_col, size), ["__cx", "__cy"]).where(in_shape(F.col(rings_col), F.col(x), F.col(y))).drop("__cx", "__cy")
+    return own.join(shape_cells(shapes, rings_col, size).hint("merge"), ["__cx", "__cy"]).where(in_shape(F.col(rings_col), F.col(x), F.col(y))).drop("__cx", "__cy")
 
 
 def points_near_shapes(points: DataFrame, shapes: DataFrame, within: float, x: str = "x", y: str = "y", rings_col: str = "rings") -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strataform.functions.rounding import half_even
-from strataform.operators.overlay import box, overlapping
+from strataform.functions.staging import staged
+from strataform.operators.overlay import box, overlapping, shapes_of
 from strataform.operators.ranking import percentile_rank, rank_all
 from strataform.operators.scoring import composite, curve, provisional, resolve_status
 from strataform.operators.spatial import nearest_sites, points_in_shapes
@@ -34,12 +35,16 @@ def cell_facts(cells: DataFrame, layers: DataFrame, zones: DataFrame, regions: D
     sources = layers.select((F.col("id") * 2).alias("id"), "layer", "hard", "rings").union(
         zones.where(F.col("zone").isin(hard_zones)).select((F.col("id") * 2 + 1).alias("id"), F.col("zone").alias("layer"), F.lit(True).alias("hard"), "rings")
     )
-    pairs = overlapping(cells.select("id", "rings"), sources.select("id", "rings"))
-    kinds = pairs.join(sources.select(F.col("id").alias("b_id"), "layer", "hard"), "b_id").groupBy(F.col("a_id").alias("id"))
+    # of shapes of one layer that are equal one tells all
+    sources = sources.where("rings IS NOT NULL").groupBy("layer", "hard", "rings").agg(F.min("id").alias("id"))
+    reps, members = shapes_of(sources)
+    kinds_of = staged(members.join(sources.select("id", "layer", "hard"), "id").select(F.col("shape").alias("b_id"), "layer", "hard"))
+    pairs = overlapping(cells.select("id", "rings"), reps)
+    kinds = pairs.join(kinds_of, "b_id").groupBy(F.col("a_id").alias("id"))
     hits = kinds.agg(F.array_sort(F.collect_set(F.when(F.col("hard"), F.col("layer")))).alias("hard_layers"), F.array_sort(F.collect_set(F.when(~F.col("hard"), F.col("layer")))).alias("review_layers"))
     x0, y0, x1, y1 = box(F.col("rings"))
     middle = cells.select("id", ((x0 + x1) / 2).alias("x"), ((y0 + y1) / 2).alias("y"))
-    zone = points_in_shapes(middle, zones.select("zone", "rings")).groupBy("id").agg(F.min("zone").alias("zone"))
+    zone = points_in_shapes(middle, zones.select("zone", "rings").distinct()).groupBy("id").agg(F.min("zone").alias("zone"))
     region = points_in_shapes(middle, regions.select("code", "rings")).groupBy("id").agg(F.min("code").alias("region"), F.count(F.lit(1)).alias("n_regions"))
     near = nearest_sites(middle, roads, "id", "road", k=5)
     road = near.groupBy("id").agg(F.min(metres(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))).alias("metres"))
