@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strataform.functions.staging import staged
 from strataform.operators.overlay import atoms
 
 #: What of a cell may be uncovered by rounding, as a share of it.
@@ -21,14 +22,20 @@ def cell_class_areas(cells: DataFrame, maps: DataFrame, size: float | None = Non
 
     ``cells`` has id and rings and its cells don't overlap; ``maps`` has id,
     rings, level (the higher the finer) and code. Cells and maps without a shape
-    take no part.
+    take no part. Of maps with one shape only the one that rules stays, and the
+    overlay is of different shapes; a piece's ids stay in one row.
     """
+    order = (-F.col("level")).alias("minus_level")
+    maps = maps.where("rings IS NOT NULL").groupBy("rings", "level", "code").agg(F.min("id").alias("id"))
+    maps = staged(maps.groupBy("rings").agg(F.min(F.struct(order, "code", "id")).alias("m")).select("rings", F.col("m.id").alias("id"), (-F.col("m.minus_level")).alias("level"), "m.code"))
     both = cells.select((F.col("id") * 2).alias("id"), "rings").union(maps.select((F.col("id") * 2 + 1).alias("id"), "rings"))
-    pieces = atoms(both, size).withColumn("piece", F.xxhash64("ids"))
-    pieces = pieces.withColumn("cell", F.explode(F.filter("ids", lambda i: F.pmod(i, F.lit(2)) == 0)))
-    covers = pieces.select("cell", "ids", "area", F.explode_outer(F.filter("ids", lambda i: F.pmod(i, F.lit(2)) == 1)).alias("map"))
-    classes = maps.select((F.col("id") * 2 + 1).alias("map"), (-F.col("level")).alias("minus_level"), "code")
-    ruled = covers.join(classes, "map", "left").groupBy("cell", "ids").agg(F.first("area").alias("area"), F.min(F.when(F.col("map").isNotNull(), F.struct("minus_level", "code"))).alias("rule"))
+    pieces = atoms(both, size).withColumn("piece", F.monotonically_increasing_id())
+    pieces = staged(pieces)
+    covers = pieces.select("piece", F.explode(F.filter("ids", lambda i: F.pmod(i, F.lit(2)) == 1)).alias("map"))
+    classes = maps.select((F.col("id") * 2 + 1).alias("map"), order, "code")
+    rules = covers.join(classes, "map").groupBy("piece").agg(F.min(F.struct("minus_level", "code")).alias("rule"))
+    own = pieces.select("piece", F.explode(F.filter("ids", lambda i: F.pmod(i, F.lit(2)) == 0)).alias("cell"), "area")
+    ruled = own.join(rules, "piece", "left")
     return ruled.groupBy((F.col("cell") / 2).cast("long").alias("cell"), (-F.col("rule.minus_level")).alias("level"), F.col("rule.code").alias("code")).agg(F.sum("area").alias("area"))
 
 
