@@ -169,10 +169,13 @@ NAME_LENGTH = 200
 def request_address(sido: Column, sigungu: Column, address: Column) -> Column:
     """The address after as many of province and district as it doesn't begin with; an unknown province is put in front as it is."""
     official = F.create_map(*[F.lit(x) for pair in SIDO_NAMES.items() for x in pair])
-    words, place = F.split(tidy(address), " "), F.array(tidy(sido), tidy(sigungu))
-    same_province = F.coalesce(official[F.get(words, 0)] == official[F.get(place, 0)], F.lit(False))
-    missing = F.when(same_province, 0).when(F.startswith(tidy(address), F.get(place, 1)), 1).otherwise(2)
-    return F.array_join(F.concat(F.slice(place, 1, missing), words), " ")
+
+    def of(text: Column, words: Column, place: Column) -> Column:
+        same_province = F.coalesce(official[F.get(words, 0)] == official[F.get(place, 0)], F.lit(False))
+        missing = F.when(same_province, 0).when(F.startswith(text, F.get(place, 1)), 1).otherwise(2)
+        return F.array_join(F.concat(F.slice(place, 1, missing), words), " ")
+
+    return let(tidy(address), lambda text: let(F.split(text, " "), lambda words: let(F.array(tidy(sido), tidy(sigungu)), lambda place: of(text, words, place))))
 
 
 def _first_lot(word: Column) -> Column:
@@ -201,7 +204,7 @@ def simple_address(address: Column) -> Column:
 
 def geocode_attempts(address: Column) -> Column:
     """The tries in their order: each form of the address by road, then by parcel."""
-    forms, kinds = F.array_compact(F.array(address, simple_address(address))), F.array(F.lit("ROAD"), F.lit("PARCEL"))
+    forms, kinds = let(address, lambda a: F.array_compact(F.array(a, simple_address(a)))), F.array(F.lit("ROAD"), F.lit("PARCEL"))
     return F.flatten(F.transform(forms, lambda a: F.transform(kinds, lambda k: F.struct(a.alias("address"), k.alias("kind")))))
 
 

@@ -121,7 +121,9 @@ def geocode_attempt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = key.cast("string")
     raw = F.when(key % 4 == 0, F.concat(F.lit(" 고잔로  "), n)).when(key % 4 == 1, F.concat(F.lit("경기 용인시 고잔로 "), n)).when(key % 4 == 2, F.concat(F.lit("용인시 탄천로 "), n, F.lit("(태평동)"))).otherwise(F.concat(F.lit("완장리 "), n, F.lit("-1,2")))
     asked = labels.request_address(F.lit("경기도"), F.lit("용인시"), raw)
-    tries = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(labels.geocode_attempts(asked)).alias("attempt", "t"))
+    # the table is small for the work on it: more tasks than its file has parts
+    rows = table(spark, sf_dir, "customer").select("c_custkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    tries = rows.select("c_custkey", F.posexplode(labels.geocode_attempts(asked)).alias("attempt", "t"))
     return tries.select("c_custkey", "attempt", "t.address", "t.kind")
 
 
