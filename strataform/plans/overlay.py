@@ -59,8 +59,10 @@ def derived_city_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Districts dissolved to their city: area by the rings, and the outline's length."""
     k = F.col("p_partkey")
     districts = table(spark, sf_dir, "part").select("p_brand", F.array(_rectangle(k % 50, F.floor(k / 50), F.lit(1), F.lit(1))).alias("rings"))
-    length = F.aggregate(F.flatten(F.transform("rings", overlay.edges)), F.lit(0.0), lambda t, e: t + F.abs(e.x2 - e.x1) + F.abs(e.y2 - e.y1))
-    return overlay.dissolved(districts, "p_brand").select(F.col("g").alias("brand"), overlay.shape_area(F.col("rings")).alias("area"), length.alias("outline"))
+    length = F.aggregate(overlay.edges(F.col("ring")), F.lit(0.0), lambda t, e: t + F.abs(e.x2 - e.x1) + F.abs(e.y2 - e.y1))
+    # ring by ring: a city's rings needn't stand in one row to be added up
+    rings = overlay.dissolved_rings(districts, "p_brand").select(F.col("g").alias("brand"), overlay.signed_area(F.col("ring")).alias("area"), length.alias("outline"))
+    return rings.groupBy("brand").agg(F.abs(F.sum("area")).alias("area"), F.sum("outline").alias("outline"))
 
 
 @query(
