@@ -36,8 +36,8 @@ PLACES = 4
 
 
 def says(text: Column, words: list[str]) -> Column:
-    """Whether a text has any of the words; the text, which is often an expression, is made once."""
-    return let(text, lambda t: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(t, w)))
+    """Whether a text has any of the words: all are looked for in one pass."""
+    return text.rlike("|".join(rf"\Q{w}\E" for w in words))
 
 
 def _named(text: Column, kinds: dict[str, list[str]]) -> Column:
@@ -92,6 +92,11 @@ def cell_value(kind: Column, value: Column, label: Column) -> tuple[Column, Colu
     return found["number"], found["state"]
 
 
+def quantity(kind: Column, value: Column) -> Column:
+    """A number cell's number, half to even at four places; null for all else."""
+    return F.when(kind == "number", F.bround(value.try_cast("decimal(28,12)"), PLACES).cast("decimal(20,4)"))
+
+
 def cell_read(kind: Column, value: Column, label: Column) -> Column:
     """A quantity cell's number, half to even at four places, and its state; no text and no blank is ever a zero.
 
@@ -102,6 +107,6 @@ def cell_read(kind: Column, value: Column, label: Column) -> Column:
         return F.when(t.isin(DASHES), "SOURCE_DASH_NO_DATA").when(F.replace(t, F.lit(" "), F.lit("")).isin(NO_DATA), "SOURCE_TEXT_NO_DATA")
 
     prose = let(tidy(value), lambda t: F.when(t != "", F.coalesce(stated(t), F.lit("SOURCE_TEXT_NO_DATA"))))
-    number = F.when(kind == "number", F.bround(value.try_cast("decimal(28,12)"), PLACES).cast("decimal(20,4)"))
+    number = quantity(kind, value)
     of = lambda n: F.struct(n.alias("number"), F.when(n == 0, "MEASURED_ZERO").when(n.isNotNull(), "MEASURED").otherwise(F.coalesce(prose, let(tidy(label), stated), F.lit("BLANK"))).alias("state"))
     return let(number, of)

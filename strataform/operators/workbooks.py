@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataform.functions import labels, workbook_terms as terms
 from strataform.functions.labels import tidy
+from strataform.functions.staging import staged
 
 #: Header names, marks of layouts, and rows of the monthly grid.
 YEAR, ORGANISATION, CONTRACT, FACILITY, METHOD, NOTE = ["년도", "연도"], "기관명", "계약명", "최종 처리시설", "처리방식", "비고"
@@ -23,17 +24,23 @@ TONNES, DESTINATIONS, NUMBERED = ("반출량(톤)", "반출량2(톤)"), "월별
 GRID_CATEGORY, GRID_TOTAL = "구분", "계"
 GRID_ROWS = {"일반": "GENERAL", "음식물": "FOOD", "재활용": "RECYCLING", "계": "COMBINED"}
 NAME_LENGTH, LABEL_LENGTH = 400, 200
-#: Rows of a file that meet in one window.
-STRETCH = 4096
+#: Rows of a file that meet in one window, and files whose columns are sent to all tasks.
+STRETCH, FEW = 4096, 10_000
+
+
+def _sent(files: DataFrame) -> DataFrame:
+    """Staged rows of files, to be joined: those of few files are sent to all tasks, so that cells stay where they are."""
+    return F.broadcast(files) if files.count() <= FEW else files
 
 
 def layouts(cells: DataFrame, year: int) -> DataFrame:
     """file, role, layout, and the columns that its headers name; UNSUPPORTED_LAYOUT where one that it needs is missing.
 
     The columns between payment and facility are pairs of label and value; an
-    odd number of them isn't supported.
+    odd number of them isn't supported. Headers are staged, and so is the
+    result: cells are read once for each of them, whoever asks.
     """
-    head = cells.where("row = 1").withColumn("t", tidy(F.col("value")))
+    head = staged(cells.where("row = 1")).withColumn("t", tidy(F.col("value")))
     first = lambda c: F.min(F.when(c, F.col("col")))
     t = F.col("t")
     months = [F.max(F.when(t.rlike(f"^0?{m}월(.*월)?$"), F.col("col"))) for m in range(1, 13)]
@@ -54,14 +61,12 @@ def layouts(cells: DataFrame, year: int) -> DataFrame:
     fits = F.when(F.col("role") == "B", grid).otherwise(whole & (span >= 0) & (span % 2 == 0))
     found = found.withColumn("fits", F.coalesce(fits, F.lit(False)))
 
-    between = cells.join(found.where("role <> 'B' AND fits").select("file", "payment_col", "facility_col"), "file").where("col > payment_col AND col < facility_col")
-    text = tidy(F.col("value"))
-    told = lambda words: F.bool_or((F.col("row") == 1) & F.contains(text, F.lit(words)))
-    body = F.col("row") > 1
-    marks = between.groupBy("file").agg(
-        (told(TONNES[0]) & told(TONNES[1])).alias("tonnes"), told(DESTINATIONS).alias("destinations"), told(NUMBERED).alias("numbered"),
-        (F.count_if(body) > 0).alias("any"), (F.count_if(body & ~text.isin(terms.DASHES)) == 0).alias("dashes"),
-    )
+    found = staged(found)
+    spans = found.where("role <> 'B' AND fits").select("file", "payment_col", "facility_col")
+    between = "col > payment_col AND col < facility_col"
+    told = lambda words: F.bool_or(F.contains(t, F.lit(words)))
+    heads = head.join(spans, "file").where(between).groupBy("file").agg((told(TONNES[0]) & told(TONNES[1])).alias("tonnes"), told(DESTINATIONS).alias("destinations"), told(NUMBERED).alias("numbered"))
+    written = cells.where("row > 1").join(_sent(spans), "file").where(between).groupBy("file").agg((F.count_if(~tidy(F.col("value")).isin(terms.DASHES)) == 0).alias("dashes"))
     kind = (
         F.when(~F.col("fits"), "UNSUPPORTED_LAYOUT")
         .when(F.col("role") == "B", "DATA_B_MONTHLY_CATEGORY_GRID")
@@ -69,10 +74,10 @@ def layouts(cells: DataFrame, year: int) -> DataFrame:
         .when(F.col("tonnes"), "DATA_A_CONTRACT_TONNE_LABELLED_PAIRS")
         .when(F.col("destinations"), "DATA_A_CONTRACT_DESTINATION_SPLIT")
         .when(F.col("numbered"), "DATA_A_CONTRACT_NUMBERED_PAIRS")
-        .when(F.col("any") & F.col("dashes"), "DATA_A_CONTRACT_DASH_ONLY_QUANTITY")
+        .when(F.col("dashes"), "DATA_A_CONTRACT_DASH_ONLY_QUANTITY")
         .otherwise("DATA_A_CONTRACT_QUANTITY_PAIRS")
     )
-    return found.join(marks, "file", "left").withColumn("layout", kind).drop("tonnes", "destinations", "numbered", "any", "dashes")
+    return staged(found.join(heads, "file", "left").join(written, "file", "left").withColumn("layout", kind).drop("tonnes", "destinations", "numbered", "dashes"))
 
 
 def _amount(kind: Column, value: Column) -> Column:
@@ -82,7 +87,7 @@ def _amount(kind: Column, value: Column) -> Column:
 
 def _bodies(cells: DataFrame, found: DataFrame) -> DataFrame:
     """The cells below the header of contract files, with the columns of their file and the stretch of rows that they lie in."""
-    return cells.where("row > 1").join(found.where("role <> 'B' AND fits"), "file").withColumn("stretch", F.floor(F.col("row") / STRETCH))
+    return cells.where("row > 1").join(_sent(found.where("role <> 'B' AND fits")), "file").withColumn("stretch", F.floor(F.col("row") / STRETCH))
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -167,7 +172,7 @@ def quantities(cells: DataFrame, year: int) -> DataFrame:
     """
     found = layouts(cells, year)
     rows = _blocks(cells, found)
-    own = cells.where("row > 1").join(found.where("role <> 'B' AND fits").select("file", "payment_col", "facility_col"), "file").where("col > payment_col AND col < facility_col")
+    own = cells.where("row > 1").join(_sent(found.where("role <> 'B' AND fits").select("file", "payment_col", "facility_col")), "file").where("col > payment_col AND col < facility_col")
     place = F.col("col") - F.col("payment_col") - 1
     side = lambda n: F.max(F.when(place % 2 == n, F.struct("kind", "value")))
     pairs = own.groupBy("file", "row", F.floor(place / 2).cast("int").alias("pair"), "payment_col").agg(side(0).alias("named"), side(1).alias("cell"))
@@ -196,16 +201,16 @@ def quantities(cells: DataFrame, year: int) -> DataFrame:
     )
 
 
-def grid_quantities(cells: DataFrame, year: int) -> DataFrame:
+def grid_quantities(cells: DataFrame, year: int, found: DataFrame | None = None) -> DataFrame:
     """The months and the total of each category of monthly grids: file, row, category, month (null: the total), quantity, state and limitation.
 
     A total of zero over nothing but dashes is no data, not a measure.
     """
-    found = layouts(cells, year).where("role = 'B' AND fits")
-    own = cells.where("row > 1").join(found.select("file", "category_col", "month_cols", "total_col"), "file")
+    found = (layouts(cells, year) if found is None else found).where("role = 'B' AND fits")
+    own = staged(cells.where("row > 1").join(_sent(found.select("file", "category_col", "month_cols", "total_col")), "file"))
     names = own.where("col = category_col").withColumn("t", tidy(F.col("value"))).where(F.col("t").isin(*GRID_ROWS))
     asked = names.select("file", "row", F.col("t").alias("category"), F.posexplode(F.concat("month_cols", F.array("total_col"))).alias("at", "col"))
-    filled = asked.join(cells.select("file", "row", "col", "kind", "value"), ["file", "row", "col"], "left")
+    filled = asked.join(own.select("file", "row", "col", "kind", "value"), ["file", "row", "col"], "left")
     number, state = terms.cell_value(F.col("kind"), F.col("value"), F.lit(""))
     filled = filled.select("file", "row", "category", "at", number.alias("quantity"), state.alias("value_state"))
     months = Window.partitionBy("file", "row")
@@ -221,17 +226,50 @@ def grid_quantities(cells: DataFrame, year: int) -> DataFrame:
     )
 
 
+def _sums(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """file and what its status takes of its contracts, from one pass over the cells: nothing of them depends on where a block ends.
+
+    ``first`` and ``end`` are the rows of the first contract and of the first
+    total; ``begun`` says whether a row that begins a contract has a quantity.
+    """
+    own = cells.where("row > 1").join(_sent(found.where("role <> 'B' AND fits").select("file", "contract_col", "payment_col", "note_col", "facility_col")), "file")
+    named = ["contract", "payment", "note"]
+    own = own.where(F.col("col").isin(*[F.col(f"{n}_col") for n in named]) | _valued())
+    rows = own.groupBy("file", "row").agg(*[F.max(F.when(F.col("col") == F.col(f"{n}_col"), F.struct("kind", "value"))).alias(n) for n in named], F.bool_or(_valued()).alias("valued"))
+    rows = _starts(rows.where("contract IS NOT NULL"))
+    rows = rows.withColumns({"name": tidy(F.col("contract.value")), "amount": _amount(F.col("payment.kind"), F.col("payment.value")), "starting": F.col("starts").isNotNull()})
+    rows = rows.withColumns({"basis": terms.accounting_basis(F.col("name")), "kind": terms.payment_type(F.col("note.value")), "scope": terms.waste_scope(F.col("name"))})
+    starting, eligible = F.col("starting"), F.col("basis").isin(terms.ELIGIBLE_BASES)
+    total = F.struct("row", "amount")
+    sums = rows.groupBy("file").agg(
+        F.count_if(starting).alias("contracts"), F.sum(F.when(starting, F.col("amount"))).alias("recomputed"), F.sum(F.when(starting & eligible & (F.col("kind") == "ACTUAL_PAID_AMOUNT"), F.col("amount"))).alias("eligible_sum"),
+        F.collect_set(F.when(starting & eligible, F.col("scope"))).alias("scopes"), F.bool_or(starting & ~eligible).alias("other_basis"),
+        F.min("starts").alias("first"), F.min(F.when(F.col("total"), total)).alias("total"), F.bool_or(starting & F.col("valued")).alias("begun"),
+    )
+    return staged(sums.select("*", F.col("total.row").alias("end"), F.col("total.amount").alias("stated")).drop("total"))
+
+
+def _valued() -> Column:
+    """Whether a cell has the quantity of a pair."""
+    pair = (F.col("col") > F.col("payment_col")) & (F.col("col") < F.col("facility_col")) & ((F.col("col") - F.col("payment_col")) % 2 == 0)
+    return pair & terms.quantity(F.col("kind"), F.col("value")).isNotNull()
+
+
 def file_status(cells: DataFrame, year: int) -> DataFrame:
-    """file, layout, sums of the source and of its contracts, whether they agree, whether all streams are covered, and what the file is good for."""
+    """file, layout, sums of the source and of its contracts, whether they agree, whether all streams are covered, and what the file is good for.
+
+    A place has one cell. Contracts, blocks and pairs aren't made for it: sums
+    need the rows on which contracts begin, and a quantity is in a block if it
+    is there, or after the first of them and before the first total.
+    """
     found = layouts(cells, year)
-    own = contracts(cells, year).groupBy("file").agg(
-        F.count(F.lit(1)).alias("contracts"), F.sum("amount").alias("recomputed"), F.sum(F.when(F.col("eligible"), F.col("amount"))).alias("eligible_sum"),
-        F.collect_set(F.when(F.col("accounting_basis").isin(terms.ELIGIBLE_BASES), F.col("waste_scope"))).alias("scopes"), F.bool_or(~F.col("accounting_basis").isin(terms.ELIGIBLE_BASES)).alias("other_basis"),
-    )
-    rows = _blocks(cells, found)
-    total = rows.where("row = boundary").select("file", _amount(F.col("payment.kind"), F.col("payment.value")).alias("stated"))
-    measured = quantities(cells, year).groupBy("file").agg(F.bool_or(F.col("quantity").isNotNull()).alias("measured")).union(grid_quantities(cells, year).groupBy("file").agg(F.bool_or(F.col("quantity").isNotNull())))
-    out = found.select("file", "role", "layout").join(own, "file", "left").join(total, "file", "left").join(measured, "file", "left")
+    own = _sums(cells, found)
+    spans = found.where("role <> 'B' AND fits").select("file", "payment_col", "facility_col").join(own.select("file", "first", "end"), "file")
+    inside = (F.col("row") >= F.col("first")) & F.coalesce(F.col("row") < F.col("end"), F.lit(True))
+    between = cells.where("row > 1").join(_sent(staged(spans)), "file").where(inside & _valued()).select("file", F.lit(True).alias("measured"))
+    grids = grid_quantities(cells, year, found).select("file", F.col("quantity").isNotNull().alias("measured"))
+    measured = between.union(own.select("file", "begun")).union(grids).groupBy("file").agg(F.bool_or("measured").alias("measured"))
+    out = found.select("file", "role", "layout").join(own, "file", "left").join(measured, "file", "left")
     partial = (F.size("scopes") > 0) & ~terms.covers_every_stream(F.col("scopes"))
     paid, any_quantity = F.col("recomputed").isNotNull(), F.coalesce("measured", F.lit(False))
     use = (

@@ -130,3 +130,16 @@ def test_no_window_reads_all_rows_for_each(spark):
     for made in (workbooks.contracts, workbooks.quantities, workbooks.file_status):
         plan = made(df, YEAR)._jdf.queryExecution().optimizedPlan().toString()
         assert "RowFrame, 1, unboundedfollowing" not in plan and not [line for line in plan.splitlines() if "Window [" in line and "collect_list" in line]
+
+
+def test_status_counts_quantities_of_blocks_only(spark):
+    blank = [None] * 9
+    one = [2024, "갑구", "청소", 100, "a", None, "x", "y", None]
+    value = [*blank[:4], "b", 5, *blank[6:]]
+    total = [None, None, "합계", 100, *blank[4:]]
+    files = {"before": [value, one, total], "within": [one, value, total], "after": [one, total, value], "begins": [one, total, [*one[:5], 7, *one[6:]]], "on_total": [one, [*total[:5], 3, *blank[6:]]]}
+    cells = frame(spark, *[(name, "A", sheet(rows=rows)) for name, rows in files.items()])
+    status = {r.file: "QUANTITY" in r.classification for r in workbooks.file_status(cells, YEAR).collect()}
+    made = {r.file for r in workbooks.quantities(cells, YEAR).where("quantity IS NOT NULL").collect()}
+    assert status == {name: name in made for name in files}
+    assert made == {"within", "begins"}
