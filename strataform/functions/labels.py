@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Tokens and patterns of the sources' labels.
 MONEY = r"^([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(\.[0-9]+)?\s*원?$"
@@ -17,8 +22,13 @@ SENSITIVE = [
     "authorization", "access_token", "accesstoken", "apikey", "api_key", "consumer_key", "consumer_secret", "key",
     "rcis_api_key", "rcis_user_id", "secret", "servicekey", "token", "usrid", "password",
 ]
-#: A piece of a JSON text: a string, a mark, a number or word, blanks, or a quote that is never closed.
-JSON_PIECE = r'"(?:[^"\\]++|\\.)*+"|[\[\]{}:,]|[^\[\]{}:,"\s]++|\s++|"'
+#: Parts of a JSON text: blanks, a string, and a piece (a string, a mark, a number or word, blanks, or a quote that is never closed).
+_BLANKS, _STRING = r"[ \t\n\x0b\f\r]*+", r'"(?:[^"\\]++|\\.)*+"'
+_PIECE = re.compile(_STRING + r'|[\[\]{}:,]|[^\[\]{}:," \t\n\x0b\f\r]++|"')
+_KEY, _MARK = re.compile(f"({_STRING}){_BLANKS}:{_BLANKS}"), re.compile(_STRING + r'|[\[\]{}"]')
+#: What has no sensitive key: all but strings, strings that are no such key, and with escapes those that are no key.
+_PASSED = re.compile(rf'(?:[^"]++|"(?!(?i:{"|".join(SENSITIVE)})"{_BLANKS}:)[^"\\]*+"|{_STRING}(?!{_BLANKS}:))*+')
+_SENSITIVE = frozenset(SENSITIVE)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -119,35 +129,55 @@ def selected_option(html: Column, name: str) -> Column:
     return F.when(chosen.rlike(r"(?i)\svalue\s*="), attribute(chosen, "value"))
 
 
-def redacted(json: Column) -> Column:
+def _redacted(text: str) -> str:
+    """One text of ``redacted``; what lies between two values that go is passed over at once and copied as it stands."""
+    out, copied, at = [], 0, 0
+    while (at := _PASSED.match(text, at).end()) < len(text):
+        key = _KEY.match(text, at)
+        if key is None:  # a quote that is never closed
+            at += 1
+        elif _plain(key[1]) not in _SENSITIVE:
+            at = key.end(1)
+        elif (value := _PIECE.match(text, key.end())) is None:
+            break
+        else:
+            out += [text[copied : value.start()], '"[REDACTED]"']
+            at = copied = _closed(text, value.end()) if value[0] in ("{", "[") else value.end()
+    return "".join([*out, text[copied:]])
+
+
+def _closed(text: str, at: int) -> int:
+    """Where the object or array ends that is open here; the text's end if it is never closed."""
+    depth = 1
+    for mark in _MARK.finditer(text, at):
+        depth += (mark[0] in "{[") - (mark[0] in "}]")
+        if not depth:
+            return mark.end()
+    return len(text)
+
+
+def _plain(quoted: str) -> str | None:
+    """A key in lower case, escapes read; null if it can't be read."""
+    if "\\" not in quoted:
+        return quoted.strip('"').lower()
+    try:
+        return json.loads(quoted, strict=False).lower()
+    except ValueError:
+        return None
+
+
+@pandas_udf(StringType())
+def redacted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A JSON text in which the values under sensitive keys, of any kind and at any depth, are redacted; other parts stay as they are.
 
     The text is walked piece by piece: a value that begins after a sensitive
     key's colon is replaced, an object or array up to the mark that closes it.
-    Keys are compared in lower case, escapes read. What isn't JSON comes back
-    with what follows such keys replaced as far as it can be read.
+    Keys are compared in lower case, escapes read; blanks of every kind between
+    a colon and its value stay. What isn't JSON comes back with what follows
+    such keys replaced as far as it can be read.
     """
-    pieces = F.regexp_extract_all(json, F.lit(JSON_PIECE), F.lit(0))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit(-1).alias("hidden"), F.lit("").alias("text"), F.lit(False).alias("secret"))
-
-    def plain(quoted: Column) -> Column:
-        return F.lower(F.when(quoted.contains("\\"), F.get(F.from_json(F.concat(F.lit("["), quoted, F.lit("]")), "array<string>"), 0)).otherwise(F.btrim(quoted, F.lit('"'))))
-
-    def step(s: Column, p: Column) -> Column:
-        opens, closes, blank = p.isin("{", "["), p.isin("}", "]"), F.trim(p) == ""
-        depth = s.depth + F.when(opens, 1).when(closes, -1).otherwise(0)
-        inside = s.hidden >= 0
-        begins = ~inside & s.secret & ~blank
-        hidden = F.when(inside & (depth > s.hidden), s.hidden).when(begins & opens, s.depth).otherwise(-1)
-        return F.struct(
-            F.when(inside, s.out).when(begins, F.concat(s.out, F.lit('"[REDACTED]"'))).otherwise(F.concat(s.out, p)).alias("out"),
-            depth.alias("depth"),
-            hidden.alias("hidden"),
-            F.when(p.startswith('"') & ~begins, p).when(blank, s.text).otherwise("").alias("text"),
-            F.when(blank, s.secret).otherwise(~inside & (p == ":") & F.coalesce(plain(s.text).isin(*SENSITIVE), F.lit(False))).alias("secret"),
-        )
-
-    return F.aggregate(pieces, start, step, lambda s: s.out)
+    for t in texts:
+        yield t.map(lambda x: _redacted(x) if isinstance(x, str) else None)
 
 
 def fixed_point(c: Column, places: int = 8) -> Column:

@@ -96,3 +96,13 @@ def test_many_bands_meet_values_by_parts_of_the_axis(spark, monkeypatch):
             monkeypatch.setattr(lookup, "FEW", few)
             out[few] = sorted(map(tuple, lookup.band_join(facts, table, F.col("v")).collect()))
         assert out[2000] == out[10] and len(out[10]) == 2500
+
+
+def test_redaction_over_lines_and_after_stray_marks(spark):
+    cases = {
+        '{"token":\n\t"x", "a": 1}': '{"token":\n\t"[REDACTED]", "a": 1}',
+        ']{"secret": {"a": ["x"]}, "b": 2}': ']{"secret": "[REDACTED]", "b": 2}',
+        '{"a": "\\"key\\": 1", "KEY": [1': '{"a": "\\"key\\": 1", "KEY": "[REDACTED]"',
+    }
+    rows = spark.createDataFrame([(x,) for x in [*cases, None]], "raw string")
+    assert {r.raw: r.clean for r in rows.select("raw", labels.redacted("raw").alias("clean")).collect()} == {**cases, None: None}
