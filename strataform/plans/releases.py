@@ -53,7 +53,7 @@ def release_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("release_digest", "SELECT event_id AS id, event_id % 6 IN (0, 5) AS same FROM events")
 def release_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether two releases of a document have one canonical digest."""
-    first, last = (packages.json_digest(packages.json_parts(r, "event_id", "body")) for r in _releases(spark, sf_dir))
+    first, last = (packages.json_digests(r, "event_id", "body") for r in _releases(spark, sf_dir))
     both = first.join(last.withColumnsRenamed({"id": "other", "digest": "last"}), F.col("id") == F.col("other"))
     return both.select("id", (F.col("digest") == F.col("last")).alias("same"))
 
