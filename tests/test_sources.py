@@ -8,6 +8,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,51 @@ def test_nearest_sites_of_crowds(spark):
     assert leaves["all"] == s.where("s < 900").count() and leaves["most"] <= 16
 
 
+def test_places_walk_to_their_sites_in_groups(spark, monkeypatch):
+    """Points that share places, clusters, ids of text, a place at infinity: a group of places is a row of the walk."""
+    from strataform.operators import spatial
+
+    walks, staged = [], spatial.staged
+
+    def counted(df):
+        out = staged(df)
+        if "nodes" in out.columns:
+            walks.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "staged", counted)
+    draw = np.random.Generator(np.random.PCG64(4))
+    grid = np.stack(np.meshgrid(np.arange(20.0), np.arange(20.0)), -1).reshape(-1, 2)
+    spots = np.concatenate([grid, 5 + draw.random((800, 2)) * 0.01, draw.normal(12, 1, (800, 2))])
+    asked = np.concatenate([draw.integers(0, 40, (1500, 2)) / 2.0, 5 + draw.random((1500, 2)) * 0.01, draw.normal(12, 1, (1500, 2)), [[float("inf"), 3.0]]]).repeat(2, axis=0)
+    names = np.array([f"s{n}" for n in draw.permutation(len(spots))])
+    p = spark.createDataFrame([(i, *map(float, xy)) for i, xy in enumerate(asked)], "p long, x double, y double")
+    s = spark.createDataFrame([(str(n), *map(float, xy)) for n, xy in zip(names, spots)], "s string, x double, y double")
+    got = {r.p: [e.s for e in r.r] for r in spatial.nearest_sites(p, s, "p", "s").groupBy("p").agg(F.array_sort(F.collect_list(F.struct("rank", "s"))).alias("r")).collect()}
+    order = np.argsort(names)
+    for i, (x, y) in enumerate(asked):
+        near = order[np.argsort(np.sqrt((spots[order, 0] - x) ** 2 + (spots[order, 1] - y) ** 2), kind="stable")[:5]]
+        assert got[i] == names[near].tolist(), i
+    assert len(got) == len(asked) and max(walks) < len(asked) / 8
+
+
+def test_sites_are_held_against_places_a_pool_at_a_time(monkeypatch):
+    from strataform.operators import spatial
+
+    monkeypatch.setattr(spatial, "POOL", 16)
+    draw = np.random.Generator(np.random.PCG64(5))
+    rows, wanted = [], set()
+    for g, (n, m) in enumerate([(3, 200), (1, 2), (4, 0), (5, 40)]):
+        places, sites = draw.integers(0, 50, (n, 2)) + g * 0.01 + np.arange(n)[:, None] * 1e-4, draw.integers(0, 50, (m, 2))
+        rows += [(g, False, None, *map(float, xy)) for xy in places] + [(g, True, (1 << 60) + int(i), *map(float, xy)) for i, xy in zip(draw.permutation(m), sites)]
+        own = [r for r in rows if r[0] == g and r[1]]
+        for x, y in places.tolist():
+            wanted |= {(x, y, s, rank) for rank, (_, s) in enumerate(sorted((((sx - x) ** 2 + (sy - y) ** 2) ** 0.5, s) for _, _, s, sx, sy in own)[:5], 1)}
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64()))], names=["g", "site", "s", "x", "y"])
+    found = pa.Table.from_batches(spatial._ranked(5, pa.int64())(table.to_batches(max_chunksize=7)))
+    assert {(r["x"], r["y"], r["s"], r["rank"]) for r in found.to_pylist()} == wanted
+
+
 def test_facilities_of_several_data_sets(spark, tmp_path):
     row = {"name": "시설", "sido": "경기도", "sigungu": "용인시", "address": "길 1", "LANDFILL_QTY": "1,000", "FILL_AREA": "5", "DISPOSAL_QTY": "7", "RESIDUE_RECY": "x"}
     pages = {"a": ("P1", [row, {**row, "name": "합계"}, {**row, "address": " "}, row]), "b": ("P2", [row, {**row, "RESIDUE_RECY": "-"}])}
